@@ -57,3 +57,37 @@ def parse_currency_or_percent(c: str | Column) -> Column:
 def to_number(c: str | Column) -> Column:
     """Numeric coercion, bad text -> null."""
     return _c(c).cast("string").try_cast("double")
+
+
+# ---- oracle spellings (DuckDB) -------------------------------------------
+
+def _sq(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def parse_currency_sql(e: str) -> str:
+    s = f"trim(CAST({e} AS VARCHAR))"
+    cl = f"regexp_replace({s}, '[^0-9.,\\-]', '', 'g')"
+    u = f"replace({cl}, '-', '')"
+    norm = (f"CASE WHEN contains({u}, ',') AND contains({u}, '.') THEN replace({u}, ',', '') "
+            f"WHEN contains({u}, ',') AND len(string_split({u}, ',')) = 2 "
+            f"AND length(string_split({u}, ',')[2]) <= 2 THEN replace({u}, ',', '.') "
+            f"WHEN contains({u}, ',') THEN replace({u}, ',', '') ELSE {u} END")
+    v = f"coalesce(TRY_CAST({norm} AS DOUBLE), 0.0)"
+    zeros = ", ".join(_sq(t) for t in P10_ZERO_TOKENS)
+    return (f"(CASE WHEN {e} IS NULL OR {s} IN ({zeros}) THEN 0.0 "
+            f"WHEN contains({cl}, '-') THEN -{v} ELSE {v} END)")
+
+
+def parse_currency_or_percent_sql(e: str) -> str:
+    s = f"trim(CAST({e} AS VARCHAR))"
+    nc = f"replace({s}, ',', '')"
+    pct = f"TRY_CAST(substr({nc}, 1, length({nc}) - 1) AS DOUBLE) / 100.0"
+    plain = f"TRY_CAST(regexp_replace({nc}, '[{P11_SYMBOLS}]', '', 'g') AS DOUBLE)"
+    zeros = ", ".join(_sq(t) for t in P11_ZERO_TOKENS)
+    return (f"(CASE WHEN {e} IS NULL OR {s} IN ({zeros}) THEN 0.0 ELSE coalesce("
+            f"CASE WHEN suffix({nc}, '%') THEN {pct} ELSE {plain} END, TRY_CAST(CAST({e} AS VARCHAR) AS DOUBLE), 0.0) END)")
+
+
+def to_number_sql(e: str) -> str:
+    return f"TRY_CAST(CAST({e} AS VARCHAR) AS DOUBLE)"

@@ -177,8 +177,11 @@ class Bridge:
         date_raw = (F.when(m3 == 0, F.date_format("l_shipdate", "yyyy-MM-dd"))
                      .when(m3 == 1, F.date_format("l_shipdate", "MM/dd/yyyy"))
                      .otherwise(F.concat(F.date_format("l_shipdate", "yyyy"), F.lit("-13-45"))))
+        installs = F.when(ln % 4 == 0, F.lit("n/a")).otherwise(
+            F.col("l_quantity").cast("long").cast("string"))
         return li.select("l_orderkey", "l_linenumber", money.alias("money_raw"),
-                         pct.alias("percent_raw"), date_raw.alias("date_raw"))
+                         pct.alias("percent_raw"), date_raw.alias("date_raw"),
+                         installs.alias("installs_raw"))
 
     # ---- B5 --------------------------------------------------------------
     @cached_property

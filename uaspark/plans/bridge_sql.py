@@ -102,7 +102,8 @@ SELECT l_orderkey, l_linenumber,
   CASE l_linenumber % 3
     WHEN 0 THEN strftime(l_shipdate, '%Y-%m-%d')
     WHEN 1 THEN strftime(l_shipdate, '%m/%d/%Y')
-    ELSE strftime(l_shipdate, '%Y') || '-13-45' END AS date_raw
+    ELSE strftime(l_shipdate, '%Y') || '-13-45' END AS date_raw,
+  CASE WHEN l_linenumber % 4 = 0 THEN 'n/a' ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END AS installs_raw
 FROM lineitem""")
 
 _days = ", ".join(f"({d})" for d in TARGET_DAYS)
