@@ -124,7 +124,7 @@ class Bridge:
         net = F.element_at(F.array(*[F.lit(x) for x in NETWORKS]), (k % 4 + 1).cast("int"))
         return [F.lit("events_game").alias("game"), net.alias("platform"),
                 F.when(k % 2 == 0, "android").otherwise("ios").alias("channel"),
-                F.lit("all").alias("country")]
+                F.when(k < CAMPAIGN_KEYS // 2, "tier_1").otherwise("tier_2").alias("country")]
 
     @cached_property
     def cohort_wide(self) -> DataFrame:

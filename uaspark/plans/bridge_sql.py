@@ -18,7 +18,8 @@ def _dec(e: str) -> str:
 def _key_dims(k: str) -> str:
     nets = " ".join(f"WHEN {k} % 4 = {i} THEN '{n}'" for i, n in enumerate(NETWORKS))
     return (f"'events_game' AS game, CASE {nets} END AS platform, "
-            f"CASE WHEN {k} % 2 = 0 THEN 'android' ELSE 'ios' END AS channel, 'all' AS country")
+            f"CASE WHEN {k} % 2 = 0 THEN 'android' ELSE 'ios' END AS channel, "
+            f"CASE WHEN {k} < {CAMPAIGN_KEYS // 2} THEN 'tier_1' ELSE 'tier_2' END AS country")
 
 
 def stable_id_sql(*cols: str) -> str:
