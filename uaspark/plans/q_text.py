@@ -1 +1,131 @@
-"""Queries (filled in below)."""
+"""Question routing, question extraction, feature labels and usage cost."""
+
+from __future__ import annotations
+
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import metrics as M
+from ..operators.ordered import running_total
+from ..operators.profile import best_by_mean
+from .bridge import Bridge
+from .bridge_sql import with_views
+from .catalog import query, r6
+
+# Price per token (USD) by model family.
+RATES = {"gpt-5-mini": (Decimal("0.00000025"), Decimal("0.000002"))}
+DEFAULT_RATE = (Decimal("0.0000005"), Decimal("0.000003"))
+
+
+@query("X24_question_intent", with_views("questions") + f"""
+SELECT conv_id, turn, {T.question_intent_sql('text')} AS intent FROM questions""")
+def x24(b: Bridge) -> DataFrame:
+    q = b.questions
+    return q.select("conv_id", "turn", T.question_intent(F.col("text")).alias("intent"))
+
+
+def _strip_ws_sql(e: str) -> str:
+    return f"regexp_replace({e}, '^\\s+|\\s+$', '', 'g')"
+
+
+_STARTS = " OR ".join(f"starts_with(lower(l), '{w}')" for w in T.QUESTION_STARTS)
+_PSTARTS = " OR ".join(f"starts_with(lower(p), '{w}')" for w in T.PARAGRAPH_STARTS)
+_LINE_QS = (
+    "list_filter(list_transform(list_filter("
+    "list_transform(string_split(text, chr(10)), lambda l: regexp_replace(l, '^[ \\-\\t]+|[ \\-\\t]+$', '', 'g')), "
+    f"lambda l: l <> '' AND ({_STARTS} OR suffix(l, '?'))), "
+    "lambda l: " + _strip_ws_sql("regexp_replace(regexp_replace(l, '^q\\s*[:\\-.]\\s*', '', 'i'), "
+                                 "'^question\\s*[:\\-.]\\s*', '', 'i')") + "), "
+    f"lambda l: length(l) > {T.MIN_QUESTION_CHARS})")
+_PARA_QS = (
+    "list_filter(list_transform(list_filter(list_transform(string_split(text, chr(10) || chr(10)), "
+    "lambda p: " + _strip_ws_sql("p") + "), "
+    f"lambda p: p <> '' AND (contains(p, '?') OR {_PSTARTS})), "
+    "lambda p: " + _strip_ws_sql("string_split(p, '.')[1]") + "), "
+    f"lambda s: length(s) > {T.MIN_QUESTION_CHARS})")
+
+
+@query("X25_question_lines", with_views("questions") + f"""
+, t AS (SELECT conv_id, turn, CASE WHEN len({_LINE_QS}) > 0 THEN {_LINE_QS} ELSE {_PARA_QS} END AS qs FROM questions)
+SELECT conv_id, turn, generate_subscripts(qs, 1) - 1 AS idx, unnest(qs) AS question FROM t""")
+def x25(b: Bridge) -> DataFrame:
+    q = b.questions.select("conv_id", "turn", T.extract_questions(F.col("text")).alias("qs"))
+    return q.select("conv_id", "turn", F.posexplode("qs").alias("idx", "question")).select(
+        "conv_id", "turn", F.col("idx").cast("long").alias("idx"), "question")
+
+
+@query("X26_question_routes", with_views("questions", "campaign") + f"""
+, best AS (SELECT platform FROM campaign GROUP BY platform ORDER BY avg(roas) DESC, platform LIMIT 1)
+SELECT conv_id, turn, {T.question_route_sql('text')} AS route,
+  CASE WHEN {T.question_route_sql('text')} = 'best_platform' THEN 'Best platform is ' || best.platform END AS answer
+FROM questions CROSS JOIN best""")
+def x26(b: Bridge) -> DataFrame:
+    best = best_by_mean(b.campaign, "platform", "roas").select("platform")  # one row
+    q = b.questions.select("conv_id", "turn", T.question_route(F.col("text")).alias("route"))
+    j = q.crossJoin(F.broadcast(best))
+    ans = F.when(F.col("route") == "best_platform", F.concat(F.lit("Best platform is "), F.col("platform")))
+    return j.select("conv_id", "turn", "route", ans.alias("answer"))
+
+
+_CORR = ["installs", "cost", "revenue", "ad_revenue", "roas"]
+_PAIRS = [(a, c) for i, a in enumerate(_CORR) for c in _CORR[i + 1:]]
+
+
+@query("X29_feature_labels", with_views("campaign") + """
+, one AS (SELECT """ + ", ".join(f"corr({a}, {c}) AS \"{a}|{c}\"" for a, c in _PAIRS) + """ FROM campaign),
+long AS (SELECT pair, abs(v) AS a FROM one UNPIVOT (v FOR pair IN (""" + ", ".join(f'"{a}|{c}"' for a, c in _PAIRS) + """))),
+rk AS (SELECT feature FROM (SELECT split_part(pair, '|', 1) AS feature, a FROM long
+                            UNION ALL SELECT split_part(pair, '|', 2), a FROM long)
+       GROUP BY feature ORDER BY SUM(coalesce(a, 0.0)) + 1.0 DESC, feature LIMIT 20)
+SELECT feature, """ + T.feature_label_sql("feature") + """ AS label FROM rk""")
+def x29(b: Bridge) -> DataFrame:
+    ranked = M.correlation_ranking(b.campaign, _CORR, 20)
+    return ranked.select("feature", T.feature_label(F.col("feature")).alias("label"))
+
+
+def usage_cost(events: DataFrame) -> Column:
+    """Tokens x per-token rate of the model family, rounded to 6 places
+    (exact decimal arithmetic)."""
+    inp = F.col("input_tokens").cast("decimal(20,0)")
+    out = F.col("output_tokens").cast("decimal(20,0)")
+    expr = None
+    for fam, (ri, ro) in RATES.items():
+        c = F.col("model").contains(fam)
+        v = inp * F.lit(ri) + out * F.lit(ro)
+        expr = F.when(c, v) if expr is None else expr.when(c, v)
+    return F.round(expr.otherwise(inp * F.lit(DEFAULT_RATE[0]) + out * F.lit(DEFAULT_RATE[1])), 6)
+
+
+def _cost_sql() -> str:
+    (ri, ro), = RATES.values()
+    d = lambda v: f"CAST({v} AS DECIMAL(18,8))"
+    i, o = "CAST(input_tokens AS DECIMAL(20,0))", "CAST(output_tokens AS DECIMAL(20,0))"
+    return (f"round(CAST(CASE WHEN contains(model, 'gpt-5-mini') THEN {i} * {d(ri)} + {o} * {d(ro)} "
+            f"ELSE {i} * {d(DEFAULT_RATE[0])} + {o} * {d(DEFAULT_RATE[1])} END AS DECIMAL(38,8)), 6)")
+
+
+@query("A22_usage_cost", with_views("usage_events") + f"""
+SELECT kind, model, COUNT(*) AS events, SUM(input_tokens) AS input_tokens, SUM(output_tokens) AS output_tokens,
+  CAST(SUM({_cost_sql()}) AS DOUBLE) AS cost
+FROM usage_events GROUP BY kind, model""")
+def a22(b: Bridge) -> DataFrame:
+    u = b.usage_events.select("*", usage_cost(b.usage_events).alias("cost"))
+    return u.groupBy("kind", "model").agg(F.count(F.lit(1)).alias("events"),
+                                          F.sum("input_tokens").alias("input_tokens"),
+                                          F.sum("output_tokens").alias("output_tokens"),
+                                          F.sum("cost").cast("double").alias("cost"))
+
+
+@query("A22_running_totals", with_views("usage_events") + f"""
+SELECT conv_id, turn, kind, CAST({_cost_sql()} AS DOUBLE) AS cost,
+  CAST(SUM({_cost_sql()}) OVER (PARTITION BY kind ORDER BY conv_id, turn
+       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS running_cost
+FROM usage_events""")
+def a22_running(b: Bridge) -> DataFrame:
+    u = b.usage_events.select("conv_id", "turn", "kind", usage_cost(b.usage_events).alias("cost"))
+    r = running_total(u, ["kind"], ["conv_id", "turn"], "cost", "running_cost")
+    return r.select("conv_id", "turn", "kind", F.col("cost").cast("double").alias("cost"),
+                    F.col("running_cost").cast("double").alias("running_cost"))
