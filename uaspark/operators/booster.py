@@ -1,12 +1,212 @@
-"""Training-set preparation and the quantile booster."""
+"""Training-set preparation and the quantile booster.
+
+Spark ML's gradient-boosted trees have squared and absolute loss only, so the
+p10 / p90 models are boosted here on the pinball loss with Spark ML trees:
+
+* F0 = exact alpha-percentile of the label;
+* every round fits a ``DecisionTreeRegressor`` (with ``leafCol``) on the
+  negative pinball gradient (alpha where y > F, alpha - 1 elsewhere);
+* each leaf's step is the exact alpha-percentile of the residual y - F of the
+  rows in that leaf (``exact_percentiles`` grouped by leaf: no leaf is
+  gathered into one task);
+* F += learning_rate * step via a join with the leaf table (at most
+  2**max_depth rows, so its broadcast is bounded);
+* lineage is cut with a reliable checkpoint every ``checkpoint_every`` rounds.
+
+Scoring applies each tree, maps its leaf id through a literal map and sums:
+a pure projection, no join.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections.abc import Sequence
+from dataclasses import dataclass, field
+
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+from .clean import numeric_columns
+from .quantiles import exact_percentiles
+
+FAMILY_PATTERNS = [r"^roas_d(\d+)", r"^retention(?:_rate)?_d(\d+)", r"^level_(\d+)_events$", r"^d(\d+)_retention"]
+
 
 def nonnull_target(df: DataFrame, target: str) -> DataFrame:
-    """rows with a non-null target (raises when none is left is the caller's job:
-    checking emptiness is an action, done once by ``prepare_training``)."""
+    """rows with a non-null target."""
     return df.where(F.col(target).isNotNull())
+
+
+def leakage_safe_columns(columns: Sequence[str], target_day: int, strict: bool = True) -> list[str]:
+    """drop ROAS / retention / level columns whose day is >= the target day
+    (``strict`` = the G1 rule; ``strict=False`` = ROAS only, the G2 rule)."""
+    pats = FAMILY_PATTERNS if strict else FAMILY_PATTERNS[:1]
+    keep = []
+    for c in columns:
+        leak = False
+        for p in pats:
+            m = re.match(p, c)
+            if m and int(m.group(1)) >= target_day:
+                leak = True
+        if not leak:
+            keep.append(c)
+    return keep
+
+
+def prepare_training(df: DataFrame, target: str, target_day: int, exclude: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
+    """M8 = F2 + F4 + P16 + P12: non-null target, leakage guard, numeric
+    features only, nulls filled with 0.  Returns (frame, feature names)."""
+    d = nonnull_target(df, target)
+    ex = set(exclude) | {target}
+    feats = [c for c in leakage_safe_columns(numeric_columns(d), target_day) if c not in ex]
+    out = d.select(*[F.col(c) for c in df.columns if c in ex or c in feats])
+    return out.na.fill(0, subset=feats), feats
+
+
+def split_column(key: Column, holdout_bucket: int = 0) -> Column:
+    """T5: deterministic 80/20 split, engine-independent: md5(key) mod 5."""
+    b = F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long") % 5
+    return F.when(b == holdout_bucket, F.lit("test")).otherwise(F.lit("train"))
+
+
+@dataclass
+class QuantileBoosterModel:
+    alpha: float
+    f0: float
+    learning_rate: float
+    features: list[str]
+    trees: list[DecisionTreeRegressionModel] = field(default_factory=list)
+    leaf_values: list[dict[float, float]] = field(default_factory=list)
+
+    def _assembled(self, df: DataFrame) -> DataFrame:
+        return VectorAssembler(inputCols=self.features, outputCol="_features",
+                               handleInvalid="keep").transform(df)
+
+    def transform(self, df: DataFrame, output: str = "prediction") -> DataFrame:
+        """M2: F0 + lr * sum of mapped leaf steps, as projections only."""
+        cur = self._assembled(df)
+        pred = F.lit(self.f0)
+        leaf_cols = []
+        for i, (tree, lv) in enumerate(zip(self.trees, self.leaf_values)):
+            name = f"_leaf{i}"
+            t = tree.copy()
+            t.setFeaturesCol("_features").setLeafCol(name).setPredictionCol(f"_tp{i}")
+            cur = t.transform(cur).drop(f"_tp{i}")
+            m = F.create_map(*[x for k, v in sorted(lv.items()) for x in (F.lit(float(k)), F.lit(float(v)))])
+            pred = pred + F.lit(self.learning_rate) * F.coalesce(m[F.col(name)], F.lit(0.0))
+            leaf_cols.append(name)
+        return cur.select(*df.columns, pred.alias(output))
+
+    def feature_importances(self) -> dict[str, float]:
+        """M7: sum of per-tree importances, normalised to 1."""
+        tot = [0.0] * len(self.features)
+        for t in self.trees:
+            for j, v in enumerate(t.featureImportances.toArray()):
+                tot[j] += float(v)
+        s = sum(tot)
+        return {f: (v / s if s else 0.0) for f, v in zip(self.features, tot)}
+
+
+class QuantileBooster:
+    """M1: pinball-loss boosting of Spark ML regression trees."""
+
+    def __init__(self, alpha: float, n_rounds: int = 20, learning_rate: float = 0.1, max_depth: int = 4,
+                 min_instances: int = 20, max_bins: int = 32, seed: int = 42, checkpoint_every: int = 4):
+        self.alpha, self.n_rounds, self.lr = alpha, n_rounds, learning_rate
+        self.max_depth, self.min_instances, self.max_bins = max_depth, min_instances, max_bins
+        self.seed, self.checkpoint_every = seed, checkpoint_every
+
+    def fit(self, df: DataFrame, features: Sequence[str], label: str) -> QuantileBoosterModel:
+        feats = list(features)
+        a = self.alpha
+        base = df.select(*feats, F.col(label).cast("double").alias("_y")).where(F.col("_y").isNotNull())
+        f0_row = exact_percentiles(base, [], "_y", [a], ["f0"]).first()
+        f0 = float(f0_row["f0"]) if f0_row and f0_row["f0"] is not None else 0.0
+        model = QuantileBoosterModel(a, f0, self.lr, feats)
+        cur = VectorAssembler(inputCols=feats, outputCol="_features", handleInvalid="keep").transform(base) \
+            .select("_features", "_y", F.lit(f0).alias("_f"))
+        cur = cut_lineage(cur)
+        for r in range(self.n_rounds):
+            grad = F.when(F.col("_y") > F.col("_f"), F.lit(a)).otherwise(F.lit(a - 1.0))
+            train = cur.select("_features", "_y", "_f", grad.alias("_g"))
+            tree = DecisionTreeRegressor(featuresCol="_features", labelCol="_g", leafCol="_leaf",
+                                         maxDepth=self.max_depth, minInstancesPerNode=self.min_instances,
+                                         maxBins=self.max_bins, seed=self.seed + r).fit(train)
+            leafed = tree.transform(train).select("_features", "_y", "_f", "_leaf")
+            steps = exact_percentiles(leafed.select("_leaf", (F.col("_y") - F.col("_f")).alias("_res")),
+                                      ["_leaf"], "_res", [a], ["_step"])
+            lv = {float(row["_leaf"]): float(row["_step"] or 0.0) for row in steps.collect()}  # <= 2**depth rows
+            model.trees.append(tree)
+            model.leaf_values.append(lv)
+            m = F.create_map(*[x for k, v in sorted(lv.items()) for x in (F.lit(k), F.lit(v))])
+            cur = leafed.select("_features", "_y",
+                                (F.col("_f") + F.lit(self.lr) * F.coalesce(m[F.col("_leaf")], F.lit(0.0))).alias("_f"))
+            if (r + 1) % self.checkpoint_every == 0:
+                cur = cut_lineage(cur)
+        return model
+
+
+def pinball_loss(df: DataFrame, label: str, pred: str, alpha: float) -> DataFrame:
+    d = F.col(label) - F.col(pred)
+    return df.agg(F.avg(F.greatest(F.lit(alpha) * d, F.lit(alpha - 1.0) * d)).alias("pinball"))
+
+
+def fit_quantile_triple(train: DataFrame, features: Sequence[str], label: str, **kw) -> dict[str, QuantileBoosterModel]:
+    """M1 for alpha .1 / .5 / .9."""
+    return {name: QuantileBooster(alpha, **kw).fit(train, features, label)
+            for name, alpha in (("p10", 0.1), ("p50", 0.5), ("p90", 0.9))}
+
+
+def predict_quantiles(models: dict[str, QuantileBoosterModel], df: DataFrame, sort_quantiles: bool = False) -> DataFrame:
+    """M2: p10 / p50 / p90, point = p50, width = p90 - p10.  ``sort_quantiles``
+    (off by default, an addition) enforces p10 <= p50 <= p90."""
+    out = df
+    for name, m in models.items():
+        out = m.transform(out, name)
+    if sort_quantiles:
+        arr = F.array_sort(F.array("p10", "p50", "p90"))
+        out = out.select(*[c for c in out.columns if c not in ("p10", "p50", "p90")],
+                         arr[0].alias("p10"), arr[1].alias("p50"), arr[2].alias("p90"))
+    return out.select("*", (F.col("p90") - F.col("p10")).alias("width"))
+
+
+def multi_horizon(per_horizon: dict[int, DataFrame], keys: Sequence[str]) -> DataFrame:
+    """M3: one row per (row, target day); a missing quantile falls back to p50."""
+    out = None
+    for day, pred in per_horizon.items():
+        p50 = F.col("p50")
+        d = pred.select(*keys, F.lit(day).alias("target_day"),
+                        F.coalesce(F.col("p10"), p50).alias("p10"), p50.alias("p50"),
+                        F.coalesce(F.col("p90"), p50).alias("p90"))
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+def cross_validate_median(df: DataFrame, features: Sequence[str], label: str, key: str, folds: int = 5,
+                          **kw) -> DataFrame:
+    """M5: k folds by md5(key) mod k; fit the median model on k-1 folds,
+    MAPE / RMSE on the held-out fold."""
+    fold = (F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long") % folds)
+    d = df.select("*", fold.alias("_fold"))
+    rows = []
+    for k in range(folds):
+        m = QuantileBooster(0.5, **kw).fit(d.where(F.col("_fold") != k), features, label)
+        scored = m.transform(d.where(F.col("_fold") == k), "_pred")
+        err = F.col(label) - F.col("_pred")
+        rows.append(scored.where(F.col(label) != 0).agg(
+            F.lit(k).alias("fold"), F.avg(F.abs(err) / F.abs(F.col(label))).alias("mape"),
+            F.sqrt(F.avg(err * err)).alias("rmse")))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def importance_frame(spark, importances: dict[str, float], top: int | None = None) -> DataFrame:
+    """Importance ranking as a small DataFrame (top ``n`` when given)."""
+    df = spark.createDataFrame(sorted(importances.items()), "feature string, importance double")
+    df = df.orderBy(F.desc("importance"), "feature")
+    return df.limit(top) if top else df

@@ -1 +1,75 @@
-"""Queries (filled in below)."""
+"""Forecast queries: segment baseline (M4), split (T5), training set (M8) and the
+pinball booster (M1-M3, M5, M7, T2; rows-only - iterative, no SQL form)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import booster as BO
+from .bridge import COHORT_DAYS, TARGET_DAYS, Bridge
+from .bridge_sql import split_bucket_sql, with_views
+from .catalog import query, r6
+
+BOOST_FEATURES = ["installs", "cost", "ad_revenue"]
+# Small booster settings for the registered queries (each round is two jobs).
+BOOST_KW = {"n_rounds": 3, "max_depth": 3, "min_instances": 10, "learning_rate": 0.5, "checkpoint_every": 2}
+
+
+@query("M4_segment_quantiles", with_views("predictions") + """
+SELECT DISTINCT platform, channel, target_day, round(p10, 6) AS p10, round(p50, 6) AS p50, round(p90, 6) AS p90
+FROM predictions""")
+def m4(b: Bridge) -> DataFrame:
+    p = b.predictions
+    return p.select("platform", "channel", "target_day", r6("p10").alias("p10"), r6("p50").alias("p50"),
+                    r6("p90").alias("p90")).distinct()
+
+
+@query("T5_train_test_split", with_views("campaign") + f"""
+SELECT row_id, CASE WHEN {split_bucket_sql('row_id')} = 0 THEN 'test' ELSE 'train' END AS split FROM campaign""")
+def t5(b: Bridge) -> DataFrame:
+    c = b.campaign
+    return c.select("row_id", BO.split_column(F.col("row_id")).alias("split"))
+
+
+_M8_KEEP = ["installs", "cost"] + [f"retention_rate_d{d}" for d in COHORT_DAYS if d < 7] + \
+           [f"roas_d{d}" for d in COHORT_DAYS if d < 7]
+
+
+@query("M8_training_set", with_views("cohort_wide") + "SELECT campaign_key, round(roas_d21, 6) AS roas_d21, " +
+       ", ".join(f"round(coalesce(CAST({c} AS DOUBLE), 0), 6) AS {c}" for c in _M8_KEEP) +
+       " FROM cohort_wide WHERE roas_d21 IS NOT NULL")
+def m8(b: Bridge) -> DataFrame:
+    d, feats = BO.prepare_training(b.cohort_wide, "roas_d21", 7, exclude=["campaign_key"])
+    return d.select("campaign_key", r6("roas_d21").alias("roas_d21"),
+                    *[r6(F.col(c).cast("double")).alias(c) for c in feats])
+
+
+def _train(b: Bridge, day: int) -> tuple[DataFrame, DataFrame]:
+    a = b.actuals.where(F.col("target_day") == day).join(
+        b.campaign.select("row_id", "ad_revenue"), "row_id")
+    return a.where(F.col("split_bucket") != 0), a
+
+
+@query("M1_M3_quantile_booster")
+def m1(b: Bridge) -> DataFrame:
+    per = {}
+    for day in TARGET_DAYS:
+        train, full = _train(b, day)
+        models = BO.fit_quantile_triple(train, BOOST_FEATURES, "actual", **BOOST_KW)
+        per[day] = BO.predict_quantiles(models, full.select("row_id", *BOOST_FEATURES))
+    return BO.multi_horizon(per, ["row_id"])
+
+
+@query("M5_cross_validation")
+def m5(b: Bridge) -> DataFrame:
+    _, full = _train(b, 30)
+    return BO.cross_validate_median(full, BOOST_FEATURES, "actual", "row_id", folds=5,
+                                    **{**BOOST_KW, "n_rounds": 2})
+
+
+@query("M7_T2_feature_importance")
+def m7(b: Bridge) -> DataFrame:
+    train, _ = _train(b, 30)
+    model = BO.QuantileBooster(0.5, **BOOST_KW).fit(train, BOOST_FEATURES, "actual")
+    return BO.importance_frame(b.spark, model.feature_importances(), top=10)
