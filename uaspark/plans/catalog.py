@@ -52,4 +52,4 @@ def money_sum_sql(e: str) -> str:
 def load_all() -> None:
     """Import every query module so that its decorators run."""
     from . import (q_clean, q_curves, q_features, q_forecast, q_metrics,  # noqa: F401
-                   q_profile, q_registry, q_text)
+                   q_profile, q_registry, q_stream, q_text)
