@@ -64,12 +64,12 @@ def read_campaign_folder(spark: SparkSession, root: str, kinds: Sequence[str] |
 
 
 def _tag(df: DataFrame, root: str, kinds: Sequence[str] | None) -> DataFrame:
-    path = F.col("_metadata.file_path")
-    name = F.col("_metadata.file_name")
-    rel = F.regexp_replace(path, "^.*?" + _escape(root.rstrip("/")) + "/", "")
-    parts = F.split(rel, "/")
-    out = df.select("*", F.element_at(parts, 1).alias("platform"),
-                    F.when(F.size(parts) >= 3, F.element_at(parts, 2)).alias("subdirectory"),
+    """Layout ``root/<network>/<channel>/<file>``: the two folders above the
+    file name the network and channel (URL-decoded: the metadata path is a URI)."""
+    parts = F.split(F.col("_metadata.file_path"), "/")
+    name = F.url_decode(F.element_at(parts, -1))
+    out = df.select("*", F.url_decode(F.element_at(parts, -3)).alias("platform"),
+                    F.url_decode(F.element_at(parts, -2)).alias("subdirectory"),
                     classify_data_type(name).alias("data_type"), name.alias("source_file"))
     out = out.where(is_data_file(F.col("source_file")))
     if kinds:
@@ -77,11 +77,6 @@ def _tag(df: DataFrame, root: str, kinds: Sequence[str] | None) -> DataFrame:
     return out
 
 
-def _escape(s: str) -> str:
-    import re
-    return re.escape(s)
-
-
 def read_kind(spark: SparkSession, root: str, kind: str) -> DataFrame:
     """S1 per kind: the files of one kind share a header family, so each
     kind is its own scan (a path glob per kind keeps other files unread)."""
