@@ -26,14 +26,16 @@ def parse_currency(c: str | Column) -> Column:
     s = F.trim(raw.cast("string"))
     cleaned = F.regexp_replace(s, r"[^0-9.,\-]", "")
     negative = F.instr(cleaned, "-") > 0
-    unsigned = F.regexp_replace(cleaned, "-", "")
-    has_comma = F.instr(unsigned, ",") > 0
+    # character-level steps use translate (no regex engine per row)
+    unsigned = F.translate(cleaned, "-", "")
+    comma_at = F.instr(unsigned, ",")
+    has_comma = comma_at > 0
     has_dot = F.instr(unsigned, ".") > 0
-    parts = F.split(unsigned, ",")
-    decimal_comma = (F.size(parts) == 2) & (F.length(F.element_at(parts, 2)) <= 2)
-    normalised = (F.when(has_comma & has_dot, F.regexp_replace(unsigned, ",", ""))
-                   .when(has_comma & decimal_comma, F.regexp_replace(unsigned, ",", "."))
-                   .when(has_comma, F.regexp_replace(unsigned, ",", ""))
+    n_commas = F.length(unsigned) - F.length(F.translate(unsigned, ",", ""))
+    decimal_comma = (n_commas == 1) & (F.length(unsigned) - comma_at <= 2)
+    normalised = (F.when(has_comma & has_dot, F.translate(unsigned, ",", ""))
+                   .when(has_comma & decimal_comma, F.translate(unsigned, ",", "."))
+                   .when(has_comma, F.translate(unsigned, ",", ""))
                    .otherwise(unsigned))
     value = F.coalesce(normalised.try_cast("double"), F.lit(0.0))
     signed = F.when(negative, -value).otherwise(value)
