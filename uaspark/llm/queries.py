@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, sharding
+from . import ann, bpe, exact_dedup, langid, pii, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -35,6 +35,27 @@ def op1(spark, sf_dir):
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+@register("op2_bpe")
+def op2(spark, sf_dir):
+    import public_tokenizers  # describes where the vocabularies lie on this machine
+
+    vocabulary = bpe.Vocabulary.from_file(spark, public_tokenizers.path("byte_bpe_50k.json"))
+    return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+
+
+@register("op3_pii")
+def op3(spark, sf_dir):
+    return pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@register("op5_language_id")
+def op5(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.filter(langid.fold() != 2))
+    held_out = F.coalesce(langid.fold() == 2, F.lit(False)).alias("held_out")
+    return langid.predict(docs.select("doc_id", "text", held_out), model, keep_text=False)
+
+
 @register("op8_exact_dedup", """
 SELECT doc_id, MAX(doc_id) OVER w AS keep_id, COUNT(*) OVER w AS group_size,
        doc_id IS NOT DISTINCT FROM MAX(doc_id) OVER w AS kept,
