@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, langid, ngram_join, pii, sharding
+from . import ann, bpe, exact_dedup, langid, lm_score, mixing, ngram_join, pii, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -73,6 +73,13 @@ def op6(spark, sf_dir):
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@register("op7_mixing")
+def op7(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = mixing.mix(docs)
+    return mixed.select("doc_id", "source", mixing.token_count(F.col("text")).alias("tokens"), "epoch", "block", "slot")
+
+
 @register("op8_exact_dedup", """
 SELECT doc_id, MAX(doc_id) OVER w AS keep_id, COUNT(*) OVER w AS group_size,
        doc_id IS NOT DISTINCT FROM MAX(doc_id) OVER w AS kept,
@@ -84,6 +91,31 @@ def op8(spark, sf_dir):
                         F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+@register("op9_lm_score", r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS p FROM (
+  SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM t)),
+u AS (SELECT w, COUNT(*) AS c FROM w GROUP BY w),
+ud AS (SELECT doc_id, w, COUNT(*) AS c FROM w GROUP BY doc_id, w),
+b AS (SELECT p, w, COUNT(*) AS c FROM w WHERE p IS NOT NULL GROUP BY p, w),
+bd AS (SELECT doc_id, p, w, COUNT(*) AS c FROM w WHERE p IS NOT NULL GROUP BY doc_id, p, w),
+s AS (SELECT w.doc_id, CASE
+    WHEN b.c - bd.c > 0 THEN ln(b.c - bd.c) - ln(up.c - udp.c)
+    WHEN u.c - ud.c > 0 THEN ln(0.4) + ln(u.c - ud.c) - ln(greatest(n.c - len(t.ws), 1))
+    ELSE 2 * ln(0.4) - ln(greatest(n.c - len(t.ws), 1)) END AS s
+  FROM w JOIN t USING (doc_id) JOIN u ON u.w = w.w JOIN ud ON ud.doc_id = w.doc_id AND ud.w = w.w
+  LEFT JOIN b ON b.p = w.p AND b.w = w.w LEFT JOIN bd ON bd.doc_id = w.doc_id AND bd.p = w.p AND bd.w = w.w
+  LEFT JOIN u up ON up.w = w.p LEFT JOIN ud udp ON udp.doc_id = w.doc_id AND udp.w = w.p
+  CROSS JOIN (SELECT SUM(len(ws)) AS c FROM t) n)
+SELECT t.doc_id, CAST(len(t.ws) AS BIGINT) AS n_tokens, ROUND(COALESCE(x.s, 0), 6) AS log_score,
+       ROUND(x.s / len(t.ws), 6) AS mean_log_score
+FROM t LEFT JOIN (SELECT doc_id, SUM(s) AS s FROM s GROUP BY doc_id) x USING (doc_id)""")
+def op9(spark, sf_dir):
+    found = lm_score.score_documents(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 6) for c in ("log_score", "mean_log_score")})
+
+
 @register("op10_nearest", """
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND len(embedding) > 0
