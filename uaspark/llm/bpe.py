@@ -276,7 +276,9 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(share.value)
         for batch in batches:
-            texts = pa.array([decoder.decode(ids or []) for ids in batch.column(ids_col).to_pylist()], pa.string())
+            column = batch.column(ids_col)
+            texts = pa.array([decoder.decode(column[i].values.to_pylist() if column[i].is_valid else [])
+                              for i in range(len(column))], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, text_col])
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(text_col, StringType())]))
@@ -286,12 +288,13 @@ DIGESTS = [StructField("n_tokens", LongType()), StructField("ids_sha256", String
            StructField("decoded_sha256", StringType())]
 
 
-def round_trip(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Every column of ``docs`` but the text, and the digests of its ids and of
     the text decoded from them: ``n_tokens``, ``ids_sha256`` (decimal ids joined
-    by commas) and ``decoded_sha256``."""
+    by commas) and ``decoded_sha256``; with ``keep_ids`` also ``ids`` array<int>."""
     share = docs.sparkSession.sparkContext.broadcast(vocabulary)
     rest = [f for f in docs.schema.fields if f.name != text_col]
+    ids_field = [StructField("ids", ArrayType(IntegerType()))] if keep_ids else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = Encoder(share.value), Decoder(share.value)
@@ -304,8 +307,9 @@ def round_trip(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text")
                 spelled.append(hashlib.sha256(",".join(map(decimal.__getitem__, own)).encode()).hexdigest())
                 back.append(hashlib.sha256(decoder.decode(own).encode()).hexdigest())
             columns = [batch.column(f.name) for f in rest]
+            lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))] if keep_ids else []
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(np.diff(offsets), pa.int64()), pa.array(spelled), pa.array(back)],
-                [*(f.name for f in rest), *(f.name for f in DIGESTS)])
+                [*columns, *lists, pa.array(np.diff(offsets), pa.int64()), pa.array(spelled), pa.array(back)],
+                [f.name for f in (*rest, *ids_field, *DIGESTS)])
 
-    return docs.mapInArrow(run, StructType([*rest, *DIGESTS]))
+    return docs.mapInArrow(run, StructType([*rest, *ids_field, *DIGESTS]))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, langid, lm_score, mixing, ngram_join, pii, sharding
+from . import ann, bpe, exact_dedup, langid, lm_score, mixing, ngram_join, pii, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -48,6 +48,14 @@ def op3(spark, sf_dir):
     return pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@register("op4_quality")
+def op4(spark, sf_dir):
+    trusted = (table(spark, sf_dir, "labels").groupBy("doc_id")
+               .agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+               .filter("quality = 1 AND toxic = 0").select(F.col("doc_id").alias("id")))
+    return quality.judge(table(spark, sf_dir, "documents"), trusted)
+
+
 @register("op5_language_id")
 def op5(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
