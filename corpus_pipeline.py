@@ -1,6 +1,64 @@
-STAGES = []
+"""From raw documents to token ids: language ID, exact dedup, near dedup, mixing, BPE.
+
+Every stage takes (spark, docs, sf_dir) and works on all that the stage before
+it kept.  ``run`` writes each stage as Parquet into the shared checkpoint folder
+and reads it again, so a lost executor costs one stage at most.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from uaspark.llm import bpe, exact_dedup, langid, mixing, ngram_join
+from uaspark.llm.store import stored
+
+#: Posterior below which a document's language counts as unknown.
+MIN_SCORE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a recognised language; those without a letter, without text
+    or of no clear language go."""
+    model = langid.train(docs.filter(langid.fold() != 2))
+    found = langid.predict(docs, model)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the largest doc_id."""
+    return exact_dedup.survivors(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by similar five-word shingles, the smallest doc_id."""
+    return ngram_join.survivors(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document at least once, small sources repeated to their weights, in
+    the order of the blocks."""
+    mixed = mixing.mix(docs)
+    return mixed.repartition("block").sortWithinPartitions("block", "slot").select(*docs.columns)
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of the whole texts, and digests of ids and decoded text."""
+    import public_tokenizers  # describes where the vocabularies lie on this machine
+
+    vocabulary = bpe.Vocabulary.from_file(spark, public_tokenizers.path("byte_bpe_50k.json"))
+    return bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), vocabulary, keep_ids=True)
+
+
+STAGES = [("language_id", language_id), ("exact_dedup", exact_copies), ("ngram_join", near_copies),
+          ("mixing", mix_sources), ("bpe", tokenise)]
+
+#: The tokeniser can't be said in SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
