@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from uaspark.functions import advice as ADV
+from uaspark.functions.dates import parse_date
 from uaspark.functions.money import parse_currency, parse_currency_or_percent
 from uaspark.functions.naming import artifact_path, canonical_name, is_valid_name, model_name
 from uaspark.operators import booster as BO
@@ -190,6 +191,76 @@ def test_campaign_folder_scan(spark, tmp_dir):
     assert got == [("Unity Ads", "Android", "adspend_revenue"), ("Unity Ads", "iOS", "retention")]
 
 
+def test_folder_with_several_kinds_and_headers(spark, tmp_dir):
+    """Kinds and header families differ; values must land under their own headers."""
+    root = os.path.join(tmp_dir, "Campaign Data")
+    _write(os.path.join(root, "Unity Ads", "Android", "Adspend and Revenue data.csv"),
+           "country,day,installs,cost,ad_revenue,revenue\nUS,2025-01-09 00:00:00,10,$5.00,1.0,2.0\n")
+    _write(os.path.join(root, "Mistplay", "Android", "Adspend & Revenue.csv"),
+           "channel,day,installs, cost ,cost\nandroid,1/5/2024,3,$7.50,$-\n")
+    _write(os.path.join(root, "Unity Ads", "iOS", "retention+ v2 .csv"), "country,installs,Retention_Rate_D1\nFR,10,31%\n")
+    _write(os.path.join(root, "Mistplay", "Android", "ROAS data.csv"), "channel,installs,ROAS_D7\nandroid,4,0.25\n")
+    _write(os.path.join(root, "Mistplay", "Android", "Level progression.csv"), "installs,level 10_events\n")
+    every = SRC.read_campaign_folder(spark, root)
+    assert every.count() == 4
+    spend = {r["platform"]: r for r in SRC.read_kind(spark, root, "adspend_revenue").collect()}
+    assert spend["Unity Ads"]["cost"] == "$5.00" and spend["Unity Ads"]["country"] == "US"
+    assert spend["Mistplay"][" cost "] == "$7.50" and spend["Mistplay"]["cost"] == "$-"
+    assert spend["Mistplay"]["channel"] == "android"
+    kept = C.normalize_ingest(SRC.read_kind(spark, root, "retention")).first()
+    assert kept["retention_d1"] == 0.31 and kept["installs"] == 10.0 and kept["country"] == "FR"
+    assert C.normalize_ingest(SRC.read_kind(spark, root, "roas")).first()["roas_d7"] == 0.25
+    days = {r["platform"]: r["date"] for r in C.normalize_ingest(SRC.read_kind(spark, root, "adspend_revenue")).collect()}
+    assert days == {"Unity Ads": dt.date(2025, 1, 9), "Mistplay": dt.date(2024, 1, 5)}
+    fin = C.hydrate_financials(SRC.read_kind(spark, root, "adspend_revenue").where("platform = 'Mistplay'")).first()
+    assert fin["cost"] == 7.5 and fin["cost_raw"] == "$7.50"
+    assert SRC.read_campaign_folder(spark, root, ["level_progression"]).count() == 0
+
+
+def test_header_line_rules():
+    assert SRC.header_names('\ufeffa,"b, c",A,a') == ["a", "b, c", "A__2", "a__3"]
+
+
+def test_file_choice_by_name(spark):
+    files = spark.createDataFrame([("Data.csv",), ("data.xlsx",), ("other.csv",)], "source_file string")
+    pick = lambda name: sorted(r[0] for r in SRC.best_name_match(files, name).collect())
+    assert pick("Data.csv") == ["Data.csv"] and pick("data.csv") == ["data.xlsx"]
+    assert pick("OTHER.txt") == ["other.csv"] and pick("none") == []
+
+
+def test_headers_that_differ_in_case(spark):
+    df = spark.createDataFrame([("0", "$1,000", "9"), ("0", "$2,000", "9")], "a string, b string, c string").toDF("cost", "Cost", " x ")
+    assert C.normalize_headers(df).columns == ["cost", "x"] and C.normalize_headers(df).first()["cost"] == "0"
+    assert C.sanitize_headers(df).columns == ["cost", "cost_2", "x"]
+    assert sorted(r["cost"] for r in C.hydrate_financials(df).collect()) == [1000.0, 2000.0]
+    assert C.sanitized_names(["a", "a", "a_2"]) == ["a", "a_2", "a_2_2"]
+
+
+def test_dates_and_numbers_by_type(spark):
+    one = spark.createDataFrame([(dt.datetime(2024, 1, 5, 10), dt.date(2024, 1, 6), 2.5e7, 12345678.9, 1e-4)],
+                                "ts timestamp, d date, big double, odd double, small double")
+    r = one.select(parse_date(F.col("ts")).alias("ts"), parse_date(F.col("d")).alias("d"),
+                   *[parse_currency(c).alias(c) for c in ("big", "odd", "small")]).first()
+    assert tuple(r) == (dt.date(2024, 1, 5), dt.date(2024, 1, 6), 2.5e7, 12345678.9, 1e-4)
+    texts = ["2024-01-05 00:00:00", "2024-01-05T10:00:00", "2024-1-5T10:00:00.123Z", "1/5/2024", " 01/05/2024 ",
+             "2024-02-30", "2024-01-05 x", "", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(parse_date(F.col("t"))).collect()]
+    assert got == [dt.date(2024, 1, 5)] * 5 + [None] * 4
+    raw = spark.createDataFrame([("2025-01-09 00:00:00", 2.5e7, "31%")], "date string, cost double, retention_rate_d1 string")
+    n = C.normalize_ingest(raw).first()
+    assert (n["date"], n["cost"], n["retention_d1"]) == (dt.date(2025, 1, 9), 2.5e7, 0.31)
+    blank = C.normalize_ingest(raw.select(F.lit(None).cast("string").alias("cost")), fill_zero=False).first()
+    assert blank["cost"] is None
+
+
+def test_hierarchy_aliases_and_first_countries(spark):
+    rows = [(1, None, "App1", "ZA"), (2, None, None, "US"), (3, None, None, "ZA"), (4, None, None, "BR"), (5, None, None, "CA"),
+            (6, None, None, "DE"), (7, None, None, "AT")]
+    df = spark.createDataFrame(rows, "o int, game string, app string, geo string").withColumn("country", F.lit(None).cast("string"))
+    r = C.detect_hierarchy(df.withColumn("k", F.lit(1)), ["k"], "o").first()
+    assert r["game"] == "App1" and r["countries"] == ["ZA", "US", "BR", "CA", "DE"]
+
+
 def test_csv_loader_and_empty_file(spark, tmp_dir):
     p = os.path.join(tmp_dir, "raw.csv")
     _write(p, "cost,revenue,date\n10,20,2024-01-01\n")

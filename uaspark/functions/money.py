@@ -19,28 +19,37 @@ def _c(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# A plain number with an exponent, as Spark prints doubles from 1e7 on and below 1e-3.
+_EXPONENT = r"^[+-]?(\d+\.?\d*|\.\d+)[eE][+-]?\d+$"
+
+
+def _bind(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` computed once, however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def parse_currency(c: str | Column) -> Column:
     """P10: ``$1,234.56`` -> 1234.56, ``12,50`` -> 12.5, ``1,234`` -> 1234,
-    ``-`` anywhere -> negative, blanks and failures -> 0.0."""
+    ``-`` anywhere -> negative, blanks and failures -> 0.0.  Numbers, also in
+    exponent form, are taken as they are."""
     raw = _c(c)
-    s = F.trim(raw.cast("string"))
-    cleaned = F.regexp_replace(s, r"[^0-9.,\-]", "")
-    negative = F.instr(cleaned, "-") > 0
-    # character-level steps use translate (no regex engine per row)
-    unsigned = F.translate(cleaned, "-", "")
-    comma_at = F.instr(unsigned, ",")
-    has_comma = comma_at > 0
-    has_dot = F.instr(unsigned, ".") > 0
-    n_commas = F.length(unsigned) - F.length(F.translate(unsigned, ",", ""))
-    decimal_comma = (n_commas == 1) & (F.length(unsigned) - comma_at <= 2)
-    normalised = (F.when(has_comma & has_dot, F.translate(unsigned, ",", ""))
-                   .when(has_comma & decimal_comma, F.translate(unsigned, ",", "."))
-                   .when(has_comma, F.translate(unsigned, ",", ""))
-                   .otherwise(unsigned))
-    value = F.coalesce(normalised.try_cast("double"), F.lit(0.0))
-    signed = F.when(negative, -value).otherwise(value)
-    return (F.when(raw.isNull() | s.isin(*P10_ZERO_TOKENS), F.lit(0.0))
-             .otherwise(signed))
+
+    def amount(cleaned: Column) -> Column:
+        unsigned = F.translate(cleaned, "-", "")
+        comma = F.instr(unsigned, ",")
+        whole = F.translate(unsigned, ",", "")
+        decimal_comma = ((comma > 0) & (F.instr(unsigned, ".") == 0) & (F.length(unsigned) - F.length(whole) == 1)
+                         & (F.length(unsigned) - comma <= 2))
+        digits = F.when(decimal_comma, F.translate(unsigned, ",", ".")).otherwise(whole)
+        sign = F.when(F.instr(cleaned, "-") > 0, -1.0).otherwise(1.0)
+        return F.coalesce(digits.try_cast("double"), F.lit(0.0)) * sign
+
+    def parse(s: Column) -> Column:
+        return (F.when(s.isNull() | s.isin(*P10_ZERO_TOKENS), F.lit(0.0))
+                 .when(s.rlike(_EXPONENT), F.coalesce(s.try_cast("double"), F.lit(0.0)))
+                 .otherwise(_bind(F.regexp_replace(s, r"[^0-9.,\-]", ""), amount)))
+
+    return _bind(F.trim(raw.cast("string")), parse)
 
 
 def parse_currency_or_percent(c: str | Column) -> Column:
@@ -78,6 +87,7 @@ def parse_currency_sql(e: str) -> str:
     v = f"coalesce(TRY_CAST({norm} AS DOUBLE), 0.0)"
     zeros = ", ".join(_sq(t) for t in P10_ZERO_TOKENS)
     return (f"(CASE WHEN {e} IS NULL OR {s} IN ({zeros}) THEN 0.0 "
+            f"WHEN regexp_matches({s}, '{_EXPONENT}') THEN coalesce(TRY_CAST({s} AS DOUBLE), 0.0) "
             f"WHEN contains({cl}, '-') THEN -{v} ELSE {v} END)")
 
 

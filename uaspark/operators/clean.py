@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,111 +52,99 @@ def _col(name: str) -> Column:
 
 # ---- P1 / P2 ------------------------------------------------------------
 
+def _by_position(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with columns named by position, which no two headers share, and
+    those names: headers that differ only in case can't be told apart by name."""
+    names = [f"_p{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), names
+
+
 def normalize_headers(df: DataFrame) -> DataFrame:
     """Strip + lower header names; the first of duplicates wins."""
-    seen, cols = set(), []
-    for c in df.columns:
-        n = c.strip().lower()
-        if n in seen:
-            continue
-        seen.add(n)
-        cols.append(_col(c).alias(n))
-    return df.select(*cols)
+    at, names = _by_position(df)
+    first = {c.strip().lower(): n for c, n in reversed(list(zip(df.columns, names)))}
+    return at.select(*[F.col(n).alias(c) for c, n in sorted(first.items(), key=lambda x: names.index(x[1]))])
 
 
-def sanitize_name(name: str) -> str:
-    s = re.sub(r"[^0-9a-zA-Z_]+", "_", str(name).strip())
-    return re.sub(r"_+", "_", s).strip("_").lower()
+def _numbered(names: Sequence[str]) -> list[str]:
+    """The k-th of equal names gets ``_k``, from the second on."""
+    return [n if k == 0 else f"{n}_{k + 1}" for n, k in
+            ((n, names[:i].count(n)) for i, n in enumerate(names))]
 
 
 def sanitized_names(columns: Sequence[str]) -> list[str]:
-    used: set[str] = set()
-    out = []
-    for i, c in enumerate(columns):
-        cand = sanitize_name(c) or f"unnamed_{i}"
-        base, k = cand, 2
-        while cand in used:
-            cand = f"{base}_{k}"
-            k += 1
-        used.add(cand)
-        out.append(cand)
-    return out
+    """Letters and digits stay, what lies between becomes one ``_``, lower case;
+    blanks are ``unnamed_<position>``; equal names are numbered until none is left."""
+    names = [re.sub("[^0-9a-z]+", "_", c.lower()).strip("_") or f"unnamed_{i}" for i, c in enumerate(columns)]
+    while len(set(names)) < len(names):
+        names = _numbered(names)
+    return names
 
 
 def sanitize_headers(df: DataFrame) -> DataFrame:
     """Non ``[0-9a-zA-Z_]`` -> ``_``, squeeze, strip, lower; blanks ->
     ``unnamed_i``; collisions get ``_2``, ``_3``."""
-    return df.select(*[_col(c).alias(n) for c, n in zip(df.columns, sanitized_names(df.columns))])
+    return df.toDF(*sanitized_names(df.columns))
 
 
 # ---- P3 / P4 / P5 ---------------------------------------------------------
 
-_ROAS_RE = re.compile(r"^roas[_\s]*d\s*(\d+)$", re.I)
-_RET_RE = re.compile(r"^retention(?:_rate)?[_\s]*d\s*(\d+)$", re.I)
+SYNONYM_OF = {word: target for target, words in SYNONYMS.items() for word in words if word != target}
+# Metric headers (P4), pattern and name.
+HEADER_RULES = [(r"roas[_\s]*d\s*(\d+)", r"roas_d\1"),
+                (r"retention(?:_rate)?[_\s]*d\s*(\d+)", r"retention_d\1"),
+                (r"ad_?spend", "cost")]
+
+
+def canonical_header(name: str, present: Iterable[str]) -> str:
+    """P3, then P4: a synonym takes its target's name unless the target is there;
+    a metric header takes the name of the first rule that it fits."""
+    target = SYNONYM_OF.get(name)
+    if target and target not in present:
+        return target
+    text = name.strip().lower()
+    return next((re.sub(rule, new, text) for rule, new in HEADER_RULES if re.fullmatch(rule, text)), name)
 
 
 def synonym_targets(columns: Sequence[str]) -> dict[str, str]:
-    """P3 + P4 rename plan.  A synonym is renamed only when its target is
-    absent; when several synonyms of one target are present the first in
-    header order wins and the rest are coalesced into it (no duplicates)."""
-    present = set(columns)
-    plan: dict[str, str] = {}
-    for c in columns:
-        for target, syns in SYNONYMS.items():
-            if c != target and c in syns and target not in present:
-                plan[c] = target
-                break
-    for c in columns:
-        if c in plan:
-            continue
-        lc = c.strip().lower()
-        m = _ROAS_RE.match(lc)
-        if m:
-            plan[c] = f"roas_d{m.group(1)}"
-            continue
-        m = _RET_RE.match(lc)
-        if m:
-            plan[c] = f"retention_d{m.group(1)}"
-            continue
-        if lc in ("adspend", "ad_spend"):
-            plan[c] = "cost"
-    return plan
+    """P3 + P4 rename plan: the headers that get another name."""
+    renamed = {c: canonical_header(c, set(columns)) for c in columns}
+    return {c: t for c, t in renamed.items() if c != t}
 
 
 def map_synonyms(df: DataFrame, add_missing: bool = True) -> DataFrame:
-    """Rename synonyms and metric headers; add missing required columns as 0."""
+    """Rename synonyms and metric headers; several headers of one target
+    are coalesced in header order; missing required columns are added as 0."""
     plan = synonym_targets(df.columns)
-    groups: dict[str, list[str]] = {}
-    order: list[str] = []
+    groups: dict[str, list[Column]] = {}
     for c in df.columns:
-        tgt = plan.get(c, c)
-        if tgt not in groups:
-            groups[tgt] = []
-            order.append(tgt)
-        groups[tgt].append(c)
-    cols = [(_col(srcs[0]) if len(srcs) == 1 else F.coalesce(*[_col(s) for s in srcs])).alias(t)
-            for t, srcs in groups.items()]
+        groups.setdefault(plan.get(c, c), []).append(_col(c))
+    cols = [(srcs[0] if len(srcs) == 1 else F.coalesce(*srcs)).alias(t) for t, srcs in groups.items()]
     if add_missing:
         cols += [F.lit(0).alias(r) for r in REQUIRED if r not in groups]
     return df.select(*cols)
 
 
-def normalize_ingest(df: DataFrame, date_formats: list[str] | None = None) -> DataFrame:
-    """G2 ingest normalisation in one projection: P2, P3-P5, P8 (date),
-    P9 (installs / roas / retention), P10 (cost, revenue), P12 (fill 0).
+def normalize_ingest(df: DataFrame, date_formats: list[str] | None = None, fill_zero: bool = True) -> DataFrame:
+    """G2 ingest normalisation in one projection: P2, P3-P5, P8 (date), P9
+    (installs, roas), P10 (cost, revenue), P11 (retention, so ``31%`` is 0.31);
+    then P12 fills the nulls of these numbers with 0 unless ``fill_zero`` is off.
     Dates stay null when unparsable (never 1970-01-01)."""
     df = map_synonyms(sanitize_headers(df))
-    out = []
+    out, numbers = [], []
     for c in df.columns:
         if c == "date":
             out.append(parse_date(_col(c), date_formats).alias(c))
-        elif c in ("cost", "revenue"):
-            out.append(parse_currency(_col(c)).alias(c))
-        elif c == "installs" or c.startswith("roas_d") or c.startswith("retention_d"):
-            out.append(F.coalesce(to_number(_col(c)), F.lit(0.0)).alias(c))
-        else:
+            continue
+        parse = (parse_currency if c in ("cost", "revenue") else parse_currency_or_percent if c.startswith("retention_d")
+                 else to_number if c == "installs" or c.startswith("roas_d") else None)
+        if parse is None:
             out.append(_col(c))
-    return df.select(*out)
+        else:
+            out.append(F.when(_col(c).isNotNull(), parse(_col(c))).alias(c))
+            numbers.append(c)
+    out = df.select(*out)
+    return fill_numeric_nulls(out, numbers, 0) if fill_zero else out
 
 
 # ---- P6 / P7 ------------------------------------------------------------
@@ -209,30 +198,29 @@ def fill_numeric_nulls(df: DataFrame, subset: Iterable[str] | None = None, value
 
 def hydrate_financials(df: DataFrame) -> DataFrame:
     """When ``cost`` / ``revenue`` is missing or sums to 0, take the first
-    header variant (``' cost '``, ``'Revenue '``...) as text, keep a ``_raw``
-    copy, and emit ``_num`` parsed by the second dialect (P11).  The sum check
-    is one aggregate row cross-joined back."""
-    variants = {t: [c for c in df.columns if c.strip().lower() == t] for t in ("cost", "revenue")}
-    sums = df.agg(*[F.sum(F.coalesce(to_number(F.col(t)), F.lit(0.0))).alias(f"_sum_{t}")
-                    for t in ("cost", "revenue") if t in df.columns])
-    use_sums = len(sums.columns) > 0
-    base = df.crossJoin(F.broadcast(sums)) if use_sums else df
-    sel = [_col(c) for c in df.columns if c not in ("cost", "revenue")]
-    for t in ("cost", "revenue"):
-        cands = [v for v in variants[t] if v != t] if t in df.columns else variants[t]
-        canonical = _col(t) if t in df.columns else None
-        if cands:
-            src = _col(cands[0]).cast("string")
-            if canonical is not None:
-                chosen = F.when(F.col(f"_sum_{t}") == 0, src).otherwise(canonical.cast("string"))
-                raw = F.when(F.col(f"_sum_{t}") == 0, src)
-            else:
-                chosen, raw = src, src
-            sel += [raw.alias(f"{t}_raw"), parse_currency_or_percent(chosen).alias(f"{t}_num"),
-                    parse_currency_or_percent(chosen).alias(t)]
-        elif canonical is not None:
-            sel += [parse_currency_or_percent(canonical).alias(f"{t}_num"),
-                    parse_currency_or_percent(canonical).alias(t)]
+    header variant (``' cost '``, ``'Revenue '``, ``'Cost'``...) as text, keep a
+    ``_raw`` copy, and emit ``_num`` parsed by the second dialect (P11).  The sum
+    check is one aggregate row cross-joined back."""
+    at, names = _by_position(df)
+    found = {t: [n for c, n in zip(df.columns, names) if c.strip().lower() == t] for t in ("cost", "revenue")}
+    exact = {t: next((n for c, n in zip(df.columns, names) if c == t), None) for t in found}
+    sums = [F.sum(F.coalesce(to_number(F.col(n)), F.lit(0.0))).alias(f"_sum_{t}") for t, n in exact.items() if n]
+    base = at.crossJoin(F.broadcast(at.agg(*sums))) if sums else at
+    sel = [F.col(n).alias(c) for c, n in zip(df.columns, names) if n not in exact.values()]
+    for t, n in exact.items():
+        variant = next((F.col(v).cast("string") for v in found[t] if v != n), None)
+        if n is None and variant is None:
+            continue
+        if n is None:
+            chosen = raw = variant
+        elif variant is None:
+            chosen, raw = F.col(n).cast("string"), None
+        else:
+            empty = F.col(f"_sum_{t}") == 0
+            chosen, raw = F.when(empty, variant).otherwise(F.col(n).cast("string")), F.when(empty, variant)
+        if raw is not None:
+            sel.append(raw.alias(f"{t}_raw"))
+        sel += [parse_currency_or_percent(chosen).alias(f"{t}_num"), parse_currency_or_percent(chosen).alias(t)]
     return base.select(*sel)
 
 
@@ -294,10 +282,10 @@ def first_element(c: Column) -> Column:
     return F.get(c, 0)
 
 
-def compact_payload(df: DataFrame, limit: int = 200, order_cols: Sequence[str] | None = None) -> DataFrame:
-    """P20: first ``limit`` rows as JSON objects of strings; nulls kept.  A
-    display operator: the limit is the feature, rows are ordered first."""
-    src = df.orderBy(*order_cols) if order_cols else df
+def compact_payload(df: DataFrame, order_cols: Sequence[str], limit: int = 200) -> DataFrame:
+    """P20: first ``limit`` rows in ``order_cols`` as JSON objects of strings;
+    nulls kept (a display operator: the limit is the feature)."""
+    src = df.orderBy(*order_cols)
     as_str = F.struct(*[_col(c).cast("string").alias(c) for c in df.columns])
     return src.limit(limit).select(F.to_json(as_str, {"ignoreNullFields": "false"}).alias("payload"))
 
@@ -316,10 +304,11 @@ def detect_hierarchy(df: DataFrame, group_cols: Sequence[str], order_col: str,
     """P21 per group (one group = one file): platform and channel from file-name
     keywords, then from the first non-null column value (by ``order_col``);
     a swapped pair (device in ``platform``, network in ``channel``) is
-    corrected; game = first non-null alias; countries = up to 5 distinct.
+    corrected; game = first non-null value of the first alias that has one;
+    countries = the first five distinct by ``order_col``, in that order.
 
-    Everything is one partial aggregation (``min_by`` / ``collect_set`` of at
-    most a few values per group), so a hot group is combined map-side.
+    Values are partial aggregations (``min_by``).  Countries are reduced to one
+    row per (group, country) first, so a group's list holds distinct values.
     """
     cols = set(df.columns)
     o = F.col(order_col)
@@ -327,20 +316,33 @@ def detect_hierarchy(df: DataFrame, group_cols: Sequence[str], order_col: str,
     def first_nonnull(c: str) -> Column:
         return F.min_by(F.col(c), F.when(F.col(c).isNotNull(), o))
 
+    def aliased(names: Sequence[str]) -> Column | None:
+        have = [n for n in names if n in cols]
+        return F.coalesce(*[first_nonnull(n).cast("string") for n in have]) if have else None
+
     aggs = []
     if "platform" in cols:
         aggs.append(first_nonnull("platform").cast("string").alias("_pv"))
     if "channel" in cols:
         aggs.append(first_nonnull("channel").cast("string").alias("_cv"))
-    game_c = next((g for g in GAME_ALIASES if g in cols), None)
-    if game_c:
-        aggs.append(first_nonnull(game_c).cast("string").alias("_game"))
-    ctry_c = next((g for g in COUNTRY_ALIASES if g in cols), None)
-    if ctry_c:
-        aggs.append(F.array_sort(F.collect_set(F.col(ctry_c).cast("string"))).alias("_ctry"))
+    game_c = aliased(GAME_ALIASES)
+    if game_c is not None:
+        aggs.append(game_c.alias("_game"))
     if filename_col:
         aggs.append(F.min_by(F.col(filename_col), o).alias("_fn"))
     g = df.groupBy(*group_cols).agg(*aggs)
+    ctry_c = [c for c in COUNTRY_ALIASES if c in cols]
+    if ctry_c:
+        # the first alias that has a value in the group names its countries
+        long = df.select(*group_cols, o.alias("_o"), F.posexplode(F.array(*[F.col(c).cast("string") for c in ctry_c])))
+        seen = long.where("col IS NOT NULL").groupBy(*group_cols, "pos", "col").agg(F.min("_o").alias("_o"))
+        place = F.row_number().over(Window.partitionBy(*group_cols, "pos").orderBy("_o", "col"))
+        five = seen.withColumn("_n", place).where(F.col("_n") <= MAX_COUNTRIES)
+        lists = (five.groupBy(*group_cols, "pos").agg(F.array_sort(F.collect_list(F.struct("_n", "col"))).alias("_l"))
+                 .groupBy(*group_cols).agg(F.min_by("_l", "pos").alias("_l")))
+        lists = lists.select(*[F.col(c).alias(f"_k_{c}") for c in group_cols], F.col("_l.col").alias("_ctry"))
+        same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in group_cols])
+        g = g.join(lists, same, "left").drop(*[f"_k_{c}" for c in group_cols])
     pv = F.col("_pv") if "platform" in cols else F.lit(None).cast("string")
     cv = F.col("_cv") if "channel" in cols else F.lit(None).cast("string")
     fn = F.col("_fn") if filename_col else F.lit("")
@@ -351,8 +353,7 @@ def detect_hierarchy(df: DataFrame, group_cols: Sequence[str], order_col: str,
     base_channel = channel_from_filename(fn)
     platform = F.when(swapped, plat_from_c).otherwise(F.coalesce(plat_from_p, base_platform))
     channel = F.when(swapped, chan_from_p).otherwise(F.coalesce(chan_from_c, base_channel))
-    game = F.coalesce(F.col("_game"), F.lit("Unknown Game")) if game_c else F.lit("Unknown Game")
-    countries = (F.when(F.size("_ctry") > 0, F.slice("_ctry", 1, MAX_COUNTRIES)) if ctry_c
-                 else F.lit(None).cast("array<string>"))
+    game = F.coalesce(F.col("_game"), F.lit("Unknown Game")) if game_c is not None else F.lit("Unknown Game")
+    countries = F.col("_ctry") if ctry_c else F.lit(None).cast("array<string>")
     return g.select(*group_cols, platform.alias("platform"), channel.alias("channel"),
                     game.alias("game"), countries.alias("countries"))

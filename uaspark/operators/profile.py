@@ -7,6 +7,7 @@ are combined before the shuffle); schema checks read ``df.columns`` only.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -209,13 +210,12 @@ def feature_summary(df: DataFrame) -> DataFrame:
 
 
 def schema_fingerprint(df: DataFrame, row_count: int | None = None) -> str:
-    """md5 of sorted columns, dtypes and shape.  The row count is the
-    only data-dependent part (one ``count()``)."""
-    n = df.count() if row_count is None else row_count
-    info = {"columns": sorted(df.columns),
-            "dtypes": {f.name: f.dataType.simpleString() for f in df.schema.fields},
-            "shape": (n, len(df.columns))}
-    return hashlib.md5(str(sorted(info.items())).encode()).hexdigest()
+    """MD5 of ``{"rows": n, "schema": [[name, type], ...]}`` as compact JSON,
+    columns sorted by name.  The row count is the only data-dependent part (one
+    ``count()``)."""
+    fields = sorted([f.name, f.dataType.simpleString()] for f in df.schema.fields)
+    text = json.dumps({"rows": df.count() if row_count is None else row_count, "schema": fields}, separators=(",", ":"))
+    return hashlib.md5(text.encode()).hexdigest()
 
 
 def feature_set_fingerprint(names: Sequence[str]) -> str:

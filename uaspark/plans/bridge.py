@@ -165,16 +165,20 @@ class Bridge:
                                  "l_discount", "l_shipdate"])
         ln = F.col("l_linenumber")
         price = F.col("l_extendedprice")
+        odd = F.col("l_orderkey") % 2 == 1
         money = (F.when(ln == 1, F.concat(F.lit("$"), F.format_number(price, 2)))
                   .when(ln == 2, F.regexp_replace(F.format_string("%.2f", F.col("l_quantity") + F.col("l_discount")), r"\.", ","))
                   .when(ln == 3, F.lit("$-"))
                   .when(ln == 4, F.concat(F.lit("-$"), F.format_number(price, 2)))
                   .when(ln == 5, F.format_number(F.floor(price).cast("long"), 0))
                   .when(ln == 6, F.lit(""))
+                  .when(odd, F.concat(F.floor(price).cast("long").cast("string"), F.lit("E3")))
                   .otherwise(F.lit("n/a")))
         pct = F.concat(F.round(F.col("l_discount") * 100).cast("long").cast("string"), F.lit("%"))
         m3 = ln % 3
-        date_raw = (F.when(m3 == 0, F.date_format("l_shipdate", "yyyy-MM-dd"))
+        date_raw = (F.when((m3 == 0) & odd, F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"))
+                     .when(m3 == 0, F.date_format("l_shipdate", "yyyy-MM-dd"))
+                     .when((m3 == 1) & odd, F.date_format("l_shipdate", "M/d/yyyy"))
                      .when(m3 == 1, F.date_format("l_shipdate", "MM/dd/yyyy"))
                      .otherwise(F.concat(F.date_format("l_shipdate", "yyyy"), F.lit("-13-45"))))
         installs = F.when(ln % 4 == 0, F.lit("n/a")).otherwise(

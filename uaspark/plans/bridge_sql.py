@@ -98,11 +98,12 @@ SELECT l_orderkey, l_linenumber,
     WHEN 4 THEN '-$' || format('{:,.2f}', l_extendedprice)
     WHEN 5 THEN format('{:,}', CAST(floor(l_extendedprice) AS BIGINT))
     WHEN 6 THEN ''
-    ELSE 'n/a' END AS money_raw,
+    ELSE CASE WHEN l_orderkey % 2 = 1 THEN CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR) || 'E3'
+         ELSE 'n/a' END END AS money_raw,
   CAST(CAST(round(l_discount * 100) AS BIGINT) AS VARCHAR) || '%' AS percent_raw,
   CASE l_linenumber % 3
-    WHEN 0 THEN strftime(l_shipdate, '%Y-%m-%d')
-    WHEN 1 THEN strftime(l_shipdate, '%m/%d/%Y')
+    WHEN 0 THEN strftime(l_shipdate, CASE WHEN l_orderkey % 2 = 1 THEN '%Y-%m-%d 00:00:00' ELSE '%Y-%m-%d' END)
+    WHEN 1 THEN strftime(l_shipdate, CASE WHEN l_orderkey % 2 = 1 THEN '%-m/%-d/%Y' ELSE '%m/%d/%Y' END)
     ELSE strftime(l_shipdate, '%Y') || '-13-45' END AS date_raw,
   CASE WHEN l_linenumber % 4 = 0 THEN 'n/a' ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END AS installs_raw
 FROM lineitem""")

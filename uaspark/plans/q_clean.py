@@ -63,18 +63,35 @@ SELECT l_orderkey, l_linenumber,
        CASE WHEN z.s = 0 THEN money_raw END AS cost_raw,
        round({parse_currency_or_percent_sql("CASE WHEN z.s = 0 THEN money_raw ELSE '$-' END")}, 6) AS cost_num,
        round({parse_currency_or_percent_sql("CASE WHEN z.s = 0 THEN money_raw ELSE '$-' END")}, 6) AS cost,
-       percent_raw AS revenue_raw,
-       round({parse_currency_or_percent_sql('percent_raw')}, 6) AS revenue_num,
-       round({parse_currency_or_percent_sql('percent_raw')}, 6) AS revenue
-FROM raw_strings CROSS JOIN (SELECT SUM(coalesce({to_number_sql("'$-'")}, 0.0)) AS s FROM raw_strings) z""")
+       CASE WHEN z.i = 0 THEN percent_raw END AS revenue_raw,
+       round({parse_currency_or_percent_sql("CASE WHEN z.i = 0 THEN percent_raw ELSE installs_raw END")}, 6) AS revenue_num,
+       round({parse_currency_or_percent_sql("CASE WHEN z.i = 0 THEN percent_raw ELSE installs_raw END")}, 6) AS revenue
+FROM raw_strings CROSS JOIN (SELECT SUM(coalesce({to_number_sql("'$-'")}, 0.0)) AS s,
+                                    SUM(coalesce({to_number_sql('installs_raw')}, 0.0)) AS i FROM raw_strings) z""")
 def p13(b: Bridge) -> DataFrame:
+    """``cost`` sums to 0, so its variants replace it; ``revenue`` doesn't."""
     r = b.raw_strings.select(*KEYS, F.lit("$-").alias("cost"), F.col("money_raw").alias(" cost "),
-                             F.col("percent_raw").alias("Revenue "))
+                             F.col("percent_raw").alias("Revenue "), F.col("installs_raw").alias("revenue"))
     h = C.hydrate_financials(r)
     return h.select(*KEYS, "cost_raw", r6("cost_num").alias("cost_num"), r6("cost").alias("cost"),
                     "revenue_raw", r6("revenue_num").alias("revenue_num"), r6("revenue").alias("revenue"))
 
 
+@query("S1_normalize_ingest", with_views("raw_strings") + f"""
+SELECT l_orderkey, l_linenumber, {parse_date_sql('date_raw')} AS date,
+       coalesce({to_number_sql('installs_raw')}, 0.0) AS installs, round({parse_currency_sql('money_raw')}, 6) AS cost,
+       round({parse_currency_or_percent_sql('percent_raw')}, 6) AS retention_d1, 'x' AS cost_2, 0 AS revenue
+FROM raw_strings""")
+def s1_ingest(b: Bridge) -> DataFrame:
+    """Messy headers and cells through the whole ingest projection."""
+    r = b.raw_strings.select(*KEYS, F.col("date_raw").alias("Report Date"), F.col("installs_raw").alias(" Install-Count"),
+                             F.col("money_raw").alias("Cost"), F.lit("x").alias(" cost "),
+                             F.col("percent_raw").alias("Retention_Rate D1"))
+    n = C.normalize_ingest(r)
+    return n.select(*KEYS, "date", "installs", r6("cost").alias("cost"), r6("retention_d1").alias("retention_d1"),
+                    "cost_2", F.col("revenue").cast("int").alias("revenue"))
+
+
 @query("P14_clean_features", with_views("cohort_wide") + """
 SELECT campaign_key, installs,
        round(CASE WHEN isnan(x) OR isinf(x) OR x IS NULL THEN 0.0 ELSE x END, 6) AS log_roas_d0,
@@ -152,9 +169,11 @@ FROM registry_dataset"""
 , src AS ({_P21_SRC}),
 g AS (SELECT file_group, arg_min(platform, id) FILTER (WHERE platform IS NOT NULL) AS pv,
              arg_min(channel, id) FILTER (WHERE channel IS NOT NULL) AS cv,
-             arg_min(game, id) FILTER (WHERE game IS NOT NULL) AS gv,
-             list_sort(list_distinct(list(country) FILTER (WHERE country IS NOT NULL))) AS ctry
-      FROM src GROUP BY file_group)
+             arg_min(game, id) FILTER (WHERE game IS NOT NULL) AS gv
+      FROM src GROUP BY file_group),
+c AS (SELECT file_group, list(country ORDER BY first_id, country) AS ctry FROM (
+        SELECT file_group, country, MIN(id) AS first_id FROM src WHERE country IS NOT NULL GROUP BY file_group, country)
+      GROUP BY file_group)
 SELECT file_group,
   CASE WHEN {classify_channel_sql('pv')} IS NOT NULL AND {classify_platform_sql('cv')} IS NOT NULL
        THEN {classify_platform_sql('cv')} ELSE coalesce({classify_platform_sql('pv')}, 'unknown') END AS platform,
@@ -162,7 +181,7 @@ SELECT file_group,
        THEN {classify_channel_sql('pv')} ELSE {classify_channel_sql('cv')} END AS channel,
   coalesce(gv, 'Unknown Game') AS game,
   array_to_string(list_slice(ctry, 1, 5), ',') AS countries
-FROM g""")
+FROM g LEFT JOIN c USING (file_group)""")
 def p21(b: Bridge) -> DataFrame:
     d = C.detect_hierarchy(_p21_input(b), ["file_group"], "id", filename_col="raw_filename")
     return d.select("file_group", "platform", "channel", "game",

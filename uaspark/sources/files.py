@@ -1,18 +1,23 @@
 """Campaign CSV sources.
 
 A campaign folder looks like ``<root>/<network>/<channel>/<kind file>.csv``.
-One recursive CSV scan per folder reads every file; the network, channel and
-file kind come from the hidden ``_metadata.file_path`` column, so there is no
-driver-side loop over files.  Headers are read untrimmed (P2 runs later) and
-every column is read as text, so no schema inference pass touches the data.
+Files of a folder differ in their headers.  One text pass finds the header line
+of every data file; files are then grouped by (kind, header), each group is one
+CSV scan with an explicit all-text schema, and the groups are united by name
+(missing columns are null).  Network, channel and kind come from the path, so
+only files of the wanted kinds are scanned.  Headers keep their spelling and
+padding (P1 / P2 run later).
 """
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 # Kind keywords in precedence order.
 KIND_RULES = [
@@ -23,7 +28,7 @@ KIND_RULES = [
 ]
 KIND_UNKNOWN = "unknown"
 # Names that are never data files.
-EXCLUDED_NAME_PARTS = ["template", "feature_importance", "gamlens_env", "demo_"]
+EXCLUDED_NAME_PARTS = ["template", "feature_importance", "demo_"]
 TEMP_PREFIX = "~$"
 
 
@@ -40,46 +45,93 @@ def classify_data_type(name: Column) -> Column:
     return expr.otherwise(KIND_UNKNOWN)
 
 
-def is_data_file(name: Column) -> Column:
-    """Keep CSV data files; drop templates, exports of importances,
-    environment dumps, demo files and spreadsheet lock files."""
+def is_data_file(name: Column, excluded: Sequence[str] = EXCLUDED_NAME_PARTS) -> Column:
+    """Drop names that hold an excluded part (templates, exports of
+    importances, demo files; pass your own list for others) and lock files."""
     low = F.lower(name)
     bad = low.startswith(TEMP_PREFIX)
-    for p in EXCLUDED_NAME_PARTS:
-        bad = bad | low.contains(p)
+    for p in excluded:
+        bad = bad | low.contains(p.lower())
     return ~bad
 
 
-def read_campaign_folder(spark: SparkSession, root: str, kinds: Sequence[str] | None = None) -> DataFrame:
-    """S1 + S3 + S4: every CSV under ``root/<network>/<channel>/`` with
-    ``platform``, ``subdirectory``, ``data_type`` and ``source_file`` columns.
-
-    Files of different kinds have different headers; this returns the raw
-    union (text columns, missing = null).  Use ``read_kind`` for one kind."""
-    df = (spark.read.option("header", True).option("recursiveFileLookup", True)
-               .option("pathGlobFilter", "*.csv").option("ignoreLeadingWhiteSpace", False)
-               .option("ignoreTrailingWhiteSpace", False).option("enforceSchema", False)
-               .csv(root))
-    return _tag(df, root, kinds)
+def best_name_match(files: DataFrame, wanted: str, name_col: str = "source_file") -> DataFrame:
+    """The files named ``wanted``; else those that differ in the extension
+    only; else those that differ in case only (extension ignored)."""
+    stem = lambda c: F.regexp_replace(c, r"\.[^.]*$", "")
+    name, target = F.col(name_col), F.lit(wanted)
+    rank = (F.when(name == target, 0).when(stem(name) == stem(target), 1)
+             .when(F.lower(stem(name)) == F.lower(stem(target)), 2))
+    ranked = files.withColumn("_rank", rank).where("_rank IS NOT NULL")
+    best = ranked.agg(F.min("_rank").alias("_best"))
+    return ranked.join(F.broadcast(best), F.col("_rank") == F.col("_best")).drop("_rank", "_best")
+
+
+def _decoded(uri: Column) -> Column:
+    """Text of a path in a URI (``url_decode`` alone would read ``+`` as a blank)."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+
+
+def list_data_files(spark: SparkSession, root: str, kinds: Sequence[str] | None = None,
+                    excluded: Sequence[str] = EXCLUDED_NAME_PARTS) -> DataFrame:
+    """One row per data file: ``path``, ``header`` (its first line), ``platform``,
+    ``subdirectory``, ``source_file`` and ``data_type``.
+
+    The two folders above the file name the network and the channel (URL-decoded:
+    the metadata path is a URI).  Files without a line are left out."""
+    parts = F.split(F.col("path"), "/")
+    lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(root)
+             .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+                     F.monotonically_increasing_id().alias("line"), "value")
+             .where("start = 0"))
+    named = (lines.groupBy("path").agg(F.min_by("value", "line").alias("header"))
+             .select("path", "header", _decoded(F.element_at(parts, -3)).alias("platform"),
+                     _decoded(F.element_at(parts, -2)).alias("subdirectory"),
+                     _decoded(F.element_at(parts, -1)).alias("source_file")))
+    out = (named.withColumn("data_type", classify_data_type(F.col("source_file")))
+           .where(is_data_file(F.col("source_file"), excluded)))
+    return out.where(F.col("data_type").isin(*kinds)) if kinds else out
+
+
+def header_names(header: str) -> list[str]:
+    """Column names of a header line; a name that repeats an earlier one but for
+    case gets ``__<position>`` (Spark could not tell the two apart)."""
+    seen, out = set(), []
+    for i, name in enumerate(next(csv.reader([header.lstrip("\ufeff")]), [])):
+        out.append(f"{name}__{i}" if name.lower() in seen else name)
+        seen.add(name.lower())
+    return out
 
 
-def _tag(df: DataFrame, root: str, kinds: Sequence[str] | None) -> DataFrame:
-    """Layout ``root/<network>/<channel>/<file>``: the two folders above the
-    file name the network and channel (URL-decoded: the metadata path is a URI)."""
+def read_campaign_folder(spark: SparkSession, root: str, kinds: Sequence[str] | None = None,
+                         excluded: Sequence[str] = EXCLUDED_NAME_PARTS) -> DataFrame:
+    """S1 + S3 + S4: every data file under ``root/<network>/<channel>/`` as text
+    columns, with ``platform``, ``subdirectory``, ``data_type`` and ``source_file``.
+    A header named like one of these tags is kept with the prefix ``file_``."""
+    tags = ["platform", "subdirectory", "data_type", "source_file"]
+    # one row per file: what any scan of these files lists on the driver
+    families: dict[tuple[str, str], list[str]] = {}
+    files = list_data_files(spark, root, kinds, excluded)
+    for r in files.select(_decoded(F.col("path")).alias("path"), "data_type", "header").collect():
+        families.setdefault((r["data_type"], r["header"]), []).append(r["path"])
     parts = F.split(F.col("_metadata.file_path"), "/")
-    name = F.url_decode(F.element_at(parts, -1))
-    out = df.select("*", F.url_decode(F.element_at(parts, -3)).alias("platform"),
-                    F.url_decode(F.element_at(parts, -2)).alias("subdirectory"),
-                    classify_data_type(name).alias("data_type"), name.alias("source_file"))
-    out = out.where(is_data_file(F.col("source_file")))
-    if kinds:
-        out = out.where(F.col("data_type").isin(*kinds))
-    return out
+    name = _decoded(F.element_at(parts, -1))
+    frames = []
+    for (kind, header), paths in sorted(families.items()):
+        names = [f"file_{n}" if n.strip().lower() in tags else n for n in header_names(header)]
+        schema = StructType([StructField(n, StringType()) for n in names])
+        scan = (spark.read.schema(schema).option("header", True).option("ignoreLeadingWhiteSpace", False)
+                .option("ignoreTrailingWhiteSpace", False).csv(paths))
+        frames.append(scan.select("*", _decoded(F.element_at(parts, -3)).alias("platform"),
+                                  _decoded(F.element_at(parts, -2)).alias("subdirectory"),
+                                  F.lit(kind).alias("data_type"), name.alias("source_file")))
+    if not frames:
+        return spark.createDataFrame([], StructType([StructField(t, StringType()) for t in tags]))
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), frames)
 
 
 def read_kind(spark: SparkSession, root: str, kind: str) -> DataFrame:
-    """S1 per kind: the files of one kind share a header family, so each
-    kind is its own scan (a path glob per kind keeps other files unread)."""
+    """S1 for one kind: files of other kinds are not scanned."""
     return read_campaign_folder(spark, root, [kind])
 
 
@@ -92,6 +144,6 @@ def read_csv_file(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
-def preview(df: DataFrame, n: int = 20) -> DataFrame:
-    """First rows for display (the limit is the feature)."""
-    return df.limit(n)
+def preview(df: DataFrame, order_cols: Sequence[str], n: int = 20) -> DataFrame:
+    """The first ``n`` rows in ``order_cols`` (the limit is the feature)."""
+    return df.orderBy(*order_cols).limit(n)
