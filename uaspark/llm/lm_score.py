@@ -1,11 +1,13 @@
 """Language-model scores by stupid backoff, computed with count tables.
 
 Documents are dealt into chunks by a hash of their id.  Each chunk explodes its
-n-grams of every order and counts them, so an n-gram is one row per chunk,
-however often it occurs.  These rows are partitioned by the hash of the n-gram,
-where the corpus count of each is summed and joined to its rows; what other
-chunks add to an n-gram returns to the chunk, which scores its documents and
-sums per document.
+n-grams of every order and counts them, so an n-gram is one entry per chunk,
+however often it occurs.  The count table is partitioned by the hash of the
+n-gram into shards: there the counts of all chunks are summed and joined to the
+entries, and what other chunks add to an n-gram returns to the chunk, which
+scores its documents and sums per document.  The entries that one chunk and one
+shard exchange travel as one row: sorted hashes and counts, stored byte plane by
+byte plane, which the shuffle compresses to half the size of single rows.
 
 The score of a word is c(context, word) / c(context) at the longest order seen,
 times ``alpha`` for each order backed off from; below unigrams it is
@@ -26,7 +28,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .texts import chain, word_hashes
@@ -46,17 +48,52 @@ def _ngrams(hashes: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.nda
     return out, doc
 
 
-def _count(table: pa.Table, order: int) -> pa.Table:
-    """(g, chunk, n) of one chunk."""
+def _pack(values: np.ndarray) -> bytes:
+    """64-bit values as byte planes, so that like bytes are neighbours."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1)
+
+
+def _shard_bits(shards: int) -> int:
+    return max(0, shards - 1).bit_length()
+
+
+def _count(table: pa.Table, order: int, shards: int) -> pa.Table:
+    """(chunk, shard, g, n): the packed n-grams and counts of one chunk by shard
+    (the top bits of the hash)."""
     hashes, offsets = word_hashes(table.column("text"))
     found = []
     for k in range(1, order + 1):
         g, _ = _ngrams(hashes, offsets, k)
         found.append(g[g != 0])
-    g, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, int))
+    g, n = np.unique(np.concatenate(found), return_counts=True)
+    bits = _shard_bits(shards)
+    edges = np.searchsorted(g, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
     chunk = table.column("chunk")[0].as_py()
-    return pa.table({"g": pa.array(g.view(np.int64)), "chunk": pa.array(np.full(len(g), chunk, np.int32)),
-                     "n": pa.array(n, pa.int64())})
+    rows = [(chunk, i, _pack(a), _pack(b.astype(np.uint64)))
+            for i, (a, b) in enumerate(zip(np.split(g, edges), np.split(n, edges))) if len(a)]
+    return pa.table({"chunk": pa.array([r[0] for r in rows], pa.int32()), "shard": pa.array([r[1] for r in rows], pa.int32()),
+                     "g": pa.array([r[2] for r in rows], pa.binary()), "n": pa.array([r[3] for r in rows], pa.binary())})
+
+
+def _others(table: pa.Table) -> pa.Table:
+    """(of, g, n): for each chunk of one shard, what the other chunks add."""
+    gs, ns = ([_unpack(x) for x in table.column(c).to_pylist()] for c in ("g", "n"))
+    kinds, inverse = np.unique(np.concatenate(gs), return_inverse=True)
+    total = np.bincount(inverse, weights=np.concatenate(ns).astype(np.float64)).astype(np.uint64)[inverse]
+    rows, at = [], 0
+    for chunk, g, n in zip(table.column("chunk").to_pylist(), gs, ns):
+        rest = total[at:at + len(g)] - n
+        at += len(g)
+        shared = rest > 0
+        if shared.any():
+            rows.append((chunk, _pack(g[shared]), _pack(rest[shared])))
+    return pa.table({"of": pa.array([r[0] for r in rows], pa.int32()), "g": pa.array([r[1] for r in rows], pa.binary()),
+                     "n": pa.array([r[2] for r in rows], pa.binary())})
 
 
 def _own_counts(g: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -75,9 +112,10 @@ def _score(table: pa.Table, others: pa.Table, order: int, alpha: float, total: i
     docs = len(offsets) - 1
     size = np.diff(offsets)
     log_alpha = math.log(alpha)
-    keys = others.column("g").to_numpy().view(np.uint64)
+    none = [np.empty(0, np.uint64)]
+    keys, extra = (np.concatenate([_unpack(x) for x in others.column(c).to_pylist()] or none) for c in ("g", "n"))
     sort = np.argsort(keys)
-    keys, extra = keys[sort], others.column("n").to_numpy()[sort]
+    keys, extra = keys[sort], extra[sort].astype(np.int64)
 
     def counts(g: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """Corpus count of the n-gram of each position, 0 where there is none."""
@@ -111,7 +149,8 @@ def _score(table: pa.Table, others: pa.Table, order: int, alpha: float, total: i
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2,
-                    alpha: float = 0.4, exclude_own: bool = True, docs_per_chunk: int = 4096) -> DataFrame:
+                    alpha: float = 0.4, exclude_own: bool = True, docs_per_chunk: int = 4096,
+                    words_per_shard: int = 1 << 21) -> DataFrame:
     """(doc_id, n_tokens, log_score, mean_log_score) of every document."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     chunks = max(1, -(-rows.count() // docs_per_chunk))
@@ -119,9 +158,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
     total = rows.agg(F.sum(words.cast("long"))).first()[0] or 0
     dealt = rows.withColumn("chunk", chunk).repartition("chunk")
-    grams = dealt.groupBy("chunk").applyInArrow(lambda t: _count(t, order), "g long, chunk int, n long")
-    others = (grams.withColumn("all", F.sum("n").over(Window.partitionBy("g"))).filter("all > n")
-              .select(F.col("chunk").alias("of"), "g", (F.col("all") - F.col("n")).alias("n")))
+    # a shard sums some words_per_shard entries, and one row of any n-gram per chunk
+    shards = 1 << _shard_bits(max(1, -(-total * order // words_per_shard)))
+    grams = dealt.groupBy("chunk").applyInArrow(lambda t: _count(t, order, shards), "chunk int, shard int, g binary, n binary")
+    others = grams.groupBy("shard").applyInArrow(_others, "of int, g binary, n binary")
     return dealt.groupBy("chunk").cogroup(others.groupBy("of")).applyInArrow(
         lambda t, o: _score(t, o, order, alpha, total, exclude_own) if len(t) else _score_none(),
         "doc_id long, n_tokens long, log_score double, mean_log_score double")
