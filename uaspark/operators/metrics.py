@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.advice import ACTIONS, campaign_action, clip_prediction, reason_text
+from ..session import broadcast_if_small
 from .quantiles import exact_percentiles
 
 THRESHOLDS = [0.5, 1.0, 1.5, 2.0]
@@ -39,9 +40,13 @@ def prediction_summary(pred: DataFrame, p50: str = "p50", width: str = "width",
         F.max(p50).alias("max_predicted_roas"),
         *[count_if(F.col(p50) >= t).alias(f"above_roas_{_thr_name(t)}_count") for t in THRESHOLDS],
         F.avg(width).alias("mean_confidence_width"))
-    med = exact_percentiles(pred, [by], p50, [0.5], ["median_predicted_roas"])
-    medw = exact_percentiles(pred, [by], width, [0.5], ["median_confidence_width"])
-    out = base.join(med, by, "left").join(medw, by, "left")
+    # both medians from one layout: the two columns are stacked and told apart by name
+    names = {p50: "median_predicted_roas", width: "median_confidence_width"}
+    stacked = pred.select(by, F.explode(F.array(*[F.struct(F.lit(n).alias("what"), F.col(c).cast("double").alias("v"))
+                                                  for c, n in names.items()])).alias("_s")).select(by, "_s.*")
+    med = exact_percentiles(stacked, [by, "what"], "v", [0.5], ["m"])
+    med = med.groupBy(by).agg(*[F.max(F.when(F.col("what") == n, F.col("m"))).alias(n) for n in names.values()])
+    out = base.join(med, by, "left")
     pct = [(F.col(f"above_roas_{_thr_name(t)}_count") * 100.0 / F.col("total_campaigns"))
            .alias(f"above_roas_{_thr_name(t)}_pct") for t in THRESHOLDS]
     return out.select("*", *pct)
@@ -83,11 +88,12 @@ def quantile_summary(pred: DataFrame, col: str = "p50", by: Sequence[str] = ())
     return m.crossJoin(q) if not by else m.join(q, by, "left")
 
 
-def roas_bands(pred: DataFrame, col: str = "p50", lower: str = "p10", upper: str = "p90") -> DataFrame:
+def roas_bands(pred: DataFrame, col: str = "p50", lower: str = "p10", upper: str = "p90",
+               by: Sequence[str] = ()) -> DataFrame:
     """> 1.0, (0.5, 1.0], <= 0.5 counts and %, plus mean/min/max/std and mean width."""
     p = F.col(col)
     n = F.count(F.lit(1))
-    return pred.agg(
+    return pred.groupBy(*by).agg(
         n.alias("n"), F.avg(p).alias("mean"), F.min(p).alias("min"), F.max(p).alias("max"),
         F.stddev_samp(p).alias("std"),
         count_if(p > 1.0).alias("high_count"), count_if((p > 0.5) & (p <= 1.0)).alias("medium_count"),
@@ -144,7 +150,7 @@ def error_histogram(df: DataFrame, actual: str = "actual", pred: str = "p50", bi
     by = list(by)
     e = df.select(*by, F.abs(F.col(actual) - F.col(pred)).alias("abs_error")).where(F.col("abs_error").isNotNull())
     bounds = e.groupBy(*by).agg(F.min("abs_error").alias("_lo"), F.max("abs_error").alias("_hi"))
-    j = e.join(bounds, by) if by else e.crossJoin(bounds)
+    j = e.join(broadcast_if_small(bounds), by) if by else e.crossJoin(F.broadcast(bounds))
     width = (F.col("_hi") - F.col("_lo")) / bins
     b = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
         F.least(F.floor((F.col("abs_error") - F.col("_lo")) / width).cast("int"), F.lit(bins - 1)))
@@ -153,42 +159,61 @@ def error_histogram(df: DataFrame, actual: str = "actual", pred: str = "p50", bi
 
 
 def correlation_ranking(df: DataFrame, cols: Sequence[str], top: int = 20) -> DataFrame:
-    """Pairwise Pearson correlations in ONE aggregation (k(k-1)/2 corr
-    aggregates), unpivoted; then the ``top`` columns by sum of |corr|."""
-    cols = list(cols)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    one = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    long = one.unpivot([], [f"`{a}|{b}`" for a, b in pairs], "pair", "corr")
-    parts = F.split("pair", r"\|")
-    both = (long.select(parts.getItem(0).alias("feature"), F.abs("corr").alias("abs_corr"))
-                .unionByName(long.select(parts.getItem(1).alias("feature"), F.abs("corr").alias("abs_corr"))))
-    return (both.groupBy("feature").agg((F.sum(F.coalesce("abs_corr", F.lit(0.0))) + F.lit(1.0)).alias("sum_abs_corr"))
-                .orderBy(F.desc("sum_abs_corr"), "feature").limit(top))
-
+    """The ``top`` columns by sum of |Pearson correlation| with all columns
+    (nulls count 0).  One pass collects a k x k matrix (``ml.stat.Correlation``),
+    so hundreds of columns cost one aggregation."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
 
-def confidence_filter(pred: DataFrame, width: str = "width", threshold: float = 0.8) -> DataFrame:
-    """keep rows whose width <= the (1 - threshold) quantile of width."""
-    q = exact_percentiles(pred, [], width, [1.0 - threshold], ["_max_width"])
-    return pred.crossJoin(q).where(F.col(width) <= F.col("_max_width")).drop("_max_width")
+    cols = list(cols)
+    filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_f{i}") for i, c in enumerate(cols)])
+    vectors = VectorAssembler(inputCols=filled.columns, outputCol="v").transform(filled)
+    if not cols or vectors.isEmpty():
+        return df.sparkSession.createDataFrame([], "feature string, sum_abs_corr double")
+    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
+    rows = [(c, float(sum(1.0 if i == j else abs(x) if x == x else 0.0 for j, x in enumerate(matrix[i]))))
+            for i, c in enumerate(cols)]
+    return (df.sparkSession.createDataFrame(rows, "feature string, sum_abs_corr double")
+            .orderBy(F.desc("sum_abs_corr"), "feature").limit(top))
+
+
+def confidence_filter(pred: DataFrame, width: str = "width", threshold: float = 0.8,
+                      by: Sequence[str] = ()) -> DataFrame:
+    """keep rows whose width <= the (1 - threshold) quantile of width, per ``by``."""
+    by = list(by)
+    q = broadcast_if_small(exact_percentiles(pred, by, width, [1.0 - threshold], ["_max_width"]))
+    joined = pred.join(q, by) if by else pred.crossJoin(F.broadcast(q))
+    return joined.where(F.col(width) <= F.col("_max_width")).drop("_max_width")
 
 
 def recommend(pred: DataFrame, target_roas: float = 0.5, n: int = 10, confidence_threshold: float = 0.8,
-              p50: str = "p50", width: str = "width", row_id: str = "row_id") -> DataFrame:
+              p50: str = "p50", width: str = "width", row_id: str = "row_id", by: Sequence[str] = ()) -> DataFrame:
     """T1 + F5 + X17/X18: top-n campaigns by improvement = predicted - target
-    among the confident rows, ties by row id (a top-k report: TakeOrdered)."""
-    conf = confidence_filter(pred, width, confidence_threshold)
-    imp = F.col(p50) - F.lit(target_roas)
-    out = conf.select("*", imp.alias("roas_improvement"))
-    top = out.orderBy(F.desc("roas_improvement"), F.asc(row_id)).limit(n)
+    among the confident rows of each ``by``, ties by row id (a top-k report;
+    Spark keeps n rows per group and task before the shuffle)."""
+    conf = confidence_filter(pred, width, confidence_threshold, by)
+    out = conf.select("*", (F.col(p50) - F.lit(target_roas)).alias("roas_improvement"))
+    order = [F.desc("roas_improvement"), F.asc(row_id)]
+    if by:
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        top = out.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
+    else:
+        top = out.orderBy(*order).limit(n)
     return top.select("*", reason_text(F.col(p50), F.lit(target_roas), F.col("roas_improvement"))
                       .alias("recommendation_reason"))
 
 
-def recommendation_summary(rec: DataFrame, p50: str = "p50") -> DataFrame:
+def recommendation_summary(rec: DataFrame, p50: str = "p50", by: Sequence[str] = ()) -> DataFrame:
     """Mean / max improvement, mean ROAS, count."""
-    return rec.agg(F.avg("roas_improvement").alias("avg_improvement"),
-                   F.max("roas_improvement").alias("max_improvement"),
-                   F.avg(p50).alias("avg_roas"), F.count(F.lit(1)).alias("n"))
+    return rec.groupBy(*by).agg(F.avg("roas_improvement").alias("avg_improvement"),
+                                F.max("roas_improvement").alias("max_improvement"),
+                                F.avg(p50).alias("avg_roas"), F.count(F.lit(1)).alias("n"))
+
+
+def residual_pairs(pred: DataFrame, actual: str = "actual", p50: str = "p50") -> DataFrame:
+    """Actual, predicted and residual (actual - predicted) of every row that has both."""
+    both = pred.where(F.col(actual).isNotNull() & F.col(p50).isNotNull())
+    return both.select("*", (F.col(actual) - F.col(p50)).alias("residual"))
 
 
 def clipped_predictions(pred: DataFrame, cols: Sequence[str] = ("p10", "p50", "p90")) -> DataFrame:

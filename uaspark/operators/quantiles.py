@@ -15,26 +15,19 @@ gathers a group:
 4. translate each needed rank into a (partition, row position) pair and fetch
    just those rows with an equi-join on the position.
 
-The big side is scanned twice and never shuffled after step 1.
+The big side is scanned twice.  The wanted ranks (two per group and percentile)
+are broadcast when they are few, so it is not shuffled after step 1; with very
+many groups the last join is a shuffle join.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-
-
-def _null_safe_join_cond(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column | None:
-    cond = None
-    for k in keys:
-        c = left[k].eqNullSafe(right[k])
-        cond = c if cond is None else (cond & c)
-    return cond
+from ..session import broadcast_if_small, cut_lineage
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value_col: str,
@@ -47,15 +40,12 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value_col: str,
     keys = list(keys)
     probs = [float(p) for p in probs]
     names = list(names) if names is not None else [f"p{int(round(p * 100))}" for p in probs]
-    spark = df.sparkSession
-    if num_partitions is None:
-        num_partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
     v = F.col(value_col).cast("double")
-    base = (df.select(*[F.col(k) for k in keys], v.alias("_qv"))
-              .where(F.col("_qv").isNotNull() & ~F.isnan("_qv"))
-              .withColumn("_qt", F.monotonically_increasing_id()))
-    ranked = (base.repartitionByRange(num_partitions, *keys, "_qv", "_qt")
+    # equal values are spread by a hash of the whole row, the same on a retry
+    base = (df.select(*[F.col(k) for k in keys], v.alias("_qv"), F.xxhash64(*df.columns).alias("_qt"))
+              .where(F.col("_qv").isNotNull() & ~F.isnan("_qv")))
+    layout = [*keys, "_qv", "_qt"]
+    ranked = ((base.repartitionByRange(num_partitions, *layout) if num_partitions else base.repartitionByRange(*layout))
                   .sortWithinPartitions(*keys, "_qv", "_qt")
                   .select(*keys, "_qv",
                           F.spark_partition_id().alias("_qp"),
@@ -89,6 +79,7 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value_col: str,
                                F.col("_w.i").alias("_ti"), F.col("_w.side").alias("_ts"),
                                F.col("_qn").alias("_tn")))
 
+    targets = broadcast_if_small(targets)
     picked = ranked.join(targets, (ranked["_qp"] == targets["_tp"]) & (ranked["_qm"] == targets["_tm"]))
     aggs = []
     for i, (q, name) in enumerate(zip(probs, names)):
@@ -99,15 +90,3 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value_col: str,
         aggs.append((lo + frac * (hi - lo)).alias(name))
     out = picked.groupBy(*[F.col(f"_k{j}").alias(k) for j, k in enumerate(keys)]).agg(*aggs)
     return out
-
-
-def exact_percentile_value(df: DataFrame, value_col: str, q: float) -> DataFrame:
-    """One-row DataFrame holding the global percentile ``q`` of ``value_col`` as ``value``."""
-    return exact_percentiles(df, [], value_col, [q], ["value"])
-
-
-def percentile_sql(expr: str, q: float) -> str:
-    """Oracle-side spelling (DuckDB) of the same statistic."""
-    if not (0.0 <= q <= 1.0) or math.isnan(q):
-        raise ValueError(q)
-    return f"quantile_cont({expr}, {q})"

@@ -17,9 +17,10 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from ..sources.tables import read_table
 
 HIERARCHY = ["game", "platform", "channel", "country"]
@@ -52,6 +53,14 @@ def split_bucket(c: Column) -> Column:
     return (F.conv(F.substring(F.md5(c.cast("string")), 1, 8), 16, 10).cast("long") % 5).cast("int")
 
 
+def reduce_events(events: DataFrame) -> DataFrame:
+    """One row per (user, day): purchase and click value, views."""
+    return events.groupBy("user_id", F.to_date("ts").alias("d")).agg(
+        F.sum(F.when(F.col("event_type") == "purchase", dec("value"))).alias("purchase"),
+        F.sum(F.when(F.col("event_type") == "click", dec("value"))).alias("click"),
+        F.count(F.when(F.col("event_type") == "view", 1)).alias("views"))
+
+
 class Bridge:
     """Lazily-built campaign views over one test-data folder."""
 
@@ -100,24 +109,35 @@ class Bridge:
     def campaign(self) -> DataFrame:
         agg = self._order_lines().groupBy(*HIERARCHY).agg(
             *self._money_aggs(), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
-        return agg.select(stable_id(*[F.col(h) for h in HIERARCHY]).alias("row_id"), "*",
-                          F.try_divide("revenue", "cost").alias("roas"))
+        # computed once: everything of B1 and B5 reads this small table
+        return cut_lineage(agg.select(stable_id(*[F.col(h) for h in HIERARCHY]).alias("row_id"), "*",
+                          F.try_divide("revenue", "cost").alias("roas")))
 
     # ---- B2 / B3 ---------------------------------------------------------
     @cached_property
     def _user_days(self) -> DataFrame:
-        """One row per (user, age): install day = first event day of the user."""
-        ev = self.t("events", ["user_id", "ts", "event_type", "value"]).select(
-            "user_id", F.to_date("ts").alias("d"), "event_type", "value")
-        # per-user minimum is pre-aggregated (skew-safe); the join back is on
-        # user_id where AQE splits a hot user on the big side.
-        inst = ev.groupBy("user_id").agg(F.min("d").alias("install_date"))
-        aged = ev.join(inst, "user_id").select(
-            "user_id", F.datediff("d", "install_date").alias("age"), "event_type", "value")
-        return aged.groupBy("user_id", "age").agg(
-            F.sum(F.when(F.col("event_type") == "purchase", dec("value"))).alias("purchase"),
-            F.sum(F.when(F.col("event_type") == "click", dec("value"))).alias("click"),
-            F.count(F.when(F.col("event_type") == "view", 1)).alias("views"))
+        """One row per (user, age): install day = first event day of the user.
+        Events are reduced to (user, day) before anything else; the install day
+        is a minimum over a user's days."""
+        days = reduce_events(self.t("events", ["user_id", "ts", "event_type", "value"]))
+        first = F.min("d").over(Window.partitionBy("user_id"))
+        return days.select("user_id", F.datediff("d", first).alias("age"), "purchase", "click", "views")
+
+    @cached_property
+    def _per_key(self) -> DataFrame:
+        """Cohort and level sums of every campaign key in one pass, computed once."""
+        per_user = self._user_days.groupBy("user_id").agg(
+            *[F.max((F.col("age") == n).cast("int")).alias(f"_r{n}") for n in COHORT_DAYS],
+            *[F.sum(F.when(F.col("age") <= n, F.col("purchase"))).alias(f"_p{n}") for n in COHORT_DAYS],
+            F.sum(F.when(F.col("age") <= COST_WINDOW_DAYS, F.col("click"))).alias("_c"),
+            F.sum("views").alias("views"))
+        k = (F.col("user_id") % CAMPAIGN_KEYS)
+        return cut_lineage(per_user.groupBy(k.alias("campaign_key")).agg(
+            F.count(F.lit(1)).alias("installs"),
+            *[F.sum(f"_r{n}").alias(f"_r{n}") for n in COHORT_DAYS],
+            *[F.sum(f"_p{n}").alias(f"_p{n}") for n in COHORT_DAYS],
+            F.sum("_c").alias("_c"),
+            *[F.count(F.when(F.col("views") >= lv, 1)).alias(f"level_{lv}_events") for lv in LEVELS]))
 
     @staticmethod
     def _key_dims(k: Column) -> list[Column]:
@@ -128,19 +148,9 @@ class Bridge:
 
     @cached_property
     def cohort_wide(self) -> DataFrame:
-        per_user = self._user_days.groupBy("user_id").agg(
-            *[F.max((F.col("age") == n).cast("int")).alias(f"_r{n}") for n in COHORT_DAYS],
-            *[F.sum(F.when(F.col("age") <= n, F.col("purchase"))).alias(f"_p{n}") for n in COHORT_DAYS],
-            F.sum(F.when(F.col("age") <= COST_WINDOW_DAYS, F.col("click"))).alias("_c"))
-        k = (F.col("user_id") % CAMPAIGN_KEYS)
-        per_key = per_user.groupBy(k.alias("campaign_key")).agg(
-            F.count(F.lit(1)).alias("installs"),
-            *[F.sum(f"_r{n}").alias(f"_r{n}") for n in COHORT_DAYS],
-            *[F.sum(f"_p{n}").alias(f"_p{n}") for n in COHORT_DAYS],
-            F.sum("_c").alias("_c"))
         kc = F.col("campaign_key")
         cost = F.col("_c").cast("double")
-        return per_key.select(
+        return self._per_key.select(
             kc, *self._key_dims(kc), "installs",
             (F.col("_c").cast("double")).alias("cost"),
             *[(F.col(f"_r{n}") / F.col("installs")).alias(f"retention_rate_d{n}") for n in COHORT_DAYS],
@@ -149,14 +159,9 @@ class Bridge:
 
     @cached_property
     def levels_wide(self) -> DataFrame:
-        per_user = self._user_days.groupBy("user_id").agg(F.sum("views").alias("views"))
-        k = (F.col("user_id") % CAMPAIGN_KEYS)
-        per_key = per_user.groupBy(k.alias("campaign_key")).agg(
-            F.count(F.lit(1)).alias("installs"),
-            *[F.count(F.when(F.col("views") >= lv, 1)).alias(f"level_{lv}_events") for lv in LEVELS])
         kc = F.col("campaign_key")
-        return per_key.select(kc, *self._key_dims(kc), "installs",
-                              *[f"level_{lv}_events" for lv in LEVELS])
+        return self._per_key.select(kc, *self._key_dims(kc), "installs",
+                                    *[f"level_{lv}_events" for lv in LEVELS])
 
     # ---- B4 --------------------------------------------------------------
     @cached_property
@@ -201,9 +206,17 @@ class Bridge:
 
     @cached_property
     def predictions(self) -> DataFrame:
+        """Segment quantiles, moved per row by key arithmetic so that every tier,
+        action, confidence level and clip occurs."""
         from ..operators.forecast import segment_quantile_forecast
-        return segment_quantile_forecast(self.actuals, ["platform", "channel", "target_day"],
-                                         "actual", train_col="split_bucket")
+        q = segment_quantile_forecast(self.actuals, ["platform", "channel", "target_day"],
+                                      "actual", train_col="split_bucket")
+        key = F.col("row_id")
+        level = F.when(key % 101 == 0, 40.0).otherwise((key % 17 + 1) * 0.25)
+        spread = F.when(key % 3 == 0, 0.02).otherwise((key % 11 + 1) / 12.0)
+        moved = q.select(*self.actuals.columns, (F.col("p50") * level * (1.0 - spread)).alias("p10"),
+                         (F.col("p50") * level).alias("p50"), (F.col("p50") * level * (1.0 + spread)).alias("p90"))
+        return cut_lineage(moved.withColumn("width", F.col("p90") - F.col("p10")))
 
     # ---- B6 --------------------------------------------------------------
     @cached_property

@@ -102,8 +102,8 @@ SELECT l_orderkey, l_linenumber,
          ELSE 'n/a' END END AS money_raw,
   CAST(CAST(round(l_discount * 100) AS BIGINT) AS VARCHAR) || '%' AS percent_raw,
   CASE l_linenumber % 3
-    WHEN 0 THEN strftime(l_shipdate, CASE WHEN l_orderkey % 2 = 1 THEN '%Y-%m-%d 00:00:00' ELSE '%Y-%m-%d' END)
-    WHEN 1 THEN strftime(l_shipdate, CASE WHEN l_orderkey % 2 = 1 THEN '%-m/%-d/%Y' ELSE '%m/%d/%Y' END)
+    WHEN 0 THEN strftime(l_shipdate, '%Y-%m-%d') || CASE WHEN l_orderkey % 2 = 1 THEN ' 00:00:00' ELSE '' END
+    WHEN 1 THEN CASE WHEN l_orderkey % 2 = 1 THEN strftime(l_shipdate, '%-m/%-d/%Y') ELSE strftime(l_shipdate, '%m/%d/%Y') END
     ELSE strftime(l_shipdate, '%Y') || '-13-45' END AS date_raw,
   CASE WHEN l_linenumber % 4 = 0 THEN 'n/a' ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END AS installs_raw
 FROM lineitem""")
@@ -116,12 +116,14 @@ SELECT c.row_id, t.target_day, c.game, c.platform, c.channel, c.country, c.cost,
 FROM campaign c CROSS JOIN (VALUES {_days}) t(target_day)""")
 
 VIEWS["predictions"] = (["actuals"], """
-SELECT a.*, q.p10, q.p50, q.p90, q.p90 - q.p10 AS width
-FROM actuals a LEFT JOIN (
+SELECT *, p90 - p10 AS width FROM (
+SELECT a.*, q.p50 * lv * (1.0 - sp) AS p10, q.p50 * lv AS p50, q.p50 * lv * (1.0 + sp) AS p90
+FROM (SELECT *, CASE WHEN row_id % 101 = 0 THEN 40::DOUBLE ELSE (row_id % 17 + 1) * 0.25::DOUBLE END AS lv,
+      CASE WHEN row_id % 3 = 0 THEN 0.02::DOUBLE ELSE (row_id % 11 + 1) / 12::DOUBLE END AS sp FROM actuals) a LEFT JOIN (
   SELECT platform, channel, target_day, quantile_cont(actual, 0.1) AS p10,
          quantile_cont(actual, 0.5) AS p50, quantile_cont(actual, 0.9) AS p90
   FROM actuals WHERE split_bucket <> 0 GROUP BY platform, channel, target_day) q
-ON a.platform = q.platform AND a.channel = q.channel AND a.target_day = q.target_day""")
+ON a.platform = q.platform AND a.channel = q.channel AND a.target_day = q.target_day)""")
 
 _kinds = "CASE " + " ".join(f"WHEN s_suppkey % 6 = {i} THEN '{w}'" for i, w in enumerate(KIND_WORDS)) + " END"
 _nets6 = " ".join(f"WHEN s_suppkey % 6 = {i} THEN '{n}'" for i, n in

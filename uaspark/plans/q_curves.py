@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.quantiles import exact_percentiles
-from .bridge import COHORT_DAYS, LEVELS, Bridge, dec
+from .bridge import reduce_events, COHORT_DAYS, LEVELS, Bridge, dec
 from .bridge_sql import with_views
 from .catalog import query, r6
 
@@ -88,21 +88,18 @@ def install_cohorts(events: DataFrame, max_age: int = 30) -> DataFrame:
     """Per install day and age, retention = active users / cohort size and
     cumulative ARPU = purchases up to that age / cohort size.
 
-    Users are pre-aggregated per (user, age) before any cohort aggregation; the
-    running ARPU window is partitioned by cohort day and holds at most
-    ``max_age + 1`` rows per partition."""
-    ev = events.select("user_id", F.to_date("ts").alias("d"), "event_type", "value")
-    inst = ev.groupBy("user_id").agg(F.min("d").alias("cohort_date"))
-    aged = ev.join(inst, "user_id").select("user_id", "cohort_date",
-                                           F.datediff("d", "cohort_date").alias("age"), "event_type", "value")
-    ua = (aged.where(F.col("age") <= max_age)
-              .groupBy("user_id", "cohort_date", "age")
-              .agg(F.sum(F.when(F.col("event_type") == "purchase", dec("value"))).alias("purchase")))
-    size = inst.groupBy("cohort_date").agg(F.count(F.lit(1)).alias("cohort_size"))
+    Events are reduced to (user, day) first; the cohort day is a minimum over a
+    user's days, and the cohort size is the number of users of age 0.  The running
+    ARPU window is partitioned by cohort day and holds at most ``max_age + 1``
+    rows per partition."""
+    first = F.min("d").over(Window.partitionBy("user_id"))
+    days = reduce_events(events).select("user_id", "d", "purchase", first.alias("cohort_date"))
+    ua = days.select("cohort_date", F.datediff("d", "cohort_date").alias("age"), "purchase").where(F.col("age") <= max_age)
     ca = ua.groupBy("cohort_date", "age").agg(F.count(F.lit(1)).alias("active_users"),
                                               F.sum("purchase").alias("purchase"))
     w = Window.partitionBy("cohort_date").orderBy("age").rowsBetween(Window.unboundedPreceding, 0)
-    j = ca.join(size, "cohort_date")
+    size = F.max(F.when(F.col("age") == 0, F.col("active_users"))).over(Window.partitionBy("cohort_date"))
+    j = ca.withColumn("cohort_size", size)
     cum = F.coalesce(F.sum("purchase").over(w), F.lit(0).cast("decimal(28,2)"))
     return j.select("cohort_date", "age", "cohort_size", "active_users",
                     (F.col("active_users") / F.col("cohort_size")).alias("retention"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import advice as ADV
 from ..operators import metrics as M
-from .bridge import HIERARCHY, Bridge
+from .bridge import COHORT_DAYS, HIERARCHY, LEVELS, Bridge
 from .bridge_sql import with_views
 from .catalog import query, r6
 
@@ -68,7 +68,7 @@ _A11 = ["mean", "min", "max", "std", "high_pct", "medium_pct", "low_pct", "mean_
 
 
 @query("A11_roas_bands", PV + """
-SELECT COUNT(*) AS n, round(AVG(p50), 6) AS mean, round(MIN(p50), 6) AS min, round(MAX(p50), 6) AS max,
+SELECT target_day, COUNT(*) AS n, round(AVG(p50), 6) AS mean, round(MIN(p50), 6) AS min, round(MAX(p50), 6) AS max,
   round(STDDEV_SAMP(p50), 6) AS std, COUNT(CASE WHEN p50 > 1.0 THEN 1 END) AS high_count,
   COUNT(CASE WHEN p50 > 0.5 AND p50 <= 1.0 THEN 1 END) AS medium_count,
   COUNT(CASE WHEN p50 <= 0.5 THEN 1 END) AS low_count,
@@ -76,10 +76,10 @@ SELECT COUNT(*) AS n, round(AVG(p50), 6) AS mean, round(MIN(p50), 6) AS min, rou
   round(COUNT(CASE WHEN p50 > 0.5 AND p50 <= 1.0 THEN 1 END) * CAST(100 AS DOUBLE) / COUNT(*), 6) AS medium_pct,
   round(COUNT(CASE WHEN p50 <= 0.5 THEN 1 END) * CAST(100 AS DOUBLE) / COUNT(*), 6) AS low_pct,
   round(AVG(p90 - p10), 6) AS mean_width
-FROM predictions WHERE target_day = 30""")
+FROM predictions GROUP BY target_day""")
 def a11(b: Bridge) -> DataFrame:
-    s = M.roas_bands(b.predictions.where(F.col("target_day") == 30))
-    return _r(s, ["n", "high_count", "medium_count", "low_count"], _A11)
+    s = M.roas_bands(b.predictions, by=["target_day"])
+    return _r(s, ["target_day", "n", "high_count", "medium_count", "low_count"], _A11)
 
 
 _MASK = "actual IS NOT NULL AND NOT isnan(actual) AND NOT isinf(actual) AND p50 IS NOT NULL AND NOT isnan(p50) AND NOT isinf(p50) AND actual > 0"
@@ -162,18 +162,22 @@ def a18(b: Bridge) -> DataFrame:
     return h.select("target_day", "bin", "n", r6("lo").alias("lo"), r6("hi").alias("hi"))
 
 
-_CORR = ["installs", "cost", "revenue", "ad_revenue", "roas"]
+# every numeric column of the wide cohort and level features: 23, so the top 20 cuts
+_CORR = (["cost"] + [f"retention_rate_d{n}" for n in COHORT_DAYS] + [f"roas_d{n}" for n in COHORT_DAYS]
+         + [f"level_{n}_events" for n in LEVELS])
 _PAIRS = [(a, c) for i, a in enumerate(_CORR) for c in _CORR[i + 1:]]
 
 
-@query("A15_correlation_ranking", with_views("campaign") + """
-, one AS (SELECT """ + ", ".join(f"corr({a}, {c}) AS \"{a}|{c}\"" for a, c in _PAIRS) + """ FROM campaign),
+@query("A15_correlation_ranking", with_views("cohort_wide", "levels_wide") + """
+, wide AS (SELECT c.*, """ + ", ".join(f"l.level_{n}_events" for n in LEVELS) + """ FROM cohort_wide c JOIN levels_wide l USING (campaign_key)),
+one AS (SELECT """ + ", ".join(f"corr(coalesce({a}, 0), coalesce({c}, 0)) AS \"{a}|{c}\"" for a, c in _PAIRS) + """ FROM wide),
 long AS (SELECT pair, abs(v) AS a FROM one UNPIVOT (v FOR pair IN (""" + ", ".join(f'"{a}|{c}"' for a, c in _PAIRS) + """)))
-SELECT feature, round(SUM(coalesce(a, 0.0)) + 1.0, 6) AS sum_abs_corr FROM (
+SELECT feature, round(SUM(CASE WHEN a IS NULL OR isnan(a) THEN 0.0 ELSE a END) + 1.0, 6) AS sum_abs_corr FROM (
   SELECT split_part(pair, '|', 1) AS feature, a FROM long UNION ALL SELECT split_part(pair, '|', 2), a FROM long)
 GROUP BY feature ORDER BY sum_abs_corr DESC, feature LIMIT 20""")
 def a15(b: Bridge) -> DataFrame:
-    r = M.correlation_ranking(b.campaign, _CORR, 20)
+    levels = b.levels_wide.select("campaign_key", *[f"level_{n}_events" for n in LEVELS])
+    r = M.correlation_ranking(b.cohort_wide.join(levels, "campaign_key"), _CORR, 20)
     return r.select("feature", r6("sum_abs_corr").alias("sum_abs_corr"))
 
 
@@ -190,37 +194,40 @@ def f3(b: Bridge) -> DataFrame:
     return M.evaluation_mask(b.predictions).groupBy("target_day").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("F5_confidence_filter", PV + """
-SELECT row_id, round(width, 6) AS width FROM predictions
-WHERE target_day = 30 AND width <= (SELECT quantile_cont(width, 0.2) FROM predictions WHERE target_day = 30)""")
+_CONF = """, conf AS (SELECT p.* FROM predictions p JOIN (
+  SELECT target_day, quantile_cont(width, 0.2) AS w FROM predictions GROUP BY target_day) q
+  ON p.target_day = q.target_day AND p.width <= q.w)"""
+
+
+@query("F5_confidence_filter", PV + _CONF + """
+SELECT target_day, row_id, round(width, 6) AS width FROM conf""")
 def f5(b: Bridge) -> DataFrame:
-    p = b.predictions.where(F.col("target_day") == 30)
-    return M.confidence_filter(p, "width", 0.8).select("row_id", r6("width").alias("width"))
+    return M.confidence_filter(b.predictions, "width", 0.8, ["target_day"]).select(
+        "target_day", "row_id", r6("width").alias("width"))
 
 
-_T1_SQL = PV + """
-, conf AS (SELECT * FROM predictions WHERE target_day = 30
-           AND width <= (SELECT quantile_cont(width, 0.2) FROM predictions WHERE target_day = 30)),
-top AS (SELECT row_id, p50, p50 - 0.5 AS roas_improvement FROM conf ORDER BY roas_improvement DESC, row_id LIMIT 10)"""
+_T1_SQL = PV + _CONF + """,
+top AS (SELECT * FROM (SELECT target_day, row_id, p50, p50 - 0.5 AS roas_improvement,
+          ROW_NUMBER() OVER (PARTITION BY target_day ORDER BY p50 - 0.5 DESC, row_id) AS place FROM conf) WHERE place <= 10)"""
 
 
 @query("T1_top_recommendations", _T1_SQL + """
-SELECT row_id, round(p50, 6) AS p50, round(roas_improvement, 6) AS roas_improvement,
+SELECT target_day, row_id, round(p50, 6) AS p50, round(roas_improvement, 6) AS roas_improvement,
   printf('Predicted ROAS %.3f vs target %.3f (improvement: %.3f)', p50, 0.5, roas_improvement) AS recommendation_reason
 FROM top""")
 def t1(b: Bridge) -> DataFrame:
-    r = M.recommend(b.predictions.where(F.col("target_day") == 30), 0.5, 10, 0.8)
-    return r.select("row_id", r6("p50").alias("p50"), r6("roas_improvement").alias("roas_improvement"),
+    r = M.recommend(b.predictions, 0.5, 10, 0.8, by=["target_day"])
+    return r.select("target_day", "row_id", r6("p50").alias("p50"), r6("roas_improvement").alias("roas_improvement"),
                     "recommendation_reason")
 
 
 @query("A23_recommendation_summary", _T1_SQL + """
-SELECT round(AVG(roas_improvement), 6) AS avg_improvement, round(MAX(roas_improvement), 6) AS max_improvement,
-  round(AVG(p50), 6) AS avg_roas, COUNT(*) AS n FROM top""")
+SELECT target_day, round(AVG(roas_improvement), 6) AS avg_improvement, round(MAX(roas_improvement), 6) AS max_improvement,
+  round(AVG(p50), 6) AS avg_roas, COUNT(*) AS n FROM top GROUP BY target_day""")
 def a23(b: Bridge) -> DataFrame:
-    r = M.recommend(b.predictions.where(F.col("target_day") == 30), 0.5, 10, 0.8)
-    s = M.recommendation_summary(r)
-    return _r(s, ["n"], ["avg_improvement", "max_improvement", "avg_roas"])
+    r = M.recommend(b.predictions, 0.5, 10, 0.8, by=["target_day"])
+    s = M.recommendation_summary(r, by=["target_day"])
+    return _r(s, ["target_day", "n"], ["avg_improvement", "max_improvement", "avg_roas"])
 
 
 @query("X14_X19_campaign_advice", PV + f"""
@@ -283,10 +290,27 @@ def j6(b: Bridge) -> DataFrame:
 
 
 @query("J8_attach_actions", PV + f"""
-SELECT p.row_id, p.target_day, a.action FROM predictions p
-LEFT JOIN (SELECT row_id, target_day, {ACTION_SQL} AS action FROM predictions WHERE target_day = 30) a
+SELECT a.row_id, a.target_day, p.action FROM actuals a
+LEFT JOIN (SELECT row_id, target_day, {ACTION_SQL} AS action FROM predictions) p
   ON p.row_id = a.row_id AND p.target_day = a.target_day""")
 def j8(b: Bridge) -> DataFrame:
-    p = b.predictions
-    acts = M.action_members(p.where(F.col("target_day") == 30)).select("row_id", "target_day", "action")
-    return p.select("row_id", "target_day").join(acts, ["row_id", "target_day"], "left")
+    acts = M.action_members(b.predictions).select("row_id", "target_day", "action")
+    return b.actuals.select("row_id", "target_day").join(acts, ["row_id", "target_day"], "left")
+
+
+@query("A9_action_members", PV + f"""
+SELECT target_day, {ACTION_SQL} AS action, row_id, game, platform, channel, country, round(cost, 6) AS cost,
+  round(p50, 6) AS p50, round(width, 6) AS width FROM predictions""")
+def a9_members(b: Bridge) -> DataFrame:
+    """The campaign list of every action, as rows."""
+    m = M.action_members(b.predictions)
+    return m.select("target_day", "action", "row_id", *HIERARCHY, r6("cost").alias("cost"), r6("p50").alias("p50"),
+                    r6("width").alias("width"))
+
+
+@query("A18_residual_pairs", PV + """
+SELECT row_id, target_day, round(actual, 6) AS actual, round(p50, 6) AS p50, round(actual - p50, 6) AS residual
+FROM predictions WHERE actual IS NOT NULL AND p50 IS NOT NULL""")
+def a18_pairs(b: Bridge) -> DataFrame:
+    r = M.residual_pairs(b.predictions)
+    return r.select("row_id", "target_day", *[r6(c).alias(c) for c in ("actual", "p50", "residual")])
