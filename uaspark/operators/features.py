@@ -121,14 +121,21 @@ def derived_features(df: DataFrame) -> DataFrame:
 
 def one_hot(df: DataFrame, col: str, prefix: str, values: Sequence[str]) -> DataFrame:
     """0/1 columns for the given vocabulary.  The vocabulary is an
-    argument (from ``distinct_values`` or ``top_values``), so the plan's
+    argument (from ``vocabularies`` or ``top_values``), so the plan's
     column list is fixed before any data is read."""
     return df.select("*", *[(F.col(col) == F.lit(v)).cast("int").alias(f"{prefix}_{v}") for v in values])
 
 
-def distinct_values(df: DataFrame, col: str) -> list[str]:
-    """Sorted vocabulary of a low-cardinality dimension (one distinct aggregate)."""
-    return [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).collect()]
+def vocabularies(df: DataFrame, cols: Sequence[str], max_values: int = 1_000) -> dict[str, list[str]]:
+    """Sorted values of low-cardinality dimensions, all in one pass; more than
+    ``max_values`` of one are an error (use a hashed or sparse encoding then)."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])).alias("e"))
+    found = long.where("e.v IS NOT NULL").select("e.*").distinct().limit(max_values * len(cols) + 1).collect()
+    out = {c: sorted(r["v"] for r in found if r["c"] == c) for c in cols}
+    for c, values in out.items():
+        if len(values) > max_values or len(found) > max_values * len(cols):
+            raise ValueError(f"{c} has more than {max_values} values")
+    return out
 
 
 def g2_basics(df: DataFrame) -> DataFrame:

@@ -30,6 +30,8 @@ COHORT_DAYS = [0, 1, 2, 3, 7, 14, 21]
 LEVELS = [4, 8, 10, 12, 14, 16, 20]
 CAMPAIGN_KEYS = 8
 COST_WINDOW_DAYS = 13
+QUESTION_WORDS = ["break-even", "r2", "best platform", "driver", "expected roas", "budget", "volume", "retention", "payback",
+                  "projection", "compare", "hm"]
 NETWORKS = ["unity_ads", "mistplay", "facebook", "google"]
 TARGET_DAYS = [7, 30]
 KIND_WORDS = ["Adspend and Revenue data", "retention", "ROAS data", "Level Progression", "cost report",
@@ -281,6 +283,28 @@ class Bridge:
         return (self.t("conversations", ["conv_id", "turn", "role", "text"])
                     .where(F.col("role") == "user").select("conv_id", "turn", "text"))
 
+    @cached_property
+    def keyed_questions(self) -> DataFrame:
+        """Questions with a keyword picked by key, so that every route occurs."""
+        words = F.array(*[F.lit(w) for w in QUESTION_WORDS])
+        pick = F.element_at(words, ((F.col("conv_id") + F.col("turn")) % len(QUESTION_WORDS) + 1).cast("int"))
+        return self.questions.select("conv_id", "turn", F.concat("text", F.lit(" "), pick).alias("text"))
+
+    @cached_property
+    def replies(self) -> DataFrame:
+        """Model replies about each question: fenced in two ways, plain, or no JSON,
+        with entries that must be skipped."""
+        t = F.col("turn").cast("string")
+        body = F.concat(F.lit('{"recommendations": [{"row_index": '), t, F.lit(', "action": " scale ", "rationale": "r'),
+                        F.col("conv_id").cast("string"), F.lit('", "budget_change_pct": 10.5},\n{"row_index": "x", "action": "cut"},'
+                        ' {"row_index": "'), (F.col("turn") + 1).cast("string"),
+                        F.lit('", "action": "cut", "budget_change_pct": "much"}]}'))
+        k = F.col("conv_id") % 4
+        text = (F.when(k == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```\nThanks")))
+                 .when(k == 1, F.concat(F.lit("  ```\n"), body, F.lit("\n```"))).when(k == 2, body)
+                 .otherwise(F.concat(F.lit("no advice: "), F.col("text"))))
+        return self.questions.select("conv_id", "turn", text.alias("reply"))
+
     @cached_property
     def usage_events(self) -> DataFrame:
         cv = self.t("conversations", ["conv_id", "turn", "role", "text"])

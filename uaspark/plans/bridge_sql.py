@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from ..functions.naming import canonical_name_sql, model_name_sql
 from .bridge import (CAMPAIGN_KEYS, COHORT_DAYS, COST_WINDOW_DAYS, D7_SHARE, KIND_WORDS, LEVELS,
-                     NETWORKS, TARGET_DAYS)
+                     NETWORKS, QUESTION_WORDS, TARGET_DAYS)
 
 
 def _dec(e: str) -> str:
@@ -169,6 +169,10 @@ FROM orders""")
 
 VIEWS["questions"] = ([], "SELECT conv_id, turn, text FROM conversations WHERE role = 'user'")
 
+_words = ", ".join(f"'{w}'" for w in QUESTION_WORDS)
+VIEWS["keyed_questions"] = (["questions"], f"""
+SELECT conv_id, turn, text || ' ' || [{_words}][CAST((conv_id + turn) % {len(QUESTION_WORDS)} + 1 AS INTEGER)] AS text FROM questions""")
+
 VIEWS["usage_events"] = ([], """
 SELECT conv_id, turn, role AS kind,
        CASE WHEN conv_id % 2 = 0 THEN 'gpt-5-mini' ELSE 'gpt-4o' END AS model,

