@@ -326,3 +326,87 @@ def test_streaming_ingest_available_now(spark, tmp_dir):
     q.awaitTermination(120)
     out = spark.read.parquet(os.path.join(tmp_dir, "out"))
     assert sorted(r["cost"] for r in out.collect()) == [1.0, 2.0]  # each file exactly once
+
+
+# ---- model bundles (S17, M9), answers (X26), replies (X28) ----------------------
+
+def test_saved_models_predict_the_same(spark, tmp_dir):
+    rng = np.random.default_rng(5)
+    x = rng.uniform(size=(200, 2))
+    df = spark.createDataFrame([(i, float(a), float(b), float(3 * a + b)) for i, (a, b) in enumerate(x)],
+                               "id long, a double, b double, y double")
+    models = BO.fit_quantile_triple(df, ["a", "b"], "y", n_rounds=3, max_depth=3, min_instances=5)
+    datasets = spark.createDataFrame([("d1", dt.date(2024, 1, 31)), ("d2", dt.date(2024, 3, 31))], "id string, data_end_date date")
+    record = R.register_model(spark, tmp_dir, models, "m", 30, datasets, {"mae": 0.5})
+    again = R.register_model(spark, tmp_dir, models, "m", 30, datasets)
+    assert (record["version"], again["version"], record["train_end_date"]) == (1, 2, "2024-03-31")
+    loaded, info = BO.load_models(spark, record["artifact_path"])
+    assert info["metrics"] == {"mae": 0.5}
+    show = lambda m: [tuple(r) for r in BO.predict_quantiles(m, df, sort_quantiles=True).orderBy("id").collect()]
+    before, after = show(models), show(loaded)
+    assert before == after and all(r[-4] <= r[-3] <= r[-2] for r in after)
+
+
+def test_cross_validation_counts_zero_labels(spark):
+    df = spark.createDataFrame([(i, float(i % 7), 0.0 if i % 2 else 1.0) for i in range(60)], "id long, a double, y double")
+    out = BO.cross_validate_median(df, ["a"], "y", "id", folds=2, n_rounds=1, max_depth=2, min_instances=2).collect()
+    assert sum(r["n"] for r in out) == 60
+
+
+def test_roi_answers(spark):
+    from uaspark.operators import answers as A
+    curve = lambda rows: A.roi_answer(spark.createDataFrame(rows, "day int, value double")).first()["answer"]
+    assert curve([(7, 1.2), (0, 0.5)]) == ("Based on the data, ROI of 100% (ROAS = 1.0) is achieved at roas_d7. "
+                                           "The ROAS progression shows: roas_d0: 0.500, roas_d7: 1.200")
+    assert curve([(7, 0.9), (0, 0.5)]).startswith("ROI of 100% is not achieved in the available data. Maximum ROAS is 0.900 at roas_d7.")
+
+
+def test_reply_parsing(spark):
+    from uaspark.operators import answers as A
+    replies = [("a", '```json\n{"recommendations": [{"row_index": 1, "action": " cut ", "budget_change_pct": -5},'
+                     ' {"row_index": 1, "action": "scale"}, {"action": "x"}]}\n```\nbye'),
+               ("b", "```\n{\"recommendations\": [{\"row_index\": \"2\", \"rationale\": \"r\"}]}\n```"), ("c", "sorry"), ("d", None),
+               ("e", '{"recommendations": []}'), ("f", "")]
+    got = A.parse_replies(spark.createDataFrame(replies, "k string, t string"), "t", ["k"]).collect()
+    assert sorted(tuple(r) for r in got) == [("a", 1, "scale", "", None), ("b", 2, "", "r", None)]
+
+
+def test_names_stay_unique_after_renaming(spark):
+    clash = "n_" + __import__("hashlib").md5(b"b").hexdigest()[:6]
+    rows = [("a", "n", 1), ("b", "n", 2), ("c", clash, 3), ("d", "x" * 80, 4), ("e", "x" * 80, 5)]
+    out = R.unique_names(spark.createDataFrame(rows, "id string, canonical_name string, ingest_started_at int")).collect()
+    names = [r["unique_name"] for r in out]
+    assert len(set(names)) == 5 and max(map(len, names)) <= 80
+
+
+def test_keyword_tables_are_the_published_ones():
+    from uaspark.functions import text as TX
+    assert [k for k, _ in TX.INTENT_KEYWORDS] == ["roi_timeline", "budget_action", "projection_same_spend",
+                                                  "level_quality_channels", "forecast_vs_actual"]
+    assert ADV.ACTION_RULES == [(1.5, 0.5, "scale"), (1.0, 0.8, "maintain"), (0.5, None, "reduce")]
+    assert ADV.CONFIDENCE_RULES == [(0.1, "High"), (0.2, "Medium")]
+
+
+def test_profile_and_payload_helpers(spark):
+    from uaspark.operators import profile as P
+    df = spark.createDataFrame([(2, "b", None), (1, "a", 0.5)], "roas_d7 int, platform string, cost double")
+    assert {r["family"]: r["n"] for r in P.feature_summary(df).collect()} == {
+        "retention_features": 0, "roas_features": 1, "level_features": 0, "cost_features": 1, "platform_features": 1,
+        "total_features": 3, "numeric_features": 2, "string_features": 1}
+    assert P.schema_fingerprint(df) == P.schema_fingerprint(df.select("cost", "platform", "roas_d7"))
+    assert P.schema_fingerprint(df) != P.schema_fingerprint(df.limit(1))
+    assert P.feature_set_fingerprint(["b", "a"]) == P.feature_set_fingerprint(["a", "b"])
+    assert [r["payload"] for r in C.compact_payload(df, ["roas_d7"], 1).collect()] == ['{"roas_d7":"1","platform":"a","cost":"0.5"}']
+    assert C.numeric_only(df, ["cost"]).columns == ["roas_d7"]
+    assert C.top_features(df, ["cost", "x", "roas_d7"], 1).columns == ["platform", "cost"]
+    assert C.first_existing_column(df, ["x", "cost"]) == "cost"
+    assert spark.range(1).select(C.first_element(F.array(F.lit(4), F.lit(5))).alias("x")).first()["x"] == 4
+    assert [r["roas_d7"] for r in SRC.preview(df, ["roas_d7"], 1).collect()] == [1]
+
+
+def test_exports_and_runs(spark, tmp_dir):
+    df = spark.createDataFrame([(1, 0.5)], "row_index int, p50 double")
+    R.export_csv(df, os.path.join(tmp_dir, "csv"))
+    assert SRC.read_csv_file(spark, os.path.join(tmp_dir, "csv")).first()["p50"] == "0.5"
+    R.write_prediction_run(df, tmp_dir, "run-1")
+    assert R.read_prediction_run(spark, tmp_dir, "run-1").count() == 1 and R.read_prediction_run(spark, tmp_dir, "x").count() == 0

@@ -206,13 +206,17 @@ class Bridge:
                         actual.alias("actual"),
                         split_bucket(F.col("row_id")).alias("split_bucket"))
 
+    @cached_property
+    def baseline(self) -> DataFrame:
+        from ..operators.forecast import segment_quantile_forecast
+        return segment_quantile_forecast(self.actuals, ["platform", "channel", "target_day"],
+                                         "actual", train_col="split_bucket")
+
     @cached_property
     def predictions(self) -> DataFrame:
         """Segment quantiles, moved per row by key arithmetic so that every tier,
         action, confidence level and clip occurs."""
-        from ..operators.forecast import segment_quantile_forecast
-        q = segment_quantile_forecast(self.actuals, ["platform", "channel", "target_day"],
-                                      "actual", train_col="split_bucket")
+        q = self.baseline
         key = F.col("row_id")
         level = F.when(key % 101 == 0, 40.0).otherwise((key % 17 + 1) * 0.25)
         spread = F.when(key % 3 == 0, 0.02).otherwise((key % 11 + 1) / 12.0)

@@ -16,11 +16,12 @@ BOOST_FEATURES = ["installs", "cost", "ad_revenue"]
 BOOST_KW = {"n_rounds": 3, "max_depth": 3, "min_instances": 10, "learning_rate": 0.5, "checkpoint_every": 2}
 
 
-@query("M4_segment_quantiles", with_views("predictions") + """
-SELECT DISTINCT platform, channel, target_day, round(p10, 6) AS p10, round(p50, 6) AS p50, round(p90, 6) AS p90
-FROM predictions""")
+@query("M4_segment_quantiles", with_views("actuals") + """
+SELECT platform, channel, target_day, round(quantile_cont(actual, 0.1), 6) AS p10, round(quantile_cont(actual, 0.5), 6) AS p50,
+  round(quantile_cont(actual, 0.9), 6) AS p90
+FROM actuals WHERE split_bucket <> 0 GROUP BY platform, channel, target_day""")
 def m4(b: Bridge) -> DataFrame:
-    p = b.predictions
+    p = b.baseline.where(F.col("split_bucket") != 0)
     return p.select("platform", "channel", "target_day", r6("p10").alias("p10"), r6("p50").alias("p50"),
                     r6("p90").alias("p90")).distinct()
 

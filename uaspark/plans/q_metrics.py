@@ -182,16 +182,21 @@ def a15(b: Bridge) -> DataFrame:
 
 
 @query("F2_nonnull_target", with_views("cohort_wide") + """
-SELECT campaign_key, round(roas_d21, 6) AS roas_d21 FROM cohort_wide WHERE roas_d21 IS NOT NULL""")
+SELECT campaign_key, round(roas_d21, 6) AS roas_d21 FROM cohort_wide WHERE roas_d21 IS NOT NULL AND campaign_key % 3 <> 0""")
 def f2(b: Bridge) -> DataFrame:
     from ..operators.booster import nonnull_target
-    return nonnull_target(b.cohort_wide, "roas_d21").select("campaign_key", r6("roas_d21").alias("roas_d21"))
+    some = b.cohort_wide.withColumn("roas_d21", F.when(F.col("campaign_key") % 3 != 0, F.col("roas_d21")))
+    return nonnull_target(some, "roas_d21").select("campaign_key", r6("roas_d21").alias("roas_d21"))
 
 
 @query("F3_evaluation_mask", PV + f"""
-SELECT target_day, COUNT(*) AS n FROM predictions WHERE {_MASK} GROUP BY target_day""")
+SELECT target_day, COUNT(*) AS n FROM (SELECT * REPLACE (CASE WHEN row_id % 5 = 0 THEN NULL WHEN row_id % 5 = 1 THEN 0.0
+  WHEN row_id % 5 = 2 THEN 'nan'::DOUBLE ELSE actual END AS actual) FROM predictions) WHERE {_MASK} GROUP BY target_day""")
 def f3(b: Bridge) -> DataFrame:
-    return M.evaluation_mask(b.predictions).groupBy("target_day").agg(F.count(F.lit(1)).alias("n"))
+    """Actuals of which some are missing, zero or no number."""
+    k = F.col("row_id") % 5
+    some = F.when(k == 0, F.lit(None)).when(k == 1, 0.0).when(k == 2, float("nan")).otherwise(F.col("actual"))
+    return M.evaluation_mask(b.predictions.withColumn("actual", some)).groupBy("target_day").agg(F.count(F.lit(1)).alias("n"))
 
 
 _CONF = """, conf AS (SELECT p.* FROM predictions p JOIN (

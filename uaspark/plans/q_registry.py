@@ -83,12 +83,14 @@ def j9(b: Bridge) -> DataFrame:
 
 
 @query("J10_unique_names", with_views("registry_dataset") + """
-, f AS (SELECT canonical_name, arg_min(id, (ingest_started_at, id)) AS first_id FROM registry_dataset GROUP BY canonical_name)
-SELECT d.id, CASE WHEN d.id = f.first_id THEN d.canonical_name
-                  ELSE d.canonical_name || '_' || substr(md5(d.id), 1, 6) END AS unique_name
-FROM registry_dataset d JOIN f ON d.canonical_name = f.canonical_name""")
+, d AS (SELECT id, ingest_started_at, substr(canonical_name, 1, 6) AS name FROM registry_dataset),
+f AS (SELECT name, arg_min(id, (ingest_started_at, id)) AS first_id FROM d GROUP BY name)
+SELECT d.id, CASE WHEN d.id = f.first_id THEN d.name
+                  ELSE d.name || '_' || substr(md5(d.id), 1, 6) END AS unique_name
+FROM d JOIN f ON d.name = f.name""")
 def j10(b: Bridge) -> DataFrame:
-    return R.unique_names(b.registry_dataset)
+    """Names cut to the game, so that many datasets share one."""
+    return R.unique_names(b.registry_dataset.withColumn("canonical_name", F.substring("canonical_name", 1, 6)))
 
 
 @query("X20_X21_canonical_names", with_views("registry_dataset") + f"""

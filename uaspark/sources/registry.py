@@ -8,14 +8,16 @@ Writes happen on the driver after the producing action succeeded.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from ..operators.ordered import first_per_key
+from ..session import cut_lineage
 
 DATASET = "dataset"
 MODEL_VERSION = "model_version"
@@ -76,7 +78,7 @@ def get_datasets(datasets: DataFrame, platform: str | None = None, game: str | N
         d = d.where(F.col(platform_col) == platform)
     if game:
         d = d.where(F.col("game").ilike(f"%{game}%"))
-    return d.orderBy(F.desc("ingest_started_at"))
+    return d.orderBy(F.desc("ingest_started_at"), "id")
 
 
 def get_by_id(table: DataFrame, id_: str) -> DataFrame:
@@ -126,15 +128,46 @@ def runs_with_parents(runs: DataFrame, mv: DataFrame, datasets: DataFrame) -> Da
                 .select("id", "model_name", "canonical_name"))
 
 
-def unique_names(datasets: DataFrame, suffix_len: int = 6) -> DataFrame:
-    """The earliest dataset keeps its canonical name; later ones with the
-    same name get ``_<short id>``.  The earliest per name is one partial
-    aggregation (``min_by``), joined back on the name."""
-    first = first_per_key(datasets, ["canonical_name"], ["ingest_started_at", "id"], "id", "first_id")
-    j = datasets.select("id", "canonical_name").join(first, "canonical_name")
-    name = F.when(F.col("id") == F.col("first_id"), F.col("canonical_name")).otherwise(
-        F.concat(F.col("canonical_name"), F.lit("_"), F.substring(F.md5(F.col("id")), 1, suffix_len)))
-    return j.select("id", name.alias("unique_name"))
+def unique_names(datasets: DataFrame, suffix_len: int = 6, max_length: int = 80, max_rounds: int = 8) -> DataFrame:
+    """The earliest dataset keeps its canonical name; later ones with the same
+    name get ``_<short id>`` (a digest of the id), cut to ``max_length`` before the
+    suffix.  While two names still agree, the later ones get a longer digest.  The
+    earliest per name is one partial aggregation (``min_by``), joined on the name."""
+    rows = datasets.select("id", "ingest_started_at", F.col("canonical_name").alias("_base"), F.col("canonical_name").alias("_name"))
+    for step in range(max_rounds):
+        first = rows.groupBy("_name").agg(F.min_by("id", F.struct("ingest_started_at", "id")).alias("_first"),
+                                          F.count(F.lit(1)).alias("_n"))
+        size = min(32, suffix_len * (step + 1))
+        suffix = F.concat(F.lit("_"), F.substring(F.md5("id"), 1, size))
+        renamed = F.concat(F.substring("_base", 1, max_length - size - 1), suffix)
+        rows = rows.join(first, "_name").select(
+            "id", "ingest_started_at", "_base",
+            F.when(F.col("id") == F.col("_first"), F.col("_name")).otherwise(renamed).alias("_name"))
+        rows = cut_lineage(rows)
+        if rows.groupBy("_name").count().where("count > 1").isEmpty():
+            break
+    return rows.select("id", F.col("_name").alias("unique_name"))
+
+
+def register_model(spark: SparkSession, root: str, models: Mapping, model_name: str, target_day: int,
+                   datasets: DataFrame, metrics: Mapping | None = None) -> dict:
+    """M9: save the bundle as the next version of ``model_name`` and append its
+    registry row; ``train_end_date`` is the latest end of the training datasets."""
+    from ..operators.booster import save_models
+
+    try:
+        have = read_registry(spark, root, MODEL_VERSION).where(F.col("model_name") == model_name)
+        last = have.agg(F.max("version")).first()[0] or 0
+    except AnalysisException:       # no registry yet
+        last = 0
+    end = datasets.agg(F.max("data_end_date")).first()[0]
+    record = {"id": str(uuid.uuid4()), "model_name": model_name, "version": last + 1, "target_day": target_day,
+              "train_end_date": str(end), "artifact_path": f"{root}/artifacts/{model_name}/v{last + 1}",
+              "metrics_json": json.dumps(dict(metrics or {}), sort_keys=True)}
+    save_models(dict(models), record["artifact_path"], spark, {"metrics": dict(metrics or {}), "train_end_date": str(end)})
+    append_record(spark, root, MODEL_VERSION, record, "id string, model_name string, version int, target_day int, "
+                  "train_end_date string, artifact_path string, metrics_json string")
+    return record
 
 
 def training_scope(datasets: DataFrame, platform: str) -> DataFrame:
