@@ -410,3 +410,13 @@ def test_exports_and_runs(spark, tmp_dir):
     assert SRC.read_csv_file(spark, os.path.join(tmp_dir, "csv")).first()["p50"] == "0.5"
     R.write_prediction_run(df, tmp_dir, "run-1")
     assert R.read_prediction_run(spark, tmp_dir, "run-1").count() == 1 and R.read_prediction_run(spark, tmp_dir, "x").count() == 0
+
+
+def test_call_logs(spark, tmp_dir):
+    logs = os.path.join(tmp_dir, "logs")
+    _write(os.path.join(logs, "faq_ask_20240105_101112_000123.json"), '{\n  "question": "why?",\n  "save_raw": true\n}')
+    _write(os.path.join(logs, "odd.json"), '{"question": "x"}')
+    got = {r["source_file"]: (r["question"], r["kind"], r["logged_at"])
+           for r in SRC.read_call_logs(spark, logs, "question string, save_raw boolean").collect()}
+    assert got["faq_ask_20240105_101112_000123.json"] == ("why?", "faq_ask", dt.datetime(2024, 1, 5, 10, 11, 12, 123))
+    assert got["odd.json"] == ("x", None, None)

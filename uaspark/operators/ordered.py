@@ -72,7 +72,3 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
                   name: str) -> DataFrame:
     ordering = F.struct(*[F.col(c) for c in order_cols])
     return df.groupBy(*keys).agg(F.min_by(F.col(value_col), ordering).alias(name))
-
-
-def ordered_col(c: str) -> Column:
-    return F.col(c)

@@ -38,18 +38,7 @@ def r6(c: Column | str) -> Column:
     return F.round(col.cast("double"), 6)
 
 
-def money_sum(c: Column | str) -> Column:
-    """Exact sum of money values (4 decimals) - order-independent, so every
-    engine and every partitioning gives the same digits."""
-    col = F.col(c) if isinstance(c, str) else c
-    return F.sum(col.cast("decimal(38,4)")).cast("double")
-
-
-def money_sum_sql(e: str) -> str:
-    return f"CAST(SUM(CAST({e} AS DECIMAL(38,4))) AS DOUBLE)"
-
-
 def load_all() -> None:
     """Import every query module so that its decorators run."""
-    from . import (q_clean, q_curves, q_features, q_forecast, q_metrics,  # noqa: F401
+    from . import (q_clean, q_curves, q_features, q_forecast, q_metrics, q_more,  # noqa: F401
                    q_profile, q_registry, q_stream, q_text)

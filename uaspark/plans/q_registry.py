@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.naming import artifact_path, is_valid_name, is_valid_name_sql
-from ..operators.ordered import dense_row_index, first_per_key, latest_per_key
+from ..operators.ordered import dense_row_index, latest_per_key
 from ..operators.sets import common_rows
 from ..sources import registry as R
 from .bridge import HIERARCHY, Bridge
@@ -125,5 +125,3 @@ def u4(b: Bridge) -> DataFrame:
     test = b.predictions.where(F.col("split_bucket") == 0).select("row_id").distinct()
     return common_rows(b.actuals, test).groupBy("target_day").agg(F.count(F.lit(1)).alias("n"))
 
-
-_ = first_per_key  # re-exported helper used by registry.unique_names

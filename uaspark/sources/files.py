@@ -144,6 +144,18 @@ def read_csv_file(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
+def read_call_logs(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Call logs, one JSON document per file, with ``kind`` and ``logged_at``
+    from names like ``<kind>_<yyyymmdd>_<hhmmss>_<micros>.json``."""
+    name = F.regexp_extract("source_file", r"^(.*)_(\d{8}_\d{6})_(\d{1,6})\.json$", 1)
+    stamp = F.concat_ws(".", F.regexp_extract("source_file", r"_(\d{8}_\d{6})_\d{1,6}\.json$", 1),
+                        F.rpad(F.regexp_extract("source_file", r"_(\d{1,6})\.json$", 1), 6, "0"))
+    logs = (spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
+            .select("*", _decoded(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)).alias("source_file")))
+    return logs.select("*", F.when(name != "", name).alias("kind"),
+                       F.try_to_timestamp(stamp, F.lit("yyyyMMdd_HHmmss.SSSSSS")).alias("logged_at"))
+
+
 def preview(df: DataFrame, order_cols: Sequence[str], n: int = 20) -> DataFrame:
     """The first ``n`` rows in ``order_cols`` (the limit is the feature)."""
     return df.orderBy(*order_cols).limit(n)
