@@ -10,16 +10,20 @@ each, so only these prefixes are shuffled and joined.  Pairs pass
 
 * the length filter: t * larger <= smaller;
 * the positional filter: what stands after the shared shingle must suffice;
-* the suffix filter: the sets' counts in ``BINS`` hash ranges bound the overlap;
+* the suffix filter: the numbers of shingles of the two sets in equal ranges of
+  the hash bound the overlap (about two ranges a shingle);
 
-and are then verified once on the whole sets.
+and are then verified once on the whole sets.  Whole sets are read again from
+the texts, for documents of pairs that passed all filters only (a Bloom filter
+of bounded size names them, so texts are never shuffled).
 
 Groups of a shingle are never expanded into all pairs.  Each member is first
 paired with the first, the last and the preceding member of its group; verified
 links give components.  Only members of groups that still span several
-components are paired further (a second linear round in another order, then the
-exact rest: each pair whose ends lie in different components, at its first
-common prefix shingle).  A pair inside one component can't change the result.
+components are paired further: a second linear round in another order, then the
+exact rest.  There, every member outside a group's largest component meets all
+members of other components, in tiles of bounded size that return only the pairs
+which pass the filters.  A pair inside one component can't change the result.
 A frequent shingle's group is cut into subgroups by node, whose first members
 meet in a group of their own.
 
@@ -32,18 +36,26 @@ Shingles are told apart by 64-bit hashes and sets by a 64-bit digest.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import bloom
 from .store import components, stored
 from .texts import chain, mix, pieces, word_hashes
 
-BINS = 16
+#: A set of n shingles is counted in 2 n to 4 n ranges of the hash, within these bounds.
+MIN_RANGES, MAX_RANGES = 16, 1 << 17
+#: Members of a group, sets and searching nodes that meet in one tile, about.
+MEMBERS, TILE_SETS, TILE_NODES = 512, 8192, 2048
+#: Shingles that are counted one by one: from this many prefixes on, this many at most.
+LEAST_FREQUENT, MAX_FREQUENT = 2, 4_000_000
+#: Bits of the hash that name a bucket of the first count, and a flag of the second.
+BUCKET_BITS, FLAG_BITS = 16, 23
 FACT_DOC, FACT_BUCKET = 0, 1
 
 
@@ -63,45 +75,129 @@ def _node(items: np.ndarray) -> int:
     return int(mix(np.array([mix(items).sum() + np.uint64(len(items))], np.uint64)).view(np.int64)[0])
 
 
-def _facts(docs: DataFrame, words: int, bits: int) -> DataFrame:
-    """Rows (kind, doc_id, a, b): per document its set size and node; per task
-    and bucket the number of shingle occurrences."""
+_WIDTHS = (np.uint8, np.uint16, np.uint32)
+
+
+def _ranges(items: np.ndarray) -> bytes:
+    """Numbers of items in equal ranges of the hash (a power of two of them); the
+    last byte tells the width of a number."""
+    many = min(MAX_RANGES, max(MIN_RANGES, 1 << (2 * len(items)).bit_length()))
+    counts = np.bincount((items >> np.uint64(64 - many.bit_length() + 1)).astype(np.int64), minlength=many)
+    width = int(np.searchsorted([0xFF, 0xFFFF], counts.max()))
+    return counts.astype(_WIDTHS[width]).tobytes() + bytes([width])
+
+
+def _read_ranges(ranges: bytes) -> np.ndarray:
+    return np.frombuffer(ranges[:-1], _WIDTHS[ranges[-1]])
+
+
+def _most_common(a: np.ndarray, b: np.ndarray) -> int:
+    """The overlap that two sets can have by their ranges."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) < len(b):
+        b = b.reshape(len(a), -1).sum(1)
+    return int(np.minimum(a, b).sum(dtype=np.int64))
+
+
+def _facts(docs: DataFrame, words: int) -> DataFrame:
+    """Rows (kind, doc_id, a, b, ranges): per document its set size, node and
+    ranges; per task and bucket the number of shingle occurrences."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "doc_id", "a", "b"]
-        counts = np.zeros(1 << bits, np.int64)
+        names = ["kind", "doc_id", "a", "b", "ranges"]
+        counts = np.zeros(1 << BUCKET_BITS, np.int64)
         for batch in pieces(batches, "text"):
             sets = shingle_sets(batch.column("text"), words)
             every = np.concatenate(sets)
-            counts += np.bincount((every >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+            counts += np.bincount(_bucket(every), minlength=1 << BUCKET_BITS)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(sets), FACT_DOC, np.int8)), batch.column("doc_id"),
                  pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([_node(s) for s in sets], pa.int64())], names)
+                 pa.array([_node(s) for s in sets], pa.int64()),
+                 pa.array([_ranges(s) for s in sets], pa.binary())], names)
         used = np.flatnonzero(counts)
-        for i in range(0, len(used), 1 << 16):
-            part = used[i:i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(part), FACT_BUCKET, np.int8)), pa.nulls(len(part), pa.int64()),
-                 pa.array(part), pa.array(counts[part])], names)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(used), FACT_BUCKET, np.int8)), pa.nulls(len(used), pa.int64()),
+             pa.array(used), pa.array(counts[used]), pa.nulls(len(used), pa.binary())], names)
 
-    return docs.mapInArrow(run, "kind byte, doc_id long, a long, b long")
+    return docs.mapInArrow(run, "kind byte, doc_id long, a long, b long, ranges binary")
 
 
-def _bucket_counts(facts: DataFrame, bits: int) -> np.ndarray:
+def _bucket_counts(facts: DataFrame) -> np.ndarray:
     found = (facts.filter(F.col("kind") == FACT_BUCKET).groupBy("a").agg(F.sum("b").alias("b"))).toArrow()
-    counts = np.zeros(1 << bits, np.int64)
+    counts = np.zeros(1 << BUCKET_BITS, np.int64)
     counts[found.column("a").to_numpy()] = found.column("b").to_numpy()
     return counts
 
 
-def _prefixes(docs: DataFrame, words: int, percent: int, counts: np.ndarray, bits: int, hot_rows: int) -> DataFrame:
+@dataclass
+class Order:
+    """Which shingles are frequent: a function of the hash, alike in all tasks."""
+    buckets: np.ndarray                 # level of each hash bucket, 0 unless far above the mean
+    parts: np.ndarray | None            # subgroups of each bucket's shingles, if any has several
+    hashes: np.ndarray                  # sorted hashes of shingles counted one by one ...
+    levels: np.ndarray                  # ... their levels ...
+    flags: np.ndarray | None            # ... and which leading bits they have
+
+    @staticmethod
+    def of_counts(counts: np.ndarray, hot_rows: int) -> Order:
+        usual = 4 * max(1.0, counts.mean())
+        parts = (1 + np.maximum(0, counts - usual) // hot_rows).astype(np.int32)
+        return Order(np.where(counts > usual, _level(counts), 0).astype(np.uint8),
+                     parts if parts.max(initial=1) > 1 else None, np.empty(0, np.uint64), np.empty(0, np.uint8), None)
+
+    def refined(self, hashes: np.ndarray, levels: np.ndarray) -> Order:
+        sort = np.argsort(hashes)
+        flags = np.zeros(1 << FLAG_BITS, bool)
+        flags[(hashes >> np.uint64(64 - FLAG_BITS)).astype(np.int64)] = True
+        return replace(self, hashes=hashes[sort], levels=levels[sort], flags=flags)
+
+    def level(self, items: np.ndarray) -> np.ndarray:
+        out = self.buckets[_bucket(items)]
+        if self.flags is not None:
+            maybe = np.flatnonzero(self.flags[(items >> np.uint64(64 - FLAG_BITS)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(self.hashes, items[maybe]), len(self.hashes) - 1)
+            out[maybe] = np.maximum(out[maybe], np.where(self.hashes[at] == items[maybe], self.levels[at], 0))
+        return out
+
+
+def _bucket(items: np.ndarray) -> np.ndarray:
+    return (items >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def _level(counts: np.ndarray) -> np.ndarray:
+    return np.floor(4 * np.log2(counts + 1.0)).astype(np.uint8)
+
+
+def _refined(order: Order, prefixes: DataFrame) -> Order:
+    """``order`` with the shingles that most prefixes share, MAX_FREQUENT at most."""
+    counts = prefixes.groupBy("h").count().filter(F.col("count") >= LEAST_FREQUENT)
+    counts = stored(counts)
+    sizes = sorted(((r[0], r[1]) for r in counts.groupBy(_log_size(F.col("count")).alias("s")).count().collect()), reverse=True)
+    total, least = 0, None
+    for size, many in sizes:
+        total += many
+        if total > MAX_FREQUENT:
+            break
+        least = size
+    if least is None:
+        return order
+    found = counts.filter(_log_size(F.col("count")) >= least).toArrow()
+    hashes = found.column("h").to_numpy().view(np.uint64)
+    # a prefix holds about a fifth of a set's shingles
+    return order.refined(hashes, _level(5 * found.column("count").to_numpy()))
+
+
+def _log_size(count: Column) -> Column:
+    return F.floor(F.log2(count) * 4).cast("int")
+
+
+def _prefixes(docs: DataFrame, words: int, percent: int, order: Order) -> DataFrame:
     """Rows (h, salt, node, n, pos): the prefix shingles of every document."""
-    levels = np.floor(4 * np.log2(counts + 1.0)).astype(np.uint8)
-    parts = np.maximum(1, -(-counts // hot_rows)).astype(np.int32)
-    share = docs.sparkSession.sparkContext.broadcast((levels, parts if parts.max(initial=1) > 1 else None))
+    share = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, split = share.value
+        rare = share.value
         seen: set[int] = set()        # copies in one task add nothing; others are dropped when they meet
         for batch in pieces(batches, "text"):
             cols: list[list[np.ndarray]] = [[], [], [], [], []]
@@ -112,11 +208,12 @@ def _prefixes(docs: DataFrame, words: int, percent: int, counts: np.ndarray, bit
                     continue
                 if len(seen) < 1 << 20:
                     seen.add(node)
-                bucket = (items >> np.uint64(64 - bits)).astype(np.int64)
-                first = np.argsort(level[bucket], kind="stable")[:n - -(-percent * n // 100) + 1]
-                salt = np.zeros(len(first), np.int32) if split is None else (
-                    (node & 0x7FFFFFFF) % split[bucket[first]] + (split[bucket[first]] > 1)).astype(np.int32)
-                for col, values in zip(cols, (items[first].view(np.int64), salt, np.full(len(first), node),
+                first = items[np.argsort(rare.level(items), kind="stable")[:n - -(-percent * n // 100) + 1]]
+                salt = np.zeros(len(first), np.int32)
+                if rare.parts is not None:
+                    parts = rare.parts[_bucket(first)]
+                    salt = ((node & 0x7FFFFFFF) % parts + (parts > 1)).astype(np.int32)
+                for col, values in zip(cols, (first.view(np.int64), salt, np.full(len(first), node),
                                               np.full(len(first), n, np.int32),
                                               np.arange(len(first), dtype=np.int32))):
                     col.append(values)
@@ -136,6 +233,7 @@ def _fits(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> Colum
 
 
 MEMBER = ("node", "n", "pos")
+PASSED = ("a", "b", "n_a", "n_b", "id_a", "id_b")
 
 
 def _grouped(prefixes: DataFrame) -> DataFrame:
@@ -162,91 +260,163 @@ def _linear_pairs(members: DataFrame, percent: int, order: Column, keys: tuple[s
     return rows.filter(good).select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
 
 
-def _sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
-    """(node, n, bins, items) of the needed (doc_id, node)."""
+def _suffix_filter(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n_a, n_b, id_a, id_b) of the pairs whose ranges allow a link."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            most = [_most_common(_read_ranges(x.as_py()), _read_ranges(y.as_py()))
+                    for x, y in zip(batch.column("ranges_a"), batch.column("ranges_b"))]
+            keep = np.array(most, np.int64) * (100 + percent) >= total * percent
+            yield batch.select(list(PASSED)).filter(pa.array(keep))
+
+    side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"),
+                                  F.col("least_id").alias(f"id_{s}"), F.col("ranges").alias(f"ranges_{s}"))
+    return (pairs.join(side("a"), "a").join(side("b"), "b").select(*PASSED, "ranges_a", "ranges_b")
+            .mapInArrow(run, ", ".join(f"{c} long" for c in PASSED)))
+
+
+def _sets(docs: DataFrame, passed: DataFrame, words: int) -> DataFrame:
+    """(node, items) of the documents named in ``passed`` (and of a few others)."""
+    ids = passed.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
+    share = docs.sparkSession.sparkContext.broadcast(bloom.build(ids, "id", ids.count()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in pieces(batches, "text"):
-            sets = shingle_sets(batch.column("text"), words)
-            nodes = batch.column("node").to_pylist()
-            keep = [i for i, s in enumerate(sets) if _node(s) == nodes[i]]
-            sets = [sets[i] for i in keep]
-            bins = [np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=BINS) for s in sets]
+            batch = batch.filter(batch.column("doc_id").is_valid())
+            batch = batch.filter(pa.array(bloom.may_have(share.value, batch.column("doc_id").to_numpy().view(np.uint64))))
+            found = {_node(s): s for s in shingle_sets(batch.column("text"), words) if len(s)}
+            found = {k: s for k, s in found.items() if k not in seen}
+            seen.update(found)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([nodes[i] for i in keep], pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
-                 pa.array(bins, pa.list_(pa.int32())),
-                 pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "n", "bins", "items"])
+                [pa.array(found.keys(), pa.int64()),
+                 pa.array([s.view(np.int64) for s in found.values()], pa.list_(pa.int64()))], ["node", "items"])
 
-    picked = docs.join(needed.hint("shuffle_hash"), "doc_id").select("node", "text")
-    return picked.mapInArrow(run, "node long, n int, bins array<int>, items array<long>").dropDuplicates(["node"])
+    return docs.mapInArrow(run, "node long, items array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that pass the suffix filter and link on their whole sets."""
-    side = lambda s: sets.select(*[F.col(c).alias(f"{c}_{s}") for c in sets.columns])
-    both = (pairs.join(side("a"), F.col("a") == F.col("node_a")).join(side("b"), F.col("b") == F.col("node_b")))
-    total = (F.col("n_a") + F.col("n_b")).cast("long")
-    common = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    linked = lambda overlap: overlap.cast("long") * (100 + percent) >= total * percent
-    return (both.filter(linked(common))
-            .filter(linked(F.size(F.array_intersect("items_a", "items_b")))).select("a", "b"))
+def _verified(docs: DataFrame, passed: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link on their whole sets."""
+    passed = stored(passed)
+    sets = stored(_sets(docs, passed, words))
+    side = lambda s: sets.select(F.col("node").alias(s), F.col("items").alias(f"items_{s}"))
+    overlap = F.size(F.array_intersect("items_a", "items_b")).cast("long")
+    return stored(passed.join(side("a"), "a").join(side("b"), "b")
+                  .filter(overlap * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
+                  .select("a", "b").distinct())
 
 
 def _rest(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members, with their component, of the shingle groups that span several."""
     rows = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rows.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("h")
+    # the first round has paired groups of up to three members in full
+    mixed = (rows.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size"))
+             .filter("lo != hi AND size > 3").select("h"))
     return rows.join(mixed, "h", "left_semi").select("h", *MEMBER, "root")
 
 
-def _exact_pairs(rest: DataFrame, percent: int) -> DataFrame:
-    """Every pair across components that passes the filters, at its first common prefix shingle."""
-    prefix = rest.groupBy(F.col("node").alias("own")).agg(F.collect_list(F.struct("pos", "h")).alias("prefix"))
-    rows = rest.join(prefix, F.col("node") == F.col("own")).select(
-        "h", *MEMBER, "root",
-        F.transform(F.filter("prefix", lambda t: t["pos"] < F.col("pos")), lambda t: t["h"]).alias("earlier"))
-    x, y = rows.alias("x"), rows.alias("y")
-    on = ((F.col("x.h") == F.col("y.h")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
-          & _fits(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent)
-          & ~F.coalesce(F.arrays_overlap("x.earlier", "y.earlier"), F.lit(False)))
-    return x.join(y, on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-
-
-def sketch_bits(rows: int) -> int:
-    """Buckets for document frequencies: about two per document, 4 million at most (16 MB)."""
-    return min(22, max(12, math.ceil(math.log2(2 * max(1, rows)))))
+def _rest_pairs(rest: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n_a, n_b, id_a, id_b): every pair across components that passes all filters.
+
+    1. A group's members lie in lists of about MEMBERS; each member outside the
+       group's largest component meets each list and keeps the nodes that pass the
+       length and positional filters, packed by the block of sets they are in.
+    2. Packed nodes meet their sets' ranges in tiles of TILE_SETS x TILE_NODES.
+    """
+    biggest = (rest.groupBy("h", "root").count().groupBy("h")
+               .agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.sum("count").alias("size")))
+    rows = rest.join(biggest, "h").withColumn("lists", (F.col("size") / MEMBERS).cast("int") + 1)
+    lists = (rows.groupBy("h", F.pmod(F.xxhash64("node"), F.col("lists")).alias("list"))
+             .agg(F.collect_list(F.struct(*MEMBER, "root", (F.col("root") == F.col("main")).alias("inside"))).alias("others")))
+    seekers = rows.filter("root != main").select("h", *MEMBER, "root", F.explode(
+        F.sequence(F.lit(0).cast("long"), F.col("lists").cast("long") - 1)).alias("list"))
+    many_sets = max(1, -(-rest.select("node").distinct().count() // TILE_SETS))
+    block_of = lambda c: F.pmod(F.xxhash64(c), F.lit(many_sets)).cast("int")
+
+    far = lambda o: (o["root"] != F.col("root")) & (o["inside"] | (F.col("node") < o["node"])) & _fits(
+        F.col("n"), F.col("pos"), o["n"], o["pos"], percent)
+    met = (seekers.join(lists, ["h", "list"])
+           .select(F.col("node").alias("x"), F.transform(F.filter("others", far), lambda o: o["node"]).alias("ys"))
+           .filter(F.size("ys") > 0))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[int, set[int]] = {}
+            for x, ys in zip(batch.column("x").to_pylist(), batch.column("ys").to_pylist()):
+                found.setdefault(x, set()).update(ys)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found.keys(), pa.int64()), pa.array([list(v) for v in found.values()], pa.list_(pa.int64()))],
+                ["x", "ys"])
+
+    by_block = F.transform(F.sequence(F.lit(0), F.lit(many_sets - 1)), lambda i: F.filter("ys", lambda y: block_of(y) == i)) \
+        if many_sets <= 8 else None
+    packed = met.mapInArrow(pack, "x long, ys array<long>")
+    if by_block is not None:
+        packed = packed.select("x", F.posexplode(by_block).alias("set_block", "ys")).filter(F.size("ys") > 0)
+    else:
+        blocks = F.transform("ys", lambda y: F.struct(block_of(y).alias("k"), y.alias("y")))
+        packed = (packed.select("x", F.explode(F.array_distinct(F.transform(blocks, lambda t: t["k"]))).alias("set_block"),
+                                blocks.alias("all"))
+                  .select("x", "set_block", F.transform(F.filter("all", lambda t: t["k"] == F.col("set_block")),
+                                                        lambda t: t["y"]).alias("ys")))
+    packed = stored(packed.groupBy("x", "set_block").agg(F.array_distinct(F.flatten(F.collect_list("ys"))).alias("ys")))
+    many_nodes = max(1, -(-packed.select("x").distinct().count() // TILE_NODES))
+    shape = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"),
+                                   F.col("least_id").alias(f"id_{c}"), F.col("ranges").alias(f"ranges_{c}"))
+    left = packed.join(shape("x"), "x").withColumn("node_block", F.pmod(F.xxhash64("x"), F.lit(many_nodes)).cast("int"))
+    used = left.select(F.col("set_block").alias("sb"), F.col("node_block").alias("nb")).distinct()
+    right = shape("y").withColumn("sb", block_of(F.col("y"))).join(used, "sb")
+
+    def tile(x: pa.Table, y: pa.Table) -> pa.Table:
+        sets = {node: (n, i, _read_ranges(r)) for node, n, i, r in zip(
+            *(y.column(c).to_pylist() for c in ("y", "n_y", "id_y", "ranges_y")))}
+        out = []
+        for node, n, i, r, ys in zip(*(x.column(c).to_pylist() for c in ("x", "n_x", "id_x", "ranges_x", "ys"))):
+            own = _read_ranges(r)
+            for other in ys:
+                if other in sets:
+                    m, j, ranges = sets[other]
+                    if _most_common(own, ranges) * (100 + percent) >= (n + m) * percent:
+                        out.append((node, other, n, m, i, j) if node < other else (other, node, m, n, j, i))
+        return pa.table([pa.array([t[k] for t in out], pa.int64()) for k in range(6)], names=list(PASSED))
+
+    return (left.groupBy("set_block", "node_block").cogroup(right.groupBy("sb", "nb"))
+            .applyInArrow(tile, ", ".join(f"{c} long" for c in PASSED)))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
                     percent: int = 80, hot_rows: int = 10_000) -> DataFrame:
     """One row per document: (doc_id, n_shingles, component_id)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    bits = sketch_bits(docs.count())
-    facts = stored(_facts(docs, words, bits))
-    own = facts.filter(F.col("kind") == FACT_DOC).select("doc_id", F.col("a").alias("n_shingles"), F.col("b").alias("node"))
+    facts = stored(_facts(docs, words))
+    own = facts.filter(F.col("kind") == FACT_DOC).select(
+        "doc_id", F.col("a").alias("n_shingles"), F.col("b").alias("node"), "ranges")
     full, empty = own.filter("n_shingles > 0"), own.filter("n_shingles = 0")
     nodes = full.groupBy("node").agg(F.min("doc_id").alias("least_id"))
 
-    prefixes = _prefixes(docs, words, percent, _bucket_counts(facts, bits), bits, hot_rows)
-    members = stored(_grouped(prefixes))
-    needed = members.select("node").distinct().join(nodes, "node").select(F.col("least_id").alias("doc_id"), "node")
-    sets = stored(_sets(docs, needed, words))
+    order = Order.of_counts(_bucket_counts(facts), hot_rows)
+    order = _refined(order, _prefixes(docs, words, percent, order))
+    members = stored(_grouped(_prefixes(docs, words, percent, order)))
+    shapes = stored(full.join(members.select("node").distinct(), "node").groupBy("node").agg(
+        F.min("doc_id").alias("least_id"), F.max("n_shingles").alias("n"), F.any_value("ranges").alias("ranges")))
 
     salted = members.filter("salt > 0")
     heads = salted.groupBy("h", "salt").agg(F.min(F.struct(*MEMBER)).alias("m")).select("h", "m.*")
     pairs = _linear_pairs(members, percent, F.lit(0), ("h", "salt")).unionByName(
         _linear_pairs(heads, percent, F.lit(0), ("h",))).distinct()
     tried = stored(pairs)
-    links = stored(_verified(tried, sets, percent))
+    links = _verified(docs, _suffix_filter(tried, shapes, percent), words, percent)
     roots = stored(components(links))
     rest = stored(_rest(members, roots))
     pairs = _linear_pairs(rest.withColumn("salt", F.pmod(F.xxhash64("h", "node"), F.lit(4))), percent,
                           F.xxhash64("node"), ("h", "salt")).join(tried, ["a", "b"], "left_anti")
     tried2 = stored(pairs)
-    links = links.unionByName(stored(_verified(tried2, sets, percent)))
+    links = links.unionByName(_verified(docs, _suffix_filter(tried2, shapes, percent), words, percent))
     roots = stored(components(links))
     rest = stored(_rest(rest.drop("root"), roots))
-    pairs = _exact_pairs(rest, percent).join(tried.unionByName(tried2), ["a", "b"], "left_anti")
-    links = links.unionByName(stored(_verified(pairs, sets, percent)))
+    passed = _rest_pairs(rest, shapes, percent).join(tried.unionByName(tried2), ["a", "b"], "left_anti")
+    links = links.unionByName(_verified(docs, passed.select(*PASSED), words, percent))
     roots = components(links)
 
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
