@@ -111,20 +111,22 @@ def p14(b: Bridge) -> DataFrame:
 _P15_COLS = ["data_type", "platform", "installs", "cost", "retention_rate_d1", "level_4_events"]
 
 
-@query("P15_empty_columns", with_views("campaign_daily") + """
-SELECT column_name, n_non_null > 0 AS kept FROM (
-  SELECT COUNT('adspend_revenue') AS data_type, COUNT(platform) AS platform, COUNT(installs) AS installs,
-         COUNT(cost) AS cost, COUNT(NULL::DOUBLE) AS retention_rate_d1, COUNT(NULL::BIGINT) AS level_4_events
-  FROM campaign_daily)
-UNPIVOT (n_non_null FOR column_name IN (data_type, platform, installs, cost, retention_rate_d1, level_4_events))""")
+@query("P15_empty_columns", with_views("campaign_daily", "cohort_wide", "levels_wide") + """
+, u AS (SELECT 'adspend_revenue' AS data_type, platform, installs, cost, NULL::DOUBLE AS retention_rate_d1, NULL::BIGINT AS level_4_events FROM campaign_daily
+  UNION ALL SELECT 'retention', platform, installs, cost, retention_rate_d1, NULL FROM cohort_wide
+  UNION ALL SELECT 'level_progression', platform, installs, NULL, NULL, level_4_events FROM levels_wide),
+n AS (SELECT data_type AS kind, COUNT(data_type) AS data_type, COUNT(platform) AS platform, COUNT(installs) AS installs, COUNT(cost) AS cost,
+        COUNT(retention_rate_d1) AS retention_rate_d1, COUNT(level_4_events) AS level_4_events FROM u GROUP BY 1)
+SELECT kind, column_name FROM n
+UNPIVOT (c FOR column_name IN (data_type, platform, installs, cost, retention_rate_d1, level_4_events)) WHERE c > 0""")
 def p15(b: Bridge) -> DataFrame:
+    """The columns that each kind keeps after the union of all kinds."""
     from ..operators.sets import union_kinds
     u = union_kinds({"adspend_revenue": b.campaign_daily, "retention": b.cohort_wide,
-                     "level_progression": b.levels_wide})
-    only = u.where(F.col("data_type") == "adspend_revenue").select(*_P15_COLS)
-    counts = C.non_null_counts(only)
-    return counts.unpivot([], _P15_COLS, "column_name", "n").select(
-        "column_name", (F.col("n") > 0).alias("kept"))
+                     "level_progression": b.levels_wide}).select(*_P15_COLS)
+    kept = [(kind, c) for kind in ("adspend_revenue", "retention", "level_progression")
+            for c in C.drop_empty(u.where(F.col("data_type") == kind)).columns]
+    return b.spark.createDataFrame(kept, "kind string, column_name string")
 
 
 @query("P6_ensure_hierarchy", with_views("cohort_wide", "levels_wide") + """
