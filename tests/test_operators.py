@@ -420,3 +420,23 @@ def test_call_logs(spark, tmp_dir):
            for r in SRC.read_call_logs(spark, logs, "question string, save_raw boolean").collect()}
     assert got["faq_ask_20240105_101112_000123.json"] == ("why?", "faq_ask", dt.datetime(2024, 1, 5, 10, 11, 12, 123))
     assert got["odd.json"] == ("x", None, None)
+
+
+def test_streaming_alerts_leave_late_rows_out(spark, tmp_dir):
+    from uaspark.streaming.ingest import daily_alerts
+    src = os.path.join(tmp_dir, "in")
+    _write(os.path.join(src, "1.csv"), "2024-01-01 10:00:00,unity,10,100.0,5\n")
+    stream = (spark.readStream.schema("ts timestamp, platform string, installs long, cost double, active_d1 long").csv(src))
+    q = (daily_alerts(stream, watermark="1 day").writeStream.format("memory").queryName("alerts_r3").outputMode("append")
+         .option("checkpointLocation", os.path.join(tmp_dir, "ck")).start())
+    try:
+        q.processAllAvailable()
+        assert spark.table("alerts_r3").count() == 0            # the day is still open
+        _write(os.path.join(src, "2.csv"), "2024-01-05 10:00:00,unity,1,1.0,1\n")
+        q.processAllAvailable()
+        _write(os.path.join(src, "3.csv"), "2024-01-01 11:00:00,unity,90,1.0,90\n2024-01-09 10:00:00,unity,1,1.0,1\n")
+        q.processAllAvailable()
+        got = [tuple(r) for r in spark.table("alerts_r3").select("day", "installs", "cpi", "retention_d1", "alert").collect()]
+    finally:
+        q.stop()
+    assert got == [(dt.date(2024, 1, 1), 10, 10.0, 0.5, "high_cpi")]
