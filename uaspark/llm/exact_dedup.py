@@ -15,8 +15,9 @@ on the text as well.
 
 Defined results: a null text counts as empty.  Of equal texts the row with the
 largest id stays; null ids lose to any id.  Rows that share both id and text
-share one decision; ``survivors`` returns one of them.  An empty table gives an
-empty result.  Columns with other names pass through ``survivors`` untouched.
+share one decision; ``survivors`` returns the one with the greatest other
+columns.  An empty table gives an empty result.  Other columns pass through
+``survivors``.
 """
 
 from __future__ import annotations
@@ -74,11 +75,18 @@ def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               salts: int = 16) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns; one row per distinct text."""
-    digest = sha256_digest(F.coalesce(docs[text_col], F.lit("")))
-    classes = cut_lineage(_combine(_rows(docs, id_col, text_col, sha256_digest), salts)
-                          .select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep")))
-    rows = docs.withColumn("_digest", digest)
-    kept = rows.join(classes, (rows[id_col].eqNullSafe(classes["_keep"]))
-                     & (rows["_digest"] == classes["_digest"]), "left_semi")
-    return kept.dropDuplicates([id_col, "_digest"]).select(*docs.columns)
+    """The rows of ``docs`` that stay, with their columns; one row per distinct text.
+
+    The rest of a row travels with its text through the same steps, as a struct
+    that starts with the id; its columns must be orderable."""
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    row = F.struct(F.col(id_col).alias("id"), F.col(text_col).isNull().alias("blank"),
+                   *[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)])
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(text.alias("text"), row.alias("row")).withColumn("digest", sha256_digest(F.col("text")))
+    salted = (rows.withColumn("salt", F.spark_partition_id() % salts)
+              .groupBy("digest", "salt", "text").agg(F.max("row").alias("row")))
+    best = salted.groupBy("digest", "text").agg(F.max("row").alias("row"))
+    back = {id_col: F.col("row.id"), text_col: F.when(~F.col("row.blank"), F.col("text"))}
+    back |= {c: F.col(f"row.c{i}") for i, c in enumerate(rest)}
+    return best.select(*[back[c].alias(c) for c in docs.columns])
