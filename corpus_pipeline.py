@@ -38,8 +38,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once, small sources repeated to their weights, in
     the order of the blocks."""
-    mixed = mixing.mix(docs)
-    return mixed.repartition("block").sortWithinPartitions("block", "slot").select(*docs.columns)
+    # a block lies in one partition since its slots were given; only its order is left
+    return mixing.mix(docs).sortWithinPartitions("block", "slot").select(*docs.columns)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
