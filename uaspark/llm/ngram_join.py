@@ -11,7 +11,7 @@ each, so only these prefixes are shuffled and joined.  Pairs pass
 * the length filter: t * larger <= smaller;
 * the positional filter: what stands after the shared shingle must suffice;
 * the suffix filter: the numbers of shingles of the two sets in equal ranges of
-  the hash bound the overlap (about two ranges a shingle);
+  the hash bound the overlap (first 128 ranges, then about two a shingle);
 
 and are then verified once on the whole sets.  Whole sets are read again from
 the texts, for documents of pairs that passed all filters only (a Bloom filter
@@ -20,10 +20,10 @@ of bounded size names them, so texts are never shuffled).
 Groups of a shingle are never expanded into all pairs.  Each member is first
 paired with the first, the last and the preceding member of its group; verified
 links give components.  Only members of groups that still span several
-components are paired further: a second linear round in another order, then the
-exact rest.  There, every member outside a group's largest component meets all
-members of other components, in tiles of bounded size that return only the pairs
-which pass the filters.  A pair inside one component can't change the result.
+components are paired further: every member outside a group's largest component
+meets all members of other components, in tiles of bounded size that return only
+the pairs which pass the filters.  A pair inside one component can't change the
+result.
 A frequent shingle's group is cut into subgroups by node, whose first members
 meet in a group of their own.
 
@@ -48,8 +48,9 @@ from . import bloom
 from .store import components, stored
 from .texts import chain, mix, pieces, word_hashes
 
-#: A set of n shingles is counted in 2 n to 4 n ranges of the hash, within these bounds.
-MIN_RANGES, MAX_RANGES = 16, 1 << 17
+#: A set of n shingles is counted in COARSE ranges of the hash and, finer, in 2 n to
+#: 4 n, within these bounds.
+COARSE, MIN_RANGES, MAX_RANGES = 128, 16, 1 << 17
 #: Members of a group, sets and searching nodes that meet in one tile, about.
 MEMBERS, TILE_SETS, TILE_NODES = 512, 8192, 2048
 #: Shingles that are counted one by one: from this many prefixes on, this many at most.
@@ -57,6 +58,8 @@ LEAST_FREQUENT, MAX_FREQUENT = 2, 4_000_000
 #: Bits of the hash that name a bucket of the first count, and a flag of the second.
 BUCKET_BITS, FLAG_BITS = 16, 23
 FACT_DOC, FACT_BUCKET = 0, 1
+#: Bytes of text shingled at a time.
+PIECE = 1 << 20
 
 
 def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
@@ -78,10 +81,10 @@ def _node(items: np.ndarray) -> int:
 _WIDTHS = (np.uint8, np.uint16, np.uint32)
 
 
-def _ranges(items: np.ndarray) -> bytes:
+def _ranges(items: np.ndarray, many: int = 0) -> bytes:
     """Numbers of items in equal ranges of the hash (a power of two of them); the
     last byte tells the width of a number."""
-    many = min(MAX_RANGES, max(MIN_RANGES, 1 << (2 * len(items)).bit_length()))
+    many = many or min(MAX_RANGES, max(MIN_RANGES, 1 << (2 * len(items)).bit_length()))
     counts = np.bincount((items >> np.uint64(64 - many.bit_length() + 1)).astype(np.int64), minlength=many)
     width = int(np.searchsorted([0xFF, 0xFFFF], counts.max()))
     return counts.astype(_WIDTHS[width]).tobytes() + bytes([width])
@@ -101,12 +104,12 @@ def _most_common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _facts(docs: DataFrame, words: int) -> DataFrame:
-    """Rows (kind, doc_id, a, b, ranges): per document its set size, node and
+    """Rows (kind, doc_id, a, b, coarse, ranges): per document its set size, node and
     ranges; per task and bucket the number of shingle occurrences."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "doc_id", "a", "b", "ranges"]
+        names = ["kind", "doc_id", "a", "b", "coarse", "ranges"]
         counts = np.zeros(1 << BUCKET_BITS, np.int64)
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE):
             sets = shingle_sets(batch.column("text"), words)
             every = np.concatenate(sets)
             counts += np.bincount(_bucket(every), minlength=1 << BUCKET_BITS)
@@ -114,13 +117,14 @@ def _facts(docs: DataFrame, words: int) -> DataFrame:
                 [pa.array(np.full(len(sets), FACT_DOC, np.int8)), batch.column("doc_id"),
                  pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([_node(s) for s in sets], pa.int64()),
+                 pa.array([_ranges(s, COARSE) for s in sets], pa.binary()),
                  pa.array([_ranges(s) for s in sets], pa.binary())], names)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.full(len(used), FACT_BUCKET, np.int8)), pa.nulls(len(used), pa.int64()),
-             pa.array(used), pa.array(counts[used]), pa.nulls(len(used), pa.binary())], names)
+             pa.array(used), pa.array(counts[used]), pa.nulls(len(used), pa.binary()), pa.nulls(len(used), pa.binary())], names)
 
-    return docs.mapInArrow(run, "kind byte, doc_id long, a long, b long, ranges binary")
+    return docs.mapInArrow(run, "kind byte, doc_id long, a long, b long, coarse binary, ranges binary")
 
 
 def _bucket_counts(facts: DataFrame) -> np.ndarray:
@@ -199,7 +203,7 @@ def _prefixes(docs: DataFrame, words: int, percent: int, order: Order) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = share.value
         seen: set[int] = set()        # copies in one task add nothing; others are dropped when they meet
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE):
             cols: list[list[np.ndarray]] = [[], [], [], [], []]
             for items in shingle_sets(batch.column("text"), words):
                 n = len(items)
@@ -260,8 +264,9 @@ def _linear_pairs(members: DataFrame, percent: int, order: Column, keys: tuple[s
     return rows.filter(good).select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
 
 
-def _suffix_filter(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b, n_a, n_b, id_a, id_b) of the pairs whose ranges allow a link."""
+def _suffix_filter(pairs: DataFrame, nodes: DataFrame, percent: int, *kinds: str) -> DataFrame:
+    """(a, b, n_a, n_b, id_a, id_b) of the pairs whose ranges allow a link, tried
+    on each kind of ranges in turn."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
@@ -270,10 +275,12 @@ def _suffix_filter(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFram
             keep = np.array(most, np.int64) * (100 + percent) >= total * percent
             yield batch.select(list(PASSED)).filter(pa.array(keep))
 
-    side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"),
-                                  F.col("least_id").alias(f"id_{s}"), F.col("ranges").alias(f"ranges_{s}"))
-    return (pairs.join(side("a"), "a").join(side("b"), "b").select(*PASSED, "ranges_a", "ranges_b")
-            .mapInArrow(run, ", ".join(f"{c} long" for c in PASSED)))
+    for kind in kinds:
+        side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"),  # noqa: B023, E731
+                                      F.col("least_id").alias(f"id_{s}"), F.col(kind).alias(f"ranges_{s}"))
+        pairs = (pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select(*PASSED, "ranges_a", "ranges_b")
+                 .mapInArrow(run, ", ".join(f"{c} long" for c in PASSED)))
+    return pairs
 
 
 def _sets(docs: DataFrame, passed: DataFrame, words: int) -> DataFrame:
@@ -283,7 +290,7 @@ def _sets(docs: DataFrame, passed: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE):
             batch = batch.filter(batch.column("doc_id").is_valid())
             batch = batch.filter(pa.array(bloom.may_have(share.value, batch.column("doc_id").to_numpy().view(np.uint64))))
             found = {_node(s): s for s in shingle_sets(batch.column("text"), words) if len(s)}
@@ -317,12 +324,12 @@ def _rest(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _rest_pairs(rest: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b, n_a, n_b, id_a, id_b): every pair across components that passes all filters.
+    """(a, b): every pair across components that passes the filters up to the coarse ranges.
 
     1. A group's members lie in lists of about MEMBERS; each member outside the
        group's largest component meets each list and keeps the nodes that pass the
        length and positional filters, packed by the block of sets they are in.
-    2. Packed nodes meet their sets' ranges in tiles of TILE_SETS x TILE_NODES.
+    2. Packed nodes meet the coarse ranges of their sets in tiles of TILE_SETS x TILE_NODES.
     """
     biggest = (rest.groupBy("h", "root").count().groupBy("h")
                .agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.sum("count").alias("size")))
@@ -362,27 +369,25 @@ def _rest_pairs(rest: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                                                         lambda t: t["y"]).alias("ys")))
     packed = stored(packed.groupBy("x", "set_block").agg(F.array_distinct(F.flatten(F.collect_list("ys"))).alias("ys")))
     many_nodes = max(1, -(-packed.select("x").distinct().count() // TILE_NODES))
-    shape = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"),
-                                   F.col("least_id").alias(f"id_{c}"), F.col("ranges").alias(f"ranges_{c}"))
+    shape = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("coarse").alias(f"ranges_{c}"))
     left = packed.join(shape("x"), "x").withColumn("node_block", F.pmod(F.xxhash64("x"), F.lit(many_nodes)).cast("int"))
     used = left.select(F.col("set_block").alias("sb"), F.col("node_block").alias("nb")).distinct()
     right = shape("y").withColumn("sb", block_of(F.col("y"))).join(used, "sb")
 
     def tile(x: pa.Table, y: pa.Table) -> pa.Table:
-        sets = {node: (n, i, _read_ranges(r)) for node, n, i, r in zip(
-            *(y.column(c).to_pylist() for c in ("y", "n_y", "id_y", "ranges_y")))}
+        sets = {node: (n, _read_ranges(r)) for node, n, r in zip(*(y.column(c).to_pylist() for c in ("y", "n_y", "ranges_y")))}
         out = []
-        for node, n, i, r, ys in zip(*(x.column(c).to_pylist() for c in ("x", "n_x", "id_x", "ranges_x", "ys"))):
+        for node, n, r, ys in zip(*(x.column(c).to_pylist() for c in ("x", "n_x", "ranges_x", "ys"))):
             own = _read_ranges(r)
             for other in ys:
                 if other in sets:
-                    m, j, ranges = sets[other]
+                    m, ranges = sets[other]
                     if _most_common(own, ranges) * (100 + percent) >= (n + m) * percent:
-                        out.append((node, other, n, m, i, j) if node < other else (other, node, m, n, j, i))
-        return pa.table([pa.array([t[k] for t in out], pa.int64()) for k in range(6)], names=list(PASSED))
+                        out.append((min(node, other), max(node, other)))
+        return pa.table([pa.array([t[k] for t in out], pa.int64()) for k in range(2)], names=["a", "b"])
 
     return (left.groupBy("set_block", "node_block").cogroup(right.groupBy("sb", "nb"))
-            .applyInArrow(tile, ", ".join(f"{c} long" for c in PASSED)))
+            .applyInArrow(tile, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
@@ -391,7 +396,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     facts = stored(_facts(docs, words))
     own = facts.filter(F.col("kind") == FACT_DOC).select(
-        "doc_id", F.col("a").alias("n_shingles"), F.col("b").alias("node"), "ranges")
+        "doc_id", F.col("a").alias("n_shingles"), F.col("b").alias("node"), "coarse", "ranges")
     full, empty = own.filter("n_shingles > 0"), own.filter("n_shingles = 0")
     nodes = full.groupBy("node").agg(F.min("doc_id").alias("least_id"))
 
@@ -399,24 +404,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     order = _refined(order, _prefixes(docs, words, percent, order))
     members = stored(_grouped(_prefixes(docs, words, percent, order)))
     shapes = stored(full.join(members.select("node").distinct(), "node").groupBy("node").agg(
-        F.min("doc_id").alias("least_id"), F.max("n_shingles").alias("n"), F.any_value("ranges").alias("ranges")))
+        F.min("doc_id").alias("least_id"), F.max("n_shingles").alias("n"),
+        F.any_value("coarse").alias("coarse"), F.any_value("ranges").alias("ranges")))
 
     salted = members.filter("salt > 0")
     heads = salted.groupBy("h", "salt").agg(F.min(F.struct(*MEMBER)).alias("m")).select("h", "m.*")
     pairs = _linear_pairs(members, percent, F.lit(0), ("h", "salt")).unionByName(
         _linear_pairs(heads, percent, F.lit(0), ("h",))).distinct()
     tried = stored(pairs)
-    links = _verified(docs, _suffix_filter(tried, shapes, percent), words, percent)
+    links = _verified(docs, _suffix_filter(tried, shapes, percent, "coarse", "ranges"), words, percent)
     roots = stored(components(links))
     rest = stored(_rest(members, roots))
-    pairs = _linear_pairs(rest.withColumn("salt", F.pmod(F.xxhash64("h", "node"), F.lit(4))), percent,
-                          F.xxhash64("node"), ("h", "salt")).join(tried, ["a", "b"], "left_anti")
-    tried2 = stored(pairs)
-    links = links.unionByName(_verified(docs, _suffix_filter(tried2, shapes, percent), words, percent))
-    roots = stored(components(links))
-    rest = stored(_rest(rest.drop("root"), roots))
-    passed = _rest_pairs(rest, shapes, percent).join(tried.unionByName(tried2), ["a", "b"], "left_anti")
-    links = links.unionByName(_verified(docs, passed.select(*PASSED), words, percent))
+    passed = _rest_pairs(rest, shapes, percent).join(tried, ["a", "b"], "left_anti")
+    links = links.unionByName(_verified(docs, _suffix_filter(passed, shapes, percent, "ranges"), words, percent))
     roots = components(links)
 
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

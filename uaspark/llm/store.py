@@ -18,6 +18,10 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Up to so many edges the minima of a step are broadcast (16 bytes each).
+FEW_EDGES = 200_000
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): the connected components of ``edges`` (a, b), both long;
     the root is the smallest node.  Nodes without an edge are not returned.
@@ -28,16 +32,18 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     execution splits them.
     """
     now = stored(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    few = now.count() <= FEW_EDGES
+    joinable = F.broadcast if few else (lambda df: df)      # the minima have at most two rows an edge
     mark = None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.filter("v > u").join(joinable(least), "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(
+        small = large.join(joinable(low), "u").select(
             F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
                               F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u != v").distinct()
-        now = stored(small)
+        now = stored(small.coalesce(8) if few else small)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == mark:
             break

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes hashed at a time; a longer word is still hashed whole.
-SEGMENT = 1 << 21
+SEGMENT = 1 << 18
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
