@@ -101,11 +101,14 @@ def _shuffled(rows: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         target_entropy: float = 0.92, max_epochs: float = 2.0, budget: float | None = None,
-        rows_per_block: int = 20_000, max_sources: int = 50_000, seed: int = 17) -> DataFrame:
-    """``docs`` repeated or thinned to the mixture, with ``epoch``, ``block`` and ``slot``."""
+        rows_per_block: int = 20_000, max_sources: int = 50_000, seed: int = 17,
+        tokens: Column | None = None) -> DataFrame:
+    """``docs`` repeated or thinned to the mixture, with ``epoch``, ``block`` and
+    ``slot``.  ``tokens`` counts a document's tokens (by default, words plus one)."""
+    counted = token_count(F.col(text_col)) if tokens is None else tokens.cast("long")
     spark = docs.sparkSession
     keyed = lambda df: df.withColumns({"_src": _source_key(F.col(source_col)), "_id": F.col(id_col)})
-    narrow = stored(keyed(docs).select("_src", "_id", token_count(F.col(text_col)).alias("_tokens")))
+    narrow = stored(keyed(docs).select("_src", "_id", counted.alias("_tokens")))
     found = narrow.groupBy("_src").agg(F.sum("_tokens"), F.count(F.lit(1))).limit(max_sources + 1).collect()
     if len(found) > max_sources:
         raise ValueError(f"more than {max_sources} sources")

@@ -83,9 +83,8 @@ def op6(spark, sf_dir):
 
 @register("op7_mixing")
 def op7(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    mixed = mixing.mix(docs)
-    return mixed.select("doc_id", "source", mixing.token_count(F.col("text")).alias("tokens"), "epoch", "block", "slot")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.token_count(F.col("text")).alias("tokens"))
+    return mixing.mix(docs, tokens=F.col("tokens"))
 
 
 @register("op8_exact_dedup", """
