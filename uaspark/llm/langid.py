@@ -25,7 +25,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -58,13 +58,19 @@ class LanguageModel:
     languages: list[str]
     words: dict[str, np.ndarray]
     grams: dict[str, np.ndarray]
+    _places: dict[str, int] | None = field(default=None, repr=False)
+    _table: np.ndarray | None = field(default=None, repr=False)
 
     def unseen(self, word: str) -> np.ndarray:
         """Score of a word that isn't in ``words``."""
+        if self._places is None:
+            self._places = {g: i for i, g in enumerate(self.grams)}
+            self._table = np.array(list(self.grams.values()), np.float64).reshape(len(self.grams), len(self.languages))
+        place = self._places.get
         for n in range(min(MAX_N, len(word) + 2), 0, -1):
-            known = [self.grams[g] for g in grams_of(word, n) if g in self.grams]
+            known = [i for i in map(place, grams_of(word, n)) if i is not None]
             if known:
-                return np.mean(known, axis=0)
+                return self._table[known].sum(0) / len(known)
         return np.zeros(len(self.languages))
 
 
@@ -132,38 +138,44 @@ def _swap(found: tuple[list, dict], languages: list[str]) -> tuple[list, list[st
     return found[0], languages, found[1]
 
 
+class _Rows(dict):
+    """Row of each word's scores; an unseen word gets its row when first asked for."""
+
+    def __init__(self, model: LanguageModel):
+        super().__init__((w, i) for i, w in enumerate(model.words))
+        self.model, self.scores = model, list(model.words.values())
+
+    def __missing__(self, word: str) -> int:
+        self.scores.append(self.model.unseen(word))
+        self[word] = len(self.scores) - 1
+        return len(self.scores) - 1
+
+
 class Scorer:
     """Predicts texts; remembers the scores of the words it has met, up to a bound."""
 
     def __init__(self, model: LanguageModel):
         self.model = model
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known = {w: i for i, w in enumerate(self.model.words)}
-        self.rows = list(self.model.words.values())
-        self.table: np.ndarray | None = None
+        self.rows = _Rows(model)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        if len(self.known) > len(self.model.words) + MAX_KNOWN:
-            self._forget()
+        if len(self.rows) > len(self.model.words) + MAX_KNOWN:
+            self.rows = _Rows(self.model)
+        row, languages = self.rows.__getitem__, self.model.languages
         found = []
         for text in texts:
             words = words_of(text or "")
-            for w in set(words).difference(self.known):
-                self.known[w] = len(self.rows)
-                self.rows.append(self.model.unseen(w))
-                self.table = None
-            found.append(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))
-        languages = self.model.languages
-        if self.table is None and languages:
-            self.table = np.array(self.rows, np.float32).reshape(len(self.rows), len(languages))
+            found.append(np.fromiter(map(row, words), np.int64, len(words)))
+        if languages:
+            table = np.array(self.rows.scores, np.float64).reshape(len(self.rows.scores), len(languages))
         out = []
         for text, own in zip(texts, found):
             if not languages or not len(own) and not any(c.isalpha() for c in text or ""):
                 out.append(("und", 0.0))
                 continue
-            total = self.table[own].sum(0, dtype=np.float64)
+            # counts of the words times their scores
+            kinds, times = np.unique(own, return_counts=True)
+            total = times @ table[kinds]
             best = int(total.argmax())
             out.append((languages[best], 1.0 / sum(math.exp(min(0.0, t - total[best])) for t in total.tolist())))
         return out
