@@ -317,9 +317,9 @@ def _verified(docs: DataFrame, passed: DataFrame, words: int, percent: int) -> D
 def _rest(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members, with their component, of the shingle groups that span several."""
     rows = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    # the first round has paired groups of up to three members in full
-    mixed = (rows.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size"))
-             .filter("lo != hi AND size > 3").select("h"))
+    # the first round has paired groups of up to three members in full, unless they were cut
+    mixed = (rows.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size"),
+                                   F.max("salt").alias("cut")).filter("lo != hi AND (size > 3 OR cut > 0)").select("h"))
     return rows.join(mixed, "h", "left_semi").select("h", *MEMBER, "root")
 
 
