@@ -247,6 +247,24 @@ def test_quality_keeps_clean_and_drops_junk(spark):
     assert quality.judge(empty(spark), trusted).count() == 0
 
 
+def test_quality_thresholds_of_a_rare_language(spark):
+    """A large language leaves a small one its threshold, taken over all trusted rows that train nothing."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choices(WORDS if i % 20 else ["uno", "dos", "tres"], k=40)), "en" if i % 20 else "xx", "s", 0)
+            for i in range(800)]
+    trusted = spark.createDataFrame([(i,) for i in range(800)], "id long")
+    out = quality.judge(frame(spark, rows), trusted, max_trusted=60, least_calibration=8).collect()
+    slack = math.exp(4 / math.sqrt(40))
+    limits = {lang: {round(r.threshold / slack, 9) for r in out if r.lang == lang} for lang in ("en", "xx")}
+    assert all(len(x) == 1 for x in limits.values()) and limits["en"] != limits["xx"]
+    # some 20 rows of a language train, so few of the large one lie beyond a quantile over the rest
+    limit, = limits["en"]
+    assert 0 < sum(r.perplexity > limit + 1e-6 for r in out if r.lang == "en") <= 12
+    for lang, (limit,) in limits.items():
+        assert any(r.perplexity == pytest.approx(limit) for r in out if r.lang == lang)
+    assert quality._quota([(3, 2), (100, 1)], 30) == 24 and quality._quota([(3, 2)], 30) == math.inf
+
+
 # 5 language ID ------------------------------------------------------------
 
 def test_language_id_on_held_out_texts(spark):
