@@ -2,6 +2,7 @@
 
 import functools
 import hashlib
+import inspect
 import itertools
 import json
 import math
@@ -265,6 +266,14 @@ def test_quality_thresholds_of_a_rare_language(spark):
     assert quality._quota([(3, 2), (100, 1)], 30) == 24 and quality._quota([(3, 2)], 30) == math.inf
 
 
+def test_a_model_within_the_bound_is_looked_up_in_place(spark):
+    model = quality.train(frame(spark, [r for r in corpus() if r[1]]).select("text"))
+    docs = spark.createDataFrame([(1, "en", "alpha beta")], "doc_id long, lang string, text string")
+    plan = quality.perplexity(docs, model)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert inspect.signature(quality.judge).parameters["max_trusted"].default == 10_000
+
+
 # 5 language ID ------------------------------------------------------------
 
 def test_language_id_on_held_out_texts(spark):
