@@ -7,6 +7,7 @@ import itertools
 import json
 import math
 import operator
+import pickle
 import random
 import re
 import zlib
@@ -295,6 +296,22 @@ def test_language_id_on_held_out_texts(spark):
     assert langid.predict(empty(spark), model).count() == 0
 
 
+def test_a_rare_language_keeps_its_words_and_ngrams(spark):
+    """Few rows of a script of its own beside large languages that share the bound."""
+    rng = random.Random(8)
+    words = {lang: ["".join(rng.choices(letters, k=4)) for _ in range(30)]
+             for lang, letters in (("aa", "abcdef"), ("bb", "ghijkl"), ("zz", "αβγδεζ"))}
+    make = lambda lang: " ".join(rng.choices(words[lang], k=15))
+    rows = [(i, make(lang), lang, "s", 0) for i in range(203) for lang in ["zz" if i >= 200 else "aa" if i % 2 else "bb"]]
+    model = langid.train(frame(spark, rows), max_words=20, max_grams=40)
+    (lang, score), = langid.Scorer(model).predict([make("zz")])
+    assert lang == "zz" and score > 0.99
+    again = pickle.loads(pickle.dumps(model))
+    assert langid.Scorer(again).predict([r[1] for r in rows]) == langid.Scorer(model).predict([r[1] for r in rows])
+    assert len(langid.train(frame(spark, rows), max_cells=90).words) <= 3 * (90 // 9 + 5)
+    assert langid._least([(5, 2), (3, 4), (1, 9)], 4) == (3, 0.5) and langid._least([(5, 2)], 4) == (0, 0.0)
+
+
 def test_unseen_words_fall_back_to_shorter_ngrams():
     model = langid.LanguageModel(["a", "b"], {}, {"<abc": np.array([-1.0, -9.0]), "x": np.array([-8.0, -2.0])})
     assert model.unseen("abcx").tolist() == [-1.0, -9.0]

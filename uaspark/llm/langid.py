@@ -10,8 +10,10 @@ of the best language under equal priors.
 Training counts words per language with Spark over at most about
 ``rows_per_lang`` labelled rows of each language (a hash of the id picks them;
 this bound is the only sampling, and a parameter).  The model keeps the
-``max_words`` most frequent words and the ``max_grams`` most frequent n-grams,
-so its size has a fixed bound and it is broadcast.
+``max_words`` most frequent words and the ``max_grams`` most frequent n-grams of
+each language, so a large language can't push out a small one.  With many
+languages both are lowered to ``max_cells`` / languages^2, so that the model,
+which is broadcast, has a fixed bound.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0;
 so is everything when no row is labelled.  Languages that tie go to the first
@@ -60,12 +62,27 @@ class LanguageModel:
     grams: dict[str, np.ndarray]
     _places: dict[str, int] | None = field(default=None, repr=False)
     _table: np.ndarray | None = field(default=None, repr=False)
+    _rows: tuple[dict[str, int], np.ndarray] | None = field(default=None, repr=False)
+
+    def __reduce__(self):
+        """Travels as two tables, not as one array per item."""
+        return _unpacked, (self.languages, *(x for items in (self.words, self.grams)
+                                             for x in (list(items), self._stack(items).astype(np.float32))))
+
+    def _stack(self, items: dict[str, np.ndarray]) -> np.ndarray:
+        return np.array(list(items.values()), np.float64).reshape(len(items), len(self.languages))
+
+    def rows(self) -> tuple[dict[str, int], np.ndarray]:
+        """Row of each word, and the scores of the rows."""
+        if self._rows is None:
+            self._rows = {w: i for i, w in enumerate(self.words)}, self._stack(self.words)
+        return self._rows
 
     def unseen(self, word: str) -> np.ndarray:
         """Score of a word that isn't in ``words``."""
         if self._places is None:
             self._places = {g: i for i, g in enumerate(self.grams)}
-            self._table = np.array(list(self.grams.values()), np.float64).reshape(len(self.grams), len(self.languages))
+            self._table = self._stack(self.grams)
         place = self._places.get
         for n in range(min(MAX_N, len(word) + 2), 0, -1):
             known = [i for i in map(place, grams_of(word, n)) if i is not None]
@@ -74,25 +91,44 @@ class LanguageModel:
         return np.zeros(len(self.languages))
 
 
-def _log_frequencies(rows: list, languages: list[str], totals: dict) -> dict[str, np.ndarray]:
-    """rows: (item, lang, n); add-half smoothing against the totals per language."""
+def _unpacked(languages: list[str], words: list[str], of_words: np.ndarray, grams: list[str], of_grams: np.ndarray) -> LanguageModel:
+    return LanguageModel(languages, dict(zip(words, of_words)), dict(zip(grams, of_grams)))
+
+
+def _log_frequencies(counts: DataFrame, item: str, languages: list[str], most: int) -> dict[str, np.ndarray]:
+    """Of the items that are among the ``most`` most frequent ones of any language,
+    the log frequency in each; add-half smoothing against the totals per language."""
+    sizes: dict[str, list[tuple[int, int]]] = {lang: [] for lang in languages}
+    for lang, n, items in counts.groupBy("lang", "n").count().collect():
+        sizes[lang].append((n, items))
+    least = {lang: _least(found, most) for lang, found in sizes.items()}
+    of = lambda place: F.create_map(*[F.lit(x) for lang in languages for x in (lang, least[lang][place])])[F.col("lang")]
+    dice = F.pmod(F.xxhash64(item), F.lit(1_000_003)) / 1_000_003.0
+    best = counts.filter((F.col("n") > of(0)) | ((F.col("n") == of(0)) & (dice < of(1)))).select(item).distinct()
+    found = counts.join(best, item, "left_semi").select(item, "lang", "n").toArrow().combine_chunks()
+    codes = found.column(item).combine_chunks().dictionary_encode() if len(found) else pa.array([], pa.string()).dictionary_encode()
     at = {lang: i for i, lang in enumerate(languages)}
-    counts: dict[str, np.ndarray] = {}
-    for item, lang, n in rows:
-        counts.setdefault(item, np.zeros(len(languages)))[at[lang]] += n
-    below = np.array([max(1.0, totals.get(lang, 0)) for lang in languages]) + 0.5 * len(counts)
-    return {item: np.log((c + 0.5) / below).astype(np.float32) for item, c in counts.items()}
+    table = np.zeros((len(codes.dictionary), len(languages)))
+    table[codes.indices.to_numpy(), [at[x] for x in found.column("lang").to_pylist()]] = found.column("n").to_numpy()
+    totals = [sum(n * items for n, items in sizes[lang]) for lang in languages]
+    below = np.maximum(1.0, totals) + 0.5 * len(table)
+    return dict(zip(codes.dictionary.to_pylist(), np.log((table + 0.5) / below).astype(np.float32)))
 
 
-def _top(counts: DataFrame, item: str, most: int) -> tuple[list, dict]:
-    """The counts of the ``most`` most frequent items, and all totals per language."""
-    totals = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n")).collect()}
-    best = counts.groupBy(item).agg(F.sum("n").alias("all")).orderBy(F.desc("all"), item).limit(most)
-    return [tuple(r) for r in counts.join(best, item).select(item, "lang", "n").collect()], totals
+def _least(sizes: list[tuple[int, int]], most: int) -> tuple[int, float]:
+    """The count above which all items are kept, and the share kept of those that
+    have it, so that about ``most`` remain; ``sizes`` holds (count, items)."""
+    left = most
+    for n, items in sorted(sizes, reverse=True):
+        if items > left:
+            return n, left / items
+        left -= items
+    return 0, 0.0
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          rows_per_lang: int = 5_000, max_words: int = 60_000, max_grams: int = 60_000) -> LanguageModel:
+          rows_per_lang: int = 5_000, max_words: int = 60_000, max_grams: int = 60_000,
+          max_cells: int = 16_000_000) -> LanguageModel:
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()) \
         .select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     have = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
@@ -127,28 +163,29 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     words = words.persist()
     grams = words.mapInArrow(spell, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     languages = sorted(have)
+    fits = max(1, max_cells // len(languages) ** 2)
     try:
-        return LanguageModel(languages, _log_frequencies(*_swap(_top(words, "word", max_words), languages)),
-                             _log_frequencies(*_swap(_top(grams, "gram", max_grams), languages)))
+        return LanguageModel(languages, _log_frequencies(words, "word", languages, min(max_words, fits)),
+                             _log_frequencies(grams, "gram", languages, min(max_grams, fits)))
     finally:
         words.unpersist()
 
 
-def _swap(found: tuple[list, dict], languages: list[str]) -> tuple[list, list[str], dict]:
-    return found[0], languages, found[1]
-
-
 class _Rows(dict):
     """Row of each word's scores; an unseen word gets its row when first asked for."""
 
     def __init__(self, model: LanguageModel):
-        super().__init__((w, i) for i, w in enumerate(model.words))
-        self.model, self.scores = model, list(model.words.values())
+        places, self.table = model.rows()
+        super().__init__(places)
+        self.model = model
 
     def __missing__(self, word: str) -> int:
-        self.scores.append(self.model.unseen(word))
-        self[word] = len(self.scores) - 1
-        return len(self.scores) - 1
+        row = len(self)
+        if row >= len(self.table):
+            self.table = np.concatenate([self.table, np.zeros((max(1024, row), self.table.shape[1]))])
+        self.table[row] = self.model.unseen(word)
+        self[word] = row
+        return row
 
 
 class Scorer:
@@ -166,8 +203,7 @@ class Scorer:
         for text in texts:
             words = words_of(text or "")
             found.append(np.fromiter(map(row, words), np.int64, len(words)))
-        if languages:
-            table = np.array(self.rows.scores, np.float64).reshape(len(self.rows.scores), len(languages))
+        table = self.rows.table
         out = []
         for text, own in zip(texts, found):
             if not languages or not len(own) and not any(c.isalpha() for c in text or ""):
