@@ -347,6 +347,29 @@ def test_saved_models_predict_the_same(spark, tmp_dir):
     assert before == after and all(r[-4] <= r[-3] <= r[-2] for r in after)
 
 
+def test_booster_queries_cover_all_horizons_at_full_rounds(spark, monkeypatch):
+    from tests.conftest import SF
+    from uaspark.plans import q_forecast
+    from uaspark.plans.bridge import TARGET_DAYS, Bridge
+    asked = []
+
+    class Short(BO.QuantileBooster):
+        def __init__(self, alpha, **kw):
+            asked.append(kw)
+            super().__init__(alpha, n_rounds=1, max_depth=2)
+
+    monkeypatch.setattr(BO, "QuantileBooster", Short)
+    b = Bridge(spark, SF)
+    folds = q_forecast.m5(b).collect()
+    assert sorted((r.target_day, r.fold) for r in folds) == [(day, k) for day in TARGET_DAYS for k in range(5)]
+    assert sum(r.n for r in folds) == b.actuals.where("actual IS NOT NULL").count()
+    ranked = q_forecast.m7(b).collect()
+    assert {r.target_day for r in ranked} == set(TARGET_DAYS)
+    assert {r.feature for r in ranked} == {"cost", "installs", "ad_revenue"}
+    assert q_forecast.m1(b).count() == b.actuals.count()
+    assert asked == [{}] * (10 + 2 + 6)          # the operator's own rounds, depth and rate
+
+
 def test_cross_validation_counts_zero_labels(spark):
     df = spark.createDataFrame([(i, float(i % 7), 0.0 if i % 2 else 1.0) for i in range(60)], "id long, a double, y double")
     out = BO.cross_validate_median(df, ["a"], "y", "id", folds=2, n_rounds=1, max_depth=2, min_instances=2).collect()

@@ -21,8 +21,10 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
@@ -156,10 +158,17 @@ def pinball_loss(df: DataFrame, label: str, pred: str, alpha: float) -> DataFram
     return df.agg(F.avg(F.greatest(F.lit(alpha) * d, F.lit(alpha - 1.0) * d)).alias("pinball"))
 
 
+def together(calls: Sequence[Callable]) -> list:
+    """Results of independent calls, run side by side: a fit is many small jobs, one
+    after the other, that leave most of a cluster idle."""
+    with ThreadPoolExecutor(max(1, len(calls))) as pool:
+        return [f.result() for f in [pool.submit(call) for call in calls]]
+
+
 def fit_quantile_triple(train: DataFrame, features: Sequence[str], label: str, **kw) -> dict[str, QuantileBoosterModel]:
     """M1 for alpha .1 / .5 / .9."""
-    return {name: QuantileBooster(alpha, **kw).fit(train, features, label)
-            for name, alpha in (("p10", 0.1), ("p50", 0.5), ("p90", 0.9))}
+    names, alphas = ("p10", "p50", "p90"), (0.1, 0.5, 0.9)
+    return dict(zip(names, together([partial(QuantileBooster(alpha, **kw).fit, train, features, label) for alpha in alphas])))
 
 
 def predict_quantiles(models: dict[str, QuantileBoosterModel], df: DataFrame, sort_quantiles: bool = False) -> DataFrame:
@@ -193,9 +202,10 @@ def cross_validate_median(df: DataFrame, features: Sequence[str], label: str, ke
     held-out fold RMSE over all rows and MAPE over those whose label isn't 0."""
     fold = (F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long") % folds)
     d = df.select("*", fold.alias("_fold"))
+    models = together([partial(QuantileBooster(0.5, **kw).fit, d.where(F.col("_fold") != k), features, label)
+                       for k in range(folds)])
     rows = []
-    for k in range(folds):
-        m = QuantileBooster(0.5, **kw).fit(d.where(F.col("_fold") != k), features, label)
+    for k, m in enumerate(models):
         scored = m.transform(d.where(F.col("_fold") == k), "_pred")
         err = F.col(label) - F.col("_pred")
         ape = F.when(F.col(label) != 0, F.abs(err) / F.abs(F.col(label)))

@@ -3,6 +3,8 @@ pinball booster (M1-M3, M5, M7, T2; rows-only - iterative, no SQL form)."""
 
 from __future__ import annotations
 
+from functools import partial, reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,9 +13,8 @@ from .bridge import COHORT_DAYS, TARGET_DAYS, Bridge
 from .bridge_sql import split_bucket_sql, with_views
 from .catalog import query, r6
 
-BOOST_FEATURES = ["installs", "cost", "ad_revenue"]
-# Small booster settings for the registered queries (each round is two jobs).
-BOOST_KW = {"n_rounds": 3, "max_depth": 3, "min_instances": 10, "learning_rate": 0.5, "checkpoint_every": 2}
+# Numeric columns that are no features: keys, the split, and the label's own numerator.
+NO_FEATURES = ["row_id", "target_day", "split_bucket", "revenue"]
 
 
 @query("M4_segment_quantiles", with_views("actuals") + """
@@ -46,31 +47,38 @@ def m8(b: Bridge) -> DataFrame:
                     *[r6(F.col(c).cast("double")).alias(c) for c in feats])
 
 
-def _train(b: Bridge, day: int) -> tuple[DataFrame, DataFrame]:
-    a = b.actuals.where(F.col("target_day") == day).join(
-        b.campaign.select("row_id", "ad_revenue"), "row_id")
-    return a.where(F.col("split_bucket") != 0), a
+def _prepared(b: Bridge, day: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(rows with a label, all rows, features) of one horizon."""
+    a = b.actuals.where(F.col("target_day") == day).join(b.campaign.select("row_id", "ad_revenue"), "row_id")
+    known, feats = BO.prepare_training(a, "actual", day, exclude=NO_FEATURES)
+    return known, a.na.fill(0, subset=feats), feats
+
+
+def _by_day(per_day: list[DataFrame]) -> DataFrame:
+    """One table for all horizons, with the horizon as first column."""
+    tagged = [df.select(F.lit(day).alias("target_day"), "*") for day, df in zip(TARGET_DAYS, per_day)]
+    return reduce(DataFrame.unionByName, tagged)
 
 
 @query("M1_M3_quantile_booster")
 def m1(b: Bridge) -> DataFrame:
-    per = {}
-    for day in TARGET_DAYS:
-        train, full = _train(b, day)
-        models = BO.fit_quantile_triple(train, BOOST_FEATURES, "actual", **BOOST_KW)
-        per[day] = BO.predict_quantiles(models, full.select("row_id", *BOOST_FEATURES))
-    return BO.multi_horizon(per, ["row_id"])
+    parts = [_prepared(b, day) for day in TARGET_DAYS]
+    models = BO.together([partial(BO.fit_quantile_triple, known.where(F.col("split_bucket") != 0), feats, "actual")
+                          for known, _, feats in parts])
+    return BO.multi_horizon({day: BO.predict_quantiles(m, full.select("row_id", *feats))
+                             for day, m, (_, full, feats) in zip(TARGET_DAYS, models, parts)}, ["row_id"])
 
 
 @query("M5_cross_validation")
 def m5(b: Bridge) -> DataFrame:
-    _, full = _train(b, 30)
-    return BO.cross_validate_median(full, BOOST_FEATURES, "actual", "row_id", folds=5,
-                                    **{**BOOST_KW, "n_rounds": 2})
+    parts = [_prepared(b, day) for day in TARGET_DAYS]
+    return _by_day(BO.together([partial(BO.cross_validate_median, known, feats, "actual", "row_id", folds=5)
+                                for known, _, feats in parts]))
 
 
 @query("M7_T2_feature_importance")
 def m7(b: Bridge) -> DataFrame:
-    train, _ = _train(b, 30)
-    model = BO.QuantileBooster(0.5, **BOOST_KW).fit(train, BOOST_FEATURES, "actual")
-    return BO.importance_frame(b.spark, model.feature_importances(), top=10)
+    parts = [_prepared(b, day) for day in TARGET_DAYS]
+    models = BO.together([partial(BO.QuantileBooster(0.5).fit, known.where(F.col("split_bucket") != 0), feats, "actual")
+                          for known, _, feats in parts])
+    return _by_day([BO.importance_frame(b.spark, m.feature_importances(), top=10) for m in models])
