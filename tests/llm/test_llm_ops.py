@@ -374,6 +374,19 @@ def test_near_duplicate_edge_cases(spark):
     assert sorted(r.doc_id for r in ngram_join.survivors(frame(spark, rows[1:])).collect()) == [7, 9]
 
 
+def test_rows_without_an_id_link_near_copies(spark):
+    """a and c are linked only through a text that no row with an id has; two such texts link too."""
+    make = lambda *changed: " ".join("x" if i in changed else f"w{i}" for i in range(70))
+    other = [" ".join(f"v{i}" for i in range(n)) for n in (60, 61)]
+    rows = [(1, make(10), "en", "s", 0), (None, make(), "en", "s", 0), (3, make(35), "en", "s", 0),
+            (None, other[0], "en", "s", 0), (None, other[1], "en", "s", 0), (8, "a b c d e f", "en", "s", 0)]
+    sets = [{tuple(t.split()[j:j + 5]) for j in range(66)} for t in (make(10), make(), make(35))]
+    near = lambda x, y: 100 * len(x & y) >= 80 * len(x | y)
+    assert near(sets[0], sets[1]) and near(sets[1], sets[2]) and not near(sets[0], sets[2])
+    out = ngram_join.near_duplicates(frame(spark, rows)).collect()
+    assert Counter((r.doc_id, r.component_id) for r in out) == Counter({(1, 1): 1, (None, 1): 1, (3, 1): 1, (None, None): 2, (8, 8): 1})
+
+
 def test_connected_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(5, 5), (7, 6)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -15,7 +15,8 @@ each, so only these prefixes are shuffled and joined.  Pairs pass
 
 and are then verified once on the whole sets.  Whole sets are read again from
 the texts, for documents of pairs that passed all filters only (a Bloom filter
-of bounded size names them, so texts are never shuffled).
+of bounded size names them, by id or, without one, by set, so texts are never
+shuffled).
 
 Groups of a shingle are never expanded into all pairs.  Each member is first
 paired with the first, the last and the preceding member of its group; verified
@@ -284,16 +285,28 @@ def _suffix_filter(pairs: DataFrame, nodes: DataFrame, percent: int, *kinds: str
 
 
 def _sets(docs: DataFrame, passed: DataFrame, words: int) -> DataFrame:
-    """(node, items) of the documents named in ``passed`` (and of a few others)."""
-    ids = passed.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
-    share = docs.sparkSession.sparkContext.broadcast(bloom.build(ids, "id", ids.count()))
+    """(node, items) of the documents named in ``passed`` (and of a few others):
+    by id, and by node where no row of a set has an id."""
+    named = passed.select(F.explode(F.array(F.struct(F.col("id_a").alias("id"), F.col("a").alias("node")),
+                                            F.struct(F.col("id_b").alias("id"), F.col("b").alias("node")))).alias("x")).select("x.*")
+    ids = named.filter("id IS NOT NULL").select("id").distinct()
+    bare = named.filter("id IS NULL").select("node").distinct()
+    many = bare.count()
+    share = docs.sparkSession.sparkContext.broadcast(
+        (bloom.build(ids, "id", ids.count()), bloom.build(bare, "node", many) if many else None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in pieces(batches, "text", PIECE):
-            batch = batch.filter(batch.column("doc_id").is_valid())
-            batch = batch.filter(pa.array(bloom.may_have(share.value, batch.column("doc_id").to_numpy().view(np.uint64))))
-            found = {_node(s): s for s in shingle_sets(batch.column("text"), words) if len(s)}
+            by_id, by_node = share.value
+            known = batch.filter(batch.column("doc_id").is_valid())
+            known = known.filter(pa.array(bloom.may_have(by_id, known.column("doc_id").to_numpy().view(np.uint64))))
+            found = {_node(s): s for s in shingle_sets(known.column("text"), words) if len(s)}
+            if by_node is not None and batch.column("doc_id").null_count:
+                rest = batch.filter(batch.column("doc_id").is_null())
+                rest = {_node(s): s for s in shingle_sets(rest.column("text"), words) if len(s)}
+                hit = bloom.may_have(by_node, np.array(list(rest), np.int64).view(np.uint64))
+                found |= {k: s for (k, s), x in zip(rest.items(), hit) if x}
             found = {k: s for k, s in found.items() if k not in seen}
             seen.update(found)
             yield pa.RecordBatch.from_arrays(
