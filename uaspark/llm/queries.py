@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, langid, lm_score, mixing, ngram_join, pii, quality, sharding
+from . import (ann, bpe, exact_dedup, fim, langid, lm_score, mixing, ngram_join, pii, quality, resample, sharding,
+               toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -135,3 +136,25 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 WHERE rank <= 20""")
 def op10(spark, sf_dir):
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
+@register("op11_resampling")
+def op11(spark, sf_dir):
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op12_toxicity")
+def op12(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    lexicon = toxicity.train(docs, labels.filter(toxicity.fold() != 1))
+    held_out = F.coalesce(toxicity.fold() == 1, F.lit(False)).alias("held_out")
+    return toxicity.score(docs.select("doc_id", "text", held_out), lexicon).select(
+        "doc_id", "held_out", "score", "predicted")
+
+
+@register("op13_fill_in_middle")
+def op13(spark, sf_dir):
+    out = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                      F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(fim.restored(F.col("form"), F.col("output")), 256).alias("restored_sha256"))
