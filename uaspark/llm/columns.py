@@ -13,12 +13,41 @@ def fresh(taken: list[str], name: str, ending: str = "_") -> str:
     return name
 
 
-def set_apart(df: DataFrame, *results: str) -> DataFrame:
-    """``df`` with the columns that bear the name of a result renamed: ``_in`` is
-    appended until the name is free, so the caller's values stay."""
+def apart(columns: list[str], *results: str) -> list[str]:
+    """``columns`` with those that bear the name of a result renamed: ``_in`` is
+    appended until the name is free."""
     wanted = {r.lower() for r in results}
-    names = list(df.columns)
+    names = list(columns)
     for i, name in enumerate(names):
         if name.lower() in wanted:
             names[i] = fresh([*names[:i], *names[i + 1:], *results], f"{name}_in", "_in")
+    return names
+
+
+def set_apart(df: DataFrame, *results: str) -> DataFrame:
+    """``df`` with clashing columns renamed (``apart``), so the caller's values stay."""
+    names = apart(df.columns, *results)
     return df.toDF(*names) if names != df.columns else df
+
+
+def renamed(df: DataFrame, column: str, *results: str) -> tuple[DataFrame, str]:
+    """``set_apart``, and the name that ``column`` has then."""
+    out = set_apart(df, *results)
+    return out, out.columns[[c.lower() for c in df.columns].index(column.lower())]
+
+
+class Neutral:
+    """A table whose columns are called ``c0``, ``c1`` ... while an operator adds its own."""
+
+    def __init__(self, df: DataFrame):
+        self.columns = df.columns
+        self.names = [f"c{i}" for i in range(len(df.columns))]
+        self.df = df.toDF(*self.names)
+
+    def __getitem__(self, column: str) -> str:
+        """The present name of a column."""
+        return self.names[[c.lower() for c in self.columns].index(column.lower())]
+
+    def shown(self, df: DataFrame, *results: str) -> DataFrame:
+        """The columns under their own names (``apart``), and the results."""
+        return df.select(*self.names, *results).toDF(*apart(self.columns, *results), *results)

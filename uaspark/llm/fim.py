@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .columns import fresh, set_apart
+from .columns import fresh, renamed
 from .texts import mix, pieces
 
 #: One node in so many is lifted to the next lane.
@@ -126,17 +126,16 @@ def transform(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     ids, texts = docs[id_col], docs[text_col]
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(ids.cast("string"), F.lit(""))), 256)
     draws = F.array(*[F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("long") for i in range(4)])
-    own, source = fresh(docs.columns, "_draws"), fresh(docs.columns, "_text")
-    work = docs.select("*", draws.alias(own), F.coalesce(texts.cast("string"), F.lit("")).alias(source))
-    work = set_apart(work, *RESULTS)
-    rest = [f for f in work.schema.fields if f.name not in (own, source)]
+    own = fresh([*docs.columns, *RESULTS], "_draws")
+    work, source = renamed(docs.withColumns({text_col: texts.cast("string"), own: draws}), text_col, *RESULTS)
+    rest = [f for f in work.schema.fields if f.name != own]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, source):
             column = batch.column(source)
             out = []
             for text, widths, (h1, h2, h3, h4) in zip(column.to_pylist(), unit_widths(column), batch.column(own).to_pylist()):
-                n = len(widths)
+                text, n = text or "", len(widths)
                 if not text or PREFIX in text or SUFFIX in text or MIDDLE in text or h3 % 100 >= percent:
                     out.append((n, "plain", None, None, text))
                     continue

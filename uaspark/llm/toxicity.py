@@ -8,7 +8,8 @@ a phrase and one with a space in front only is the beginning of words.
 
 The lexicon is learned from labelled rows (at most about ``rows_per_label`` of each
 label, picked by a hash of the id: the only sampling).  Word beginnings are counted by
-documents; those that lean to toxic documents become candidates.  Their occurrences
+documents; those at least half as much heavier in toxic documents as an entry must be
+become candidates.  Their occurrences
 are then counted by distinct surroundings (the words before and after), so that copies of a
 document count once.  The weight is the logarithm of the rates in toxic and clean
 text.  Of candidates that cover the same occurrences the longest stays; a beginning of
@@ -47,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
-from .columns import fresh, set_apart
+from .columns import renamed
 from .store import stored
 from .texts import pieces
 
@@ -170,7 +171,7 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
             .join(picked, "id").select("text", "toxic"))
 
 
-def _leaning(rows: DataFrame, totals: dict[bool, int], least_docs: int) -> tuple[list[str], float]:
+def _leaning(rows: DataFrame, totals: dict[bool, int], least_docs: int, least_lean: float) -> tuple[list[str], float]:
     """Patterns that lean to toxic documents, counted by documents, and the bar they passed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -190,7 +191,8 @@ def _leaning(rows: DataFrame, totals: dict[bool, int], least_docs: int) -> tuple
     both, share = F.col("a") + F.col("b"), totals[True] / (totals[True] + totals[False])
     toxic_part = F.col("a") * F.log(F.col("a") / both / share)
     clean_part = F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / both / (1 - share))).otherwise(0.0)
-    passed = counts.filter((F.col("a") / both > share) & (toxic_part + clean_part >= bar))
+    lean = F.log((F.col("a") + 0.5) / (totals[True] + 1.0)) - F.log((F.col("b") + 0.5) / (totals[False] + 1.0))
+    passed = counts.filter((lean >= least_lean) & (F.col("a") / both > share) & (toxic_part + clean_part >= bar))
     return [r[0] for r in passed.select("pattern").collect()], bar
 
 
@@ -301,7 +303,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     totals = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     if len(totals) < 2:
         return Lexicon({})
-    patterns, bar = _leaning(rows, totals, least_docs)
+    patterns, bar = _leaning(rows, totals, least_docs, least_weight / 2)
     if not patterns:
         return Lexicon({})
     found = stored(_occurrences(rows, patterns))
@@ -338,19 +340,18 @@ RESULTS = [StructField("load", DoubleType()), StructField("matches", LongType())
 def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """``docs`` plus ``load``, ``matches``, ``score`` and ``predicted`` (1 from
     ``threshold`` on)."""
-    own = fresh(docs.columns, "_text")
-    work = set_apart(docs.withColumn(own, F.coalesce(F.col(text_col).cast("string"), F.lit(""))), *(f.name for f in RESULTS))
-    rest = [f for f in work.schema.fields if f.name != own]
+    work, own = renamed(docs.withColumn(text_col, F.col(text_col).cast("string")), text_col, *(f.name for f in RESULTS))
+    rest = work.schema.fields
     share = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = share.value
         automaton = lexicon.automaton()
         for batch in pieces(batches, own):
-            found = [lexicon.load(t, automaton) for t in batch.column(own).to_pylist()]
+            found = [lexicon.load(t or "", automaton) for t in batch.column(own).to_pylist()]
             scores = [lexicon.score(x) for x, _ in found]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(f.name) for f in rest), pa.array([f[0] for f in found], pa.float64()),
+                [*batch.columns, pa.array([f[0] for f in found], pa.float64()),
                  pa.array([f[1] for f in found], pa.int64()), pa.array(scores, pa.float64()),
                  pa.array([int(s >= threshold) for s in scores], pa.int32())],
                 [*(f.name for f in rest), *(f.name for f in RESULTS)])
