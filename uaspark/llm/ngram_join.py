@@ -46,6 +46,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bloom
+from .columns import Neutral
 from .store import components, stored
 from .texts import chain, mix, pieces, word_hashes
 
@@ -105,27 +106,27 @@ def _most_common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _facts(docs: DataFrame, words: int) -> DataFrame:
-    """Rows (kind, doc_id, a, b, coarse, ranges): per document its set size, node and
-    ranges; per task and bucket the number of shingle occurrences."""
+    """Rows (kind, doc_id, tag, a, b, coarse, ranges): per document its set size, node
+    and ranges; per task and bucket the number of shingle occurrences."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "doc_id", "a", "b", "coarse", "ranges"]
+        names = ["kind", "doc_id", "tag", "a", "b", "coarse", "ranges"]
         counts = np.zeros(1 << BUCKET_BITS, np.int64)
         for batch in pieces(batches, "text", PIECE):
             sets = shingle_sets(batch.column("text"), words)
             every = np.concatenate(sets)
             counts += np.bincount(_bucket(every), minlength=1 << BUCKET_BITS)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(sets), FACT_DOC, np.int8)), batch.column("doc_id"),
+                [pa.array(np.full(len(sets), FACT_DOC, np.int8)), batch.column("doc_id"), batch.column("tag"),
                  pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([_node(s) for s in sets], pa.int64()),
                  pa.array([_ranges(s, COARSE) for s in sets], pa.binary()),
                  pa.array([_ranges(s) for s in sets], pa.binary())], names)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(used), FACT_BUCKET, np.int8)), pa.nulls(len(used), pa.int64()),
+            [pa.array(np.full(len(used), FACT_BUCKET, np.int8)), *[pa.nulls(len(used), pa.int64())] * 2,
              pa.array(used), pa.array(counts[used]), pa.nulls(len(used), pa.binary()), pa.nulls(len(used), pa.binary())], names)
 
-    return docs.mapInArrow(run, "kind byte, doc_id long, a long, b long, coarse binary, ranges binary")
+    return docs.mapInArrow(run, "kind byte, doc_id long, tag long, a long, b long, coarse binary, ranges binary")
 
 
 def _bucket_counts(facts: DataFrame) -> np.ndarray:
@@ -403,13 +404,12 @@ def _rest_pairs(rest: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             .applyInArrow(tile, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
-                    percent: int = 80, hot_rows: int = 10_000) -> DataFrame:
-    """One row per document: (doc_id, n_shingles, component_id)."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _linked(docs: DataFrame, words: int, percent: int, hot_rows: int) -> DataFrame:
+    """(doc_id, tag, n_shingles, root, component_id) for each row of ``docs`` (doc_id,
+    tag, text); ``root`` names the component (null for rows without shingles)."""
     facts = stored(_facts(docs, words))
     own = facts.filter(F.col("kind") == FACT_DOC).select(
-        "doc_id", F.col("a").alias("n_shingles"), F.col("b").alias("node"), "coarse", "ranges")
+        "doc_id", "tag", F.col("a").alias("n_shingles"), F.col("b").alias("node"), "coarse", "ranges")
     full, empty = own.filter("n_shingles > 0"), own.filter("n_shingles = 0")
     nodes = full.groupBy("node").agg(F.min("doc_id").alias("least_id"))
 
@@ -434,13 +434,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = named.join(ids, "root").select("node", "component_id")
-    return (full.join(classes, "node").select("doc_id", "n_shingles", "component_id")
-            .unionByName(empty.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))))
+    classes = named.join(ids, "root").select("node", "root", "component_id")
+    return (full.join(classes, "node").select("doc_id", "tag", "n_shingles", "root", "component_id")
+            .unionByName(empty.select("doc_id", "tag", "n_shingles", F.lit(None).cast("long").alias("root"),
+                                      F.col("doc_id").alias("component_id"))))
 
 
-def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of each component, and all without shingles."""
-    found = near_duplicates(docs, id_col, text_col, **kw)
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stay, docs[id_col].cast("long").eqNullSafe(stay["_stays"]), "left_semi")
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
+                    percent: int = 80, hot_rows: int = 10_000) -> DataFrame:
+    """One row per document: (doc_id, n_shingles, component_id)."""
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("tag"), F.col(text_col).alias("text"))
+    return _linked(narrow, words, percent, hot_rows).select("doc_id", "n_shingles", "component_id")
+
+
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
+              percent: int = 80, hot_rows: int = 10_000) -> DataFrame:
+    """One row of ``docs`` for each component, and all rows without shingles.
+
+    The row with the smallest id stays (one without an id only where no row has one; of
+    rows that share it, the one whose text has the least hash; of rows alike in both,
+    any).  Rows are judged by their own component: id and a hash of the text name them."""
+    own = Neutral(docs)
+    tagged = own.df.select("*", F.col(own[id_col]).cast("long").alias("id"), F.xxhash64(own[text_col]).alias("tag"))
+    found = stored(_linked(tagged.select(F.col("id").alias("doc_id"), "tag", F.col(own[text_col]).alias("text")), words, percent, hot_rows)
+                   .filter("n_shingles > 0").select("doc_id", "tag", "root"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("m")
+    first = found.groupBy("root").agg(least).select("m.doc_id", "m.tag")
+    copies = found.groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("copies"))
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["first_id"]) & (a["tag"] == b["first_tag"])
+    named = first.toDF("first_id", "first_tag")
+    stay = stored(copies.join(named, same(copies, named)).select("first_id", "first_tag", "copies"))
+    rows = tagged.filter(F.coalesce(F.col(own[text_col]), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    kept = rows.join(stay, rows["id"].eqNullSafe(stay["first_id"]) & (rows["tag"] == stay["first_tag"]))
+    out = kept.filter("copies = 1").select(*own.names)
+    if not stay.filter("copies > 1").isEmpty():
+        alike = kept.filter("copies > 1").groupBy("id", "tag").agg(F.any_value(F.struct(*own.names)).alias("row"))
+        out = out.unionByName(alike.select("row.*"))
+    blank = tagged.filter(~F.coalesce(F.col(own[text_col]), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    return own.shown(out.unionByName(blank.select(*own.names)))
