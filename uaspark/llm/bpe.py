@@ -13,8 +13,10 @@ size (some 50,000 merges) doesn't depend on the data.
 
 Defined results: a null text is encoded as the empty text (no ids).  Special
 tokens written in a text become their own id, as the tokenizers library does
-unless told otherwise.  Texts may have any length; a pre-token may, too.  Other
-columns pass through.
+unless told otherwise.  Texts may have any length; a pre-token may, too.  Every row is
+coded on its own, repeated rows and ids too; an empty table gives an empty result.
+Other columns pass through; one that bears the name of a result is renamed
+(``columns.set_apart``).
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
+from .columns import fresh, renamed, set_apart
 from .texts import pieces
 
 #: Fixed value: the pattern that splits text before the merges of byte-level vocabularies.
@@ -87,12 +90,12 @@ class Vocabulary:
             spelled[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         for token, i in special.items():
             spelled[i] = token.encode()
-        merges, made = [], {}
-        for rank, pair in enumerate(model["merges"]):
-            left, right = pair if isinstance(pair, list) else pair.split(" ")
-            if max(made.get(left, -1), made.get(right, -1)) >= rank or left + right in made:
+        pairs = [pair if isinstance(pair, list) else pair.split(" ") for pair in model["merges"]]
+        made = {left + right: rank for rank, (left, right) in enumerate(pairs)}
+        merges = []
+        for rank, (left, right) in enumerate(pairs):
+            if max(made.get(left, -1), made.get(right, -1)) >= rank or made[left + right] != rank:
                 raise ValueError(f"merge {rank} uses a token made later or makes one twice")
-            made[left + right] = rank
             merges.append((ids[left], ids[right], ids[left + right]))
         byte_ids = np.zeros(256, np.int64)
         for c, b in letters.items():
@@ -257,6 +260,7 @@ class Decoder:
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` plus ``ids_col`` array<int>."""
+    docs, text_col = renamed(docs, text_col, ids_col)
     share = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,6 +275,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_
 
 def decode(rows: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``rows`` plus ``text_col``, the text of ``ids_col`` (null: empty)."""
+    rows, ids_col = renamed(rows, ids_col, text_col)
     share = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,14 +298,17 @@ def round_trip(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text",
     the text decoded from them: ``n_tokens``, ``ids_sha256`` (decimal ids joined
     by commas) and ``decoded_sha256``; with ``keep_ids`` also ``ids`` array<int>."""
     share = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    rest = [f for f in docs.schema.fields if f.name != text_col]
     ids_field = [StructField("ids", ArrayType(IntegerType()))] if keep_ids else []
+    results = [f.name for f in (*ids_field, *DIGESTS)]
+    own_text = fresh([*docs.columns, *results], "_text")
+    docs = set_apart(docs.withColumnRenamed(text_col, own_text), *results)
+    rest = [f for f in docs.schema.fields if f.name != own_text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = Encoder(share.value), Decoder(share.value)
         decimal = list(map(str, range(len(share.value.spelled))))
-        for batch in pieces(batches, text_col):
-            ids, offsets = encoder.encode([t or "" for t in batch.column(text_col).to_pylist()])
+        for batch in pieces(batches, own_text):
+            ids, offsets = encoder.encode([t or "" for t in batch.column(own_text).to_pylist()])
             spelled, back = [], []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
                 own = ids[a:b].tolist()
@@ -310,6 +318,6 @@ def round_trip(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text",
             lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))] if keep_ids else []
             yield pa.RecordBatch.from_arrays(
                 [*columns, *lists, pa.array(np.diff(offsets), pa.int64()), pa.array(spelled), pa.array(back)],
-                [f.name for f in (*rest, *ids_field, *DIGESTS)])
+                [*(f.name for f in rest), *results])
 
     return docs.mapInArrow(run, StructType([*rest, *ids_field, *DIGESTS]))

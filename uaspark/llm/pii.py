@@ -13,8 +13,10 @@ either side, reaches ``threshold``; base spans carry a score but always stay.
 Scanning is linear in the text: no pattern is tried from the middle of a run
 that it failed from the start of.
 
-Defined results: a null text has no spans; spans are in code points, end
-exclusive; extra columns pass through.
+Defined results: null and empty texts have no spans; spans are in code points, end
+exclusive; texts may have any length.  Every row is judged on its own, repeated rows
+and ids too; an empty table gives an empty result.  Extra columns pass through; one
+that bears the name of a result is renamed (``columns.set_apart``).
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import (ArrayType, DoubleType, IntegerType, LongType, StringType, StructField,
                                StructType)
 
+from .columns import fresh, renamed, set_apart
 from .texts import pieces
 
 BASE = ("email", "ip", "card", "phone")
@@ -160,6 +163,8 @@ _ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()),
 
 def find_pii(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """``docs`` plus ``pii`` array<struct<kind, start, end, score>>."""
+    docs, text_col = renamed(docs, text_col, "pii")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text_col):
             spans = [[s._asdict() for s in find(t or "", threshold)] for t in batch.column(text_col).to_pylist()]
@@ -199,17 +204,20 @@ REPORT = [StructField(f"n_{k}", LongType()) for k in BASE] + [
 def report(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """Every column of ``docs`` but the text, the count of each base kind,
     ``base_sha256`` over the base spans and ``spans``, all spans as text."""
-    rest = [f for f in docs.schema.fields if f.name != text_col]
+    results = [f.name for f in REPORT]
+    own = fresh([*docs.columns, *results], "_text")
+    docs = set_apart(docs.withColumnRenamed(text_col, own), *results)
+    rest = [f for f in docs.schema.fields if f.name != own]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text_col):
-            found = [find(t or "", threshold) for t in batch.column(text_col).to_pylist()]
+        for batch in pieces(batches, own):
+            found = [find(t or "", threshold) for t in batch.column(own).to_pylist()]
             base = [[s for s in row if s.kind in BASE] for row in found]
             counts = [pa.array([sum(s.kind == k for s in row) for row in base], pa.int64()) for k in BASE]
             digests = [hashlib.sha256(joined(row).encode()).hexdigest() for row in base]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(f.name) for f in rest), *counts, pa.array(digests, pa.string()),
                  pa.array([joined(row) for row in found], pa.string())],
-                [*(f.name for f in rest), *(f.name for f in REPORT)])
+                [*(f.name for f in rest), *results])
 
     return docs.mapInArrow(run, StructType([*rest, *REPORT]))

@@ -16,8 +16,9 @@ Copies of a text are neighbours in the order, so they share a shard unless a
 splitter has to pass between them to meet the tolerance.
 
 Defined results: a null text has size 1 and the key of an empty text; a null id
-sorts as -1; rows equal in text hash and id stay together; an empty table gives
-an empty result; extra columns pass through.
+sorts as -1; rows equal in text hash and id stay together, in no stated order; an
+empty table gives an empty result; extra columns pass through, and one that bears the
+name of a result is renamed (``columns.apart``).
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .columns import Neutral
 
 KEY_BITS = 62
 FIRST_BITS = 14
@@ -173,28 +175,54 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     """``docs`` with ``size`` long, ``shard`` int and ``slot`` long (gapless from 0 per shard).
 
     Splitters are searched on (key, id, size) only; the columns of ``docs``
-    move once, in the final exchange.
+    move once, in the final exchange.  The driver places ``max_blocks`` blocks a shard
+    at most; of larger inputs each block is cut further into equal ranges of its key
+    (of its ids, if it lies in one text), so that a task sorts about ``rows_per_block``
+    rows at any size.
     """
-    order = cut_lineage(keyed(docs.select(id_col, text_col), id_col, text_col).select("_key", "_sub", "size"))
+    own = Neutral(docs)
+    order = cut_lineage(keyed(own.df.select(own[id_col], own[text_col]), own[id_col], own[text_col])
+                        .select("_key", "_sub", "size"))
     count = order.count()
     coarse = min(max_blocks, max(1, -(-count // (shards * rows_per_block))))
+    pieces = max(1, -(-count // (shards * coarse * rows_per_block)))
     cuts = splitters(order, shards, coarse, tolerance)
-    placed, block = _block(cuts, order)
-    sizes = {r[0]: r[1] for r in placed.groupBy(block.alias("b")).count().collect()}
-    starts = []
-    for shard in range(shards):
-        rows = 0
-        for b in range(shard * coarse, (shard + 1) * coarse):
-            starts.append((b, shard, rows))
-            rows += sizes.get(b, 0)
-    offsets = docs.sparkSession.createDataFrame(starts, "_block int, shard int, _start long")
-    rows, block = _block(cuts, keyed(docs, id_col, text_col))
-    rank = F.row_number().over(Window.partitionBy("_block").orderBy("_key", "_sub"))
-    return (rows.withColumn("_block", block.cast("int"))
-            .withColumn("_rank", rank)
-            .join(F.broadcast(offsets), "_block")
-            .withColumn("slot", F.col("_start") + F.col("_rank") - 1)
-            .select(*docs.columns, "size", "shard", "slot"))
+    bounds = _bounds(order, cuts, shards, coarse)
+
+    def placed(rows: DataFrame) -> DataFrame:
+        rows, block = _block(cuts, rows)
+        rows = rows.withColumn("_block", block.cast("int"))
+        if pieces == 1:
+            return rows.withColumn("_piece", F.lit(0))
+        inside = F.col("_low") == F.col("_high")
+        at = F.when(inside, (F.col("_sub") - F.col("_id_low")) / F.greatest(F.lit(1.0), F.col("_id_high") - F.col("_id_low"))).otherwise(
+            (F.col("_key") - F.col("_low")) / (F.col("_high") - F.col("_low") + 1.0))
+        piece = F.least(F.lit(pieces - 1), F.greatest(F.lit(0), F.floor(at * pieces))).cast("int")
+        return rows.join(F.broadcast(bounds), "_block").withColumn("_piece", F.coalesce(piece, F.lit(0)))
+
+    shard = F.floor(F.col("_block") / coarse).cast("int")
+    sizes = placed(order).groupBy("_block", "_piece").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("shard").orderBy("_block", "_piece")) - F.col("_n")
+    offsets = sizes.withColumn("shard", shard).withColumn("_start", before).select("_block", "_piece", "shard", "_start")
+    if pieces == 1:
+        offsets = F.broadcast(offsets)                        # a row per block, shards * max_blocks at most
+    rank = F.row_number().over(Window.partitionBy("_block", "_piece").orderBy("_key", "_sub"))
+    out = (placed(keyed(own.df, own[id_col], own[text_col])).withColumn("_rank", rank)
+           .join(offsets, ["_block", "_piece"]).withColumn("slot", F.col("_start") + F.col("_rank") - 1))
+    return own.shown(out, "size", "shard", "slot")
+
+
+def _bounds(order: DataFrame, cuts: list[tuple[int, int | None]], shards: int, coarse: int) -> DataFrame:
+    """(_block, _low, _high, _id_low, _id_high): the key range of each block, and the ids
+    that bound it if it lies in one key."""
+    first, last = order.agg(F.min("_sub"), F.max("_sub")).first()
+    ends = [(0, None), *cuts, (1 << KEY_BITS, None)]
+    rows = []
+    for block in range(shards * coarse):
+        (low, id_low), (high, id_high) = ends[block], ends[block + 1]
+        rows.append((block, low, high, float((first or 0) if id_low is None else id_low),
+                     float((last or 0) + 1 if id_high is None else id_high)))
+    return order.sparkSession.createDataFrame(rows, "_block int, _low long, _high long, _id_low double, _id_high double")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, **kw) -> None:
