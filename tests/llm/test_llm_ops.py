@@ -15,6 +15,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from uaspark.llm import (ann, bpe, exact_dedup, langid, lm_score, mixing, ngram_join, pii, quality,
@@ -65,6 +66,30 @@ def test_shards_are_even_and_slots_gapless(spark, block):
         assert abs(sum(r["size"] for r in rs) - total / 4) <= largest + 4
 
 
+@pytest.mark.parametrize("max_blocks", [1, 2, 256])
+def test_shards_equal_independent_cuts(spark, max_blocks):
+    """The order is (hash, id): plain cuts at the nearest byte sums, slots by plain ranks."""
+    rows = [(i, "hot text" if i % 3 == 0 else f"text {i} " * (i % 7), "en", "s", 0) for i in range(3000)]
+    df = frame(spark, rows).withColumn("h", F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2))
+    out = sharding.shard_by_bytes(df, shards=4, tolerance=1e-9, rows_per_block=40, max_blocks=max_blocks).collect()
+    ordered = sorted(out, key=lambda r: (r.h, r.doc_id))
+    total, below, slots = sum(r["size"] for r in out), 0, Counter()
+    for r in ordered:
+        # the cut nearest to each quarter: this row lies behind it if most of it does
+        want = sum(below + r["size"] / 2 > total * i / 4 for i in (1, 2, 3))
+        assert r.shard == want or abs(below - total * max(r.shard, want) / 4) <= r["size"]
+        assert r.slot == slots[r.shard]
+        slots[r.shard] += 1
+        below += r["size"]
+
+
+def test_shard_columns_may_clash(spark):
+    df = frame(spark, corpus(30)).withColumns({"size": F.lit("a"), "_key": F.lit("b"), "_block": F.lit("c"), "slot": F.lit("d")})
+    out = sharding.shard_by_bytes(df, shards=2)
+    assert out.columns[-7:] == ["size_in", "_key", "_block", "slot_in", "size", "shard", "slot"]
+    assert {(r.size_in, r["_key"], r["_block"], r.slot_in) for r in out.collect()} == {tuple("abcd")}
+
+
 def test_one_text_is_split_by_id(spark):
     out = sharding.shard_by_bytes(frame(spark, [(i, "same", "en", "s", 4) for i in range(200)]), shards=4).collect()
     assert set(Counter(r.shard for r in out).values()) == {50}
@@ -118,6 +143,26 @@ def test_bpe_agrees_with_the_library(vocabulary):
     assert decoder.decode(broken) == library.decode(broken, skip_special_tokens=False)
 
 
+def test_bpe_refuses_merges_out_of_order():
+    letters = {c: b for c, b in bpe.byte_letters().items()}
+    vocab = {c: i for i, c in enumerate(letters)} | {"ab": 256, "abc": 257}
+    file = {"model": {"vocab": vocab, "merges": ["a b", "ab c"]}, "added_tokens": []}
+    assert len(bpe.Vocabulary.from_json(file).merges) == 2
+    for merges in (["ab c", "a b"], ["a b", "a b"]):
+        with pytest.raises(ValueError):
+            bpe.Vocabulary.from_json({"model": {"vocab": vocab, "merges": merges}, "added_tokens": []})
+
+
+def test_bpe_and_pii_columns_may_clash(spark, vocabulary):
+    docs = frame(spark, [(1, "mail a@b.co", "en", "s", 0)]).withColumns({"ids": F.lit("x"), "N_tokens": F.lit("y"), "spans": F.lit("z"), "pii": F.lit("p"), "decoded": F.lit("q")})
+    coded = bpe.encode(docs, vocabulary[0])
+    row = bpe.decode(coded, vocabulary[0]).first()
+    assert (row.ids_in, row.decoded, row.decoded_in) == ("x", "mail a@b.co", "q")
+    row = bpe.round_trip(docs, vocabulary[0], keep_ids=True).first()
+    assert (row.ids_in, row["N_tokens_in"], row.n_tokens) == ("x", "y", len(row.ids))
+    assert pii.report(docs).first().spans_in == "z" and pii.find_pii(docs).first().pii_in == "p"
+
+
 def test_bpe_forgets_within_its_bound(vocabulary, monkeypatch):
     monkeypatch.setattr(bpe, "MAX_SYMBOLS", 10)
     encoder = bpe.Encoder(vocabulary[0])
@@ -220,10 +265,11 @@ def brute_kneser_ney(train, texts):
     return out
 
 
-@pytest.mark.parametrize("hot", [0, 3, 100_000])
-def test_perplexity_matches_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(quality, "HOT", hot)
-    rows = [r for r in corpus() if r[0] != 10]
+@pytest.mark.parametrize("hot, shard, chunk", [(0, 1 << 19, 1 << 21), (3, 5, 200), (100_000, 5, 1)])
+def test_perplexity_matches_brute_force(spark, monkeypatch, hot, shard, chunk):
+    for name, value in (("HOT", hot), ("SHARD_ENTRIES", shard), ("CHUNK_WORDS", chunk)):
+        monkeypatch.setattr(quality, name, value)
+    rows = corpus()                                            # with texts that are null, empty and very long
     train = [r for r in rows if r[0] % 2 and r[1]]
     model = quality.train(frame(spark, train).select("text"))
     got = {r.doc_id: r.perplexity for r in quality.perplexity(
@@ -240,7 +286,7 @@ def test_quality_keeps_clean_and_drops_junk(spark):
     junk = [(1000 + i, " ".join(w + "$$$" for w in rng.choices(WORDS, k=80)), "en", "s", 0) for i in range(10)]
     trusted = spark.createDataFrame([(i,) for i in [*range(100), 5, None]], "id long")
     rows = [*clean, *junk, (2000, None, None, None, None), (2001, "", "xx", None, 0), (None, "alpha beta", "en", "s", 0)]
-    out = quality.judge(frame(spark, rows), trusted, least_calibration=5).collect()
+    out = quality.judge(frame(spark, rows), trusted).collect()
     assert len(out) == len(rows)
     kept = {r.doc_id for r in out if r.kept}
     assert not kept & set(range(1000, 2002)) and len(kept & set(range(120))) >= 118
@@ -255,26 +301,40 @@ def test_quality_thresholds_of_a_rare_language(spark):
     rows = [(i, " ".join(rng.choices(WORDS if i % 20 else ["uno", "dos", "tres"], k=40)), "en" if i % 20 else "xx", "s", 0)
             for i in range(800)]
     trusted = spark.createDataFrame([(i,) for i in range(800)], "id long")
-    out = quality.judge(frame(spark, rows), trusted, max_trusted=60, least_calibration=8).collect()
+    out = quality.judge(frame(spark, rows), trusted, max_trusted=60, shrink=0.0).collect()
     slack = math.exp(4 / math.sqrt(40))
     limits = {lang: {round(r.threshold / slack, 9) for r in out if r.lang == lang} for lang in ("en", "xx")}
     assert all(len(x) == 1 for x in limits.values()) and limits["en"] != limits["xx"]
     # some 20 rows of a language train, so few of the large one lie beyond a quantile over the rest
     limit, = limits["en"]
-    assert 0 < sum(r.perplexity > limit + 1e-6 for r in out if r.lang == "en") <= 12
+    assert 0 < sum(r.perplexity / slack > limit + 1e-6 for r in out if r.lang == "en") <= 12
     for lang, (limit,) in limits.items():
-        assert any(r.perplexity == pytest.approx(limit) for r in out if r.lang == lang)
+        assert any(r.perplexity / slack == pytest.approx(limit) for r in out if r.lang == lang)
+    # between the language's own quantile and that of all, nearer to the latter the fewer documents there are
+    near = {r.lang: r.threshold / slack for r in quality.judge(frame(spark, rows), trusted, max_trusted=60, shrink=50.0).collect()}
+    far = {r.lang: r.threshold / slack for r in quality.judge(frame(spark, rows), trusted, max_trusted=60, shrink=1e9).collect()}
+    assert far["en"] == pytest.approx(far["xx"])
+    own = {lang: limit for lang, (limit,) in limits.items()}
+    for lang in own:
+        assert min(own[lang], far[lang]) - 1e-9 <= near[lang] <= max(own[lang], far[lang]) + 1e-9
+    assert abs(math.log(near["xx"] / far["xx"])) < abs(math.log(own["xx"] / far["xx"])) / 2
     assert quality._quota([(3, 2), (100, 1)], 30) == 24 and quality._quota([(3, 2)], 30) == math.inf
 
 
-def test_a_model_within_the_bound_is_looked_up_in_place(spark):
+def test_scores_come_through_the_sharded_join(spark):
     model = quality.train(frame(spark, [r for r in corpus() if r[1]]).select("text"))
     docs = spark.createDataFrame([(1, "en", "alpha beta")], "doc_id long, lang string, text string")
     plan = quality.perplexity(docs, model)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan
+    assert "FlatMapCoGroupsInArrow" in plan and plan.count("hashpartitioning(shard") == plan.count("hashpartitioning(of") == 1
     assert inspect.signature(quality.judge).parameters["max_trusted"].default == 10_000
 
 
+def test_sorted_values_travel_as_differences():
+    values = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2))
+    for x in (values, values[:1], values[:0]):
+        assert quality._unpack_sorted(quality._pack_sorted(x)).tolist() == x.tolist()
+
+
 # 5 language ID ------------------------------------------------------------
 
 def test_language_id_on_held_out_texts(spark):
@@ -308,15 +368,81 @@ def test_a_rare_language_keeps_its_words_and_ngrams(spark):
     assert lang == "zz" and score > 0.99
     again = pickle.loads(pickle.dumps(model))
     assert langid.Scorer(again).predict([r[1] for r in rows]) == langid.Scorer(model).predict([r[1] for r in rows])
-    assert len(langid.train(frame(spark, rows), max_cells=90).words) <= 3 * (90 // 9 + 5)
-    assert langid._least([(5, 2), (3, 4), (1, 9)], 4) == (3, 0.5) and langid._least([(5, 2)], 4) == (0, 0.0)
+    of = Counter(model.words.langs.tolist())
+    assert all(of[i] >= 18 for i in range(3)) and len(model.words.keys) <= 3 * 24 and len(model.grams.keys) <= 3 * 48
+
+
+def test_many_languages_keep_their_accuracy(spark):
+    """300 labels, one of them of a third of all rows: no model of languages squared."""
+    rng = random.Random(5)
+    words = [["".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(12)] for _ in range(300)]
+    make = lambda i: " ".join(rng.choices(words[i], k=12))
+    rows = [(k, make(i), f"l{i:03d}", "s", 0) for k, i in enumerate([i for i in range(300) for _ in range(6)] + [0] * 900)]
+    model = langid.train(frame(spark, rows).filter(langid.fold() != 2))
+    assert len(model.languages) == 300 and len(model.words.langs) < 300 * 20
+    out = langid.predict(frame(spark, rows).withColumnRenamed("lang", "truth").filter(langid.fold() == 2), model).collect()
+    assert len(out) > 500 and sum(r.lang_pred == r.truth for r in out) / len(out) > 0.98
+
+
+def brute_language(rows, texts):
+    """Word-first backoff with every word and n-gram, counted in plain dictionaries."""
+    languages = sorted({r[1] for r in rows})
+    words = lambda t: regex.findall(r"\p{L}[\p{L}\p{M}]*", t.lower())
+    grams = lambda w, n: list(w) if n == 1 else [f"<{w}>"[i:i + n] for i in range(len(w) + 3 - n)]
+    word, gram = Counter(), Counter()
+    for text, lang in rows:
+        for w in words(text):
+            word[w, lang] += 1
+            gram.update((g, lang) for n in range(1, 6) for g in grams(w, n))
+
+    def logs(counts):
+        items = {k[0] for k in counts}
+        total = {x: sum(n for (_, y), n in counts.items() if x == y) for x in languages}
+        return lambda item: [math.log((counts[item, x] + 0.5) / (max(1, total[x]) + 0.5 * len(items))) for x in languages], items
+    word_log, known_words = logs(word)
+    gram_log, known_grams = logs(gram)
+    out = []
+    for text in texts:
+        own, total = words(text or ""), [0.0] * len(languages)
+        for w in own:
+            add = word_log(w) if w in known_words else None
+            for n in range(5, 0, -1):
+                hits = [gram_log(g) for g in grams(w, n) if g in known_grams] if add is None else []
+                if hits:
+                    add = [sum(x) / len(hits) for x in zip(*hits)]
+            total = [a + b for a, b in zip(total, add or [0.0] * len(languages))]
+        best = max(range(len(languages)), key=lambda i: (total[i], -i))
+        out.append((languages[best], 1 / sum(math.exp(t - total[best]) for t in total)) if own else ("und", 0.0))
+    return out
+
+
+def test_language_scores_equal_brute_force(spark):
+    rng = random.Random(7)
+    letters = ["abcde", "bcdéf", "нсте", "कािनम"]
+    make = lambda x: " ".join("".join(rng.choices(x, k=rng.randint(1, 6))) for _ in range(rng.randint(0, 12)))
+    rows = [(make(x), lang) for _ in range(40) for lang, x in zip(["a", "b", "c", "d"], letters)]
+    model = langid.train(frame(spark, [(i, t, lang, "s", 0) for i, (t, lang) in enumerate(rows)]))
+    texts = [make("".join(rng.sample(letters, 2))) for _ in range(120)] + ["½ ² Ⅳ 12", None, "", "zzz qq", "x" * 100_000, "नमस्ते ½"]
+    want = brute_language(rows, texts)
+    for got, (lang, score) in zip(langid.Scorer(model).predict(texts), want):
+        assert got[1] == pytest.approx(score, rel=1e-6) and (got[0] == lang or score < 0.5 + 1e-9)
 
 
 def test_unseen_words_fall_back_to_shorter_ngrams():
-    model = langid.LanguageModel(["a", "b"], {}, {"<abc": np.array([-1.0, -9.0]), "x": np.array([-8.0, -2.0])})
-    assert model.unseen("abcx").tolist() == [-1.0, -9.0]
-    assert model.unseen("xy").tolist() == [-8.0, -2.0]
-    assert model.unseen("qq").tolist() == [0.0, 0.0]
+    h = lambda g, n: int(langid.gram_hashes([g], n)[0][0])
+    grams = langid.items_of([(h("abcx", 4), 0, 50), (h("x", 1), 1, 9)], [100, 100])      # "<abc" and "x"
+    scorer = langid.Scorer(langid.LanguageModel(["a", "b"], langid.items_of([], [0, 0]), grams))
+    first, second, none = scorer.totals([["abcx"], ["xy"], ["qq"]])
+    assert first[0] - first[1] == pytest.approx(math.log(50.5 / 0.5)) and second[1] - second[0] == pytest.approx(math.log(9.5 / 0.5))
+    assert none.tolist() == [0.0, 0.0]
+
+
+def test_numerals_are_no_letters_and_marks_belong_to_words(spark):
+    assert langid.words_of("½ ² Ⅳ नमस्ते x1y") == ["नमस्ते", "x", "y"]
+    model = langid.train(frame(spark, [(1, "abc", "en", "s", 0), (2, "नमस्ते", "hi", "s", 0)]))
+    out = langid.predict(frame(spark, [(1, "½ ² Ⅳ", "en", "s", 0), (2, "नमस्ते", "x", "s", 0)]).withColumn("LANG_pred", F.lit("mine")), model)
+    got = {r.doc_id: r for r in out.collect()}
+    assert (got[1].lang_pred, got[1].score, got[2].lang_pred, got[1]["LANG_pred_in"]) == ("und", 0.0, "hi", "mine")
 
 
 # 6 n-gram join ------------------------------------------------------------
@@ -387,6 +513,25 @@ def test_rows_without_an_id_link_near_copies(spark):
     assert Counter((r.doc_id, r.component_id) for r in out) == Counter({(1, 1): 1, (None, 1): 1, (3, 1): 1, (None, None): 2, (8, 8): 1})
 
 
+def test_survivors_are_judged_row_by_row(spark):
+    """Unrelated rows that share an id, or have none, decide nothing."""
+    text = " ".join(WORDS * 3)
+    near, other = text + " tail", "quite another text of seven words here"
+    rows = [(1, text), (None, near), (None, other), (5, near + " again"), (5, "a third text that has its own seven words"),
+            (9, "x y z"), (9, "x y z"), (9, "x  y z"), (None, None), (4, " "), (4, "")]
+    df = frame(spark, [(i, t, "en", "s", 0) for i, t in rows]).withColumns(
+        {"tag": F.lit("a"), "root": F.lit("b"), "ID": F.lit("c"), "m": F.create_map(F.lit(1), F.lit(2))})
+    out = ngram_join.survivors(df)
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    alike = [g for g in got if g[0] == 9]
+    assert len(alike) == 1 and alike[0][1] in ("x y z", "x  y z")
+    assert [g for g in got if g[0] != 9] == sorted([rows[i] for i in (0, 2, 4, 8, 9, 10)], key=str)
+    assert out.columns == df.columns and out.first().tag == "a"
+    nameless = ngram_join.survivors(frame(spark, [(None, t, "en", "s", 0) for t in (text, near, other)])).collect()
+    assert len(nameless) == 2 and other in {r.text for r in nameless}
+    assert ngram_join.survivors(empty(spark)).count() == 0
+
+
 def test_connected_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(5, 5), (7, 6)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -436,10 +581,52 @@ def test_mixture_meets_its_budgets(spark, budget):
 def test_mixing_edge_cases(spark):
     assert mixing.mix(empty(spark)).count() == 0
     rows = [(1, None, None, None, None), (1, None, None, None, None), (None, "", "en", "s", 0)]
-    out = mixing.mix(frame(spark, rows).withColumn("_other", F.lit(1)))
-    assert {r.doc_id for r in out.collect()} == {1, None} and "_other" in out.columns
-    with pytest.raises(ValueError):
-        mixing.mix(frame(spark, corpus()), max_sources=2).count()
+    out = mixing.mix(frame(spark, rows).withColumns({"_other": F.lit(1), "Block": F.lit("mine"), "epoch": F.lit("e")}))
+    assert {(r.doc_id, r["Block_in"], r.epoch_in) for r in out.collect()} == {(1, "mine", "e"), (None, "mine", "e")}
+    assert out.columns[-3:] == ["epoch", "block", "slot"] and "_other" in out.columns
+    long = [(0, "word " * 300_000, "en", "s", 0), (1, "a b", "en", "s", 0), (2, "c", "en", "t", 0)]
+    assert {r.doc_id for r in mixing.mix(frame(spark, long), max_epochs=1e6).collect()} == {0, 1, 2}
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_every_block_carries_every_source_in_proportion(spark, few, monkeypatch):
+    """Many blocks, tables joined by broadcast and by shuffle, runs of a few cells."""
+    monkeypatch.setattr(mixing, "RUN", 8)
+    rng = random.Random(12)
+    rows = [(i, "w " * rng.randint(0, 8), "en", rng.choices("abcd", [60, 25, 10, 5])[0], 0) for i in range(12_000)]
+    out = mixing.mix(frame(spark, rows), rows_per_block=400, few=few).collect()
+    size = lambda t: len(t.split()) + 1
+    blocks, overall = {}, Counter()
+    for r in out:
+        blocks.setdefault(r.block, Counter())[r.source] += size(r.text)
+        overall[r.source] += size(r.text)
+    assert len(blocks) > 30 and set(blocks) == set(range(len(blocks)))
+    for own in blocks.values():
+        for s in "abcd":
+            share = overall[s] / len(blocks)
+            # a cell (1/32 of a share) or a row more or less at either end
+            assert abs(own[s] - share) <= share / 16 + 2 * 9 + 9, (s, own[s], share)
+    assert {r.doc_id for r in out} == set(range(12_000))
+    for s in "abcd":
+        passes = Counter(r.doc_id for r in out if r.source == s)
+        assert max(passes.values()) - min(passes.values()) <= 1
+
+
+def test_more_sources_than_a_broadcast_holds(spark):
+    rows = [(i, "x y z", "en", f"s{i % 300}" if i % 3 else "hot", 0) for i in range(1500)]
+    plain, spread = (sorted(tuple(r) for r in mixing.mix(frame(spark, rows), few=few).collect()) for few in (10_000, 10))
+    assert plain == spread and {r[0] for r in plain} == set(range(1500))
+
+
+def test_exponent_by_aggregates_equals_the_plan(spark):
+    rng = random.Random(3)
+    for target, most, budget in ((0.9, 100.0, None), (1.0, 2.0, None), (0.7, 3.0, 5000.0)):
+        tokens = {f"s{i}": rng.randint(1, 10 ** rng.randint(1, 6)) for i in range(40)}
+        chosen = mixing.plan(tokens, target, most, budget)
+        a, size, raised = mixing.exponent_for(spark.createDataFrame(list(tokens.items()), "_src string, tokens long"), target, most, budget)
+        assert a == pytest.approx(chosen.exponent, abs=1e-9) and size == pytest.approx(chosen.budget)
+        weights = {s: (n / sum(tokens.values())) ** a / raised for s, n in tokens.items()}
+        assert weights == pytest.approx(chosen.weights, rel=1e-9)
 
 
 # 8 exact dedup ------------------------------------------------------------
