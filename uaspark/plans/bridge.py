@@ -20,7 +20,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import broadcast_if_small, cut_lineage
 from ..sources.tables import read_table
 
 HIERARCHY = ["game", "platform", "channel", "country"]
@@ -128,18 +128,61 @@ class Bridge:
     @cached_property
     def _per_key(self) -> DataFrame:
         """Cohort and level sums of every campaign key in one pass, computed once."""
-        per_user = self._user_days.groupBy("user_id").agg(
+        k = (F.col("user_id") % CAMPAIGN_KEYS)
+        return cut_lineage(self._per_user.groupBy(k.alias("campaign_key")).agg(*self._cohort_sums()))
+
+    @cached_property
+    def _per_user(self) -> DataFrame:
+        return self._user_days.groupBy("user_id").agg(
             *[F.max((F.col("age") == n).cast("int")).alias(f"_r{n}") for n in COHORT_DAYS],
             *[F.sum(F.when(F.col("age") <= n, F.col("purchase"))).alias(f"_p{n}") for n in COHORT_DAYS],
             F.sum(F.when(F.col("age") <= COST_WINDOW_DAYS, F.col("click"))).alias("_c"),
             F.sum("views").alias("views"))
-        k = (F.col("user_id") % CAMPAIGN_KEYS)
-        return cut_lineage(per_user.groupBy(k.alias("campaign_key")).agg(
-            F.count(F.lit(1)).alias("installs"),
-            *[F.sum(f"_r{n}").alias(f"_r{n}") for n in COHORT_DAYS],
-            *[F.sum(f"_p{n}").alias(f"_p{n}") for n in COHORT_DAYS],
-            F.sum("_c").alias("_c"),
-            *[F.count(F.when(F.col("views") >= lv, 1)).alias(f"level_{lv}_events") for lv in LEVELS]))
+
+    @staticmethod
+    def _cohort_sums() -> list[Column]:
+        return [F.count(F.lit(1)).alias("installs"),
+                *[F.sum(f"_r{n}").alias(f"_r{n}") for n in COHORT_DAYS],
+                *[F.sum(f"_p{n}").alias(f"_p{n}") for n in COHORT_DAYS],
+                F.sum("_c").alias("_c"),
+                *[F.count(F.when(F.col("views") >= lv, 1)).alias(f"level_{lv}_events") for lv in LEVELS]]
+
+    @staticmethod
+    def _cohort_rates() -> list[Column]:
+        cost = F.col("_c").cast("double")
+        return [*[(F.col(f"_r{n}") / F.col("installs")).alias(f"retention_rate_d{n}") for n in COHORT_DAYS],
+                *[F.try_divide(F.coalesce(F.col(f"_p{n}").cast("double"), F.lit(0.0)), cost).alias(f"roas_d{n}")
+                  for n in COHORT_DAYS]]
+
+    @cached_property
+    def segment_cohorts(self) -> DataFrame:
+        """Cohort features of each (platform, country), from the events of its customers."""
+        c = self.t("customer", ["c_custkey", "c_nationkey", "c_mktsegment"])
+        n = self.t("nation", ["n_nationkey", "n_name"])
+        users = (self._per_user.join(c, F.col("user_id") == F.col("c_custkey"))
+                 .join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")))
+        sums = users.groupBy(F.col("c_mktsegment").alias("platform"), F.col("n_name").alias("country")).agg(*self._cohort_sums())
+        return cut_lineage(sums.select("platform", "country", F.col("installs").alias("cohort_players"), *self._cohort_rates(),
+                                       *[f"level_{lv}_events" for lv in LEVELS]))
+
+    @cached_property
+    def campaign_cohorts(self) -> DataFrame:
+        """Campaigns with the cohort features of their segment (one row per platform and
+        country, broadcast after a count); null where a segment has no player."""
+        return cut_lineage(self.campaign.join(broadcast_if_small(self.segment_cohorts), ["platform", "country"], "left"))
+
+    # ---- players ---------------------------------------------------------
+    @cached_property
+    def player_days(self) -> DataFrame:
+        """(player_id, age, purchase, ad_value): a player is a user at one hour of the day, so
+        that players without a purchase, or with no value at all, occur."""
+        ev = self.t("events", ["user_id", "ts", "event_type", "value"])
+        player = (F.col("user_id") * 24 + F.hour("ts")).alias("player_id")
+        days = ev.groupBy(player, F.to_date("ts").alias("d")).agg(
+            F.sum(F.when(F.col("event_type") == "purchase", dec("value"))).alias("purchase"),
+            F.sum(F.when(F.col("event_type") == "click", dec("value"))).alias("ad_value"))
+        first = F.min("d").over(Window.partitionBy("player_id"))
+        return days.select("player_id", F.datediff("d", first).alias("age"), "purchase", "ad_value")
 
     @staticmethod
     def _key_dims(k: Column) -> list[Column]:
@@ -151,13 +194,8 @@ class Bridge:
     @cached_property
     def cohort_wide(self) -> DataFrame:
         kc = F.col("campaign_key")
-        cost = F.col("_c").cast("double")
         return self._per_key.select(
-            kc, *self._key_dims(kc), "installs",
-            (F.col("_c").cast("double")).alias("cost"),
-            *[(F.col(f"_r{n}") / F.col("installs")).alias(f"retention_rate_d{n}") for n in COHORT_DAYS],
-            *[F.try_divide(F.coalesce(F.col(f"_p{n}").cast("double"), F.lit(0.0)), cost).alias(f"roas_d{n}")
-              for n in COHORT_DAYS])
+            kc, *self._key_dims(kc), "installs", (F.col("_c").cast("double")).alias("cost"), *self._cohort_rates())
 
     @cached_property
     def levels_wide(self) -> DataFrame:

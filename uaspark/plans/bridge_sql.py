@@ -89,6 +89,24 @@ FROM (SELECT user_id % {CAMPAIGN_KEYS} AS campaign_key, COUNT(*) AS installs, {_
       FROM (SELECT user_id, SUM(views) AS views FROM user_days GROUP BY user_id) pu
       GROUP BY user_id % {CAMPAIGN_KEYS}) pk""")
 
+VIEWS["segment_cohorts"] = (["user_days"], f"""
+SELECT platform, country, installs AS cohort_players, {_ret}, {_roas}, {_lvn}
+FROM (SELECT c_mktsegment AS platform, n_name AS country, COUNT(*) AS installs, {_rs}, {_ps}, SUM(_c) AS _c, {_lv}
+      FROM (SELECT user_id, {_r}, {_p}, SUM(CASE WHEN age <= {COST_WINDOW_DAYS} THEN click END) AS _c, SUM(views) AS views
+            FROM user_days GROUP BY user_id) pu
+      JOIN customer ON user_id = c_custkey JOIN nation ON c_nationkey = n_nationkey
+      GROUP BY c_mktsegment, n_name) ps""")
+
+VIEWS["campaign_cohorts"] = (["campaign", "segment_cohorts"], """
+SELECT * FROM campaign LEFT JOIN segment_cohorts USING (platform, country)""")
+
+VIEWS["player_days"] = ([], f"""
+SELECT player_id, date_diff('day', MIN(d) OVER (PARTITION BY player_id), d) AS age, purchase, ad_value
+FROM (SELECT user_id * 24 + hour(ts) AS player_id, CAST(ts AS DATE) AS d,
+             SUM(CASE WHEN event_type = 'purchase' THEN {_dec('value')} END) AS purchase,
+             SUM(CASE WHEN event_type = 'click' THEN {_dec('value')} END) AS ad_value
+      FROM events GROUP BY ALL)""")
+
 VIEWS["raw_strings"] = ([], """
 SELECT l_orderkey, l_linenumber,
   CASE l_linenumber

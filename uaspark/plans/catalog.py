@@ -40,5 +40,5 @@ def r6(c: Column | str) -> Column:
 
 def load_all() -> None:
     """Import every query module so that its decorators run."""
-    from . import (q_clean, q_curves, q_features, q_forecast, q_metrics, q_more,  # noqa: F401
+    from . import (q_clean, q_curves, q_features, q_forecast, q_kpi, q_metrics, q_more,  # noqa: F401
                    q_profile, q_registry, q_stream, q_text)
