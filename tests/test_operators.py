@@ -351,23 +351,100 @@ def test_booster_queries_cover_all_horizons_at_full_rounds(spark, monkeypatch):
     from tests.conftest import SF
     from uaspark.plans import q_forecast
     from uaspark.plans.bridge import TARGET_DAYS, Bridge
-    asked = []
+    asked, fit = [], BO.fit_models
 
-    class Short(BO.QuantileBooster):
-        def __init__(self, alpha, **kw):
-            asked.append(kw)
-            super().__init__(alpha, n_rounds=1, max_depth=2)
+    def short(df, label, specs, **kw):
+        asked.append(({s.name for s in specs}, kw))
+        return fit(df, label, specs, n_rounds=1, max_depth=2)
 
-    monkeypatch.setattr(BO, "QuantileBooster", Short)
+    monkeypatch.setattr(BO, "fit_models", short)
     b = Bridge(spark, SF)
     folds = q_forecast.m5(b).collect()
     assert sorted((r.target_day, r.fold) for r in folds) == [(day, k) for day in TARGET_DAYS for k in range(5)]
     assert sum(r.n for r in folds) == b.actuals.where("actual IS NOT NULL").count()
     ranked = q_forecast.m7(b).collect()
-    assert {r.target_day for r in ranked} == set(TARGET_DAYS)
-    assert {r.feature for r in ranked} == {"cost", "installs", "ad_revenue"}
+    assert {r.target_day for r in ranked} == set(TARGET_DAYS) and len({r.feature for r in ranked}) >= 10
+    assert not any(r.feature in ("revenue", "actual", "row_id", "roas_d7", "retention_rate_d7") for r in ranked if r.target_day == 7)
     assert q_forecast.m1(b).count() == b.actuals.count()
-    assert asked == [{}] * (10 + 2 + 6)          # the operator's own rounds, depth and rate
+    assert [kw for _, kw in asked] == [BO.PRESETS["standard"]] * 3          # the app's own rounds, depth, leaves and rate
+    assert [len(names) for names, _ in asked] == [10, 2, 6]
+
+
+def regression(spark, n=1500, seed=11):
+    rng = np.random.default_rng(seed)
+    x = rng.uniform(size=(n, 3))
+    y = np.where(x[:, 0] > 0.5, 3.0, 1.0) + x[:, 1] + rng.normal(scale=0.3, size=n)
+    rows = [(i, *map(float, x[i]), float(y[i]), i % 2) for i in range(n)]
+    return spark.createDataFrame(rows, "id long, a double, b double, c double, y double, half int")
+
+
+@pytest.mark.parametrize("preset", ["standard", "light", "service"])
+def test_presets_limit_the_leaves(spark, preset):
+    parameters = BO.PRESETS[preset] | {"n_rounds": 2, "min_instances": 1}
+    forest = BO.QuantileBooster(0.5, **parameters).fit(regression(spark), ["a", "b", "c"], "y").forest
+    most = BO.PRESETS[preset]["max_leaves"]
+    assert len(forest.roots) == 2 and (most == max(forest.leaves()) if preset != "light" else most - 5 < max(forest.leaves()) <= most)
+
+
+def test_collapse_drops_the_least_gains():
+    tree = BO.Tree({0: (0, 0.5, 1, 2, 9.0), 1: (1, 0.2, 3, 4, 1.0), 2: (1, 0.7, 5, 6, 5.0), 5: (2, 0.1, 7, 8, 0.5)}, {3, 4, 6, 7, 8})
+    assert tree.collapsed(4).leaves == {3, 4, 5, 6}
+    assert tree.collapsed(3).leaves == {1, 5, 6} and tree.collapsed(1).leaves == {0} and tree.collapsed(9).leaves == tree.leaves
+    assert tree.collapsed(3).expression(["a", "b", "c"], str) == "IF(a <= 0.5D, 1, IF(b <= 0.7D, 5, 6))"
+
+
+def test_flat_forest_scores_as_the_training_saw(spark):
+    """Steps added round by round in the frame equal the forest's score; missing values count as 0."""
+    df = regression(spark)
+    df = df.withColumn("c", F.when(F.col("id") % 5 != 0, F.col("c")))
+    model = BO.QuantileBooster(0.5, n_rounds=6, max_depth=3, max_leaves=6, learning_rate=0.3, checkpoint_every=2).fit(df, ["a", "b", "c"], "y")
+    names = ["a", "b", "c"]
+    f = model.forest
+
+    def walk(row, node):
+        while f.feature[node] >= 0:
+            value = row[names[f.feature[node]]]
+            node = f.left[node] if (value or 0.0) <= f.threshold[node] else f.right[node]
+        return f.step[node]
+
+    out = model.transform(df, "p").collect()
+    assert all(r.p == pytest.approx(model.f0 + sum(walk(r, root) for root in f.roots)) for r in out)
+    loss = lambda m: BO.pinball_loss(m.transform(df, "p"), "y", "p", 0.5).first()[0]
+    none = BO.QuantileBooster(0.5, n_rounds=0).fit(df, names, "y")
+    assert loss(model) < loss(none)
+    size = lambda m: len(m.transform(df, "p")._jdf.queryExecution().optimizedPlan().toString())
+    assert abs(size(model) - size(none)) < 50                   # the plan doesn't grow with the rounds
+    assert sum(model.feature_importances().values()) == pytest.approx(1.0) and model.feature_importances()["a"] > 0.5
+
+
+def test_models_fitted_together_equal_models_fitted_alone(spark):
+    df = regression(spark, 800)
+    kw = {"n_rounds": 3, "max_depth": 3, "max_leaves": 5}
+    specs = [BO.ModelSpec("lo", 0.1, ["a", "b"], F.col("half") == 0), BO.ModelSpec("hi", 0.9, ["b", "c"], F.col("half") == 1),
+             BO.ModelSpec("none", 0.5, ["a"], F.col("half") == 7)]
+    both = BO.fit_models(df, "y", specs, **kw)
+    for s in specs[:2]:
+        alone = BO.QuantileBooster(s.alpha, **kw).fit(df.where(s.rows), s.features, "y")
+        assert alone.f0 == both[s.name].f0 and len(alone.forest.roots) == 3
+        assert alone.forest.feature == both[s.name].forest.feature
+        assert alone.forest.step == pytest.approx(both[s.name].forest.step)
+    assert both["none"].f0 == 0.0 and both["none"].forest.roots == []
+
+
+def test_what_if_with_the_booster_equals_a_loop(spark):
+    from uaspark.operators import kpi
+    rows = [(i, 100.0 + i, 80.0 + 3 * (i % 11), 10, 1.0, 0.3 + 0.01 * (i % 7), 0.1 + 0.01 * (i % 5)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, cost double, revenue double, installs long, retention_rate_d0 double, retention_rate_d1 double, retention_rate_d7 double")
+    features = lambda d: d.withColumn("arpu", F.col("revenue") / F.col("installs"))
+    model = BO.QuantileBooster(0.5, n_rounds=3, max_depth=3, min_instances=3).fit(
+        features(df).withColumn("y", F.col("revenue") / F.col("cost")), ["arpu", "cost", "retention_rate_d7"], "y")
+    score = lambda d: model.transform(d, "p")
+    grid = {(r.id, r.retention_uplift, r.arpu_uplift): r.p for r in kpi.what_if(df, [0.0, 0.5], [0.0, 2.0], features, score).collect()}
+    for u in (0.0, 0.5):
+        for a in (0.0, 2.0):
+            for r in score(features(kpi.scenarios(df, [u], [a]))).collect():
+                assert grid[r.id, u, a] == r.p
+    assert len(grid) == 240
 
 
 def test_cross_validation_counts_zero_labels(spark):
