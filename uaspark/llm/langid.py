@@ -54,7 +54,9 @@ from .texts import chain, pieces
 
 MAX_N = 5
 #: Words remembered by a task before it starts afresh.
-MAX_KNOWN = 400_000
+MAX_KNOWN = 200_000
+#: Bytes of text scored at a time.
+PIECE = 1 << 20
 
 
 @cache
@@ -251,7 +253,7 @@ class Scorer:
         self.place: dict[str, int] = {}
         self.kind = np.empty(0, np.int64)
         self.starts = np.zeros(1, np.int64)
-        self.langs = np.empty(0, np.int64)
+        self.langs = np.empty(0, np.int32)
         self.deltas = np.empty(0)
 
     def _meet(self, words: list[str]) -> None:
@@ -259,7 +261,7 @@ class Scorer:
         self.place.update(zip(words, range(len(self.place), len(self.place) + len(words))))
         self.kind = np.append(self.kind, kind)
         self.starts = np.append(self.starts, starts[1:] + self.starts[-1])
-        self.langs, self.deltas = np.append(self.langs, langs), np.append(self.deltas, deltas)
+        self.langs, self.deltas = np.append(self.langs, langs.astype(np.int32)), np.append(self.deltas, deltas)
 
     def totals(self, found: list[list[str]]) -> np.ndarray:
         """Scores (texts x languages) of texts given as words."""
@@ -307,7 +309,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(share.value)
-        for batch in pieces(batches, own):
+        for batch in pieces(batches, own, PIECE):
             found = scorer.predict(batch.column(own).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(f.name) for f in rest), pa.array([f[0] for f in found], pa.string()),
