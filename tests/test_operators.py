@@ -217,6 +217,33 @@ def test_folder_with_several_kinds_and_headers(spark, tmp_dir):
     assert SRC.read_campaign_folder(spark, root, ["level_progression"]).count() == 0
 
 
+def test_only_heads_of_wanted_files_are_read(spark, tmp_dir, monkeypatch):
+    """The header pass reads a bounded head, whatever the length of a file, and only of the wanted kinds."""
+    body = "1,2\n" * 200_000
+    for name in ("adspend a.csv", "adspend b.csv", "retention.csv"):
+        _write(f"{tmp_dir}/Net/ios/{name}", f"country,{name.split('.')[0]}\n" + body)
+    _write(f"{tmp_dir}/Net/ios/retention wide.csv", ",".join(["country", "retention", *(f"{i}" + "x" * 8_000 for i in range(10))]) + "\r\n" + body)
+    _write(f"{tmp_dir}/Net/ios/retention empty.csv", "")
+    asked = []
+    monkeypatch.setattr(SRC, "head_line", lambda s, p, _f=SRC.head_line: asked.append(p) or _f(s, p))
+    files = {r.source_file: r for r in SRC.list_data_files(spark, tmp_dir, ["retention"]).collect()}
+    assert set(files) == {"retention.csv", "retention wide.csv"} and len(asked) == 2 and all("retention" in a for a in asked)
+    assert files["retention.csv"].header == "country,retention" and files["retention.csv"].platform == "Net"
+    wide = files["retention wide.csv"].header
+    assert wide.endswith("9" + "x" * 8_000) and len(wide) > SRC.HEAD_BYTES
+    assert SRC.read_kind(spark, tmp_dir, "retention").count() == 400_000
+
+
+def test_heads_are_all_that_the_header_pass_reads(spark, tmp_dir):
+    path = f"{tmp_dir}/n/c/roas.csv"
+    _write(path, "a,b\n" + "x" * 5_000_000)
+    fs = spark._jvm.org.apache.hadoop.fs.FileSystem
+    fs.clearStatistics()
+    SRC.list_data_files(spark, tmp_dir).collect()
+    read = sum(s.getBytesRead() for s in fs.getAllStatistics())
+    assert 0 < read <= 2 * SRC.HEAD_BYTES
+
+
 def test_header_line_rules():
     assert SRC.header_names('\ufeffa,"b, c",A,a') == ["a", "b, c", "A__2", "a__3"]
 
@@ -328,6 +355,66 @@ def test_streaming_ingest_available_now(spark, tmp_dir):
     assert sorted(r["cost"] for r in out.collect()) == [1.0, 2.0]  # each file exactly once
 
 
+def test_a_replayed_batch_changes_nothing(spark, tmp_dir):
+    from pyspark.sql.types import StringType, StructField, StructType
+    from uaspark.streaming.ingest import ingest_to_registry, store_batch
+    src, root = os.path.join(tmp_dir, "in"), os.path.join(tmp_dir, "reg")
+    schema = StructType([StructField(c, StringType()) for c in ("date", "platform", "channel", "game", "country", "installs", "cost")])
+    run = lambda: ingest_to_registry(spark, src, schema, root, os.path.join(tmp_dir, "ck"), "daily").awaitTermination(120)
+    head = "date,platform,channel,game,country,installs,cost\n"
+    _write(os.path.join(src, "a.csv"), head + "2024-01-01,Unity,ios,G,US,5,$1.00\n2024-01-03,Unity,ios,G,US,6,$2.00\n")
+    run()
+    _write(os.path.join(src, "b.csv"), head + "2024-02-01,Unity,ios,G,US,7,$3.00\n")
+    run()
+    run()                                                        # nothing new
+    ids = {r.id: (r.records, str(r.data_end_date)) for r in R.read_registry(spark, root, R.DATASET).collect()}
+    assert ids == {"daily-0": (2, "2024-01-03"), "daily-1": (1, "2024-02-01")}
+    first = R.read_dataset_data(spark, root, "daily-0").drop("dataset_id")
+    rows = sorted(map(tuple, first.collect()), key=str)
+    again = spark.createDataFrame(first.collect(), first.schema)
+    assert store_batch(again, 0, root, "daily") == "daily-0"     # the batch fails after its rows were written and is tried again
+    assert sorted(map(tuple, R.read_dataset_data(spark, root, "daily-0").drop("dataset_id").collect()), key=str) == rows
+    assert {r.id for r in R.read_registry(spark, root, R.DATASET).collect()} == set(ids)
+    assert R.read_registry(spark, root, R.DATASET).count() == 2 and R.read_dataset_data(spark, root, "daily-1").count() == 1
+    assert store_batch(again.limit(0), 9, root, "daily") is None
+
+
+def test_keyed_writes_replace_and_leave_others_alone(spark, tmp_dir):
+    rows = lambda *v: spark.createDataFrame([(x,) for x in v], "v int")
+    R.write_dataset_data(rows(1, 2), tmp_dir, "a")
+    R.write_dataset_data(rows(3), tmp_dir, "b")
+    R.write_dataset_data(rows(4, 5, 6), tmp_dir, "a")
+    assert sorted(r.v for r in R.read_dataset_data(spark, tmp_dir, "a").collect()) == [4, 5, 6]
+    assert [r.v for r in R.read_dataset_data(spark, tmp_dir, "b").collect()] == [3]
+    R.append_record(spark, tmp_dir, "t", {"id": "x/1", "n": 1}, "id string, n int")
+    R.append_record(spark, tmp_dir, "t", {"id": "x/1", "n": 2}, "id string, n int")
+    R.append_record(spark, tmp_dir, "t", {"n": 3}, "id string, n int")
+    assert sorted(r.n for r in R.read_registry(spark, tmp_dir, "t").collect()) == [2, 3]
+
+
+def test_two_writers_never_take_one_version(spark, tmp_dir):
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(8) as pool:
+        taken = list(pool.map(lambda _: R.take_version(spark, tmp_dir, "model a/b"), range(12)))
+    assert sorted(taken) == list(range(1, 13)) and R.take_version(spark, tmp_dir, "model a/b", 40) == 41
+    assert R.take_version(spark, tmp_dir, "other") == 1
+
+
+def test_newest_first_with_ties_by_id(spark):
+    mv = spark.createDataFrame([("b", "m", 1), ("a", "m", 1), ("c", "m", 2), ("d", "n", 9)], "id string, model_name string, created_at int")
+    assert [r.id for r in R.get_model_versions(mv, "m").collect()] == ["c", "a", "b"]
+
+
+def test_one_hot_rows_take_any_vocabulary(spark):
+    from uaspark.operators import features as X
+    df = spark.range(3_000).select("id", F.concat(F.lit("v"), F.col("id").cast("string")).alias("a"),
+                                   F.when(F.col("id") % 2 == 0, F.lit("even")).alias("b"))
+    out = X.one_hot_rows(df, "id", ["a", "b"])
+    assert out.count() == 4_500 and out.where("feature = 'a_v2999'").first().id == 2999
+    with pytest.raises(ValueError):
+        X.vocabularies(df, ["a"])
+
+
 # ---- model bundles (S17, M9), answers (X26), replies (X28) ----------------------
 
 def test_saved_models_predict_the_same(spark, tmp_dir):
@@ -453,6 +540,22 @@ def test_cross_validation_counts_zero_labels(spark):
     assert sum(r["n"] for r in out) == 60
 
 
+def test_second_router_by_context(spark):
+    from uaspark.operators import answers as A
+    asks = ["When is ROI 100%?", "continue or pause", "projected ROAS", "CPI profitability D30", "retention rate D7", "ready to scale?",
+            "cut immediately", "roi of what", None]
+    contexts = [("m", "d", False, "x"), ("m", None, True, "x"), ("", "d", False, "Adaptive AI recommendations v2"), (None, None, False, None)]
+    df = spark.createDataFrame([(a, *c) for a in asks for c in contexts], "q string, m string, d string, p boolean, t string")
+    out = {(r.q, r.m, r.d): (r.route, r.answer) for r in A.fallback_answers(df, "q", "m", "d", "p", "t").collect()}
+    assert [out[a, "m", "d"][0] for a in asks] == ["roi", "continue", "projected", "cpi", "retention", "scale", "cut", "other", "other"]
+    assert "model 'm' on dataset 'd'" in out[asks[0], "m", "d"][1] and out["roi of what", "m", "d"][1] == A.FALLBACK_OTHER
+    for a in asks:
+        left = out[a, None, None][0] in ("roi", "continue", "projected", "other")
+        for some in (("m", None), ("", "d")):
+            assert (out[a, *some][1] is None) == left           # recommendations leave these to a language model
+        assert out[a, None, None][1] is not None and "Please select a model" in out[a, None, None][1]
+
+
 def test_roi_answers(spark):
     from uaspark.operators import answers as A
     curve = lambda rows: A.roi_answer(spark.createDataFrame(rows, "day int, value double")).first()["answer"]

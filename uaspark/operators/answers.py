@@ -13,6 +13,78 @@ ROI_MISSED_TAIL = ". ROAS progression: "
 NO_DRIVERS = "Feature importance not available. Train a model first."
 UNSUPPORTED = "This question is currently not supported by the automated Q&A."
 
+# The second router (X26), in order.  A question takes the first route for
+# which it holds a word of every group; then the answer with a model and a dataset
+# ({model}, {dataset}), the one without, and whether recommendations leave it to a
+# language model instead.
+FALLBACK_ROUTES = [
+    ("roi", [["roi"], ["100%", "d15", "d30", "d90"]],
+     "To determine when ROI reaches 100% on this channel, run predictions using model '{model}' on dataset '{dataset}' in the Predictions tab. The system will show projected ROAS over time with confidence intervals to identify when break-even is achieved.",
+     "Please select a model and dataset to get ROI projections. Go to the Model Training tab to train or select a model, then run predictions to see when 100% ROI will be achieved.", True),
+    ("continue", [["continue"], ["campaign", "pause"]],
+     "Campaign continuation recommendations are available in the Predictions tab using model '{model}'. The system categorizes campaigns as Scale, Maintain, Reduce, or Cut based on predicted ROAS and confidence intervals.",
+     "Please select a model and dataset to get campaign recommendations. Use the Model Training tab to make your selections, then check the Predictions tab for specific guidance.", True),
+    ("projected", [["roas"], ["projected", "spending"]],
+     "Projected ROAS analysis is available in the Predictions tab using model '{model}'. The system shows confidence intervals and projected performance over time.",
+     "Please select a model and dataset to get ROAS projections. Use the Model Training tab to make your selections, then run predictions to see projected ROAS.", True),
+    ("cpi", [["cpi"], ["profitability", "d30", "d90"]],
+     "Target CPI for profitability can be calculated using model '{model}' on dataset '{dataset}'. Run predictions in the Predictions tab to see the relationship between CPI and projected ROAS, helping identify the maximum CPI for profitable campaigns.",
+     "Please select a model and dataset to analyze CPI requirements. Use the Model Training tab to make your selections, then run predictions to see CPI vs ROAS relationships.", False),
+    ("retention", [["retention rate"], ["d7", "d15", "d30"]],
+     "Required retention rates for D30 ROAS goals can be analyzed using model '{model}' on dataset '{dataset}'. Check the Model Training tab for feature importance to see how retention impacts ROAS predictions.",
+     "Please select a model and dataset to analyze retention requirements. Use the Model Training tab to train a model and view feature importance, showing how retention rates affect ROAS predictions.", False),
+    ("scale", [["scale aggressively", "ready to scale"]],
+     "Scaling recommendations are available in the Predictions tab using model '{model}'. Look for campaigns with high predicted ROAS and narrow confidence intervals as candidates for aggressive scaling.",
+     "Please select a model and dataset to get scaling recommendations. Use the Model Training tab to make your selections, then check the Predictions tab for specific guidance.", False),
+    ("cut", [["cut immediately", "campaigns should we cut"]],
+     "Campaign cutting recommendations are available in the Predictions tab using model '{model}'. Look for campaigns with low predicted ROAS and wide confidence intervals as candidates for immediate cuts.",
+     "Please select a model and dataset to get cutting recommendations. Use the Model Training tab to make your selections, then check the Predictions tab for specific guidance.", False),
+]
+FALLBACK_OTHER = "I can help you with questions about model performance, campaign recommendations, ROAS predictions, and data insights. Please select a model and dataset for more specific answers, or ask a more specific question."
+ADAPTIVE_MODE = "adaptive ai recommendations"
+
+
+def fallback_route(question: Column) -> Column:
+    """X26, second router: the first route whose groups of words all occur, else ``other``."""
+    low = F.lower(question)
+    expr = F.when(question.isNull(), F.lit("other"))
+    for name, groups, *_ in FALLBACK_ROUTES:
+        held = F.lit(True)
+        for words in groups:
+            held = held & F.exists(F.array(*[F.lit(w) for w in words]), lambda w: low.contains(w))
+        expr = expr.when(held, F.lit(name))
+    return expr.otherwise("other")
+
+
+def fallback_answers(questions: DataFrame, question: str, model: str, dataset: str, has_predictions: str, mode: str) -> DataFrame:
+    """``questions`` plus ``route`` and ``answer`` by the second router and the row's
+    context: columns with the names of the selected model and dataset (null or empty: none), whether
+    predictions exist, and the model type, which makes the adaptive mode count as having some.
+
+    A null answer means that the question is left to a language model."""
+    chosen = (F.coalesce(F.col(model), F.lit("")) != "") & (F.coalesce(F.col(dataset), F.lit("")) != "")
+    advice = F.coalesce(F.col(has_predictions), F.lit(False)) | F.lower(F.coalesce(F.col(mode), F.lit(""))).startswith(ADAPTIVE_MODE)
+    out = questions.withColumn("route", fallback_route(F.col(question)))
+    answer = F.when(F.col("route") == "other", F.when(~advice, FALLBACK_OTHER))
+    for name, _, guided, unguided, left in FALLBACK_ROUTES:
+        text = F.replace(F.replace(F.lit(guided), F.lit("{model}"), F.col(model)), F.lit("{dataset}"), F.col(dataset))
+        rest = F.when(~advice, unguided) if left else F.lit(unguided)
+        answer = answer.when(F.col("route") == name, F.when(chosen, text).otherwise(rest))
+    return out.withColumn("answer", answer)
+
+
+def fallback_answer_sql(question: str, model: str, dataset: str, advice: str) -> tuple[str, str]:
+    """Oracle spelling: (route, answer); ``advice`` is a condition, names are '' for none."""
+    q = lambda t: "'" + t.replace("'", "''") + "'"
+    route, answer = [], [f"WHEN route = 'other' THEN CASE WHEN NOT ({advice}) THEN {q(FALLBACK_OTHER)} END"]
+    for name, groups, guided, unguided, left in FALLBACK_ROUTES:
+        held = " AND ".join("(" + " OR ".join(f"contains(lower({question}), {q(w)})" for w in words) + ")" for words in groups)
+        route.append(f"WHEN {held} THEN '{name}'")
+        rest = f"CASE WHEN NOT ({advice}) THEN {q(unguided)} END" if left else q(unguided)
+        answer.append(f"WHEN route = '{name}' THEN CASE WHEN {model} <> '' AND {dataset} <> '' "
+                      f"THEN replace(replace({q(guided)}, '{{model}}', {model}), '{{dataset}}', {dataset}) ELSE {rest} END")
+    return f"CASE {' '.join(route)} ELSE 'other' END", f"CASE {' '.join(answer)} END"
+
 
 def _f3(c: Column) -> Column:
     return F.format_string("%.3f", c)

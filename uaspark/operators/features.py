@@ -126,9 +126,17 @@ def one_hot(df: DataFrame, col: str, prefix: str, values: Sequence[str]) -> Data
     return df.select("*", *[(F.col(col) == F.lit(v)).cast("int").alias(f"{prefix}_{v}") for v in values])
 
 
+def one_hot_rows(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
+    """X6 without a vocabulary: only the ones, as rows (key, feature), ``<column>_<value>``
+    each.  Rows grow with the columns and not with the values, of which there may be any
+    number; rows don't move."""
+    ones = F.array(*[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}_"), F.col(c).cast("string"))) for c in cols])
+    return df.select(key, F.explode(F.array_compact(ones)).alias("feature"))
+
+
 def vocabularies(df: DataFrame, cols: Sequence[str], max_values: int = 1_000) -> dict[str, list[str]]:
     """Sorted values of low-cardinality dimensions, all in one pass; more than
-    ``max_values`` of one are an error (use a hashed or sparse encoding then)."""
+    ``max_values`` of one are an error (``one_hot_rows`` takes any number)."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])).alias("e"))
     found = long.where("e.v IS NOT NULL").select("e.*").distinct().limit(max_values * len(cols) + 1).collect()
     out = {c: sorted(r["v"] for r in found if r["c"] == c) for c in cols}

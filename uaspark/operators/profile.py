@@ -162,6 +162,17 @@ def sample_stats(df: DataFrame) -> DataFrame:
                   F.avg("installs").alias("mean_installs"))
 
 
+METRIC_FAMILIES = {"roas_columns": "roas_d", "retention_columns": "retention_", "level_columns": "level_"}
+
+
+def metric_columns(df: DataFrame) -> DataFrame:
+    """The ROAS, retention and level columns of a table, in its order, as
+    (family, position, column_name); read from the schema."""
+    rows = [(family, i, c) for family, start in METRIC_FAMILIES.items()
+            for i, c in enumerate(c for c in df.columns if c.startswith(start))]
+    return df.sparkSession.createDataFrame(rows, "family string, position int, column_name string")
+
+
 def target_profile(df: DataFrame, target: str) -> DataFrame:
     """Target mean / sample std / min / max, null count and zero-variance flag."""
     t = F.col(target)

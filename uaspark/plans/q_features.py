@@ -124,6 +124,12 @@ def x6(b: Bridge) -> DataFrame:
     return c.unpivot(["row_id"], feats, "feature", "value")
 
 
+@query("X6_one_hot_rows", with_views("campaign") + """
+SELECT row_id, unnest(['game_' || game, 'platform_' || platform, 'channel_' || channel, 'country_' || country]) AS feature FROM campaign""")
+def x6_rows(b: Bridge) -> DataFrame:
+    return X.one_hot_rows(b.campaign, "row_id", ["game", "platform", "channel", "country"])
+
+
 @query("X7_country_one_hot", with_views("campaign") + """
 , top AS (SELECT country FROM campaign GROUP BY country ORDER BY COUNT(*) DESC, country LIMIT 10)
 SELECT row_id, 'country_' || t.country AS feature, CAST(c.country = t.country AS INTEGER) AS value

@@ -141,6 +141,36 @@ def a25(b: Bridge) -> DataFrame:
                     ADV.grade_coverage(F.col("coverage")).alias("coverage_grade"))
 
 
+# relative error and tenths of covered rows of eight made-up forecasts, so that every grade is earned
+_ERRORS, _COVERED = [0.01, 0.1, 0.13, 0.15, 0.25, 0.4, 0.05, 0.2], [9, 7, 3, 9, 7, 3, 10, 0]
+_MODELS_SQL = f"""(SELECT model, actual, p50, p50 - half AS p10, p50 + half AS p90 FROM (
+  SELECT model, actual, actual * (1.0 + e * CASE WHEN k % 2 = 0 THEN 1.0 ELSE -1.0 END) AS p50,
+         actual * e * CASE WHEN k % 10 < c THEN 1.5::DOUBLE ELSE 0.5::DOUBLE END AS half
+  FROM (SELECT *, {_ERRORS!r}[CAST(model + 1 AS INTEGER)]::DOUBLE AS e, {_COVERED!r}[CAST(model + 1 AS INTEGER)] AS c
+        FROM (SELECT row_id % 8 AS model, row_id // 8 AS k, actual FROM actuals WHERE target_day = 30))))"""
+
+
+@query("A25_grades_of_models", with_views("actuals") + """
+, m AS (""" + _metrics_sql("p50", "fraction", "model", f"(SELECT * FROM {_MODELS_SQL} WHERE {_MASK})") + """)
+SELECT model, n,
+  CASE WHEN r2 > 0.8 THEN 'Excellent' WHEN r2 > 0.6 THEN 'Good' WHEN r2 > 0.4 THEN 'Fair' ELSE 'Poor' END AS r2_grade,
+  CASE WHEN rmse < 0.1 THEN 'Low' WHEN rmse < 0.3 THEN 'Moderate' ELSE 'High' END AS rmse_grade,
+  CASE WHEN mape < 0.1 THEN 'Excellent' WHEN mape < 0.2 THEN 'Good' WHEN mape < 0.3 THEN 'Fair' ELSE 'Poor' END AS mape_grade,
+  CASE WHEN coverage > 0.8 THEN 'Good' WHEN coverage > 0.6 THEN 'Fair' ELSE 'Poor' END AS coverage_grade
+FROM m""")
+def a25_models(b: Bridge) -> DataFrame:
+    """Forecasts of eight kinds of error over the actuals: every grade occurs."""
+    at = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("model") + 1).cast("int"))
+    rows = b.actuals.where(F.col("target_day") == 30).select(
+        (F.col("row_id") % 8).alias("model"), F.expr("row_id div 8").alias("k"), "actual")
+    rows = rows.withColumn("p50", F.col("actual") * (1.0 + at(_ERRORS) * F.when(F.col("k") % 2 == 0, 1.0).otherwise(-1.0)))
+    half = F.col("actual") * at(_ERRORS) * F.when(F.col("k") % 10 < at(_COVERED), 1.5).otherwise(0.5)
+    rows = rows.withColumns({"p10": F.col("p50") - half, "p90": F.col("p50") + half})
+    m = M.forecast_metrics(rows, by=["model"])
+    return m.select("model", "n", ADV.grade_r2(F.col("r2")).alias("r2_grade"), ADV.grade_rmse(F.col("rmse")).alias("rmse_grade"),
+                    ADV.grade_mape(F.col("mape")).alias("mape_grade"), ADV.grade_coverage(F.col("coverage")).alias("coverage_grade"))
+
+
 @query("A17_scoped_validation", PV + """
 SELECT COUNT(*) AS n, round(AVG(abs(actual - p50)), 6) AS mean_abs_error,
   round(AVG(least(abs(actual - p50) / NULLIF(actual, 0), 10.0)), 6) AS mean_ape

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import profile as P
 from ..operators.sets import union_kinds
-from .bridge import HIERARCHY, Bridge
+from .bridge import COHORT_DAYS, HIERARCHY, LEVELS, Bridge
 from .bridge_sql import with_views
 from .catalog import query, r6
 
@@ -90,6 +90,26 @@ def a2_validation_report(b: Bridge) -> DataFrame:
     return P.validation_report(_daily_kinds(b))
 
 
+@query("A2_validation_gaps", with_views("campaign", "cohort_wide", "levels_wide") + """
+SELECT * FROM (VALUES ('adspend_revenue', 'missing_hierarchy:country', CAST(1 AS BIGINT)), ('adspend_revenue', 'missing_required_column:spend', 1),
+  ('adspend_revenue', 'missing_required_column:revenue', 1), ('retention', 'no_retention_rate_columns', 1), ('roas', 'no_roas_columns', 1),
+  ('level_progression', 'missing_hierarchy:game', 1), ('level_progression', 'no_level_columns', 1)) t(data_type, issue, n)
+UNION ALL SELECT 'adspend_revenue', 'missing_platform_values', COUNT(*) FROM campaign WHERE row_id % 3 = 0 HAVING COUNT(*) > 0
+UNION ALL SELECT 'adspend_revenue', 'missing_channel_values', COUNT(*) FROM campaign WHERE row_id % 7 = 0 HAVING COUNT(*) > 0
+UNION ALL SELECT 'retention', 'missing_country_values', COUNT(*) FROM cohort_wide WHERE campaign_key % 2 = 1 HAVING COUNT(*) > 0
+UNION ALL SELECT 'roas', 'missing_game_values', COUNT(*) FROM cohort_wide WHERE cost > 0 HAVING COUNT(*) > 0""")
+def a2_validation_gaps(b: Bridge) -> DataFrame:
+    """Tables without columns they need and with gaps in those they have: every issue occurs."""
+    unless = lambda cond, c: F.when(~cond, F.col(c)).alias(c)
+    spend = b.campaign.select("game", unless(F.col("row_id") % 3 == 0, "platform"), unless(F.col("row_id") % 7 == 0, "channel"), "cost")
+    wide = b.cohort_wide
+    return P.validation_report({
+        "adspend_revenue": spend,
+        "retention": wide.select("game", "platform", "channel", unless(F.col("campaign_key") % 2 == 1, "country"), "installs", "roas_d0"),
+        "roas": wide.select(unless(F.col("cost") > 0, "game"), "platform", "channel", "country", "installs", "retention_rate_d1"),
+        "level_progression": b.levels_wide.select("platform", "channel", "country", "installs")})
+
+
 @query("A3_records_by_platform_kind", with_views("campaign_daily", "cohort_wide", "levels_wide") + """
 SELECT platform, data_type, COUNT(*) AS records FROM (
   SELECT platform, 'adspend_revenue' AS data_type FROM campaign_daily
@@ -158,6 +178,17 @@ def a21_sample_stats(b: Bridge) -> DataFrame:
                                                      ["mean_cost", "mean_revenue", "mean_installs"]])
 
 
+_A21 = [(family, i, f"{start}{x}{end}") for family, start, values, end in (
+    ("roas_columns", "roas_d", COHORT_DAYS, ""), ("retention_columns", "retention_rate_d", COHORT_DAYS, ""),
+    ("level_columns", "level_", LEVELS, "_events")) for i, x in enumerate(values)]
+
+
+@query("A21_metric_columns", f"""
+SELECT family, CAST(position AS INTEGER) AS position, column_name FROM (VALUES {', '.join(map(repr, _A21))}) t(family, position, column_name)""")
+def a21_metric_columns(b: Bridge) -> DataFrame:
+    return P.metric_columns(b.campaign_cohorts)
+
+
 @query("A24_target_profile", with_views("campaign") + """
 SELECT round(AVG(roas), 6) AS mean, round(STDDEV_SAMP(roas), 6) AS std, round(MIN(roas), 6) AS min,
        round(MAX(roas), 6) AS max, COUNT(*) - COUNT(roas) AS n_null,

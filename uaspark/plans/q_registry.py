@@ -35,8 +35,8 @@ UNION ALL
 SELECT 'prediction_run', id, requested_at FROM registry_prediction_run
 WHERE model_version_id = 'mv-3' AND dataset_id = 'ds-4'""")
 def s13(b: Bridge) -> DataFrame:
-    mv = R.get_model_versions(b.registry_model_version, "lgbm_roas_d30_multi_quantile")
-    runs = R.get_prediction_runs(b.registry_prediction_run, model_version_id="mv-3", dataset_id="ds-4")
+    mv = R.model_versions_of(b.registry_model_version, "lgbm_roas_d30_multi_quantile")
+    runs = R.prediction_runs_of(b.registry_prediction_run, model_version_id="mv-3", dataset_id="ds-4")
     return (mv.select(F.lit("model_version").alias("kind"), "id", F.col("created_at").alias("ts"))
               .unionByName(runs.select(F.lit("prediction_run").alias("kind"), "id",
                                        F.col("requested_at").alias("ts"))))

@@ -12,7 +12,7 @@ from ..operators import answers as A
 from ..operators import metrics as M
 from ..operators.ordered import running_total
 from ..operators.profile import best_by_mean
-from .bridge import COHORT_DAYS, Bridge
+from .bridge import COHORT_DAYS, LEVELS, Bridge
 from .bridge_sql import with_views
 from .catalog import query, r6
 from .q_curves import roas_curve
@@ -105,6 +105,33 @@ def x26(b: Bridge) -> DataFrame:
     return A.answer_questions(q, answers).select("conv_id", "turn", "route", "answer")
 
 
+_ASKS = ["when is ROI 100%", "should we continue the campaign", "Projected ROAS", "cpi for profitability", "retention rate at D7",
+         "ready to scale", "cut immediately", "roi", "campaigns"]
+_MODEL = "CASE WHEN k % 5 IN (0, 1) THEN 'm' || turn ELSE '' END"
+_DATASET = "CASE WHEN k % 5 IN (0, 2) THEN 'd' || conv_id ELSE '' END"
+_ROUTE, _ANSWER = A.fallback_answer_sql("question", "model", "dataset", "has_predictions OR starts_with(lower(mode), 'adaptive ai recommendations')")
+
+
+@query("X26_fallback_answers", with_views("questions") + f"""
+, q AS (SELECT conv_id, turn, text || ' ' || [{', '.join(f"'{a}'" for a in _ASKS)}][CAST((conv_id + turn) % {len(_ASKS)} + 1 AS INTEGER)] AS question,
+               conv_id // {len(_ASKS)} AS k FROM questions),
+c AS (SELECT *, {_MODEL} AS model, {_DATASET} AS dataset, k % 5 = 3 AS has_predictions,
+             CASE WHEN k % 7 = 4 THEN 'Adaptive AI recommendations (beta)' ELSE 'quantile' END AS mode FROM q),
+r AS (SELECT *, {_ROUTE} AS route FROM c)
+SELECT conv_id, turn, route, {_ANSWER} AS answer FROM r""")
+def x26_fallback(b: Bridge) -> DataFrame:
+    """Every route in every context: questions end in a phrase picked by key, contexts rotate."""
+    asks = F.array(*[F.lit(a) for a in _ASKS])
+    pick = F.element_at(asks, ((F.col("conv_id") + F.col("turn")) % len(_ASKS) + 1).cast("int"))
+    k = F.floor(F.col("conv_id") / len(_ASKS))
+    q = b.questions.select(
+        "conv_id", "turn", F.concat("text", F.lit(" "), pick).alias("question"),
+        F.when((k % 5).isin(0, 1), F.concat(F.lit("m"), F.col("turn").cast("string"))).alias("model"),
+        F.when((k % 5).isin(0, 2), F.concat(F.lit("d"), F.col("conv_id").cast("string"))).alias("dataset"), (k % 5 == 3).alias("has_predictions"),
+        F.when(k % 7 == 4, "Adaptive AI recommendations (beta)").otherwise("quantile").alias("mode"))
+    return A.fallback_answers(q, "question", "model", "dataset", "has_predictions", "mode").select("conv_id", "turn", "route", "answer")
+
+
 @query("X28_reply_parsing", with_views("questions") + """
 SELECT conv_id, turn, CAST(turn AS INTEGER) AS row_index, 'scale' AS action, 'r' || conv_id AS rationale,
        CAST(10.5 AS DOUBLE) AS budget_change_pct FROM questions WHERE conv_id % 4 <> 3
@@ -125,19 +152,23 @@ def x27(b: Bridge) -> DataFrame:
     return A.compact_campaigns(b.raw_strings, ["l_orderkey", "l_linenumber"], "money_raw", "percent_raw", "installs_raw")
 
 
-_CORR = ["installs", "cost", "revenue", "ad_revenue", "roas"]
+_CORR = ["installs", "cost", *[f"retention_rate_d{d}" for d in COHORT_DAYS], *[f"roas_d{d}" for d in COHORT_DAYS],
+         *[f"level_{n}_events" for n in LEVELS]]
 _PAIRS = [(a, c) for i, a in enumerate(_CORR) for c in _CORR[i + 1:]]
 
 
-@query("X29_feature_labels", with_views("campaign") + """
-, one AS (SELECT """ + ", ".join(f"corr({a}, {c}) AS \"{a}|{c}\"" for a, c in _PAIRS) + """ FROM campaign),
+@query("X29_feature_labels", with_views("cohort_wide", "levels_wide") + """
+, one AS (SELECT """ + ", ".join(f"corr(coalesce({a}, 0), coalesce({c}, 0)) AS \"{a}|{c}\"" for a, c in _PAIRS) + """
+          FROM (SELECT c.*, """ + ", ".join(f"l.level_{n}_events" for n in LEVELS) + """
+                FROM cohort_wide c JOIN levels_wide l USING (campaign_key))),
 long AS (SELECT pair, abs(v) AS a FROM one UNPIVOT (v FOR pair IN (""" + ", ".join(f'"{a}|{c}"' for a, c in _PAIRS) + """))),
 rk AS (SELECT feature FROM (SELECT split_part(pair, '|', 1) AS feature, a FROM long
                             UNION ALL SELECT split_part(pair, '|', 2), a FROM long)
-       GROUP BY feature ORDER BY SUM(coalesce(a, 0.0)) + 1.0 DESC, feature LIMIT 20)
+       GROUP BY feature ORDER BY round(SUM(CASE WHEN a IS NULL OR isnan(a) THEN 0.0 ELSE a END) + 1.0, 9) DESC, feature LIMIT 20)
 SELECT feature, """ + T.feature_label_sql("feature") + """ AS label FROM rk""")
 def x29(b: Bridge) -> DataFrame:
-    ranked = M.correlation_ranking(b.campaign, _CORR, 20)
+    levels = b.levels_wide.select("campaign_key", *[f"level_{n}_events" for n in LEVELS])
+    ranked = M.correlation_ranking(b.cohort_wide.join(levels, "campaign_key"), _CORR, 20)
     return ranked.select("feature", T.feature_label(F.col("feature")).alias("label"))
 
 

@@ -1,18 +1,18 @@
 """Campaign CSV sources.
 
 A campaign folder looks like ``<root>/<network>/<channel>/<kind file>.csv``.
-Files of a folder differ in their headers.  One text pass finds the header line
-of every data file; files are then grouped by (kind, header), each group is one
-CSV scan with an explicit all-text schema, and the groups are united by name
-(missing columns are null).  Network, channel and kind come from the path, so
-only files of the wanted kinds are scanned.  Headers keep their spelling and
-padding (P1 / P2 run later).
+Files of a folder differ in their headers.  Network, channel and kind come from the
+path; of the files of the wanted kinds only the head is read, for the header line.
+Files are then grouped by (kind, header), each group is one CSV scan with an explicit
+all-text schema, and the groups are united by name (missing columns are null).  Headers
+keep their spelling and padding (P1 / P2 run later).
 """
 
 from __future__ import annotations
 
 import csv
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,25 +72,49 @@ def _decoded(uri: Column) -> Column:
     return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
 
 
+#: Bytes of a file that are read for its header line; doubled while no line ends in them.
+HEAD_BYTES = 1 << 16
+
+
+def head_line(spark: SparkSession, path: str) -> str | None:
+    """The first line of a file, of which no more than its head is read, by the session's
+    own file systems; null for an empty file."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    size = HEAD_BYTES
+    while True:
+        stream = at.getFileSystem(sc._jsc.hadoopConfiguration()).open(at)
+        try:
+            head = bytes(stream.readNBytes(size))
+        finally:
+            stream.close()
+        ends = [i for i in (head.find(b"\n"), head.find(b"\r")) if i >= 0]
+        if ends or len(head) < size:
+            line = head[:min(ends)] if ends else head
+            return line.decode("utf-8", "replace") if head else None
+        size *= 2
+
+
 def list_data_files(spark: SparkSession, root: str, kinds: Sequence[str] | None = None,
-                    excluded: Sequence[str] = EXCLUDED_NAME_PARTS) -> DataFrame:
+                    excluded: Sequence[str] = EXCLUDED_NAME_PARTS, readers: int = 16) -> DataFrame:
     """One row per data file: ``path``, ``header`` (its first line), ``platform``,
     ``subdirectory``, ``source_file`` and ``data_type``.
 
-    The two folders above the file name the network and the channel (URL-decoded:
-    the metadata path is a URI).  Files without a line are left out."""
+    The two folders above the file name the network and the channel.  Files are listed by
+    name and size only; of those that pass the kind filter, the head is read, ``readers`` at a
+    time, so the bytes read don't grow with the files.  Files without a line are left out."""
     parts = F.split(F.col("path"), "/")
-    lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(root)
-             .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
-                     F.monotonically_increasing_id().alias("line"), "value")
-             .where("start = 0"))
-    named = (lines.groupBy("path").agg(F.min_by("value", "line").alias("header"))
-             .select("path", "header", _decoded(F.element_at(parts, -3)).alias("platform"),
-                     _decoded(F.element_at(parts, -2)).alias("subdirectory"),
-                     _decoded(F.element_at(parts, -1)).alias("source_file")))
-    out = (named.withColumn("data_type", classify_data_type(F.col("source_file")))
-           .where(is_data_file(F.col("source_file"), excluded)))
-    return out.where(F.col("data_type").isin(*kinds)) if kinds else out
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(root)
+             .select("path", F.element_at(parts, -3).alias("platform"), F.element_at(parts, -2).alias("subdirectory"),
+                     F.element_at(parts, -1).alias("source_file"))
+             .withColumn("data_type", classify_data_type(F.col("source_file")))
+             .where(is_data_file(F.col("source_file"), excluded)))
+    wanted = files.where(F.col("data_type").isin(*kinds)) if kinds else files
+    found = wanted.collect()                                   # names of files, as any scan lists them on the driver
+    with ThreadPoolExecutor(max(1, readers)) as pool:
+        heads = list(pool.map(lambda r: head_line(spark, r["path"]), found))
+    rows = [(r["path"], h, r["platform"], r["subdirectory"], r["source_file"], r["data_type"]) for r, h in zip(found, heads) if h is not None]
+    return spark.createDataFrame(rows, "path string, header string, platform string, subdirectory string, source_file string, data_type string")
 
 
 def header_names(header: str) -> list[str]:
@@ -112,7 +136,7 @@ def read_campaign_folder(spark: SparkSession, root: str, kinds: Sequence[str] |
     # one row per file: what any scan of these files lists on the driver
     families: dict[tuple[str, str], list[str]] = {}
     files = list_data_files(spark, root, kinds, excluded)
-    for r in files.select(_decoded(F.col("path")).alias("path"), "data_type", "header").collect():
+    for r in files.select("path", "data_type", "header").collect():
         families.setdefault((r["data_type"], r["header"]), []).append(r["path"])
     parts = F.split(F.col("_metadata.file_path"), "/")
     name = _decoded(F.element_at(parts, -1))
