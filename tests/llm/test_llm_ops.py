@@ -532,6 +532,21 @@ def test_survivors_are_judged_row_by_row(spark):
     assert ngram_join.survivors(empty(spark)).count() == 0
 
 
+def test_scratch_drops_what_was_stored_inside(spark):
+    import os
+
+    from uaspark.llm.store import Scratch, stored, write_table
+    with Scratch(spark) as outer:
+        first = write_table(spark.range(3))
+        with Scratch(spark) as inner:
+            gone = stored(spark.range(5))
+            assert gone.count() == 5
+            kept = inner.keep(write_table(spark.range(7)))
+        local = [p.removeprefix("file:") for p in (*inner.paths, kept, first)]
+        assert [os.path.exists(p) for p in local] == [False, True, True]
+    assert not os.path.exists(first.removeprefix("file:")) and spark.read.parquet(kept).count() == 7 and outer.paths == [first]
+
+
 def test_connected_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(5, 5), (7, 6)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -686,7 +701,7 @@ def brute_backoff(rows, order, exclude):
 def test_backoff_scores_match_brute_force(spark, order, exclude):
     rows = corpus(30) + [(99, "seen nowhere else", "en", "s", 0)]
     want = brute_backoff(rows, order, exclude)
-    got = lm_score.score_documents(frame(spark, rows), order=order, exclude_own=exclude, docs_per_chunk=7).collect()
+    got = lm_score.score_documents(frame(spark, rows), order=order, exclude_own=exclude, docs_per_chunk=7, words_per_chunk=500).collect()
     assert len(got) == len(rows)
     for r in got:
         assert r.n_tokens == want[r.doc_id][0] and r.log_score == pytest.approx(want[r.doc_id][1])
@@ -697,7 +712,7 @@ def test_backoff_scores_match_brute_force(spark, order, exclude):
 # 10 nearest neighbours ----------------------------------------------------
 
 @pytest.mark.parametrize("dims,block", [(8, 16), (1500, 1000)])
-def test_nearest_matches_brute_force(spark, dims, block):
+def test_nearest_matches_brute_force(spark, monkeypatch, dims, block):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(90, dims)).astype(np.float32)
     base[40:60] = base[0]                      # ties
@@ -706,6 +721,8 @@ def test_nearest_matches_brute_force(spark, dims, block):
     rows += [(200, None, 1), (220, [], 1), (240, [0.0] * dims, 1), (260, [float("nan")] * dims, 1),
              (280, [None] + [1.0] * (dims - 1), 1), (None, [1.0] * dims, 1), (300, [1.0, 2.0], 1), (0, rows[0][1], 2)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)
+    for name, value in (("FAN_IN", 2), ("MERGED_QUERIES", 2)):   # several levels of merging
+        monkeypatch.setattr(ann, name, value)
     got = ann.nearest(vectors, F.col("id") % 20 == 0, k=5, query_block=3, cand_block=block).collect()
     x = base.astype(float)
     want = []
@@ -716,3 +733,14 @@ def test_nearest_matches_brute_force(spark, dims, block):
         want += [(q, r, c, -s) for r, (s, c) in enumerate(sorted(scores)[:5], 1)]
     assert sorted(tuple(r) for r in got) == want
     assert ann.nearest(vectors.limit(0), F.col("id") % 20 == 0).count() == 0
+
+
+def test_merge_groups_are_bounded(spark, monkeypatch):
+    """However many tiles there are, a group merges the heaps of FAN_IN of them for some MERGED_QUERIES queries."""
+    monkeypatch.setattr(ann, "FAN_IN", 4)
+    monkeypatch.setattr(ann, "MERGED_QUERIES", 8)
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 4)))], "vec_id long, embedding array<double>")
+    plan = ann.nearest(df, F.col("id") % 2 == 0, k=3, query_block=50, cand_block=10)
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInPandas") == 3     # 40 tiles, 10, 3, 1
+    assert plan.count() == 200 * 3 and plan.groupBy("query_id").count().where("count <> 3").isEmpty()

@@ -5,8 +5,8 @@ candidate block) tile is one group.  In a tile, int8 codes are multiplied as a
 matrix, which gives every inner product up to a bound that follows from the two
 quantisation errors (Cauchy-Schwarz).  A candidate survives when its upper
 bound reaches the k-th best lower bound of the query; survivors are computed in
-double precision and kept in a heap of k.  A second grouping by query block
-merges the heaps of all tiles.  The result is exact.
+double precision and kept in a heap of k.  Heaps of all tiles are merged in levels of
+bounded fan-in.  Vectors travel in the precision they came in.  The result is exact.
 
 Defined results: vectors that are null, empty, all zero, or hold a null or a
 non-finite component take no part, nor do rows without id.  Rows that share an
@@ -21,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PAIRS = "query_id long, vec_id long, score double"
+FOUND = "query_id long, vec_id long, score double, tile long"
 #: Sums of int8 products are exact in float32 up to this many dimensions.
 EXACT_DIMS = 1024
 
@@ -78,27 +78,34 @@ def _tile(queries: pd.DataFrame, cands: pd.DataFrame, k: int) -> Iterator[tuple[
             yield int(qid[i]), int(c), -s
 
 
+#: Heaps of so many tiles (or merged heaps) meet in one group, for about so many queries.
+FAN_IN, MERGED_QUERIES = 64, 128
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding",
             query_block: int = 1024, cand_block: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` largest inner products per query.
 
     ``is_query`` is a condition on ``id``.  Block sizes bound the memory of a
-    task: two blocks of vectors and one row of products.
+    task: two blocks of vectors and one row of products.  Heaps are merged level by
+    level, so a group holds about ``FAN_IN * MERGED_QUERIES * k`` rows at any number of tiles.
     """
+    single = dict(vectors.dtypes)[vec_col] == "array<float>"   # then 32-bit values are exact
     clean = clean_vectors(vectors, id_col, vec_col)
     n, nq = clean.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
     cb, qb = max(1, -(-n // cand_block)), max(1, -(-nq // query_block))
     slot = lambda name, m: F.pmod(F.xxhash64("id", F.lit(name)), F.lit(m)).cast("int")
     dims = F.size("v").alias("dims")
-    cands = clean.select("id", "v", dims, slot("c", cb).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))
+    sent = F.col("v").cast("array<float>" if single else "array<double>")
+    cands = clean.select("id", sent.alias("v"), dims, slot("c", cb).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))
     # new column names: the two sides of a cogroup must not share attributes
     queries = clean.filter(is_query).select(
-        F.col("id").alias("qid"), F.col("v").alias("qv"), dims, slot("q", qb).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(cb - 1))).alias("cb"))
+        F.col("id").alias("qid"), sent.alias("qv"), dims, slot("q", qb).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(cb - 1))).alias("cb"))
 
     def tile(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         rows = list(_tile(q, c, k)) if len(q) and len(c) else []
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype(
-            {"query_id": "int64", "vec_id": "int64", "score": "float64"})
+        of = int(c["cb"].iloc[0]) if len(c) else 0
+        return _frame([(*r, of) for r in rows])
 
     def merge(found: pd.DataFrame) -> pd.DataFrame:
         heaps: dict[int, list] = {}
@@ -108,13 +115,23 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
                 heapq.heappush(heap, (s, -c))
             elif (s, -c) > heap[0]:
                 heapq.heapreplace(heap, (s, -c))
-        rows = [(q, r, -c, s) for q, heap in heaps.items()
-                for r, (s, c) in enumerate(sorted(heap, reverse=True), 1)]
-        return pd.DataFrame(rows, columns=["query_id", "rank", "vec_id", "score"]).astype(
-            {"query_id": "int64", "rank": "int32", "vec_id": "int64", "score": "float64"})
+        of = int(found["tile"].iloc[0]) // FAN_IN
+        return _frame([(q, -c, s, of) for q, heap in heaps.items() for s, c in sorted(heap, reverse=True)])
 
     keys = ["qb", "cb", "dims"]
-    tops = queries.groupBy(*keys).cogroup(cands.groupBy(*keys)).applyInPandas(tile, PAIRS)
-    # a group holds the heaps of the queries of 1/(8 qb): at most k rows per tile and query
-    group = F.pmod(F.xxhash64("query_id"), F.lit(8 * qb))
-    return tops.groupBy(group).applyInPandas(merge, "query_id long, rank int, vec_id long, score double")
+    tops = queries.groupBy(*keys).cogroup(cands.groupBy(*keys)).applyInPandas(tile, FOUND)
+    group = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-nq // MERGED_QUERIES))))
+    left = cb
+    while True:
+        tops = tops.groupBy(group, F.floor(F.col("tile") / FAN_IN)).applyInPandas(merge, FOUND)
+        left = -(-left // FAN_IN)
+        if left == 1:
+            break
+    # at most k rows a query are left
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return tops.select("query_id", place.alias("rank"), "vec_id", "score")
+
+
+def _frame(rows: list[tuple[int, int, float, int]]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["query_id", "vec_id", "score", "tile"]).astype(
+        {"query_id": "int64", "vec_id": "int64", "score": "float64", "tile": "int64"})

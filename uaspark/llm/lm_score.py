@@ -1,6 +1,6 @@
 """Language-model scores by stupid backoff, computed with count tables.
 
-Documents are dealt into chunks by a hash of their id.  Each chunk explodes its
+Documents are dealt into chunks by a hash of id and text.  Each chunk explodes its
 n-grams of every order and counts them, so an n-gram is one entry per chunk,
 however often it occurs.  The count table is partitioned by the hash of the
 n-gram into shards: there the counts of all chunks are summed and joined to the
@@ -150,13 +150,17 @@ def _score(table: pa.Table, others: pa.Table, order: int, alpha: float, total: i
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2,
                     alpha: float = 0.4, exclude_own: bool = True, docs_per_chunk: int = 4096,
-                    words_per_shard: int = 1 << 21) -> DataFrame:
-    """(doc_id, n_tokens, log_score, mean_log_score) of every document."""
+                    words_per_chunk: int = 1 << 21, words_per_shard: int = 1 << 21) -> DataFrame:
+    """(doc_id, n_tokens, log_score, mean_log_score) of every document.
+
+    A chunk holds about ``docs_per_chunk`` documents, or ``words_per_chunk`` words if these
+    are fewer documents, and a document of more words by itself."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    chunks = max(1, -(-rows.count() // docs_per_chunk))
-    chunk = F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int")
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
-    total = rows.agg(F.sum(words.cast("long"))).first()[0] or 0
+    many, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(words.cast("long")), F.lit(0))).first()
+    chunks = max(1, -(-many // docs_per_chunk), -(-total // words_per_chunk))
+    # rows that share an id, or have none, are dealt by their texts
+    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")
     dealt = rows.withColumn("chunk", chunk).repartition("chunk")
     # a shard sums some words_per_shard entries, and one row of any n-gram per chunk
     shards = 1 << _shard_bits(max(1, -(-total * order // words_per_shard)))

@@ -1,21 +1,65 @@
-"""Intermediate tables in the shared checkpoint folder, and connected components."""
+"""Intermediate tables in the shared checkpoint folder, and connected components.
+
+Tables stay until their reader is done: an operator returns a table that reads them.  A
+caller who has written an operator's result can drop them with ``Scratch``.
+"""
 
 from __future__ import annotations
 
 import uuid
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
 
+_OPEN: ContextVar[tuple[Scratch, ...]] = ContextVar("open scratches", default=())
+
+
+class Scratch:
+    """Deletes the tables that are stored inside its block when the block ends, but for
+    those given to ``keep``.  What the block returns must not read the others any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        self._token = _OPEN.set((*_OPEN.get(), self))
+        return self
+
+    def __exit__(self, *_) -> None:
+        _OPEN.reset(self._token)
+        for path in self.paths:
+            drop(self.spark, path)
+
+    def keep(self, path: str) -> str:
+        self.paths.remove(path)
+        return path
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a table, through the session's file systems."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def write_table(df: DataFrame) -> str:
+    """Writes ``df`` as Parquet under ``spark.checkpoint.dir``; its path."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    for scratch in _OPEN.get()[-1:]:
+        scratch.paths.append(path)
+    df.write.parquet(path)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet under ``spark.checkpoint.dir`` and read again:
     computed once, and still there when executors are lost."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write_table(df))
 
 
 #: Up to so many edges the minima of a step are broadcast (16 bytes each).
