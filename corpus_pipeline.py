@@ -2,7 +2,15 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before
 it kept.  ``run`` writes each stage as Parquet into the shared checkpoint folder
-and reads it again, so a lost executor costs one stage at most.
+and reads it again, so a lost executor costs one stage at most; a stage's tables are
+deleted once the next stage is written.
+
+Rows with nulls in any column, empty and very long texts and repeated rows pass through
+as each stage defines: without text or letter a row goes (language ID); of equal rows one
+stays (exact dedup), a row without an id only where no equal text has one; near copies
+are judged row by row; a null source is a source of its own; an empty table gives an empty
+result.  Columns besides those of ``documents`` pass through all stages but the last,
+which returns id, language, source and digests.
 """
 
 from __future__ import annotations
@@ -11,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from uaspark.llm import bpe, exact_dedup, langid, mixing, ngram_join
-from uaspark.llm.store import stored
+from uaspark.llm.store import Scratch, drop, write_table
 
 #: Posterior below which a document's language counts as unknown.
 MIN_SCORE = 0.5
@@ -58,7 +66,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        with Scratch(spark) as scratch:               # a stage's own tables go once its result is written
+            result = stage(spark, docs, sf_dir)
+            path = scratch.keep(write_table(result))
+        docs = spark.read.schema(result.schema).parquet(path)
+        if before:                                    # and so does the result it has read
+            drop(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
