@@ -540,6 +540,17 @@ def test_cross_validation_counts_zero_labels(spark):
     assert sum(r["n"] for r in out) == 60
 
 
+def test_drivers_come_from_the_model(spark):
+    from uaspark.operators import answers as A
+    model = BO.QuantileBooster(0.5, n_rounds=2, max_depth=2, max_leaves=3).fit(regression(spark, 600), ["a", "b", "c"], "y")
+    ranked = BO.importance_frame(spark, model.feature_importances() | {"unused": 0.0})
+    assert A.drivers_from_importance(ranked).first().answer.startswith("Top drivers of ROAS include: a, ")
+    assert "unused" not in A.drivers_from_importance(ranked).first().answer
+    assert A.drivers_from_importance(ranked.limit(0)).first() == ("drivers", A.NO_DRIVERS)
+    tied = spark.createDataFrame([(f"f{i}", 0.1) for i in range(9)], "feature string, importance double")
+    assert A.drivers_from_importance(tied, 3).first().answer == "Top drivers of ROAS include: f0, f1, f2."
+
+
 def test_second_router_by_context(spark):
     from uaspark.operators import answers as A
     asks = ["When is ROI 100%?", "continue or pause", "projected ROAS", "CPI profitability D30", "retention rate D7", "ready to scale?",

@@ -154,6 +154,15 @@ def drivers_answer(spark, names: list[str]) -> DataFrame:
     return spark.createDataFrame([("drivers", text)], "route string, answer string")
 
 
+def drivers_from_importance(importance: DataFrame, n: int = 5) -> DataFrame:
+    """The ``drivers`` answer from (feature, importance), as M7 gives it: the ``n`` features
+    that matter most, ties by name; features that no split uses are left out."""
+    top = importance.where(F.col("importance") > 0).orderBy(F.desc("importance"), "feature").limit(n)
+    names = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("importance")).alias("k"), "feature"))), lambda x: x["feature"])
+    text = F.concat(F.lit("Top drivers of ROAS include: "), F.array_join("l", ", "), F.lit("."))
+    return top.agg(names.alias("l")).select(F.lit("drivers").alias("route"), F.when(F.size("l") > 0, text).otherwise(NO_DRIVERS).alias("answer"))
+
+
 def answer_questions(questions: DataFrame, answers: list[DataFrame]) -> DataFrame:
     """``questions`` (with ``route``) and the answer of each one's route (at most
     one row per route, so the answers are broadcast)."""

@@ -245,7 +245,7 @@ class ModelSpec:
 
 def fit_models(df: DataFrame, label: str, specs: Sequence[ModelSpec], n_rounds: int = 100, learning_rate: float = 0.05,
                max_depth: int = 6, max_leaves: int = 31, min_instances: int = 20, max_bins: int = 32, seed: int = 42,
-               checkpoint_every: int = 4) -> dict[str, QuantileBoosterModel]:
+               checkpoint_every: int = 2) -> dict[str, QuantileBoosterModel]:
     """M1: boosts all models of ``specs`` in step, over one stored frame."""
     every = sorted({f for s in specs for f in s.features})
     place = {f: f"c{i}" for i, f in enumerate(every)}
