@@ -42,3 +42,34 @@ def test_pipeline_stages_and_result(spark, tmp_path):
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(r.ids_sha256 for r in whole) == sorted(r.ids_sha256 for r in frames["bpe"])
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES]) and mixing.plan({"a": 1}).budget == 1
+
+
+def test_pipeline_over_an_empty_table(spark, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and "ids_sha256" in out.columns
+
+
+def test_pipeline_over_gaps_repeats_and_clashing_columns(spark, tmp_path):
+    """Nulls in every column, a very long text, repeated rows and ids, columns named like those of the stages."""
+    pytest.importorskip("public_tokenizers")
+    long = " ".join(f"word{i % 977}" for i in range(60_000))
+    rows = [(None, None, None, None, None), (1, "plain words of some text here", "en", "a", 1), (1, "plain words of some text here", "en", "a", 1),
+            (1, "another text under the same id", "en", None, 2), (None, "no id and no near copy of it", "en", "b", None),
+            (5, "", "en", "a", 0), (6, "½ ² 12", "en", "a", 0), (7, long, "en", "a", 9), (8, long + " end", "en", "b", 9), (9, long, "en", "a", 9)]
+    clash = ["epoch", "Block", "slot", "lang_pred", "score", "digest", "tag", "root", "_key", "ids"]
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", *[f"concat('{c}', doc_id) AS `{c}`" for c in clash])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, now, str(tmp_path))
+        assert out.columns == docs.columns, name
+        out.write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+        for r in now.collect():
+            assert all(r[c] == (None if r.doc_id is None else f"{c}{r.doc_id}") for c in clash), name
+    kept = {(r.doc_id, r.text) for r in now.collect()}
+    assert kept == {rows[1][:2], rows[3][:2], rows[4][:2], (8, long + " end")} or kept == {rows[1][:2], rows[3][:2], rows[4][:2], (9, long)}
+    final = corpus_pipeline.run(spark, str(tmp_path))
+    assert {r.doc_id for r in final.collect()} == {i for i, _ in kept}

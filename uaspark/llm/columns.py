@@ -36,6 +36,11 @@ def renamed(df: DataFrame, column: str, *results: str) -> tuple[DataFrame, str]:
     return out, out.columns[[c.lower() for c in df.columns].index(column.lower())]
 
 
+def only_given(out: DataFrame, given: DataFrame) -> DataFrame:
+    """Of an operator's result, the columns that it was given, under the names they had."""
+    return out.select(*out.columns[:len(given.columns)]).toDF(*given.columns)
+
+
 class Neutral:
     """A table whose columns are called ``c0``, ``c1`` ... while an operator adds its own."""
 
