@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from uaspark.llm import bpe, exact_dedup, langid, mixing, ngram_join
+from uaspark.llm.columns import only_given
 from uaspark.llm.store import Scratch, drop, write_table
 
 #: Posterior below which a document's language counts as unknown.
@@ -30,7 +31,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     or of no clear language go."""
     model = langid.train(docs.filter(langid.fold() != 2))
     found = langid.predict(docs, model)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    return only_given(found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)), docs)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once, small sources repeated to their weights, in
     the order of the blocks."""
     # a block lies in one partition since its slots were given; only its order is left
-    return mixing.mix(docs).sortWithinPartitions("block", "slot").select(*docs.columns)
+    return only_given(mixing.mix(docs).sortWithinPartitions("block", "slot"), docs)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
