@@ -518,6 +518,35 @@ def test_models_fitted_together_equal_models_fitted_alone(spark):
     assert both["none"].f0 == 0.0 and both["none"].forest.roots == []
 
 
+def test_rounds_run_over_as_few_partitions_as_the_rows_need(spark, monkeypatch):
+    kept, cut = [], BO.cut_lineage
+    monkeypatch.setattr(BO, "cut_lineage", lambda df: kept.append(cut(df)) or kept[-1])
+    monkeypatch.setattr(BO, "ROWS_PER_TASK", 700, raising=False)
+    kw = {"n_rounds": 3, "max_depth": 3, "max_leaves": 5}
+    many = BO.QuantileBooster(0.5, **kw).fit(regression(spark).repartition(12), ["a", "b", "c"], "y")
+    assert kept[-1].rdd.getNumPartitions() <= 3                 # 1,500 rows
+    one = BO.QuantileBooster(0.5, **kw).fit(regression(spark).coalesce(1), ["a", "b", "c"], "y")
+    assert many.forest.feature == one.forest.feature and many.forest.step == pytest.approx(one.forest.step)
+
+
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_partitions_of_the_order_lines_follow_their_number(spark, monkeypatch, few):
+    from tests.conftest import SF
+    from uaspark.plans import bridge
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    columns = lambda b: (b.campaign_daily, b.campaign)
+    want = [rows(df) for df in columns(bridge.Bridge(spark, SF))]
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    monkeypatch.setattr(bridge, "LINES_PER_TASK", lines // 12, raising=False)
+    monkeypatch.setattr(bridge, "FEW_PARTS", few, raising=False)
+    b = bridge.Bridge(spark, SF)
+    parts = -(-lines // (lines // 12))
+    plan = b.campaign_daily._jdf.queryExecution().optimizedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "RepartitionByExpression" in line and f", {parts}" in line]
+    assert len(dealt) == (5 if few == 0 else 3)                 # lines and orders by order (and lines and parts by part), lines by customer
+    assert [rows(df) for df in columns(b)] == want
+
+
 def test_what_if_with_the_booster_equals_a_loop(spark):
     from uaspark.operators import kpi
     rows = [(i, 100.0 + i, 80.0 + 3 * (i % 11), 10, 1.0, 0.3 + 0.01 * (i % 7), 0.1 + 0.01 * (i % 5)) for i in range(60)]

@@ -38,6 +38,11 @@ KIND_WORDS = ["Adspend and Revenue data", "retention", "ROAS data", "Level Progr
               "summary"]
 D7_SHARE = 0.5
 
+#: Order lines that a task joins or groups, about: what it holds in memory doesn't grow with the table.
+LINES_PER_TASK = 500_000
+#: Up to so many parts it is left to Spark to broadcast them; more are dealt out as the lines are.
+FEW_PARTS = 2_000_000
+
 
 def dec(c: str | Column) -> Column:
     """Exact money arithmetic: the test values carry two decimals."""
@@ -74,6 +79,17 @@ class Bridge:
         return read_table(self.spark, self.sf_dir, name, cols)
 
     # ---- B1 -------------------------------------------------------------
+    @cached_property
+    def _line_parts(self) -> int:
+        """Partitions of the order lines, by their number; 0 where the cores alone give as many."""
+        parts = -(-self.t("lineitem", ["l_orderkey"]).count() // LINES_PER_TASK)
+        return parts if parts > self.spark.sparkContext.defaultParallelism else 0
+
+    def _spread(self, df: DataFrame, *keys: str) -> DataFrame:
+        """``df`` in as many partitions as the order lines need.  The shuffle that a join or
+        group on ``keys`` takes anyway, but in a number that follows the table."""
+        return df.repartition(self._line_parts, *keys) if self._line_parts else df
+
     def _order_lines(self) -> DataFrame:
         # orders x customer x nation first (the order side is ~4x smaller than
         # lineitem); nation is a fixed 25-row dimension, so its broadcast is bounded.
@@ -87,8 +103,10 @@ class Bridge:
         li = self.t("lineitem", ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice",
                                  "l_discount", "l_tax"])
         p = self.t("part", ["p_partkey", "p_type", "p_retailprice"])
-        return (li.join(oc, li.l_orderkey == oc.o_orderkey)
-                  .join(p, F.col("l_partkey") == p.p_partkey)
+        lines = self._spread(li, "l_orderkey").join(self._spread(oc, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+        if self._line_parts and p.count() > FEW_PARTS:
+            lines, p = self._spread(lines, "l_partkey"), self._spread(p, "p_partkey")
+        return (lines.join(p, F.col("l_partkey") == F.col("p_partkey"))
                   .select(F.col("p_type").alias("game"), F.col("c_mktsegment").alias("platform"),
                           F.col("o_orderstatus").alias("channel"), F.col("n_name").alias("country"),
                           F.to_date("o_orderdate").alias("date"), "o_custkey",
@@ -105,11 +123,15 @@ class Bridge:
 
     @cached_property
     def campaign_daily(self) -> DataFrame:
-        return self._order_lines().groupBy(*HIERARCHY, "date").agg(*self._money_aggs())
+        return self._by_customer(*HIERARCHY, "date").groupBy(*HIERARCHY, "date").agg(*self._money_aggs())
+
+    def _by_customer(self, *keys: str) -> DataFrame:
+        """The order lines, dealt out for distinct customers of each of ``keys``."""
+        return self._spread(self._order_lines(), *keys, "o_custkey")
 
     @cached_property
     def campaign(self) -> DataFrame:
-        agg = self._order_lines().groupBy(*HIERARCHY).agg(
+        agg = self._by_customer(*HIERARCHY).groupBy(*HIERARCHY).agg(
             *self._money_aggs(), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
         # computed once: everything of B1 and B5 reads this small table
         return cut_lineage(agg.select(stable_id(*[F.col(h) for h in HIERARCHY]).alias("row_id"), "*",
