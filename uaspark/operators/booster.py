@@ -50,6 +50,8 @@ PRESETS = {
     "service": {"n_rounds": 100, "learning_rate": 0.05, "max_depth": 10, "max_leaves": 31, "min_instances": 20},
 }
 LEAF_ACCURACY = 10_000
+#: Rows of the stored frame that a task takes at least, about: a fit is many small jobs of one task a partition.
+ROWS_PER_TASK = 20_000
 FAMILY_PATTERNS = [r"^roas_d(\d+)", r"^retention(?:_rate)?_d(\d+)", r"^level_(\d+)_events$", r"^d(\d+)_retention"]
 
 
@@ -255,6 +257,8 @@ def fit_models(df: DataFrame, label: str, specs: Sequence[ModelSpec], n_rounds:
         *[F.coalesce(F.nanvl(F.col(f"`{f}`").cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) for f, c in place.items()],
         F.col(label).cast("double").alias("y"), *[t.alias(f"m{i}") for i, t in enumerate(takes)])
     state = cut_lineage(base.where(reduce(Column.__or__, [F.col(f"m{i}") for i in many])))
+    # the partitions follow the rows, not the tables that the frame was reduced from
+    state = cut_lineage(state.coalesce(max(1, -(-state.count() // ROWS_PER_TASK))))
 
     def each(make: Callable[[int], Column]) -> Column:
         """One row for each model that learns from a row."""
