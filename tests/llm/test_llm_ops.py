@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from uaspark.llm import (ann, bpe, exact_dedup, langid, lm_score, mixing, ngram_join, pii, quality,
                          sharding)
-from uaspark.llm.store import components
+from uaspark.llm.store import Scratch, components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho".split()
@@ -321,6 +321,25 @@ def test_quality_thresholds_of_a_rare_language(spark):
     assert quality._quota([(3, 2), (100, 1)], 30) == 24 and quality._quota([(3, 2)], 30) == math.inf
 
 
+def test_quality_query_learns_from_all_trusted_rows(spark, monkeypatch, tmp_dir):
+    from uaspark.llm import queries
+    docs = spark.range(16_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("alpha beta"), F.col("id") % 50).alias("text"),
+                                      F.lit("en").alias("lang"))
+    docs.write.parquet(f"{tmp_dir}/documents.parquet")
+    docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")).write.parquet(f"{tmp_dir}/labels.parquet")
+    seen, train = [], quality.train
+    monkeypatch.setattr(quality, "train", lambda rows: seen.append(rows.count()) or train(rows))
+    assert queries.QUERIES["op4_quality"](spark, tmp_dir).count() == 16_000
+    fold = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(3)) < 2).count()
+    assert seen == [fold] and fold > 10_000                     # two thirds of all, not of a sample
+
+
+def test_tables_of_the_training_go_and_the_model_stays(spark):
+    with Scratch(spark) as outer:
+        model = quality.train(frame(spark, [r for r in corpus() if r[1]]).select("text"))
+        assert len(outer.paths) == 1 and model.table.count() == model.entries > 0
+
+
 def test_scores_come_through_the_sharded_join(spark):
     model = quality.train(frame(spark, [r for r in corpus() if r[1]]).select("text"))
     docs = spark.createDataFrame([(1, "en", "alpha beta")], "doc_id long, lang string, text string")

@@ -18,11 +18,11 @@ hash) the distinct entries, sorted and as differences, and the documents that as
 them.  Each shard of the model is joined with the asks of up to ``CHUNKS`` chunks at a
 time and returns a sum per document; the sums of a chunk meet in one group.  So the
 exchange carries an entry once per chunk, not once per document, and no text.  Before
-that the ``HOT`` most frequent entries, a fixed number, are scored where the document
-is, so the shards never see a frequent n-gram, and a Bloom filter of bounded size drops
-what no shard has.  The model is bounded by ``max_trusted`` documents (a hash of the id
-picks them, language by language, so that a large language leaves a small one its
-rows: the training text is a bounded sample of labelled rows; nothing else is).
+that the most frequent entries, ``HOT`` at most, are scored where the document
+is, so the shards never hold a frequent n-gram, and a Bloom filter of bounded size drops
+what no shard has.  With ``max_trusted`` None the model learns from all trusted documents
+of its fold, as the query does.  A number bounds it by a sample (a hash of the id picks
+documents, language by language, so that a large language leaves a small one its rows).
 
 A document is kept when its perplexity is at most its language's threshold times
 exp(``short`` / sqrt(words)), since the mean over few words varies more.  The
@@ -56,11 +56,13 @@ from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small
 from . import bloom
-from .store import stored
+from .store import Scratch, stored, write_table
 from .texts import chain, mix, pieces, word_hashes
 
-#: Frequent table entries scored where the documents are (16 bytes each; 4 MB).
-HOT = 1 << 18
+#: Frequent table entries scored where the documents are, at most (16 bytes each; 32 MB).
+HOT = 1 << 21
+#: Keys of the Bloom filter that a task takes, about: each task sends a filter of its own.
+KEYS_PER_TASK = 8_000_000
 #: Words whose lookups are packed together, and such chunks that meet a shard at a time.
 CHUNK_WORDS, CHUNKS = 1 << 21, 128
 #: Entries of a shard of the model, about.
@@ -118,9 +120,13 @@ def train(trusted: DataFrame, text_col: str = "text") -> KneserNey | None:
                 [pa.array(x.view(np.int64)) for x in (before[first], word[first])] + [pa.array(n, pa.int64())],
                 ["v", "w", "n"])
 
-    bigrams = stored(trusted.select(F.col(text_col).alias("text"))
-                     .mapInArrow(pairs, "v long, w long, n long")
-                     .groupBy("v", "w").agg(F.sum("n").alias("n")))
+    with Scratch(trusted.sparkSession) as scratch:        # the counts go once the model is written
+        return _fitted(trusted.select(F.col(text_col).alias("text")).mapInArrow(pairs, "v long, w long, n long"), scratch)
+
+
+def _fitted(found: DataFrame, scratch: Scratch) -> KneserNey | None:
+    """The model of the pairs ``found`` (v, w, n); its table outlives ``scratch``."""
+    bigrams = stored(found.groupBy("v", "w").agg(F.sum("n").alias("n")))
     of_counts = {r[0]: r[1] for r in bigrams.filter("n <= 4").groupBy("n").count().collect()}
     types = bigrams.count()
     if not types:
@@ -152,16 +158,29 @@ def train(trusted: DataFrame, text_col: str = "text") -> KneserNey | None:
     parts = (unigram.select(none.alias("v"), "w", (F.log("p1") - math.log(floor)).alias("value"), F.col("nw").alias("n"), F.lit(0).alias("kind"))
              .unionByName(contexts.select("v", none.alias("w"), F.log("gamma").alias("value"), F.col("c").alias("n"), F.lit(1).alias("kind")))
              .unionByName(delta.withColumn("kind", F.lit(2))))
-    table = stored(parts.mapInArrow(keys, "g long, value double, n long"))
+    entries = parts.mapInArrow(keys, "g long, value double, n long")
+    table = entries.sparkSession.read.schema(entries.schema).parquet(scratch.keep(write_table(entries)))
     return KneserNey(table, table.count(), math.log(floor))
 
 
-def _hot(model: KneserNey) -> tuple[np.ndarray, np.ndarray]:
-    """Keys, ascending, and values of the ``HOT`` most frequent entries."""
-    hot = model.table.orderBy(F.desc("n"), "g").limit(HOT).select("g", "value").toArrow()
-    g = hot.column("g").to_numpy().view(np.uint64)
+def _parted(model: KneserNey) -> tuple[DataFrame, DataFrame, int]:
+    """The entries that are seen often, ``HOT`` at most, the other ones, and the number of these."""
+    size = F.floor(F.log2("n") * 4).cast("int")
+    total, least = 0, None
+    for s, many in sorted(((r[0], r[1]) for r in model.table.groupBy(size.alias("s")).count().collect()), reverse=True):
+        if total + many > HOT:
+            break
+        total, least = total + many, s
+    often = F.lit(False) if least is None else size >= least
+    return model.table.filter(often), model.table.filter(~often), model.entries - total
+
+
+def _sorted_entries(entries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, ascending, and values."""
+    found = entries.select("g", "value").toArrow()
+    g = found.column("g").to_numpy().view(np.uint64)
     order = np.argsort(g)
-    return g[order], hot.column("value").to_numpy()[order]
+    return g[order], found.column("value").to_numpy()[order]
 
 
 def _pack_sorted(values: np.ndarray) -> bytes:
@@ -262,9 +281,11 @@ def _totals(parts: pa.Table) -> pa.Table:
 def perplexity(docs: DataFrame, model: KneserNey) -> DataFrame:
     """(row, doc_id, lang, n_words, perplexity) of ``docs`` (doc_id, lang, text);
     ``row`` tells rows apart that share an id."""
-    share = docs.sparkSession.sparkContext.broadcast((bloom.build(model.table, "g", model.entries), *_hot(model)))
+    hot, cold, rare = _parted(model)
+    known = bloom.build(cold.coalesce(max(2, -(-rare // KEYS_PER_TASK))), "g", rare)
+    share = docs.sparkSession.sparkContext.broadcast((known, *_sorted_entries(hot)))
     floor = model.unknown_word
-    bits = max(0, math.ceil(math.log2(max(1, model.entries / SHARD_ENTRIES))) + 2)
+    bits = max(0, math.ceil(math.log2(max(1, rare / SHARD_ENTRIES))) + 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, hot_g, hot_value = share.value
@@ -297,7 +318,7 @@ def perplexity(docs: DataFrame, model: KneserNey) -> DataFrame:
     groups = max(1, -(-rows.count() // (CHUNKS * 4096)))
     asked = rows.mapInArrow(run, _ASKED_TYPE).withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(groups)).cast("int"))
     of_key = F.shiftrightunsigned("g", 64 - bits).cast("int") if bits else F.lit(0)
-    shards = model.table.select(of_key.alias("of"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("for"), "g", "value")
+    shards = cold.select(of_key.alias("of"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("for"), "g", "value")
     answers = asked.groupBy("shard", "part").cogroup(shards.groupBy("of", "for")).applyInArrow(_answered, _SUMS_TYPE)
     sums = answers.groupBy("chunk").applyInArrow(_totals, "row long, doc_id long, lang string, n_words long, log_p double")
     return sums.select("row", "doc_id", "lang", "n_words", _perplexity(F.col("log_p"), F.col("n_words")))
@@ -328,28 +349,31 @@ def _shares(trusted: DataFrame, most: int) -> DataFrame:
 
 
 def judge(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          lang_col: str = "lang", max_trusted: int = 10_000, quantile: float = 0.99, short: float = 4.0,
+          lang_col: str = "lang", max_trusted: int | None = 10_000, quantile: float = 0.99, short: float = 4.0,
           shrink: float = 50.0) -> DataFrame:
     """(doc_id, lang, n_words, perplexity, threshold, kept) of every row.
 
-    ``trusted_ids`` has a column ``id``.  Two thirds of the sampled trusted documents
-    train the model; all other trusted documents set the thresholds.
+    ``trusted_ids`` has a column ``id``.  Two thirds of the trusted documents (with
+    ``max_trusted``, of those sampled) train the model; all other trusted documents set
+    the thresholds.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
                        F.col(lang_col).cast("string").alias("lang"))
     ids = broadcast_if_small(trusted_ids.select(F.col("id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct())
     dice = F.pmod(F.xxhash64("doc_id"), F.lit(3_000_000)) / 3_000_000.0
-    trains = (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(3)) < 2) & (dice < F.col("share"))
-    trusted = rows.select("doc_id", "lang").join(ids, "doc_id", "left_semi")
-    shares = _shares(trusted, max_trusted)
-
-    def with_share(df: DataFrame) -> DataFrame:
-        return df.join(shares, df["lang"].eqNullSafe(shares["of"]))
-
-    picked = with_share(trusted).filter(trains).select(F.col("doc_id").alias("picked"), F.col("lang").alias("of")).distinct()
-    picked = F.broadcast(picked)                  # max_trusted documents at most, about
-    model = train(rows.join(picked, (F.col("doc_id") == F.col("picked")) & F.col("lang").eqNullSafe(F.col("of")), "left_semi")
-                  .filter("text IS NOT NULL"))
+    in_fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(3)) < 2
+    if max_trusted is None:
+        trains, with_share = in_fold, lambda df: df
+        chosen = rows.filter(in_fold).join(ids, "doc_id", "left_semi")
+    else:
+        trains = in_fold & (dice < F.col("share"))
+        trusted = rows.select("doc_id", "lang").join(ids, "doc_id", "left_semi")
+        shares = _shares(trusted, max_trusted)
+        with_share = lambda df: df.join(shares, df["lang"].eqNullSafe(shares["of"]))
+        picked = with_share(trusted).filter(trains).select(F.col("doc_id").alias("picked"), F.col("lang").alias("of")).distinct()
+        picked = F.broadcast(picked)              # max_trusted documents at most, about
+        chosen = rows.join(picked, (F.col("doc_id") == F.col("picked")) & F.col("lang").eqNullSafe(F.col("of")), "left_semi")
+    model = train(chosen.filter("text IS NOT NULL"))
     if model is None:
         return rows.select("doc_id", "lang", F.lit(0).cast("long").alias("n_words"),
                            F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"),

@@ -54,7 +54,7 @@ def op4(spark, sf_dir):
     trusted = (table(spark, sf_dir, "labels").groupBy("doc_id")
                .agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
                .filter("quality = 1 AND toxic = 0").select(F.col("doc_id").alias("id")))
-    return quality.judge(table(spark, sf_dir, "documents"), trusted)
+    return quality.judge(table(spark, sf_dir, "documents"), trusted, max_trusted=None)
 
 
 @register("op5_language_id")
