@@ -321,6 +321,19 @@ def test_quality_thresholds_of_a_rare_language(spark):
     assert quality._quota([(3, 2), (100, 1)], 30) == 24 and quality._quota([(3, 2)], 30) == math.inf
 
 
+def test_pieces_hand_free_memory_back():
+    import pyarrow as pa
+    from uaspark.llm import texts
+    held = lambda: int(open("/proc/self/statm").read().split()[1]) * 4 // 1024  # noqa: E731, SIM115
+    batch = pa.RecordBatch.from_pydict({"text": ["word " * 20] * 1000})
+    begun = held()
+    for piece in texts.pieces(iter([batch] * 3), "text", 20_000):
+        freed = [bytes(1000) for _ in range(100_000)]           # some 100 MB in small parts, with one of them kept above
+        kept = bytes(1000)
+        del freed
+    assert len(piece) and len(kept) == 1000 and held() - begun < 40
+
+
 def test_quality_query_learns_from_all_trusted_rows(spark, monkeypatch, tmp_dir):
     from uaspark.llm import queries
     docs = spark.range(16_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("alpha beta"), F.col("id") % 50).alias("text"),

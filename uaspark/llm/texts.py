@@ -7,6 +7,7 @@ so every task and every run names a word alike.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,8 +92,18 @@ def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nda
     return out, np.searchsorted(s, offsets)
 
 
+def give_back() -> None:
+    """Hands memory that is free back to the system: a Python worker outlives its task, and
+    what it holds on to adds to what the executor needs in all stages that follow."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # glibc only
+    if trim:
+        trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that the texts of each hold about ``limit`` bytes (one row at least)."""
+    give_back()                     # what the task before has left
     for batch in batches:
         size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
         i = 0
@@ -101,6 +112,8 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20)
             j = max(i + 1, int(np.searchsorted(size, base + limit, side="right")))
             yield batch.slice(i, j - i)
             i = j
+    batch = None
+    give_back()
 
 
 def chain(hashes: np.ndarray, n: int) -> np.ndarray:
