@@ -159,7 +159,7 @@ def _fitted(found: DataFrame, scratch: Scratch) -> KneserNey | None:
              .unionByName(contexts.select("v", none.alias("w"), F.log("gamma").alias("value"), F.col("c").alias("n"), F.lit(1).alias("kind")))
              .unionByName(delta.withColumn("kind", F.lit(2))))
     entries = parts.mapInArrow(keys, "g long, value double, n long")
-    table = entries.sparkSession.read.schema(entries.schema).parquet(scratch.keep(write_table(entries)))
+    table = entries.sparkSession.read.schema(entries.schema).parquet(scratch.hand_on(write_table(entries)))
     return KneserNey(table, table.count(), math.log(floor))
 
 

@@ -36,11 +36,14 @@ class Scratch:
             drop(self.spark, path)
 
     def keep(self, path: str) -> str:
-        """Leaves a table to the block around this one, if there is one."""
         self.paths.remove(path)
+        return path
+
+    def hand_on(self, path: str) -> str:
+        """Leaves a table to the block around this one, if there is one."""
         for outer in _OPEN.get()[:-1][-1:]:
             outer.paths.append(path)
-        return path
+        return self.keep(path)
 
 
 def drop(spark: SparkSession, path: str) -> None:
