@@ -14,6 +14,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -741,6 +742,22 @@ def test_backoff_scores_match_brute_force(spark, order, exclude):
     assert lm_score.score_documents(empty(spark)).count() == 0
 
 
+def test_a_chunk_is_scored_in_pieces_of_bounded_size(monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(WORDS, k=rng.randrange(60))) for _ in range(4_000)] + [None, "", "a " * 500]
+    table = pa.table({"chunk": [0] * len(texts), "doc_id": range(len(texts)), "text": texts})
+    none = pa.table({"of": pa.array([], pa.int32()), "g": pa.array([], pa.binary()), "n": pa.array([], pa.binary())})
+    whole, sizes, ngrams = {}, [], lm_score._own_counts
+    monkeypatch.setattr(lm_score, "_own_counts", lambda g, doc: sizes.append(len(g)) or ngrams(g, doc))
+    for at_once in (1 << 18, 300):
+        monkeypatch.setattr(lm_score, "WORDS_AT_ONCE", at_once)
+        sizes.clear()
+        whole[at_once] = lm_score._score(table, none, 2, 0.4, 100_000, True)
+        assert sum(sizes) == 2 * sum(len((t or "").split()) for t in texts)
+    assert max(sizes) <= 500                                    # the one long document; the others 300 at most
+    assert whole[300].equals(whole[1 << 18])
+
+
 # 10 nearest neighbours ----------------------------------------------------
 
 @pytest.mark.parametrize("dims,block", [(8, 16), (1500, 1000)])

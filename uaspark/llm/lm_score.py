@@ -31,7 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texts import chain, word_hashes
+from .texts import chain, give_back, word_hashes
+
+#: Words scored at a time, about; a longer document by itself.
+WORDS_AT_ONCE = 1 << 18
 
 
 def _ngrams(hashes: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,15 +65,20 @@ def _shard_bits(shards: int) -> int:
     return max(0, shards - 1).bit_length()
 
 
+def _counted(hashes: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of all orders, ascending, and their counts."""
+    g = np.concatenate([_ngrams(hashes, offsets, k)[0] for k in range(1, order + 1)])
+    g.sort()
+    g = g[np.searchsorted(g, 1):]                 # 0 is no n-gram
+    first = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.empty(0, int)
+    return g[first], np.diff(np.append(first, len(g)))
+
+
 def _count(table: pa.Table, order: int, shards: int) -> pa.Table:
     """(chunk, shard, g, n): the packed n-grams and counts of one chunk by shard
     (the top bits of the hash)."""
-    hashes, offsets = word_hashes(table.column("text"))
-    found = []
-    for k in range(1, order + 1):
-        g, _ = _ngrams(hashes, offsets, k)
-        found.append(g[g != 0])
-    g, n = np.unique(np.concatenate(found), return_counts=True)
+    give_back()                                   # what the group before has left
+    g, n = _counted(*word_hashes(table.column("text")), order)
     bits = _shard_bits(shards)
     edges = np.searchsorted(g, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
     chunk = table.column("chunk")[0].as_py()
@@ -82,6 +90,7 @@ def _count(table: pa.Table, order: int, shards: int) -> pa.Table:
 
 def _others(table: pa.Table) -> pa.Table:
     """(of, g, n): for each chunk of one shard, what the other chunks add."""
+    give_back()
     gs, ns = ([_unpack(x) for x in table.column(c).to_pylist()] for c in ("g", "n"))
     kinds, inverse = np.unique(np.concatenate(gs), return_inverse=True)
     total = np.bincount(inverse, weights=np.concatenate(ns).astype(np.float64)).astype(np.uint64)[inverse]
@@ -108,22 +117,36 @@ def _own_counts(g: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def _score(table: pa.Table, others: pa.Table, order: int, alpha: float, total: int, exclude_own: bool) -> pa.Table:
+    give_back()
     hashes, offsets = word_hashes(table.column("text"))
-    docs = len(offsets) - 1
+    grams, total_of = _counted(hashes, offsets, order)
+    # what the other chunks add, one shard at a time: each n-gram of theirs is one of this chunk
+    for g, n in zip(others.column("g").to_pylist(), others.column("n").to_pylist()):
+        total_of[np.searchsorted(grams, _unpack(g))] += _unpack(n).astype(np.int64)
     size = np.diff(offsets)
+    sums, first = np.zeros(len(size)), 0
+    while first < len(size):
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + WORDS_AT_ONCE, side="right")) - 1)
+        sums[first:last] = _sums(hashes[offsets[first]:offsets[last]], offsets[first:last + 1] - offsets[first],
+                                 grams, total_of, order, alpha, total, exclude_own)
+        first = last
+    mean = [s / n if n else None for s, n in zip(sums.tolist(), size.tolist())]
+    return pa.table({"doc_id": table.column("doc_id"), "n_tokens": pa.array(size, pa.int64()),
+                     "log_score": pa.array(sums, pa.float64()), "mean_log_score": pa.array(mean, pa.float64())})
+
+
+def _sums(hashes: np.ndarray, offsets: np.ndarray, grams: np.ndarray, total_of: np.ndarray, order: int, alpha: float,
+          total: int, exclude_own: bool) -> np.ndarray:
+    """Log scores of some documents of a chunk."""
+    size = np.diff(offsets)
+    docs = len(size)
+    if not len(hashes):
+        return np.zeros(docs)
     log_alpha = math.log(alpha)
-    none = [np.empty(0, np.uint64)]
-    keys, extra = (np.concatenate([_unpack(x) for x in others.column(c).to_pylist()] or none) for c in ("g", "n"))
-    sort = np.argsort(keys)
-    keys, extra = keys[sort], extra[sort].astype(np.int64)
 
     def counts(g: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """Corpus count of the n-gram of each position, 0 where there is none."""
-        kinds, inverse, here = np.unique(g, return_inverse=True, return_counts=True)
-        if len(keys):
-            at = np.minimum(np.searchsorted(keys, kinds), len(keys) - 1)
-            here = here + np.where(keys[at] == kinds, extra[at], 0)
-        out = here[inverse]
+        out = total_of[np.minimum(np.searchsorted(grams, g), len(grams) - 1)]
         if exclude_own:
             out = out - _own_counts(g, doc)
         return np.where(g == 0, 0, out)
@@ -142,10 +165,7 @@ def _score(table: pa.Table, others: pa.Table, order: int, alpha: float, total: i
         # counted where another word follows it or not, as in the count table
         context = np.append(0, own[:-1])
     score = np.where(np.isnan(score), order * log_alpha - np.log(np.maximum(below, 1)), score)
-    sums = np.bincount(doc, weights=score, minlength=docs) if len(score) else np.zeros(docs)
-    mean = [s / n if n else None for s, n in zip(sums.tolist(), size.tolist())]
-    return pa.table({"doc_id": table.column("doc_id"), "n_tokens": pa.array(size, pa.int64()),
-                     "log_score": pa.array(sums, pa.float64()), "mean_log_score": pa.array(mean, pa.float64())})
+    return np.bincount(doc, weights=score, minlength=docs)
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2,
