@@ -362,6 +362,30 @@ def test_scores_come_through_the_sharded_join(spark):
     assert inspect.signature(quality.judge).parameters["max_trusted"].default == 10_000
 
 
+def test_the_model_travels_packed_and_once_for_short_texts(spark):
+    rng = np.random.default_rng(3)
+    g, value = rng.integers(-1 << 63, 1 << 63, 40_000), rng.normal(size=40_000)
+    cold = spark.createDataFrame(pa.table({"g": g, "value": value})).coalesce(1)
+    rows = quality._packed_shards(cold, 3).collect()
+    found = {}
+    for r in rows:
+        keys = quality._unpack_sorted(r.g)
+        assert (keys >> np.uint64(61) == r.of).all()
+        found.update(zip(keys.view(np.int64).tolist(), quality._unpack(r.value, np.float64).tolist()))
+    assert found == dict(zip(g.tolist(), value.tolist()))
+    assert sum(len(r.g) + len(r.value) for r in rows) < 15 * len(g)       # single rows of the shuffle took 21 bytes
+    model = quality.train(frame(spark, [r for r in corpus() if r[1]]).select("text"))
+    docs = spark.range(600_000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit("a b").alias("text"))
+    assert "sequence(0, 0," in quality.perplexity(docs, model)._jdf.queryExecution().analyzed().toString()
+
+
+def test_pairs_of_several_batches_travel_once():
+    part = tuple(np.array(x, np.uint64) for x in ([7, 9], [1, 2], [3, 4])) + (np.array([5, 6]),)
+    assert quality._combined([part, part]).to_pydict() == {"v": [1, 2], "w": [3, 4], "n": [10, 12]}
+    nothing = tuple(x[:0] for x in part)
+    assert quality._combined([nothing]).num_rows == 0
+
+
 def test_sorted_values_travel_as_differences():
     values = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2))
     for x in (values, values[:1], values[:0]):

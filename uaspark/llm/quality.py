@@ -12,11 +12,15 @@ where delta is a property of the bigram type (zero when unseen).  Each of the
 three terms is one table keyed by a hash, and a document's log-probability is
 the sum over its n-grams joined to these tables.
 
+The pairs are dealt by their words, counted with the contexts of each word and stored;
+dealt once more by their contexts, each row has what its three terms need, so no
+table is joined.
+
 Documents are scored by sharded count joins.  A task packs the lookups of some
 ``CHUNK_WORDS`` words of documents into a chunk: per shard (the leading bits of the
 hash) the distinct entries, sorted and as differences, and the documents that ask for
-them.  Each shard of the model is joined with the asks of up to ``CHUNKS`` chunks at a
-time and returns a sum per document; the sums of a chunk meet in one group.  So the
+them.  A shard of the model, packed alike, is joined with some ``SHARD_ASKS`` lookups at
+a time and returns a sum per document; the sums of a chunk meet in one group.  So the
 exchange carries an entry once per chunk, not once per document, and no text.  Before
 that the most frequent entries, ``HOT`` at most, are scored where the document
 is, so the shards never hold a frequent n-gram, and a Bloom filter of bounded size drops
@@ -51,24 +55,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small
 from . import bloom
 from .store import Scratch, stored, write_table
-from .texts import chain, mix, pieces, word_hashes
+from .texts import chain, give_back, mix, pieces, word_hashes
 
 #: Frequent table entries scored where the documents are, at most (16 bytes each; 32 MB).
 HOT = 1 << 21
 #: Keys of the Bloom filter that a task takes, about: each task sends a filter of its own.
 KEYS_PER_TASK = 8_000_000
-#: Words whose lookups are packed together, and such chunks that meet a shard at a time.
-CHUNK_WORDS, CHUNKS = 1 << 21, 128
-#: Entries of a shard of the model, about.
-SHARD_ENTRIES = 1 << 19
-#: Up to so many words the unigram and context tables are broadcast (16 bytes each).
-FEW_WORDS = 1_000_000
+#: Words whose lookups are packed together, about.
+CHUNK_WORDS = 3 << 20
+#: Entries of a shard of the model, and lookups that meet a shard at a time, about.
+SHARD_ENTRIES, SHARD_ASKS = 1 << 19, 1 << 21
+#: Characters of text for each lookup that the shards are asked for, about.
+CHARS_PER_ASK = 16
+#: Pairs that a task counts together before they travel, and model entries packed together, about.
+COMBINED = 1 << 20
 _START = np.uint64(0x5151515151515151)
 _KINDS = (np.uint64(0xA5A5A5A5A5A5A5A5), np.uint64(0x3C3C3C3C3C3C3C3C), np.uint64(0))
 
@@ -111,14 +117,29 @@ class KneserNey:
     unknown_word: float
 
 
+def _combined(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """(v, w, n) of each pair once."""
+    bigram, v, w, n = (np.concatenate(x) for x in zip(*held))
+    held.clear()
+    order = np.argsort(bigram)
+    new = np.flatnonzero(np.append(True, np.diff(bigram[order]) != 0)) if len(order) else order
+    n = np.add.reduceat(n[order], new) if len(order) else n
+    first = order[new]
+    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (v[first], w[first], n)], ["v", "w", "n"])
+
+
 def train(trusted: DataFrame, text_col: str = "text") -> KneserNey | None:
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []               # (bigram, v, w, n) of some texts each
         for batch in pieces(batches, "text"):
             _, word, before, bigram = _positions(batch.column("text"))
             kinds, first, n = np.unique(bigram, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x.view(np.int64)) for x in (before[first], word[first])] + [pa.array(n, pa.int64())],
-                ["v", "w", "n"])
+            held.append((kinds, before[first], word[first], n))
+            if sum(len(h[0]) for h in held) >= COMBINED:
+                yield _combined(held)
+                held = []
+        if held:
+            yield _combined(held)
 
     with Scratch(trusted.sparkSession) as scratch:        # the counts go once the model is written
         return _fitted(trusted.select(F.col(text_col).alias("text")).mapInArrow(pairs, "v long, w long, n long"), scratch)
@@ -126,38 +147,52 @@ def train(trusted: DataFrame, text_col: str = "text") -> KneserNey | None:
 
 def _fitted(found: DataFrame, scratch: Scratch) -> KneserNey | None:
     """The model of the pairs ``found`` (v, w, n); its table outlives ``scratch``."""
-    bigrams = stored(found.groupBy("v", "w").agg(F.sum("n").alias("n")))
+    # dealt by the word, so that its contexts are counted where its pairs are; one row of
+    # a word holds how often it was seen
+    of_word = Window.partitionBy("w")
+    bigrams = stored(
+        found.repartition("w").groupBy("v", "w").agg(F.sum("n").alias("n"))
+        .select("v", "w", "n", F.count(F.lit(1)).over(of_word).alias("k"), F.sum("n").over(of_word).alias("nw"),
+                F.row_number().over(of_word.orderBy("v")).alias("i"))
+        .select("v", "w", "n", "k", F.when(F.col("i") == 1, F.col("nw")).alias("nw")))
     of_counts = {r[0]: r[1] for r in bigrams.filter("n <= 4").groupBy("n").count().collect()}
     types = bigrams.count()
     if not types:
         return None
     d = _discounts(of_counts)
     # unigram level: in how many contexts a word was seen, discounted alike
-    follows = stored(bigrams.groupBy("w").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("nw")))
+    follows = bigrams.filter("nw IS NOT NULL")
     k_counts = {r[0]: r[1] for r in follows.filter("k <= 4").groupBy("k").count().collect()}
     e = _discounts(k_counts)
     words, freed = follows.agg(F.count(F.lit(1)), F.sum(_discount(F.col("k"), e))).first()
     floor = freed / types / (words + 1)           # one share of the freed mass for all unknown words
-    unigram = follows.select("w", "nw", ((F.col("k") - _discount(F.col("k"), e)) / types + floor).alias("p1"))
-    contexts = stored(bigrams.groupBy("v").agg(F.sum("n").alias("c"), (F.sum(_discount(F.col("n"), d)) / F.sum("n")).alias("gamma")))
-    joinable = F.broadcast if max(words, contexts.count()) <= FEW_WORDS else (lambda df: df)
-    delta = (bigrams.join(joinable(unigram.select("w", "p1")), "w").join(joinable(contexts), "v")
-             .select("v", "w", F.log1p((F.col("n") - _discount(F.col("n"), d)) / F.col("c") / (F.col("gamma") * F.col("p1"))).alias("value"), "n"))
+    p1 = (F.col("k") - _discount(F.col("k"), e)) / types + floor
+    # dealt by the context; one row of a context holds what it adds by itself
+    of_context = Window.partitionBy("v")
+    dealt = (bigrams.select("v", "w", "n", "k").repartition("v")
+             .select("v", "w", "n", "k", F.sum("n").over(of_context).alias("c"),
+                     (F.sum(_discount(F.col("n"), d)).over(of_context) / F.sum("n").over(of_context)).alias("gamma"),
+                     F.row_number().over(of_context.orderBy("w")).alias("i")))
+    delta = F.log1p((F.col("n") - _discount(F.col("n"), d)) / F.col("c") / (F.col("gamma") * p1))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def entry(kind: int, values: np.ndarray, value: pa.Array, n: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(_entry(values, kind).view(np.int64)), value, n], ["g", "value", "n"])
+
         for batch in batches:
-            kind = batch.column("kind").to_numpy()
-            v, w = (batch.column(c).to_numpy().view(np.uint64) for c in ("v", "w"))
-            bigram = chain(np.stack([v, w], 1).reshape(-1), 2)[::2] if len(v) else v
-            g = np.where(kind == 0, _entry(w, 0), np.where(kind == 1, _entry(v, 1), bigram))
-            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), batch.column("value"), batch.column("n")],
-                                             ["g", "value", "n"])
+            for kind, column in ((0, "word"), (1, "context")):    # null where the row isn't the one of its word or context
+                rows = batch.filter(batch.column(column).is_valid())
+                yield entry(kind, rows.column("wv"[kind]).to_numpy().view(np.uint64), rows.column(column), rows.column("seen"))
+            rows = batch.filter(batch.column("delta").is_valid())
+            v, w = (rows.column(c).to_numpy().view(np.uint64) for c in ("v", "w"))
+            yield entry(2, chain(np.stack([v, w], 1).reshape(-1), 2)[::2] if len(v) else v, rows.column("delta"), rows.column("n"))
 
     # words and contexts relative to what an unknown one gets, so that a missing entry adds zero
-    none = F.lit(0).cast("long")
-    parts = (unigram.select(none.alias("v"), "w", (F.log("p1") - math.log(floor)).alias("value"), F.col("nw").alias("n"), F.lit(0).alias("kind"))
-             .unionByName(contexts.select("v", none.alias("w"), F.log("gamma").alias("value"), F.col("c").alias("n"), F.lit(1).alias("kind")))
-             .unionByName(delta.withColumn("kind", F.lit(2))))
+    null = F.lit(None).cast("double")
+    parts = (follows.select("v", "w", "n", F.col("nw").alias("seen"), (F.log(p1) - math.log(floor)).alias("word"),
+                            null.alias("context"), null.alias("delta"))
+             .unionByName(dealt.select("v", "w", "n", F.col("c").alias("seen"), null.alias("word"),
+                                       F.when(F.col("i") == 1, F.log("gamma")).alias("context"), delta.alias("delta"))))
     entries = parts.mapInArrow(keys, "g long, value double, n long")
     table = entries.sparkSession.read.schema(entries.schema).parquet(scratch.hand_on(write_table(entries)))
     return KneserNey(table, table.count(), math.log(floor))
@@ -183,15 +218,57 @@ def _sorted_entries(entries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return g[order], found.column("value").to_numpy()[order]
 
 
+def _pack(values: np.ndarray) -> bytes:
+    """Numbers as byte planes, so that like bytes are neighbours, compressed."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T)
+    return len(values).to_bytes(8, "little") + (pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(values) else b"")
+
+
+def _unpack(data: bytes, kind: type) -> np.ndarray:
+    n, size = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    if not n:
+        return np.empty(0, kind)
+    planes = np.frombuffer(pa.decompress(data[8:], n * size, codec="zstd"), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+
+
 def _pack_sorted(values: np.ndarray) -> bytes:
-    """Ascending 64-bit values as byte planes of their differences."""
-    steps = np.diff(values, prepend=np.uint64(0))
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Ascending unsigned values as their differences."""
+    return _pack(np.diff(values, prepend=values.dtype.type(0)))
 
 
-def _unpack_sorted(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1), dtype=np.uint64)
+def _unpack_sorted(data: bytes, kind: type = np.uint64) -> np.ndarray:
+    return np.cumsum(_unpack(data, kind), dtype=kind)
+
+
+def _edges(g: np.ndarray, bits: int) -> np.ndarray:
+    """Where the shards begin in ascending ``g``, but for the first."""
+    return np.searchsorted(g, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.empty(0, int)
+
+
+def _packed_shards(cold: DataFrame, bits: int) -> DataFrame:
+    """(of, g, value): the entries packed, one row per shard and some ``COMBINED`` entries of a task."""
+    def rows(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        g, value = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        order = np.argsort(g)
+        g, value = g[order], value[order]
+        edges = _edges(g, bits)
+        out = [(i, _pack_sorted(a), _pack(b)) for i, (a, b) in enumerate(zip(np.split(g, edges), np.split(value, edges))) if len(a)]
+        return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()),
+                                           *(pa.array([o[i] for o in out], pa.binary()) for i in (1, 2))], ["of", "g", "value"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            held.append((batch.column("g").to_numpy().view(np.uint64), batch.column("value").to_numpy()))
+            if sum(len(h[0]) for h in held) >= COMBINED:
+                yield rows(held)
+        if held:
+            yield rows(held)
+
+    return cold.select("g", "value").mapInArrow(run, "of int, g binary, value binary")
 
 
 class _Chunk:
@@ -217,12 +294,12 @@ class _Chunk:
         new = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (doc[1:] != doc[:-1]))) if len(g) else np.empty(0, int)
         times = np.diff(np.append(new, len(g)))
         doc, g = doc[new].astype(np.uint32), g[new]
-        edges = np.searchsorted(g, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
+        edges = _edges(g, bits)
         out = []
         for shard, (gs, ds, ts) in enumerate(zip(np.split(g, edges), np.split(doc, edges), np.split(times, edges))):
             if len(gs):
                 kinds, askers = np.unique(gs, return_counts=True)
-                out.append((shard, _pack_sorted(kinds), askers.astype(np.uint32).tobytes(), ds.tobytes(), ts.astype(np.uint32).tobytes()))
+                out.append((shard, _pack_sorted(kinds), *(_pack(x.astype(np.uint32)) for x in (askers, ds, ts))))
         if out:
             lists = [pa.nulls(len(out), pa.list_(t)) for t in (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64())]
             yield pa.RecordBatch.from_arrays(
@@ -240,7 +317,9 @@ def _answered(asked: pa.Table, shard: pa.Table) -> pa.Table:
     its documents.  Rows with documents pass through."""
     if not len(asked):
         return asked.select(["chunk", *_ASKED[2:7], "docs", "times"]).rename_columns(_SUMS)
-    keys, values = shard.column("g").to_numpy().view(np.uint64), shard.column("value").to_numpy()
+    give_back()
+    keys = np.concatenate([_unpack_sorted(x) for x in shard.column("g").to_pylist()] or [np.empty(0, np.uint64)])
+    values = np.concatenate([_unpack(x, np.float64) for x in shard.column("value").to_pylist()] or [np.empty(0)])
     order = np.argsort(keys)
     keys, values = keys[order], values[order]
     docs, sums = [], []
@@ -252,10 +331,10 @@ def _answered(asked: pa.Table, shard: pa.Table) -> pa.Table:
         g = _unpack_sorted(entries)
         at = np.minimum(np.searchsorted(keys, g), max(0, len(keys) - 1))
         value = np.where(keys[at] == g, values[at], 0.0) if len(keys) else np.zeros(len(g))
-        own = np.repeat(value, np.frombuffer(askers, np.uint32)) * np.frombuffer(times, np.uint32)
-        kinds, inverse = np.unique(np.frombuffer(doc, np.uint32), return_inverse=True)
-        docs.append(kinds.tobytes())
-        sums.append(np.bincount(inverse, weights=own, minlength=len(kinds)).tobytes())
+        own = np.repeat(value, _unpack(askers, np.uint32)) * _unpack(times, np.uint32)
+        kinds, inverse = np.unique(_unpack(doc, np.uint32), return_inverse=True)
+        docs.append(_pack_sorted(kinds))
+        sums.append(_pack(np.bincount(inverse, weights=own, minlength=len(kinds))))
     return pa.Table.from_arrays([asked.column("chunk"), *(asked.column(c) for c in _ASKED[2:7]),
                                  pa.array(docs, pa.binary()), pa.array(sums, pa.binary())], _SUMS)
 
@@ -274,7 +353,7 @@ def _totals(parts: pa.Table) -> pa.Table:
     # shards in a fixed order, so that sums don't depend on how parts arrive
     answers = sorted((d, s) for d, s in zip(parts.column("docs").to_pylist(), parts.column("sums").to_pylist()) if d is not None)
     for docs, sums in answers:
-        total[np.frombuffer(docs, np.uint32)] += np.frombuffer(sums, np.float64)      # a document at most once
+        total[_unpack_sorted(docs, np.uint32)] += _unpack(sums, np.float64)           # a document at most once
     return pa.Table.from_arrays([*flat[:4], pa.array(total, pa.float64())], ["row", "doc_id", "lang", "n_words", "log_p"])
 
 
@@ -285,7 +364,7 @@ def perplexity(docs: DataFrame, model: KneserNey) -> DataFrame:
     known = bloom.build(cold.coalesce(max(2, -(-rare // KEYS_PER_TASK))), "g", rare)
     share = docs.sparkSession.sparkContext.broadcast((known, *_sorted_entries(hot)))
     floor = model.unknown_word
-    bits = max(0, math.ceil(math.log2(max(1, rare / SHARD_ENTRIES))) + 2)
+    bits = max(0, math.ceil(math.log2(max(1, rare / SHARD_ENTRIES))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, hot_g, hot_value = share.value
@@ -315,10 +394,11 @@ def perplexity(docs: DataFrame, model: KneserNey) -> DataFrame:
             yield from chunk.rows(bits)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "lang", "text")
-    groups = max(1, -(-rows.count() // (CHUNKS * 4096)))
+    # the model travels once, and a shard again for each further ``SHARD_ASKS`` of its lookups
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    groups = max(1, -(-chars // (CHARS_PER_ASK * SHARD_ASKS << bits)))
     asked = rows.mapInArrow(run, _ASKED_TYPE).withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(groups)).cast("int"))
-    of_key = F.shiftrightunsigned("g", 64 - bits).cast("int") if bits else F.lit(0)
-    shards = cold.select(of_key.alias("of"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("for"), "g", "value")
+    shards = _packed_shards(cold, bits).select("of", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("for"), "g", "value")
     answers = asked.groupBy("shard", "part").cogroup(shards.groupBy("of", "for")).applyInArrow(_answered, _SUMS_TYPE)
     sums = answers.groupBy("chunk").applyInArrow(_totals, "row long, doc_id long, lang string, n_words long, log_p double")
     return sums.select("row", "doc_id", "lang", "n_words", _perplexity(F.col("log_p"), F.col("n_words")))
