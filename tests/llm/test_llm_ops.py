@@ -379,6 +379,44 @@ def test_the_model_travels_packed_and_once_for_short_texts(spark):
     assert "sequence(0, 0," in quality.perplexity(docs, model)._jdf.queryExecution().analyzed().toString()
 
 
+def test_large_tables_are_scored_in_rounds(spark, monkeypatch):
+    rows = corpus()
+    model = quality.train(frame(spark, [r for r in rows if r[0] % 2 and r[1]]).select("text"))
+    docs = frame(spark, [*((r[0], r[2], r[1]) for r in rows), *[(None, None, "alpha beta")] * 3], "doc_id long, lang string, text string")
+    columns = lambda df: sorted(((r.doc_id, r.lang, r.n_words, r.perplexity) for r in df.collect()), key=repr)
+    once = columns(quality.perplexity(docs, model))
+    monkeypatch.setattr(quality, "ROUND_CHARS", 100)
+    seen, of_round = [], quality._round
+    monkeypatch.setattr(quality, "_round", lambda part, chars, packed: seen.append(part.count()) or of_round(part, chars, packed))
+    out = quality.perplexity(docs, model)
+    assert len(seen) == quality.ROUNDS and max(seen) < sum(seen) == len(rows) + 3
+    assert out.select("row").distinct().count() == len(rows) + 3
+    assert [x[:3] for x in columns(out)] == [x[:3] for x in once]
+    assert [x[3] for x in columns(out)] == [x[3] if x[3] is None else pytest.approx(x[3]) for x in once]
+
+
+def test_judging_leaves_one_table_and_the_setting(spark, tmp_dir):
+    """The model, its shards and the rounds go; so do the shuffle files, while the judging lasts."""
+    from uaspark.llm.store import brief_shuffles
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    docs, trusted = frame(spark, corpus()), spark.range(40)
+    with Scratch(spark) as outer:
+        out = quality.judge(docs, trusted, max_trusted=None)
+        assert len(outer.paths) == 1 and out.count() == len(corpus())
+    with pytest.raises(ValueError), brief_shuffles(spark):
+        assert spark.conf.get(key) == "true"
+        raise ValueError
+    assert spark.conf.get(key) == before
+
+
+def test_bloom_filter_of_whole_tasks(spark):
+    from uaspark.llm import bloom
+    keys = spark.range(5000).select(F.when(F.col("id") > 0, F.xxhash64("id")).alias("k")).repartition(3)
+    assert (bloom.build(keys, "k", 5000) == bloom.build(keys, "k", 5000, whole=True)).all()
+    assert len(bloom.build(keys, "k", 5000, 8, whole=True)) * 2 == len(bloom.build(keys, "k", 5000))
+
+
 def test_pairs_of_several_batches_travel_once():
     part = tuple(np.array(x, np.uint64) for x in ([7, 9], [1, 2], [3, 4])) + (np.array([5, 6]),)
     assert quality._combined([part, part]).to_pydict() == {"v": [1, 2], "w": [3, 4], "n": [10, 12]}

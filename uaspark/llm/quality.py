@@ -24,7 +24,9 @@ a time and returns a sum per document; the sums of a chunk meet in one group.  S
 exchange carries an entry once per chunk, not once per document, and no text.  Before
 that the most frequent entries, ``HOT`` at most, are scored where the document
 is, so the shards never hold a frequent n-gram, and a Bloom filter of bounded size drops
-what no shard has.  With ``max_trusted`` None the model learns from all trusted documents
+what no shard has.  Large tables are scored in ``ROUNDS`` parts, one after the other, so
+that the lookups of one part lie on disk at a time; the model is packed once for all of
+them.  With ``max_trusted`` None the model learns from all trusted documents
 of its fold, as the query does.  A number bounds it by a sample (a hash of the id picks
 documents, language by language, so that a large language leaves a small one its rows).
 
@@ -52,15 +54,17 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small
 from . import bloom
-from .store import Scratch, stored, write_table
+from .store import Scratch, brief_shuffles, stored, write_table
 from .texts import chain, give_back, mix, pieces, word_hashes
 
 #: Frequent table entries scored where the documents are, at most (16 bytes each; 32 MB).
@@ -73,6 +77,10 @@ CHUNK_WORDS = 3 << 20
 SHARD_ENTRIES, SHARD_ASKS = 1 << 19, 1 << 21
 #: Characters of text for each lookup that the shards are asked for, about.
 CHARS_PER_ASK = 16
+#: Parts that documents of more than ``ROUND_CHARS`` characters are scored in.
+ROUNDS, ROUND_CHARS = 3, 1 << 25
+#: Bits of the Bloom filter for each key, before they are rounded up to a power of two.
+BITS_PER_KEY = 8
 #: Pairs that a task counts together before they travel, and model entries packed together, about.
 COMBINED = 1 << 20
 _START = np.uint64(0x5151515151515151)
@@ -357,17 +365,52 @@ def _totals(parts: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([*flat[:4], pa.array(total, pa.float64())], ["row", "doc_id", "lang", "n_words", "log_p"])
 
 
+@dataclass
+class _Packed:
+    """A model as the documents meet it: what each task has of it (the Bloom filter of the
+    shards, the keys and values of the frequent entries), and the shards, stored at ``path``."""
+    share: Broadcast
+    shards: DataFrame
+    path: str
+    bits: int
+    unknown_word: float
+
+
+def _packed(model: KneserNey) -> _Packed:
+    """Reads the model's table for the last time."""
+    hot, cold, rare = _parted(model)
+    bits = max(0, math.ceil(math.log2(max(1, rare / SHARD_ENTRIES))))
+    known = bloom.build(cold.coalesce(max(2, -(-rare // KEYS_PER_TASK))), "g", rare, BITS_PER_KEY, whole=True)
+    g, value = _sorted_entries(hot)
+    share = model.table.sparkSession.sparkContext.broadcast((known, _pack_sorted(g), _pack(value)))
+    shards = _packed_shards(cold, bits)
+    path = write_table(shards)
+    return _Packed(share, shards.sparkSession.read.schema(shards.schema).parquet(path), path, bits, model.unknown_word)
+
+
 def perplexity(docs: DataFrame, model: KneserNey) -> DataFrame:
     """(row, doc_id, lang, n_words, perplexity) of ``docs`` (doc_id, lang, text);
     ``row`` tells rows apart that share an id."""
-    hot, cold, rare = _parted(model)
-    known = bloom.build(cold.coalesce(max(2, -(-rare // KEYS_PER_TASK))), "g", rare)
-    share = docs.sparkSession.sparkContext.broadcast((known, *_sorted_entries(hot)))
-    floor = model.unknown_word
-    bits = max(0, math.ceil(math.log2(max(1, rare / SHARD_ENTRIES))))
+    return _scored(docs, _packed(model))
+
+
+def _scored(docs: DataFrame, model: _Packed) -> DataFrame:
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "lang", "text")
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS))       # by the contents, so that no round loses a row
+    chars = {r[0]: r[1] or 0 for r in rows.groupBy(part).agg(F.sum(F.length("text"))).collect()}
+    if sum(chars.values()) <= ROUND_CHARS:
+        return _round(rows, sum(chars.values()), model)
+    # each part is written before the next one begins
+    return reduce(DataFrame.unionByName, [
+        stored(_round(rows.filter(part == i).withColumn("row", F.col("row") * ROUNDS + i), chars[i], model)) for i in sorted(chars)])
+
+
+def _round(rows: DataFrame, chars: int, model: _Packed) -> DataFrame:
+    share, floor, bits = model.share, model.unknown_word, model.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, hot_g, hot_value = share.value
+        hot_g, hot_value = _unpack_sorted(hot_g), _unpack(hot_value, np.float64)
         chunk = _Chunk()
         for batch in pieces(batches, "text"):
             doc, word, before, bigram = _positions(batch.column("text"))
@@ -393,12 +436,10 @@ def perplexity(docs: DataFrame, model: KneserNey) -> DataFrame:
         if chunk.docs:
             yield from chunk.rows(bits)
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "lang", "text")
     # the model travels once, and a shard again for each further ``SHARD_ASKS`` of its lookups
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     groups = max(1, -(-chars // (CHARS_PER_ASK * SHARD_ASKS << bits)))
     asked = rows.mapInArrow(run, _ASKED_TYPE).withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(groups)).cast("int"))
-    shards = _packed_shards(cold, bits).select("of", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("for"), "g", "value")
+    shards = model.shards.select("of", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("for"), "g", "value")
     answers = asked.groupBy("shard", "part").cogroup(shards.groupBy("of", "for")).applyInArrow(_answered, _SUMS_TYPE)
     sums = answers.groupBy("chunk").applyInArrow(_totals, "row long, doc_id long, lang string, n_words long, log_p double")
     return sums.select("row", "doc_id", "lang", "n_words", _perplexity(F.col("log_p"), F.col("n_words")))
@@ -453,12 +494,18 @@ def judge(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_
         picked = with_share(trusted).filter(trains).select(F.col("doc_id").alias("picked"), F.col("lang").alias("of")).distinct()
         picked = F.broadcast(picked)              # max_trusted documents at most, about
         chosen = rows.join(picked, (F.col("doc_id") == F.col("picked")) & F.col("lang").eqNullSafe(F.col("of")), "left_semi")
-    model = train(chosen.filter("text IS NOT NULL"))
-    if model is None:
-        return rows.select("doc_id", "lang", F.lit(0).cast("long").alias("n_words"),
-                           F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"),
-                           F.lit(False).alias("kept"))
-    scored = stored(perplexity(rows, model))
+    spark = docs.sparkSession
+    with brief_shuffles(spark), Scratch(spark) as scratch:
+        with Scratch(spark) as training:              # the model's table goes once it is packed
+            model = train(chosen.filter("text IS NOT NULL"))
+            if model is None:
+                return rows.select("doc_id", "lang", F.lit(0).cast("long").alias("n_words"),
+                                   F.lit(None).cast("double").alias("perplexity"),
+                                   F.lit(None).cast("double").alias("threshold"), F.lit(False).alias("kept"))
+            packed = _packed(model)
+            training.hand_on(packed.path)
+        scored = _scored(rows, packed)
+        scored = spark.read.schema(scored.schema).parquet(scratch.hand_on(write_table(scored)))
     slack = F.exp(short / F.sqrt(F.greatest("n_words", F.lit(1))))
     held = with_share(scored.join(ids, "doc_id", "left_semi").filter("n_words > 0")).filter(~trains)
     cut = lambda df: df.agg(F.percentile_approx(F.log(F.col("perplexity") / slack), quantile, 10_000).alias("own"),

@@ -7,6 +7,8 @@ caller who has written an operator's result can drop them with ``Scratch``.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +48,19 @@ class Scratch:
         return self.keep(path)
 
 
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Inside the block, the shuffle files of a query go when it ends; else they stay until
+    the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Deletes a table, through the session's file systems."""
     sc = spark.sparkContext
