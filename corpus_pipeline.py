@@ -3,7 +3,8 @@
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before
 it kept.  ``run`` writes each stage as Parquet into the shared checkpoint folder
 and reads it again, so a lost executor costs one stage at most; a stage's tables are
-deleted once the next stage is written.
+deleted once the next stage is written.  Stages with Python steps bound the bytes of an
+Arrow batch for the session (``bound_batches``).
 
 Rows with nulls in any column, empty and very long texts and repeated rows pass through
 as each stage defines: without text or letter a row goes (language ID); of equal rows one
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from uaspark.llm import bpe, exact_dedup, langid, mixing, ngram_join
 from uaspark.llm.columns import only_given
 from uaspark.llm.store import Scratch, drop, write_table
+from uaspark.session import bound_batches
 
 #: Posterior below which a document's language counts as unknown.
 MIN_SCORE = 0.5
@@ -29,6 +31,7 @@ MIN_SCORE = 0.5
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognised language; those without a letter, without text
     or of no clear language go."""
+    bound_batches(spark)
     model = langid.train(docs.filter(langid.fold() != 2))
     found = langid.predict(docs, model)
     return only_given(found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)), docs)
@@ -41,6 +44,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by similar five-word shingles, the smallest doc_id."""
+    bound_batches(spark)
     return ngram_join.survivors(docs)
 
 
@@ -53,6 +57,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the whole texts, and digests of ids and decoded text."""
+    bound_batches(spark)
     import public_tokenizers  # describes where the vocabularies lie on this machine
 
     vocabulary = bpe.Vocabulary.from_file(spark, public_tokenizers.path("byte_bpe_50k.json"))

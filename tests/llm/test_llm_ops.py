@@ -171,6 +171,26 @@ def test_bpe_forgets_within_its_bound(vocabulary, monkeypatch):
         assert encoder.encode([text])[0].tolist() == vocabulary[1].encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_holds_little_beside_the_ids(vocabulary):
+    import tracemalloc
+    encoder = bpe.Encoder(vocabulary[0])
+    texts = ["one two three four five " * 100] * 2_000
+    encoder.encode(texts[:1])
+    tracemalloc.start()
+    ids, offsets = encoder.encode(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert offsets[-1] == len(ids) >= 1_000_000 and peak < 32 * len(ids)
+
+
+def test_bpe_merges_alike_in_slices(vocabulary, monkeypatch):
+    texts = [f"slices of {i * i} words {'ab' * (i % 7)}" for i in range(50)]
+    whole = bpe.Encoder(vocabulary[0]).encode(texts)
+    monkeypatch.setattr(bpe, "SLICE", 3)
+    for a, b in zip(whole, bpe.Encoder(vocabulary[0]).encode(texts)):
+        assert a.tolist() == b.tolist()
+
+
 def test_bpe_frames(spark, vocabulary):
     docs = frame(spark, [(1, None, "en", "s", 0), (2, "hello world", "en", "s", 0), (2, "hello world", "en", "s", 0)])
     coded = bpe.encode(docs, vocabulary[0])

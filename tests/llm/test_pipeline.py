@@ -3,7 +3,9 @@
 import json
 import hashlib
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from .test_llm_ops import brute_components, corpus, DOCS
@@ -73,3 +75,26 @@ def test_pipeline_over_gaps_repeats_and_clashing_columns(spark, tmp_path):
     assert kept == {rows[1][:2], rows[3][:2], rows[4][:2], (8, long + " end")} or kept == {rows[1][:2], rows[3][:2], rows[4][:2], (9, long)}
     final = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in final.collect()} == {i for i, _ in kept}
+
+
+@pytest.mark.parametrize("stage", ["language_id", "ngram_join", "bpe"])
+def test_stages_bound_the_bytes_of_a_batch(spark, stage):
+    """Ten thousand long texts are no single batch for a Python worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.createDataFrame([(1, "en", "web", "some words of a text")], "doc_id long, lang string, source string, text string")
+    long = spark.range(0, 12, numPartitions=1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    try:
+        spark.conf.unset(key)
+        dict(corpus_pipeline.STAGES)[stage](spark, docs, "")
+        found = [r.n for r in long.mapInArrow(sizes, "n long").collect()]
+        assert len(found) > 1 and max(found) < 6 << 20
+        spark.conf.set(key, "2m")                       # the caller's own bound stays
+        dict(corpus_pipeline.STAGES)[stage](spark, docs, "")
+        assert spark.conf.get(key) == "2m"
+    finally:
+        spark.conf.unset(key)

@@ -53,7 +53,9 @@ NEWER = (
     "\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f")
 
 #: Symbols of pre-tokens held in one task before its memory of them is dropped.
-MAX_SYMBOLS = 4_000_000
+MAX_SYMBOLS = 2_000_000
+#: Pairs looked up, and pre-tokens spelled, at a time.
+SLICE = 1 << 16
 
 
 def byte_letters() -> dict[str, int]:
@@ -114,12 +116,14 @@ class PairIndex:
         m = np.array(self.vocabulary.merges, np.int64).reshape(-1, 3)
         key = m[:, 0] << 32 | m[:, 1]
         order = np.argsort(key)
-        self.keys, self.ranks = key[order], order
+        self.keys, self.ranks = key[order], order.astype(np.int32)
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Merge rank of each pair, -1 for none; a right symbol of -1 is an end."""
         if not len(self.keys):
-            return np.full(len(left), -1)
+            return np.full(len(left), -1, np.int32)
+        if len(left) > SLICE:
+            return np.concatenate([self._rank(left[i:i + SLICE], right[i:i + SLICE]) for i in range(0, len(left), SLICE)])
         key = left << 32 | np.maximum(right, 0)
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((right >= 0) & (self.keys[at] == key), self.ranks[at], -1)
@@ -129,13 +133,13 @@ class PairIndex:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         offsets = np.concatenate([[0], np.cumsum(sizes)])
         n = int(offsets[-1])
-        symbol = np.append(self.vocabulary.byte_ids[np.frombuffer(b"".join(words), np.uint8)], -1)
-        word = np.repeat(np.arange(len(words)), sizes)
+        symbol = _closed(self.vocabulary.byte_ids[np.frombuffer(b"".join(words), np.uint8)], -1)
         at = np.arange(n)
-        after = np.where(np.append(word[1:] == word[:-1], False), at + 1, n) if n else at
-        before = np.where(np.append(False, word[1:] == word[:-1]), at - 1, n) if n else at
-        after, before = np.append(after, n), np.append(before, n)
-        rank = np.append(self._rank(symbol[:-1], symbol[after[:-1]]), -1)   # of the pair that starts here
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        ends = offsets[1:][sizes > 0]
+        after[ends - 1] = before[ends - sizes[sizes > 0]] = n      # no symbol there
+        after[n] = before[n] = n
+        rank = _closed(self._rank(symbol[:-1], symbol[after[:-1]]), -1)     # of the pair that starts here
 
         lists: dict[int, list[np.ndarray]] = {}
         heap: list[int] = []
@@ -155,6 +159,7 @@ class PairIndex:
                 lists[r].append(part)
 
         add(at)
+        del at
         while heap:
             r = heapq.heappop(heap)
             left, right, new = self.vocabulary.merges[r]
@@ -182,6 +187,11 @@ class PairIndex:
         return symbol[:n][keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
 
 
+def _closed(values: np.ndarray, end: int) -> np.ndarray:
+    """``values`` and ``end``, in their type."""
+    return np.append(values, values.dtype.type(end))
+
+
 def _alternate(p: np.ndarray, after: np.ndarray) -> np.ndarray:
     """Of pairs of one symbol with itself, those that merge: in a run of pairs
     that overlap, the first, third, fifth ..."""
@@ -210,7 +220,7 @@ class Encoder:
     def _forget(self) -> None:
         self.known: dict[str, int] = {s: i for i, s in enumerate(self.special)}
         # pre-tokens never equal a special token: those are cut out before the split
-        self.ids = np.fromiter(self.special.values(), np.int64, len(self.special))
+        self.ids = np.fromiter(self.special.values(), np.int32, len(self.special))
         self.offsets = np.arange(len(self.special) + 1)
 
     def _words(self, text: str) -> list[str]:
@@ -230,23 +240,27 @@ class Encoder:
         for text in texts:
             words = self._words(text)
             try:
-                rows.append(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))
+                rows.append(np.fromiter(map(self.known.__getitem__, words), np.int32, len(words)))
             except KeyError:
                 for w in words:
                     if w not in self.known:
                         self.known[w] = len(self.known)
                         fresh.append(w.encode())
-                rows.append(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))
+                rows.append(np.fromiter(map(self.known.__getitem__, words), np.int32, len(words)))
         if fresh:
             ids, offsets = self.index.encode(fresh)
+            fresh = None
             self.offsets = np.concatenate([self.offsets, offsets[1:] + len(self.ids)])
-            self.ids = np.concatenate([self.ids, ids])
-        words = np.concatenate(rows) if rows else np.empty(0, np.int64)
-        sizes = (self.offsets[1:] - self.offsets[:-1])[words]
-        ends = np.cumsum(sizes)
-        ids = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.offsets[words] - ends + sizes, sizes)]
+            self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+        words = np.concatenate(rows) if rows else np.empty(0, np.int32)
         bounds = np.cumsum([0, *map(len, rows)])
-        return ids, np.append(0, ends)[bounds]
+        ends = np.append(0, np.cumsum((self.offsets[1:] - self.offsets[:-1])[words]))
+        ids = np.empty(ends[-1], np.int32)
+        for i in range(0, len(words), SLICE):
+            own, to = words[i:i + SLICE], ends[i:i + SLICE + 1]
+            sizes = np.diff(to)
+            ids[to[0]:to[-1]] = self.ids[np.arange(to[0], to[-1]) + np.repeat(self.offsets[own] - to[:-1], sizes)]
+        return ids, ends[bounds]
 
 
 class Decoder:

@@ -44,6 +44,19 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+def bound_batches(spark: SparkSession, size: str = "4m") -> None:
+    """From now on an Arrow batch for Python ends at about ``size`` of rows, unless the
+    session has a bound of its own.
+
+    By default it ends at 10,000 rows, so long texts make batches of any size, and each
+    task holds one several times: in the vector, in the buffer of the worker's pipe and
+    in the worker.  A lazy result is computed after its operator has returned, so the
+    setting stays with the session."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, size)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting it from the session conf.
 
