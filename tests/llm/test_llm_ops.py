@@ -607,6 +607,45 @@ def test_components_match_brute_force(spark, seed, hot):
     assert got == brute_components(rows)
 
 
+def test_members_out_of_reach_do_not_meet(spark):
+    """A pair is linked at its first common shingle, so of two sets of 100 at most 11 may stand before it."""
+    ranges = ngram_join._ranges(np.arange(100, dtype=np.uint64) << np.uint64(57), ngram_join.COARSE)
+    nodes = spark.createDataFrame([(i, 100, bytearray(ranges)) for i in range(60)], "node long, n long, coarse binary")
+    tried = spark.createDataFrame([(0, 1)], "a long, b long")
+
+    def pairs(pos):
+        rest = spark.createDataFrame([(7, i, 100, pos(i), i) for i in range(60)], "h long, node long, n int, pos int, root long")
+        return sorted(tuple(r) for r in ngram_join._rest_pairs(rest, tried, nodes, 80).collect())
+
+    assert pairs(lambda i: 12) == []
+    assert pairs(lambda i: 11) == [p for p in itertools.combinations(range(60), 2) if p != (0, 1)]
+    assert pairs(lambda i: 11 if i < 4 else 12) == [(0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
+
+
+@pytest.mark.parametrize("seed,hot", [(4, 10_000), (5, 20)])
+def test_a_large_family_matches_brute_force(spark, seed, hot):
+    """Copies of one text with few to many changes: linked to each other, to the text, or to none."""
+    rng = random.Random(seed)
+    words = [f"w{rng.randrange(300)}" for _ in range(120)]
+    rows = []
+    for i in range(120):
+        copy = list(words)
+        for k in rng.sample(range(120), rng.randint(1, 12)):
+            copy[k] = f"v{rng.randrange(5000)}"
+        rows.append((i, " ".join(copy), "en", "s", 0))
+    expected = brute_components(rows)
+    assert 5 < len({c for _, c in expected.values()}) < 115
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(frame(spark, rows), hot_rows=hot).collect()}
+    assert got == expected
+
+
+@pytest.mark.parametrize("counts", [[0, 3, 0, 70_000], [1] * ngram_join.BLOCK, [300] * 9])
+def test_block_counts_survive_packing(counts):
+    block = np.zeros(ngram_join.BLOCK, np.uint32)
+    block[-len(counts):] = counts
+    assert ngram_join._unpacked(ngram_join._pack(block)).tolist() == block.tolist()
+
+
 def test_near_duplicate_edge_cases(spark):
     assert ngram_join.near_duplicates(empty(spark)).count() == 0
     rows = [(7, "a b c d e f", "en", "s", 0)] * 2 + [(None, "a b c d e f", "en", "s", 0), (9, None, None, None, None)]

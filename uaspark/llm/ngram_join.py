@@ -9,7 +9,8 @@ similarity of at least t share a shingle among the first n - ceil(t n) + 1 of
 each, so only these prefixes are shuffled and joined.  Pairs pass
 
 * the length filter: t * larger <= smaller;
-* the positional filter: what stands after the shared shingle must suffice;
+* the positional filter: what stands from the shared shingle on must suffice (in the
+  linear rounds, what could be shared before it counts too);
 * the suffix filter: the numbers of shingles of the two sets in equal ranges of
   the hash bound the overlap (first 128 ranges, then about two a shingle);
 
@@ -19,12 +20,15 @@ of bounded size names them, by id or, without one, by set, so texts are never
 shuffled).
 
 Groups of a shingle are never expanded into all pairs.  Each member is first
-paired with the first, the last and the preceding member of its group; verified
-links give components.  Only members of groups that still span several
+paired with the first and the preceding member of its group, in the order of the
+shingle's place: a set with few shingles of its own comes first, and is near many.
+Verified links give components.  Only members of groups that still span several
 components are paired further: every member outside a group's largest component
-meets all members of other components, in tiles of bounded size that return only
-the pairs which pass the filters.  A pair inside one component can't change the
-result.
+meets the members of other components, in lists of bounded size, and only pairs
+that can be linked by size and place go on.  Two linked sets meet at the first
+shingle they share; nothing before it is common, so the test there may be strict
+and leaves copies with many changes out of a frequent shingle's group.  A pair
+inside one component can't change the result.
 A frequent shingle's group is cut into subgroups by node, whose first members
 meet in a group of their own.
 
@@ -38,7 +42,7 @@ Shingles are told apart by 64-bit hashes and sets by a 64-bit digest.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -53,12 +57,10 @@ from .texts import chain, mix, pieces, word_hashes
 #: A set of n shingles is counted in COARSE ranges of the hash and, finer, in 2 n to
 #: 4 n, within these bounds.
 COARSE, MIN_RANGES, MAX_RANGES = 128, 16, 1 << 17
-#: Members of a group, sets and searching nodes that meet in one tile, about.
-MEMBERS, TILE_SETS, TILE_NODES = 512, 8192, 2048
-#: Shingles that are counted one by one: from this many prefixes on, this many at most.
-LEAST_FREQUENT, MAX_FREQUENT = 2, 4_000_000
-#: Bits of the hash that name a bucket of the first count, and a flag of the second.
-BUCKET_BITS, FLAG_BITS = 16, 23
+#: Members of a list; sets and pairs of a tile, about.
+MEMBERS, TILE_SETS, TILE_PAIRS = 512, 8192, 1 << 18
+#: Bits of the hash that name a bucket of the count, and the buckets that travel in one row.
+BUCKET_BITS, BLOCK = 21, 1 << 14
 FACT_DOC, FACT_BUCKET = 0, 1
 #: Bytes of text shingled at a time.
 PIECE = 1 << 20
@@ -107,64 +109,81 @@ def _most_common(a: np.ndarray, b: np.ndarray) -> int:
 
 def _facts(docs: DataFrame, words: int) -> DataFrame:
     """Rows (kind, doc_id, tag, a, b, coarse, ranges): per document its set size, node
-    and ranges; per task and bucket the number of shingle occurrences."""
+    and ranges; per task the shingle occurrences in each block of buckets, packed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["kind", "doc_id", "tag", "a", "b", "coarse", "ranges"]
-        counts = np.zeros(1 << BUCKET_BITS, np.int64)
+        counts = np.zeros(1 << BUCKET_BITS, np.uint32)
         for batch in pieces(batches, "text", PIECE):
             sets = shingle_sets(batch.column("text"), words)
-            every = np.concatenate(sets)
-            counts += np.bincount(_bucket(every), minlength=1 << BUCKET_BITS)
+            at, many = np.unique(_bucket(np.concatenate(sets)), return_counts=True)
+            counts[at] += many.astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(sets), FACT_DOC, np.int8)), batch.column("doc_id"), batch.column("tag"),
                  pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([_node(s) for s in sets], pa.int64()),
                  pa.array([_ranges(s, COARSE) for s in sets], pa.binary()),
                  pa.array([_ranges(s) for s in sets], pa.binary())], names)
-        used = np.flatnonzero(counts)
+        blocks = counts.reshape(-1, BLOCK)
+        used = np.flatnonzero(blocks.any(1))
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.full(len(used), FACT_BUCKET, np.int8)), *[pa.nulls(len(used), pa.int64())] * 2,
-             pa.array(used), pa.array(counts[used]), pa.nulls(len(used), pa.binary()), pa.nulls(len(used), pa.binary())], names)
+             pa.array(used), pa.nulls(len(used), pa.int64()), pa.array([_pack(blocks[i]) for i in used], pa.binary()),
+             pa.nulls(len(used), pa.binary())], names)
 
     return docs.mapInArrow(run, "kind byte, doc_id long, tag long, a long, b long, coarse binary, ranges binary")
 
 
-def _bucket_counts(facts: DataFrame) -> np.ndarray:
-    found = (facts.filter(F.col("kind") == FACT_BUCKET).groupBy("a").agg(F.sum("b").alias("b"))).toArrow()
-    counts = np.zeros(1 << BUCKET_BITS, np.int64)
-    counts[found.column("a").to_numpy()] = found.column("b").to_numpy()
+def _pack(counts: np.ndarray) -> bytes:
+    """The counts of a block: all of them or, where most are 0, the others behind their places."""
+    at = np.flatnonzero(counts).astype(np.uint16)
+    few = len(at) * 3 < len(counts)
+    width = int(np.searchsorted([0xFF, 0xFFFF], counts.max()))
+    return ((at.tobytes() if few else b"") + (counts[at] if few else counts).astype(_WIDTHS[width]).tobytes()
+            + len(at).to_bytes(4, "little") + bytes([few, width]))
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    many, few, width = int.from_bytes(packed[-6:-2], "little"), packed[-2], _WIDTHS[packed[-1]]
+    if not few:
+        return np.frombuffer(packed[:-6], width).astype(np.int64)
+    counts = np.zeros(BLOCK, np.int64)
+    counts[np.frombuffer(packed[:2 * many], np.uint16)] = np.frombuffer(packed[2 * many:-6], width)
     return counts
 
 
+def _bucket_counts(facts: DataFrame) -> np.ndarray:
+    """Shingle occurrences in each bucket; the tasks' blocks are added up where they are."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, packed in zip(batch.column("a").to_pylist(), batch.column("coarse").to_pylist()):
+                total[i] = total.get(i, 0) + _unpacked(packed)
+        for i, counts in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([counts.tobytes()], pa.binary())], ["a", "counts"])
+
+    packed = facts.filter(F.col("kind") == FACT_BUCKET).select("a", "coarse")
+    found = packed.repartition("a").mapInArrow(run, "a long, counts binary").toArrow()
+    counts = np.zeros((1 << BUCKET_BITS) // BLOCK * BLOCK, np.int64).reshape(-1, BLOCK)
+    for i, block in zip(found.column("a").to_pylist(), found.column("counts").to_pylist()):
+        counts[i] = np.frombuffer(block, np.int64)
+    return counts.ravel()
+
+
 @dataclass
 class Order:
     """Which shingles are frequent: a function of the hash, alike in all tasks."""
     buckets: np.ndarray                 # level of each hash bucket, 0 unless far above the mean
     parts: np.ndarray | None            # subgroups of each bucket's shingles, if any has several
-    hashes: np.ndarray                  # sorted hashes of shingles counted one by one ...
-    levels: np.ndarray                  # ... their levels ...
-    flags: np.ndarray | None            # ... and which leading bits they have
 
     @staticmethod
     def of_counts(counts: np.ndarray, hot_rows: int) -> Order:
-        usual = 4 * max(1.0, counts.mean())
+        middle = np.median(counts)
+        usual = middle + 2 * np.sqrt(middle) + 1        # most buckets of rare shingles hold less
         parts = (1 + np.maximum(0, counts - usual) // hot_rows).astype(np.int32)
-        return Order(np.where(counts > usual, _level(counts), 0).astype(np.uint8),
-                     parts if parts.max(initial=1) > 1 else None, np.empty(0, np.uint64), np.empty(0, np.uint8), None)
-
-    def refined(self, hashes: np.ndarray, levels: np.ndarray) -> Order:
-        sort = np.argsort(hashes)
-        flags = np.zeros(1 << FLAG_BITS, bool)
-        flags[(hashes >> np.uint64(64 - FLAG_BITS)).astype(np.int64)] = True
-        return replace(self, hashes=hashes[sort], levels=levels[sort], flags=flags)
+        return Order(np.where(counts > usual, _level(counts), 0).astype(np.uint8), parts if parts.max(initial=1) > 1 else None)
 
     def level(self, items: np.ndarray) -> np.ndarray:
-        out = self.buckets[_bucket(items)]
-        if self.flags is not None:
-            maybe = np.flatnonzero(self.flags[(items >> np.uint64(64 - FLAG_BITS)).astype(np.int64)])
-            at = np.minimum(np.searchsorted(self.hashes, items[maybe]), len(self.hashes) - 1)
-            out[maybe] = np.maximum(out[maybe], np.where(self.hashes[at] == items[maybe], self.levels[at], 0))
-        return out
+        return self.buckets[_bucket(items)]
 
 
 def _bucket(items: np.ndarray) -> np.ndarray:
@@ -175,29 +194,6 @@ def _level(counts: np.ndarray) -> np.ndarray:
     return np.floor(4 * np.log2(counts + 1.0)).astype(np.uint8)
 
 
-def _refined(order: Order, prefixes: DataFrame) -> Order:
-    """``order`` with the shingles that most prefixes share, MAX_FREQUENT at most."""
-    counts = prefixes.groupBy("h").count().filter(F.col("count") >= LEAST_FREQUENT)
-    counts = stored(counts)
-    sizes = sorted(((r[0], r[1]) for r in counts.groupBy(_log_size(F.col("count")).alias("s")).count().collect()), reverse=True)
-    total, least = 0, None
-    for size, many in sizes:
-        total += many
-        if total > MAX_FREQUENT:
-            break
-        least = size
-    if least is None:
-        return order
-    found = counts.filter(_log_size(F.col("count")) >= least).toArrow()
-    hashes = found.column("h").to_numpy().view(np.uint64)
-    # a prefix holds about a fifth of a set's shingles
-    return order.refined(hashes, _level(5 * found.column("count").to_numpy()))
-
-
-def _log_size(count: Column) -> Column:
-    return F.floor(F.log2(count) * 4).cast("int")
-
-
 def _prefixes(docs: DataFrame, words: int, percent: int, order: Order) -> DataFrame:
     """Rows (h, salt, node, n, pos): the prefix shingles of every document."""
     share = docs.sparkSession.sparkContext.broadcast(order)
@@ -231,7 +227,8 @@ def _prefixes(docs: DataFrame, words: int, percent: int, order: Order) -> DataFr
 
 
 def _fits(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> Column:
-    """Length and positional filter for a shared shingle at positions p1 and p2."""
+    """Length and positional filter for a shared shingle at positions p1 and p2, be it
+    the first that they share or not."""
     n1, p1, n2, p2 = (c.cast("long") for c in (n1, p1, n2, p2))
     most = F.least(p1, p2) + 1 + F.least(n1 - p1, n2 - p2) - 1
     return ((F.greatest(n1, n2) * percent <= F.least(n1, n2) * 100)
@@ -253,14 +250,12 @@ def _grouped(prefixes: DataFrame) -> DataFrame:
 
 
 def _linear_pairs(members: DataFrame, percent: int, order: Column, keys: tuple[str, ...]) -> DataFrame:
-    """Candidate pairs (a, b) of each member with the first, the last and the
-    preceding member of its group in ``order``."""
+    """Candidate pairs (a, b) of each member with the first and the preceding member of
+    its group in ``order``."""
     w = Window.partitionBy(*keys).orderBy(order, "node")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     own = F.struct(*MEMBER)
-    rows = members.select(*MEMBER, F.first(own).over(whole).alias("x"), F.last(own).over(whole).alias("y"),
-                          F.lag(own).over(w).alias("z"))
-    rows = rows.select(*MEMBER, F.explode(F.array("x", "y", "z")).alias("o"))
+    rows = members.select(*MEMBER, F.first(own).over(w).alias("x"), F.lag(own).over(w).alias("y"))
+    rows = rows.select(*MEMBER, F.explode(F.array("x", "y")).alias("o"))
     good = F.col("o").isNotNull() & (F.col("o.node") != F.col("node")) & _fits(
         F.col("n"), F.col("pos"), F.col("o.n"), F.col("o.pos"), percent)
     return rows.filter(good).select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
@@ -337,73 +332,79 @@ def _rest(members: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(mixed, "h", "left_semi").select("h", *MEMBER, "root")
 
 
-def _rest_pairs(rest: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): every pair across components that passes the filters up to the coarse ranges.
+def _rest_pairs(rest: DataFrame, tried: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): every pair across components, not ``tried`` yet, that passes the filters up
+    to the coarse ranges.
 
-    1. A group's members lie in lists of about MEMBERS; each member outside the
-       group's largest component meets each list and keeps the nodes that pass the
-       length and positional filters, packed by the block of sets they are in.
-    2. Packed nodes meet the coarse ranges of their sets in tiles of TILE_SETS x TILE_NODES.
+    1. Members that no other of their group can reach by size and position go.
+    2. A group's members lie in lists of about MEMBERS; each member outside the
+       group's largest component meets the lists of its group.
+    3. Pairs meet the coarse ranges of their sets in tiles of about TILE_SETS sets and
+       TILE_PAIRS pairs, as many as there are sets and pairs.
     """
-    biggest = (rest.groupBy("h", "root").count().groupBy("h")
-               .agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.sum("count").alias("size")))
-    rows = rest.join(biggest, "h").withColumn("lists", (F.col("size") / MEMBERS).cast("int") + 1)
-    lists = (rows.groupBy("h", F.pmod(F.xxhash64("node"), F.col("lists")).alias("list"))
-             .agg(F.collect_list(F.struct(*MEMBER, "root", (F.col("root") == F.col("main")).alias("inside"))).alias("others")))
-    seekers = rows.filter("root != main").select("h", *MEMBER, "root", F.explode(
-        F.sequence(F.lit(0).cast("long"), F.col("lists").cast("long") - 1)).alias("list"))
-    many_sets = max(1, -(-rest.select("node").distinct().count() // TILE_SETS))
-    block_of = lambda c: F.pmod(F.xxhash64(c), F.lit(many_sets)).cast("int")
-
-    far = lambda o: (o["root"] != F.col("root")) & (o["inside"] | (F.col("node") < o["node"])) & _fits(
-        F.col("n"), F.col("pos"), o["n"], o["pos"], percent)
-    met = (seekers.join(lists, ["h", "list"])
-           .select(F.col("node").alias("x"), F.transform(F.filter("others", far), lambda o: o["node"]).alias("ys"))
-           .filter(F.size("ys") > 0))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: dict[int, set[int]] = {}
-            for x, ys in zip(batch.column("x").to_pylist(), batch.column("ys").to_pylist()):
-                found.setdefault(x, set()).update(ys)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found.keys(), pa.int64()), pa.array([list(v) for v in found.values()], pa.list_(pa.int64()))],
-                ["x", "ys"])
-
-    by_block = F.transform(F.sequence(F.lit(0), F.lit(many_sets - 1)), lambda i: F.filter("ys", lambda y: block_of(y) == i)) \
-        if many_sets <= 8 else None
-    packed = met.mapInArrow(pack, "x long, ys array<long>")
-    if by_block is not None:
-        packed = packed.select("x", F.posexplode(by_block).alias("set_block", "ys")).filter(F.size("ys") > 0)
-    else:
-        blocks = F.transform("ys", lambda y: F.struct(block_of(y).alias("k"), y.alias("y")))
-        packed = (packed.select("x", F.explode(F.array_distinct(F.transform(blocks, lambda t: t["k"]))).alias("set_block"),
-                                blocks.alias("all"))
-                  .select("x", "set_block", F.transform(F.filter("all", lambda t: t["k"] == F.col("set_block")),
-                                                        lambda t: t["y"]).alias("ys")))
-    packed = stored(packed.groupBy("x", "set_block").agg(F.array_distinct(F.flatten(F.collect_list("ys"))).alias("ys")))
-    many_nodes = max(1, -(-packed.select("x").distinct().count() // TILE_NODES))
+    # a shared shingle that isn't the first one may fail the test at its place: the pair meets at the first
+    far = lambda a, b: (F.least(F.col(f"n{a}") - F.col(f"pos{a}"), F.col(f"n{b}") - F.col(f"pos{b}")).cast("long")
+                        * (100 + percent) >= (F.col(f"n{a}") + F.col(f"n{b}")).cast("long") * percent)
+    least = rest.groupBy("h").agg(F.min("n").alias("least"))
+    shortest = F.greatest("least", F.ceil(F.col("n").cast("long") * percent / 100))
+    rows = (rest.join(least, "h").filter((F.col("n") - F.col("pos")).cast("long") * (100 + percent) >= (F.col("n") + shortest) * percent)
+            .select("h", *MEMBER, "root"))
+    biggest = (rows.groupBy("h", "root").count().groupBy("h")
+               .agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.max("count").alias("inside"),
+                    F.sum("count").alias("size"))
+               .filter("inside < size").select("h", "main", "size"))
+    rows = rows.join(biggest, "h").withColumn("lists", (F.col("size") / MEMBERS).cast("int") + 1)
+    others = rows.select("h", F.pmod(F.xxhash64("node"), F.col("lists")).alias("list"), F.col("node").alias("y"),
+                         F.col("n").alias("n_y"), F.col("pos").alias("pos_y"), F.col("root").alias("root_y"),
+                         (F.col("root") == F.col("main")).alias("inside"))
+    seekers = rows.filter("root != main").select(
+        "h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lists").cast("long") - 1)).alias("list"),
+        F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("pos").alias("pos_x"), F.col("root").alias("root_x"))
+    reach = F.least("n_x", "n_y").cast("long") * 100 >= F.greatest("n_x", "n_y").cast("long") * percent
+    met = (seekers.join(others, ["h", "list"])
+           .filter((F.col("root_x") != F.col("root_y")) & (F.col("inside") | (F.col("x") < F.col("y"))) & reach & far("_x", "_y"))
+           .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    pairs = stored(met.join(tried, ["a", "b"], "left_anti"))
+
+    many = pairs.count()
+    blocks = max(1, -(-min(many, nodes.count()) // TILE_SETS))
+    parts = max(1, -(-many // (blocks * TILE_PAIRS)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     shape = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("coarse").alias(f"ranges_{c}"))
-    left = packed.join(shape("x"), "x").withColumn("node_block", F.pmod(F.xxhash64("x"), F.lit(many_nodes)).cast("int"))
-    used = left.select(F.col("set_block").alias("sb"), F.col("node_block").alias("nb")).distinct()
-    right = shape("y").withColumn("sb", block_of(F.col("y"))).join(used, "sb")
+    left = (pairs.groupBy("a", dealt("b", blocks).alias("block")).agg(F.collect_list("b").alias("bs")).join(shape("a"), "a")
+            .withColumn("part", dealt("a", parts)))
+    right = (pairs.select("b", dealt("b", blocks).alias("block"), dealt("a", parts).alias("part")).distinct()
+             .join(shape("b"), "b"))
 
     def tile(x: pa.Table, y: pa.Table) -> pa.Table:
-        sets = {node: (n, _read_ranges(r)) for node, n, r in zip(*(y.column(c).to_pylist() for c in ("y", "n_y", "ranges_y")))}
-        out = []
-        for node, n, r, ys in zip(*(x.column(c).to_pylist() for c in ("x", "n_x", "ranges_x", "ys"))):
-            own = _read_ranges(r)
-            for other in ys:
-                if other in sets:
-                    m, ranges = sets[other]
-                    if _most_common(own, ranges) * (100 + percent) >= (n + m) * percent:
-                        out.append((min(node, other), max(node, other)))
-        return pa.table([pa.array([t[k] for t in out], pa.int64()) for k in range(2)], names=["a", "b"])
-
-    return (left.groupBy("set_block", "node_block").cogroup(right.groupBy("sb", "nb"))
+        sets = y.column("b").to_numpy()
+        sort = np.argsort(sets)
+        sets, sizes = sets[sort], y.column("n_b").to_numpy()[sort]
+        ranges = _matrix(y.column("ranges_b"))[sort] if len(sets) else None
+        found: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)]]
+        many = np.diff(x.column("bs").combine_chunks().offsets.to_numpy()) if x.num_rows else ()
+        every = np.searchsorted(sets, x.column("bs").combine_chunks().flatten().to_numpy()) if x.num_rows else ()
+        end = 0
+        for a, n, own, k in zip(*(x.column(c).to_pylist() for c in ("a", "n_a", "ranges_a")), many):
+            at, end = every[end:end + k], end + k
+            for i in range(0, k, PIECE // COARSE):
+                some = at[i:i + PIECE // COARSE]
+                most = np.minimum(ranges[some], _read_ranges(own)).sum(1, dtype=np.int64)
+                good = sets[some[most * (100 + percent) >= (n + sizes[some]) * percent]]
+                found[0].append(np.full(len(good), a, np.int64))
+                found[1].append(good)
+        return pa.table([pa.array(np.concatenate(f)) for f in found], names=["a", "b"])
+
+    return (left.groupBy("block", "part").cogroup(right.groupBy("block", "part"))
             .applyInArrow(tile, "a long, b long"))
 
 
+def _matrix(ranges: pa.ChunkedArray) -> np.ndarray:
+    """Coarse ranges of many sets, a row for each."""
+    rows = [_read_ranges(r) for r in ranges.to_pylist()]
+    return np.stack([r.astype(np.uint32) for r in rows]) if any(r.itemsize > 1 for r in rows) else np.stack(rows)
+
+
 def _linked(docs: DataFrame, words: int, percent: int, hot_rows: int) -> DataFrame:
     """(doc_id, tag, n_shingles, root, component_id) for each row of ``docs`` (doc_id,
     tag, text); ``root`` names the component (null for rows without shingles)."""
@@ -414,21 +415,20 @@ def _linked(docs: DataFrame, words: int, percent: int, hot_rows: int) -> DataFra
     nodes = full.groupBy("node").agg(F.min("doc_id").alias("least_id"))
 
     order = Order.of_counts(_bucket_counts(facts), hot_rows)
-    order = _refined(order, _prefixes(docs, words, percent, order))
     members = stored(_grouped(_prefixes(docs, words, percent, order)))
     shapes = stored(full.join(members.select("node").distinct(), "node").groupBy("node").agg(
         F.min("doc_id").alias("least_id"), F.max("n_shingles").alias("n"),
         F.any_value("coarse").alias("coarse"), F.any_value("ranges").alias("ranges")))
 
     salted = members.filter("salt > 0")
-    heads = salted.groupBy("h", "salt").agg(F.min(F.struct(*MEMBER)).alias("m")).select("h", "m.*")
-    pairs = _linear_pairs(members, percent, F.lit(0), ("h", "salt")).unionByName(
-        _linear_pairs(heads, percent, F.lit(0), ("h",))).distinct()
+    heads = salted.groupBy("h", "salt").agg(F.min_by(F.struct(*MEMBER), F.struct("pos", "node")).alias("m")).select("h", "m.*")
+    pairs = _linear_pairs(members, percent, F.col("pos"), ("h", "salt")).unionByName(
+        _linear_pairs(heads, percent, F.col("pos"), ("h",))).distinct()
     tried = stored(pairs)
     links = _verified(docs, _suffix_filter(tried, shapes, percent, "coarse", "ranges"), words, percent)
     roots = stored(components(links))
     rest = stored(_rest(members, roots))
-    passed = _rest_pairs(rest, shapes, percent).join(tried, ["a", "b"], "left_anti")
+    passed = _rest_pairs(rest, tried, shapes, percent)
     links = links.unionByName(_verified(docs, _suffix_filter(passed, shapes, percent, "ranges"), words, percent))
     roots = components(links)
 
