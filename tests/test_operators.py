@@ -683,3 +683,35 @@ def test_streaming_alerts_leave_late_rows_out(spark, tmp_dir):
     finally:
         q.stop()
     assert got == [(dt.date(2024, 1, 1), 10, 10.0, 0.5, "high_cpi")]
+
+
+def test_filter_options_reads_the_table_once(spark, tmp_path):
+    from uaspark.operators import profile as P
+    spark.createDataFrame([("a", 1, None), ("a", 2, None), (None, 2, None), ("b", None, None)], "x string, y int, z string") \
+        .write.parquet(f"{tmp_path}/t")
+    out = P.filter_options(spark.read.parquet(f"{tmp_path}/t"), ["x", "y", "z"])
+    assert sorted(map(tuple, out.collect())) == [("x", "a"), ("x", "b"), ("y", "1"), ("y", "2")]
+    assert out._jdf.queryExecution().sparkPlan().toString().count("FileScan") == 1
+
+
+def test_campaign_days_are_the_keys_of_campaign_daily(spark, tmp_path):
+    """Repeated and missing keys too; each table is read once for the options."""
+    from uaspark.plans import bridge, q_profile
+    day = dt.datetime(2024, 1, 1)
+    tables = {
+        "nation": ([(1, "FR"), (2, None)], "n_nationkey int, n_name string"),
+        "customer": ([(1, 1, "A"), (1, 1, "A"), (2, 2, None), (None, 1, "B")], "c_custkey long, c_nationkey int, c_mktsegment string"),
+        "orders": ([(1, 1, "F", day), (2, 2, "O", day), (3, None, "P", day), (None, 1, "P", day), (2, 2, "O", None)],
+                   "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp"),
+        "part": ([(1, "P1", 2.0), (2, None, 3.0), (3, "unused", 1.0)], "p_partkey long, p_type string, p_retailprice double"),
+        "lineitem": ([(1, 1, 1.0, 5.0, 0.0, 0.0)] * 2 + [(2, 2, 1.0, 5.0, 0.0, 0.0), (None, 3, 1.0, 1.0, 0.0, 0.0), (1, None, 1.0, 1.0, 0.0, 0.0)],
+                     "l_orderkey long, l_partkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double")}
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    b = bridge.Bridge(spark, str(tmp_path))
+    keys = [*bridge.HIERARCHY, "date"]
+    rows = lambda df: sorted(map(tuple, df.select(*keys).collect()), key=str)
+    assert rows(b.campaign_days) == rows(b.campaign_daily) and len(rows(b.campaign_days)) == 3
+    out = q_profile.f6_filter_options(b)
+    assert sorted(map(tuple, out.collect())) == [("channel", "F"), ("channel", "O"), ("country", "FR"), ("game", "P1"), ("platform", "A")]
+    assert out._jdf.queryExecution().sparkPlan().toString().count("FileScan parquet") == 5

@@ -125,6 +125,12 @@ class Bridge:
     def campaign_daily(self) -> DataFrame:
         return self._by_customer(*HIERARCHY, "date").groupBy(*HIERARCHY, "date").agg(*self._money_aggs())
 
+    @cached_property
+    def campaign_days(self) -> DataFrame:
+        """The rows of ``campaign_daily`` without its sums: no customer is counted, so the order
+        lines needn't be dealt out by customer."""
+        return self._order_lines().select(*HIERARCHY, "date").distinct()
+
     def _by_customer(self, *keys: str) -> DataFrame:
         """The order lines, dealt out for distinct customers of each of ``keys``."""
         return self._spread(self._order_lines(), *keys, "o_custkey")

@@ -213,7 +213,7 @@ UNION SELECT DISTINCT 'platform', platform FROM campaign_daily WHERE platform IS
 UNION SELECT DISTINCT 'channel', channel FROM campaign_daily WHERE channel IS NOT NULL
 UNION SELECT DISTINCT 'country', country FROM campaign_daily WHERE country IS NOT NULL""")
 def f6_filter_options(b: Bridge) -> DataFrame:
-    return P.filter_options(b.campaign_daily, HIERARCHY)
+    return P.filter_options(b.campaign_days, HIERARCHY)
 
 
 @query("T4_sorted_distinct", with_views("campaign_daily") + """
