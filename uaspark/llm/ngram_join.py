@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .columns import Neutral
-from .store import components, stored
+from .store import brief_shuffles, components, stored
 from .texts import chain, mix, pieces, word_hashes
 
 #: A set of n shingles is counted in COARSE ranges of the hash and, finer, in 2 n to
@@ -444,7 +444,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     percent: int = 80, hot_rows: int = 10_000) -> DataFrame:
     """One row per document: (doc_id, n_shingles, component_id)."""
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("tag"), F.col(text_col).alias("text"))
-    return _linked(narrow, words, percent, hot_rows).select("doc_id", "n_shingles", "component_id")
+    with brief_shuffles(docs.sparkSession):
+        return _linked(narrow, words, percent, hot_rows).select("doc_id", "n_shingles", "component_id")
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
@@ -456,8 +457,9 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     any).  Rows are judged by their own component: id and a hash of the text name them."""
     own = Neutral(docs)
     tagged = own.df.select("*", F.col(own[id_col]).cast("long").alias("id"), F.xxhash64(own[text_col]).alias("tag"))
-    found = stored(_linked(tagged.select(F.col("id").alias("doc_id"), "tag", F.col(own[text_col]).alias("text")), words, percent, hot_rows)
-                   .filter("n_shingles > 0").select("doc_id", "tag", "root"))
+    narrow = tagged.select(F.col("id").alias("doc_id"), "tag", F.col(own[text_col]).alias("text"))
+    with brief_shuffles(docs.sparkSession):
+        found = stored(_linked(narrow, words, percent, hot_rows).filter("n_shingles > 0").select("doc_id", "tag", "root"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("m")
     first = found.groupBy("root").agg(least).select("m.doc_id", "m.tag")
     copies = found.groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("copies"))
